@@ -116,3 +116,116 @@ FROM c ORDER BY region, disease, year
 SQL["regional_burden"] = q("""
 SELECT region, COUNT(*) AS cases FROM admissions GROUP BY region
 """)
+
+# --- upload path ------------------------------------------------------------
+
+from ..sources.fixtures import DISEASES  # noqa: E402
+from ..functions.scalars import POSITIVE_TARGET_VALUES  # noqa: E402
+
+_POS = ", ".join(f"'{v}'" for v in POSITIVE_TARGET_VALUES)
+_UPLOADED = f"""uploaded AS (
+  SELECT patient_id, age_band, gender, region, hospital_id, disease, admission_date AS time_var, year,
+         readmitted AS target, treatment_cost,
+         CAST(CASE WHEN readmitted IN ({_POS}) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_target
+  FROM admissions)"""
+
+SQL["role_map"] = q("""
+SELECT patient_id, age_band, gender, region, hospital_id, disease, admission_date AS time_var, year,
+       readmitted AS target, treatment_cost
+FROM admissions
+""")
+
+SQL["flag_in_set"] = q(f"""
+WITH {_UPLOADED}
+SELECT target, is_target, COUNT(*) AS n FROM uploaded GROUP BY target, is_target
+""")
+
+_REQUIRED = ["patient_id", "age_band", "gender", "region", "hospital_id", "disease", "admission_date",
+             "year", "readmitted", "treatment_cost"]
+SQL["required_columns"] = q("\nUNION ALL\n".join(
+    [f"""SELECT '{c}' AS "column", true AS present, COUNT({c}) AS non_null_count FROM admissions"""
+     for c in _REQUIRED]
+    + ["""SELECT 'discharge_date' AS "column", false AS present, CAST(0 AS BIGINT) AS non_null_count"""]))
+
+SQL["kpis"] = q(f"""
+WITH {_UPLOADED},
+dc AS (SELECT disease, COUNT(*) AS n FROM uploaded GROUP BY disease)
+SELECT format('{{:,}}', (SELECT COUNT(*) FROM uploaded)) AS total_records_processed,
+       (SELECT CAST(COUNT(DISTINCT region) + MAX(CASE WHEN region IS NULL THEN 1 ELSE 0 END) AS BIGINT)
+        FROM uploaded) AS regions_analyzed,
+       COALESCE((SELECT disease FROM dc ORDER BY n DESC, disease NULLS FIRST LIMIT 1), 'Unknown') AS top_disease,
+       COALESCE(printf('%.1f%%', (SELECT AVG(is_target) FROM uploaded) * 100.0), '0%') AS avg_readmission_rate
+""")
+
+SQL["kpi_total"] = q(f"""
+WITH {_UPLOADED}
+SELECT COUNT(*) AS total_records FROM uploaded
+""")
+
+SQL["kpi_regions"] = q(f"""
+WITH {_UPLOADED}
+SELECT CAST(COUNT(DISTINCT region) + MAX(CASE WHEN region IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS regions_analyzed
+FROM uploaded
+""")
+
+SQL["kpi_top_disease"] = q(f"""
+WITH {_UPLOADED}
+SELECT disease AS top_disease, COUNT(*) AS cases FROM uploaded GROUP BY disease
+ORDER BY cases DESC, disease NULLS FIRST LIMIT 1
+""")
+
+SQL["kpi_target_rate"] = q(f"""
+WITH {_UPLOADED}
+SELECT COALESCE(printf('%.1f%%', AVG(is_target) * 100.0), '0%') AS avg_readmission_rate FROM uploaded
+""")
+
+_TREND_COLS = ",\n       ".join(f"""COUNT(CASE WHEN disease = '{d}' THEN 1 END) AS "{d}" """ for d in DISEASES)
+_TREND = f"""SELECT substr(CAST(time_var AS VARCHAR), 1, 4) AS year,
+       {_TREND_COLS}
+FROM uploaded GROUP BY 1"""
+
+SQL["trend_pivot"] = q(f"""
+WITH {_UPLOADED}
+{_TREND} ORDER BY year
+""")
+
+SQL["order_by_year"] = q(f"""
+WITH {_UPLOADED}, t AS ({_TREND})
+SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY year) AS INTEGER) AS year_rank FROM t
+""")
+
+_RATE_COLS = ",\n       ".join(
+    f"""COALESCE(ROUND(AVG(CASE WHEN disease = '{d}' THEN is_target END), 2), 0.0) AS "{d}" """ for d in DISEASES)
+SQL["rate_pivot"] = q(f"""
+WITH {_UPLOADED}
+SELECT region,
+       {_RATE_COLS}
+FROM uploaded GROUP BY region
+""")
+
+SQL["distinct"] = q("""
+SELECT DISTINCT region FROM admissions
+""")
+
+SQL["top_1"] = q("""
+SELECT year, disease, COUNT(*) AS cases FROM admissions GROUP BY year, disease
+ORDER BY cases DESC, year, disease LIMIT 1
+""")
+
+SQL["preview_n"] = q("""
+SELECT region, disease, COUNT(patient_id) AS total_admissions,
+       CAST(SUM(CASE WHEN readmitted = 'Yes' THEN 1 ELSE 0 END) AS BIGINT) AS readmitted_count,
+       ROUND(CAST(SUM(CASE WHEN readmitted = 'Yes' THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(patient_id), 4)
+           AS readmission_rate
+FROM admissions GROUP BY region, disease ORDER BY region, disease LIMIT 5
+""")
+
+SQL["order_by_cost"] = q("""
+WITH c AS (
+  SELECT h.hospital_type, p.disease,
+         CAST(SUM(CAST(p.treatment_cost AS DECIMAL(38,2))) AS DOUBLE) / COUNT(p.treatment_cost) AS avg_cost
+  FROM admissions p JOIN hospitals_dim h ON p.hospital_id = h.hospital_id
+  GROUP BY h.hospital_type, p.disease)
+SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY avg_cost DESC, hospital_type, disease) AS INTEGER) AS cost_rank
+FROM c
+""")

@@ -9,11 +9,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import aggregates as A
+from .operators import gold as G
+from .operators import upload as U
 from .operators import windows as W
+from .schemas import ADMISSIONS
 from .sources import fixtures as fx
 
+DISEASES = fx.DISEASES
+# Columns the data-quality check requires: the admissions schema plus one
+# that an admissions table does not have.
+REQUIRED_COLUMNS = [f.name for f in ADMISSIONS.fields] + ["discharge_date"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -72,3 +81,91 @@ def q_yoy_growth(spark, sf_dir):
 @register("regional_burden")
 def q_regional_burden(spark, sf_dir):
     return A.regional_burden(_adm(spark, sf_dir))
+
+
+# --- upload path ------------------------------------------------------------
+
+def _uploaded(spark, sf_dir):
+    """The admissions view treated as an uploaded table: roles found by name."""
+    return U.prepare_upload(_adm(spark, sf_dir))
+
+
+@register("role_map")
+def q_role_map(spark, sf_dir):
+    return U.map_roles(_adm(spark, sf_dir))
+
+
+@register("flag_in_set")
+def q_flag_in_set(spark, sf_dir):
+    df = _uploaded(spark, sf_dir)
+    return df.groupBy("target", "is_target").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("required_columns")
+def q_required_columns(spark, sf_dir):
+    return U.check_columns(_adm(spark, sf_dir), REQUIRED_COLUMNS)
+
+
+@register("kpis")
+def q_kpis(spark, sf_dir):
+    return G.kpis(_uploaded(spark, sf_dir))
+
+
+@register("kpi_total")
+def q_kpi_total(spark, sf_dir):
+    return G.kpi_total(_uploaded(spark, sf_dir))
+
+
+@register("kpi_regions")
+def q_kpi_regions(spark, sf_dir):
+    return G.kpi_regions(_uploaded(spark, sf_dir))
+
+
+@register("kpi_top_disease")
+def q_kpi_top_disease(spark, sf_dir):
+    return G.kpi_top_disease(_uploaded(spark, sf_dir))
+
+
+@register("kpi_target_rate")
+def q_kpi_target_rate(spark, sf_dir):
+    return G.kpi_target_rate(_uploaded(spark, sf_dir))
+
+
+@register("trend_pivot")
+def q_trend_pivot(spark, sf_dir):
+    return G.trends(_uploaded(spark, sf_dir), DISEASES)
+
+
+@register("rate_pivot")
+def q_rate_pivot(spark, sf_dir):
+    return G.rate_matrix(_uploaded(spark, sf_dir), DISEASES)
+
+
+@register("distinct")
+def q_distinct(spark, sf_dir):
+    return W.distinct_values(_adm(spark, sf_dir), "region")
+
+
+@register("top_1")
+def q_top_1(spark, sf_dir):
+    counts = A.yearly_disease_counts(_adm(spark, sf_dir))
+    return W.top_n(counts, [F.desc("cases"), "year", "disease"], 1)
+
+
+@register("preview_n")
+def q_preview_n(spark, sf_dir):
+    return W.preview(A.readmission_rates(_adm(spark, sf_dir)), 5, ["region", "disease"])
+
+
+@register("order_by_cost")
+def q_order_by_cost(spark, sf_dir):
+    """avg_cost with each row's position in the cost order, so the order
+    itself is checked, not only the set of rows."""
+    res = A.avg_cost(_adm(spark, sf_dir), fx.hospitals_dim(spark, sf_dir))
+    return W.with_position(res, [F.desc("avg_cost"), "hospital_type", "disease"], "cost_rank")
+
+
+@register("order_by_year")
+def q_order_by_year(spark, sf_dir):
+    res = G.trends(_uploaded(spark, sf_dir), DISEASES)
+    return W.with_position(res, ["year"], "year_rank")

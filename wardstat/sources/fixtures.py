@@ -33,6 +33,10 @@ AGE_BAND_SIZE_STEP = 5
 HOSPITAL_TYPES = ["Public", "Private", "Teaching"]
 BED_BASE, BED_STEP = 50, 25
 
+# The disease (part type) domain of the fixture, used as the
+# explicit pivot column list so pivot schemas are stable.
+DISEASES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
 # Row bounds proven before a dimension is broadcast.
 _SMALL_DIM_ROWS = 10_000
 _size_checked: dict[str, bool] = {}
