@@ -229,3 +229,109 @@ WITH c AS (
 SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY avg_cost DESC, hospital_type, disease) AS INTEGER) AS cost_rank
 FROM c
 """)
+
+# --- scalar functions and rules ----------------------------------------------
+
+SQL["scalar_functions"] = q("""
+SELECT region || '|' || disease AS region_disease_key,
+       substr(CAST(admission_date AS VARCHAR), 1, 4) AS year_text,
+       CAST(year(admission_date) AS INT) AS year_of_date,
+       CASE WHEN isodow(admission_date) >= 6 THEN 'Weekend' ELSE 'Weekday' END AS day_type,
+       CAST(try_strptime(strftime(admission_date, '%Y-%m-%d'), '%Y-%m-%d') AS DATE) AS parsed_date,
+       strftime(admission_date, '%Y-%m-%d') AS date_text,
+       CAST(admission_date + INTERVAL 30 DAY AS DATE) AS followup_date,
+       printf('HOSP_%03d', TRY_CAST(hospital_id AS INTEGER)) AS hospital_code,
+       TRY_CAST(hospital_id AS DOUBLE) AS hospital_num,
+       lower(readmitted) = 'yes' AS readmitted_ci,
+       contains(lower(disease), 'large') AS is_large,
+       format('{:,}', CAST(floor(treatment_cost) AS BIGINT)) AS cost_text,
+       CASE WHEN readmitted = 'Yes' THEN 1 ELSE 0 END AS readmit_flag
+FROM admissions
+""")
+
+SQL["risk_rule_prior"] = q("""
+WITH s AS (
+  SELECT age_band, disease, readmitted,
+         CASE WHEN isodow(admission_date) >= 6 THEN 'Weekend' ELSE 'Weekday' END AS day_type,
+         CAST(0.15 + CASE WHEN age_band IN ('71-80', '81-90', '90+') THEN 0.10 ELSE 0 END
+                   + CASE WHEN disease IN ('ECONOMY', 'PROMO', 'STANDARD') THEN 0.05 ELSE 0 END
+                   + CASE WHEN isodow(admission_date) >= 6 THEN 0.08 ELSE 0 END AS DECIMAL(10,2)) AS prior_risk
+  FROM admissions)
+SELECT age_band, disease, day_type, COUNT(*) AS admissions,
+       CAST(SUM(prior_risk) AS DOUBLE) / COUNT(*) AS expected_rate,
+       CAST(SUM(CASE WHEN readmitted = 'Yes' THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*) AS observed_rate
+FROM s GROUP BY age_band, disease, day_type
+""")
+
+SQL["risk_rule_fallback"] = q("""
+WITH r AS (
+  SELECT age_band, disease,
+         LEAST(CAST(0.95 AS DECIMAL(4,2)),
+               CASE WHEN disease = 'PROMO' THEN CAST(0.35 AS DECIMAL(4,2)) ELSE CAST(0.15 AS DECIMAL(4,2)) END
+               + CASE WHEN contains(age_band, '71') OR contains(age_band, '81')
+                      THEN CAST(0.2 AS DECIMAL(4,2)) ELSE CAST(0 AS DECIMAL(4,2)) END) AS risk_dec
+  FROM admissions)
+SELECT age_band, disease, CAST(risk_dec AS DOUBLE) AS risk,
+       printf('%.1f%%', CAST(risk_dec * 100 AS DOUBLE)) AS probability,
+       CASE WHEN risk_dec > 0.4 THEN 'High Risk' ELSE 'Low Risk' END AS prediction,
+       COUNT(*) AS n
+FROM r GROUP BY ALL
+""")
+
+SQL["join_dim"] = q("""
+SELECT p.hospital_id, p.patient_id, p.disease, p.treatment_cost, h.hospital_name, h.bed_count, h.hospital_type
+FROM admissions p JOIN hospitals_dim h ON p.hospital_id = h.hospital_id
+""")
+
+# --- sources and sinks ---------------------------------------------------------
+
+SQL["sink_csv"] = q("""
+SELECT patient_id || ',' || age_band || ',' || gender || ',' || region || ',' || hospital_id || ',' || disease
+       || ',' || CAST(admission_date AS VARCHAR) || ',' || CAST(year AS VARCHAR) || ',' || readmitted
+       || ',' || CAST(treatment_cost AS VARCHAR) AS line
+FROM admissions
+""")
+
+SQL["scan_csv"] = q("SELECT * FROM admissions")
+
+SQL["scan_lines"] = SQL["disease_frequency"]
+
+_RATE_KV = """SELECT region || '|' || disease AS key,
+       printf('%d,%d,%.4f', COUNT(*), SUM(CASE WHEN lower(readmitted) = 'yes' THEN 1 ELSE 0 END),
+              CAST(SUM(CASE WHEN lower(readmitted) = 'yes' THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*)) AS value
+FROM admissions GROUP BY region, disease"""
+
+SQL["readmission_rates_lines"] = q(_RATE_KV)
+SQL["sink_kv_text"] = q(_RATE_KV)
+SQL["order_by_key"] = q(f"""
+WITH kv AS ({_RATE_KV})
+SELECT key, value, CAST(ROW_NUMBER() OVER (ORDER BY key) AS INTEGER) AS line_no FROM kv
+""")
+
+SQL["sink_partitioned"] = q("""
+SELECT CAST(year AS VARCHAR) AS part_year, region AS part_region, COUNT(*) AS "rows"
+FROM admissions GROUP BY ALL
+""")
+
+SQL["scan_partitioned"] = q("""
+SELECT *, CAST(year AS VARCHAR) AS part_year, region AS part_region FROM admissions
+""")
+
+SQL["repair_partitions"] = q("""
+SELECT DISTINCT 'part_year=' || CAST(year AS VARCHAR) || '/part_region=' || region AS "partition" FROM admissions
+""")
+
+SQL["create_tables"] = SQL["avg_cost"]
+
+SQL["yoy_growth_sql"] = q("""
+WITH c AS (SELECT region, CAST(year AS VARCHAR) AS year, disease, COUNT(patient_id) AS total_cases
+           FROM admissions GROUP BY ALL)
+SELECT region, year, disease, total_cases,
+       LAG(total_cases, 1) OVER (PARTITION BY region, disease ORDER BY year) AS prev_year_cases,
+       total_cases - LAG(total_cases, 1) OVER (PARTITION BY region, disease ORDER BY year) AS yoy_difference
+FROM c ORDER BY region, disease, year
+""")
+
+SQL["sink_gold_json"] = SQL["kpis"]
+SQL["scan_gold_json"] = SQL["trend_pivot"]
+SQL["scan_or_default"] = SQL["regional_burden"]

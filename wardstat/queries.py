@@ -11,12 +11,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import scalars as S
 from .operators import aggregates as A
 from .operators import gold as G
+from .operators import joins as J
+from .operators import risk as R
 from .operators import upload as U
 from .operators import windows as W
+from .plans import hive as H
 from .schemas import ADMISSIONS
+from .session import scratch_path
+from .sources import files as FS
 from .sources import fixtures as fx
+from .sources import gold as GS
+from .sources import lake as LK
 
 DISEASES = fx.DISEASES
 # Columns the data-quality check requires: the admissions schema plus one
@@ -169,3 +177,175 @@ def q_order_by_cost(spark, sf_dir):
 def q_order_by_year(spark, sf_dir):
     res = G.trends(_uploaded(spark, sf_dir), DISEASES)
     return W.with_position(res, ["year"], "year_rank")
+
+
+# --- scalar functions and rules ----------------------------------------------
+
+# Fixed-domain substitutes for the reference's disease names in the risk
+# rules (the fixture's diseases are part types).
+PRIOR_FIXTURE_DISEASES = ["ECONOMY", "PROMO", "STANDARD"]
+FALLBACK_FIXTURE_DISEASE = "PROMO"
+
+
+@register("scalar_functions")
+def q_scalar_functions(spark, sf_dir):
+    adm = _adm(spark, sf_dir)
+    return adm.select(
+        S.concat_key("region", "disease").alias("region_disease_key"),
+        S.year_prefix("admission_date").alias("year_text"),
+        S.year_of("admission_date").alias("year_of_date"),
+        S.day_type("admission_date").alias("day_type"),
+        S.parse_date(S.format_date("admission_date")).alias("parsed_date"),
+        S.format_date("admission_date", "yyyy-MM-dd").alias("date_text"),
+        S.date_plus_days("admission_date", 30).alias("followup_date"),
+        S.pad_id(F.col("hospital_id").try_cast("int")).alias("hospital_code"),
+        S.cast_double("hospital_id").alias("hospital_num"),
+        S.equals_ignore_case("readmitted", "YES").alias("readmitted_ci"),
+        F.lower("disease").contains("large").alias("is_large"),
+        S.format_thousands(F.floor("treatment_cost")).alias("cost_text"),
+        S.flag("readmitted").alias("readmit_flag"),
+    )
+
+
+@register("risk_rule_prior")
+def q_risk_rule_prior(spark, sf_dir):
+    return R.prior_calibration(_adm(spark, sf_dir), PRIOR_FIXTURE_DISEASES)
+
+
+@register("risk_rule_fallback")
+def q_risk_rule_fallback(spark, sf_dir):
+    scored = R.risk_fallback(_adm(spark, sf_dir).select("age_band", "disease"), FALLBACK_FIXTURE_DISEASE)
+    return scored.groupBy("age_band", "disease", "risk", "probability", "prediction") \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("join_dim")
+def q_join_dim(spark, sf_dir):
+    adm = _adm(spark, sf_dir).select("patient_id", "hospital_id", "disease", "treatment_cost")
+    return J.join_dim(adm, fx.hospitals_dim(spark, sf_dir), "hospital_id")
+
+
+# --- sources and sinks ---------------------------------------------------------
+
+def _csv_copy(spark, sf_dir, header=True):
+    """The admissions written once as CSV under the shared folder."""
+    return FS.write_csv(_adm(spark, sf_dir), scratch_path(spark, "admissions-csv"), header=header)
+
+
+@register("sink_csv")
+def q_sink_csv(spark, sf_dir):
+    """The CSV data lines as written.  Each part file starts with its own
+    header line; those are left out so the result does not depend on the
+    number of output files."""
+    header = ",".join(ADMISSIONS.fieldNames())
+    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
+    return lines.where(F.col("value") != F.lit(header)).select(F.col("value").alias("line"))
+
+
+@register("scan_csv")
+def q_scan_csv(spark, sf_dir):
+    return FS.read_admissions(spark, _csv_copy(spark, sf_dir))
+
+
+@register("scan_lines")
+def q_scan_lines(spark, sf_dir):
+    """Disease frequency from raw text lines (6 fields needed)."""
+    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
+    return A.disease_frequency(FS.parse_lines(lines, min_fields=6))
+
+
+def _rate_kv(spark, sf_dir):
+    """Readmission job over text lines: 9 fields needed, every row counted,
+    ``yes`` in any case, ``region|disease -> total,readmitted,rate``."""
+    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
+    parsed = FS.parse_lines(lines, min_fields=9)
+    rates = A.readmission_rates(parsed, ignore_case=True, count_col=None)
+    value = S.format_rate("total_admissions", "readmitted_count",
+                          S.ratio("readmitted_count", "total_admissions"))
+    return FS.kv_lines(rates, ["region", "disease"], value)
+
+
+@register("readmission_rates_lines")
+def q_readmission_rates_lines(spark, sf_dir):
+    return _rate_kv(spark, sf_dir)
+
+
+@register("sink_kv_text")
+def q_sink_kv_text(spark, sf_dir):
+    path = FS.write_kv(_rate_kv(spark, sf_dir), scratch_path(spark, "rates-kv"))
+    return FS.read_kv(spark, path)
+
+
+@register("order_by_key")
+def q_order_by_key(spark, sf_dir):
+    return W.with_position(_rate_kv(spark, sf_dir), ["key"], "line_no")
+
+
+def _lake(spark, sf_dir):
+    return LK.write_lake(_adm(spark, sf_dir), scratch_path(spark, "lake"))
+
+
+@register("sink_partitioned")
+def q_sink_partitioned(spark, sf_dir):
+    """Rows per partition folder as read back from the lake."""
+    lake = LK.read_lake(spark, _lake(spark, sf_dir))
+    return lake.groupBy("part_year", "part_region").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register("scan_partitioned")
+def q_scan_partitioned(spark, sf_dir):
+    return LK.read_lake(spark, _lake(spark, sf_dir))
+
+
+def _registered(spark, sf_dir):
+    db_dir = scratch_path(spark, "warehouse")
+    db = "healthcare_db"
+    return LK.register_tables(spark, _lake(spark, sf_dir), db, db_location=db_dir,
+                              hospitals=fx.hospitals_dim(spark, sf_dir), fmt="parquet",
+                              replace=True)
+
+
+@register("repair_partitions")
+def q_repair_partitions(spark, sf_dir):
+    return H.show_partitions(spark, _registered(spark, sf_dir))
+
+
+@register("create_tables")
+def q_create_tables(spark, sf_dir):
+    """The warehouse cost query over the created tables."""
+    return H.avg_cost_sql(spark, _registered(spark, sf_dir))
+
+
+@register("yoy_growth_sql")
+def q_yoy_growth_sql(spark, sf_dir):
+    return H.yoy_growth_sql(spark, _registered(spark, sf_dir))
+
+
+def _gold_dir(spark, sf_dir):
+    """All four gold tables written for the admissions view."""
+    base = scratch_path(spark, "gold")
+    up = _uploaded(spark, sf_dir)
+    GS.write_gold(G.kpis(up), "gold_kpis", base)
+    GS.write_gold(G.trends(up, DISEASES), "gold_trends", base)
+    GS.write_gold(A.regional_burden(up), "gold_regional", base)
+    GS.write_gold(G.rate_matrix(up, DISEASES), "gold_readmissions", base)
+    return base
+
+
+@register("sink_gold_json")
+def q_sink_gold_json(spark, sf_dir):
+    return GS.read_gold(spark, "gold_kpis", _gold_dir(spark, sf_dir))
+
+
+@register("scan_gold_json")
+def q_scan_gold_json(spark, sf_dir):
+    return GS.read_gold(spark, "gold_trends", _gold_dir(spark, sf_dir))
+
+
+@register("scan_or_default")
+def q_scan_or_default(spark, sf_dir):
+    """Regional burden from its gold table; a missing table would give the
+    (empty) default instead."""
+    base = _gold_dir(spark, sf_dir)
+    default = spark.createDataFrame([], "region string, cases long")
+    return GS.read_or_default(spark, GS.gold_path(base, "gold_regional"), default)
