@@ -335,3 +335,27 @@ FROM c ORDER BY region, disease, year
 SQL["sink_gold_json"] = SQL["kpis"]
 SQL["scan_gold_json"] = SQL["trend_pivot"]
 SQL["scan_or_default"] = SQL["regional_burden"]
+
+# --- vitals stream ---------------------------------------------------------------
+
+_FLAGGED = """SELECT *, (COALESCE(heart_rate, 0) > 120 OR COALESCE(oxygen_level, 100) < 90) AS anomaly_detected
+FROM vitals"""
+
+SQL["stream_decode"] = q("""
+SELECT strftime(ts, '%H:%M:%S') AS "timestamp", event_id, patient_id, ts, heart_rate,
+       LEAST(100.0, GREATEST(85.0, oxygen_level)) AS oxygen_level
+FROM vitals
+""")
+
+SQL["stream_anomaly"] = q(_FLAGGED)
+
+SQL["stream_push"] = q(_FLAGGED)
+
+SQL["stream_latest_20"] = q(_FLAGGED + " ORDER BY ts DESC, event_id DESC LIMIT 20")
+
+SQL["latest_n"] = SQL["stream_latest_20"]
+
+SQL["latest_n_per_key"] = q("""
+SELECT * FROM vitals
+QUALIFY ROW_NUMBER() OVER (PARTITION BY patient_id ORDER BY ts DESC, event_id DESC) <= 20
+""")

@@ -25,6 +25,7 @@ from .sources import files as FS
 from .sources import fixtures as fx
 from .sources import gold as GS
 from .sources import lake as LK
+from .streaming import vitals as V
 
 DISEASES = fx.DISEASES
 # Columns the data-quality check requires: the admissions schema plus one
@@ -349,3 +350,65 @@ def q_scan_or_default(spark, sf_dir):
     base = _gold_dir(spark, sf_dir)
     default = spark.createDataFrame([], "region string, cases long")
     return GS.read_or_default(spark, GS.gold_path(base, "gold_regional"), default)
+
+
+# --- vitals stream ---------------------------------------------------------------
+
+def _vitals(spark, sf_dir):
+    return fx.vitals(spark, sf_dir)
+
+
+def _vitals_topic(spark, sf_dir):
+    """The vitals published as JSON-lines files (the topic stand-in), with
+    the producer's oxygen bounds applied."""
+    v = _vitals(spark, sf_dir).withColumn("oxygen_level", S.clamp("oxygen_level"))
+    return V.write_vitals_files(v, scratch_path(spark, "vitals-topic"))
+
+
+def _vitals_stream(spark, sf_dir):
+    topic = _vitals_topic(spark, sf_dir)
+    sdf = V.read_vitals(spark, "files", V.VITALS_STREAM, path=topic, max_files_per_trigger=2)
+    return V.flag_anomaly(sdf).drop("timestamp")
+
+
+@register("stream_decode")
+def q_stream_decode(spark, sf_dir):
+    """Encode each reading as a message and decode it with the schema."""
+    v = _vitals(spark, sf_dir).withColumn("oxygen_level", S.clamp("oxygen_level"))
+    return V.decode_vitals(V.encode_vitals(v), V.VITALS_STREAM)
+
+
+@register("stream_anomaly")
+def q_stream_anomaly(spark, sf_dir):
+    return V.flag_anomaly(_vitals(spark, sf_dir))
+
+
+@register("stream_push")
+def q_stream_push(spark, sf_dir):
+    """Structured Streaming run: file source -> decode -> flag -> parquet
+    sink, checkpointed; the sink's rows are returned."""
+    out = scratch_path(spark, "vitals-flagged")
+    q = V.write_stream_files(_vitals_stream(spark, sf_dir), out,
+                             scratch_path(spark, "ckpt-vitals-push"), available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_latest_20")
+def q_stream_latest_20(spark, sf_dir):
+    """The 20 most recent flagged readings kept across micro-batches."""
+    state = scratch_path(spark, "vitals-latest")
+    q = V.push(_vitals_stream(spark, sf_dir), V.latest_n_writer(state, 20, "ts", tie_breakers=["event_id"]),
+               scratch_path(spark, "ckpt-vitals-latest"), available_now=True)
+    q.awaitTermination()
+    return V.read_latest(spark, state)
+
+
+@register("latest_n")
+def q_latest_n(spark, sf_dir):
+    return W.latest_n(V.flag_anomaly(_vitals(spark, sf_dir)), "ts", 20, tie_breakers=["event_id"])
+
+
+@register("latest_n_per_key")
+def q_latest_n_per_key(spark, sf_dir):
+    return W.latest_n(_vitals(spark, sf_dir), "ts", 20, keys=["patient_id"], tie_breakers=["event_id"])
