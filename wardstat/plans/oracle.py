@@ -359,3 +359,15 @@ SQL["latest_n_per_key"] = q("""
 SELECT * FROM vitals
 QUALIFY ROW_NUMBER() OVER (PARTITION BY patient_id ORDER BY ts DESC, event_id DESC) <= 20
 """)
+
+# --- models ------------------------------------------------------------------------
+
+SQL["ml_label"] = q("""
+SELECT readmitted, CASE WHEN readmitted = 'Yes' THEN 1.0 ELSE 0.0 END::DOUBLE AS label, COUNT(*) AS n
+FROM admissions GROUP BY ALL
+""")
+
+SQL["ml_index"] = q("\nUNION ALL\n".join(f"""
+SELECT '{c}' AS feature, {c} AS value,
+       CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}) - 1 AS DOUBLE) AS "index"
+FROM admissions GROUP BY {c}""" for c in ["age_band", "gender", "disease"]))

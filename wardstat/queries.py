@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from .functions import scalars as S
 from .operators import aggregates as A
 from .operators import gold as G
 from .operators import joins as J
+from .operators import ml as ML
 from .operators import risk as R
 from .operators import upload as U
 from .operators import windows as W
@@ -412,3 +415,94 @@ def q_latest_n(spark, sf_dir):
 @register("latest_n_per_key")
 def q_latest_n_per_key(spark, sf_dir):
     return W.latest_n(_vitals(spark, sf_dir), "ts", 20, keys=["patient_id"], tie_breakers=["event_id"])
+
+
+# --- models ------------------------------------------------------------------------
+
+@register("ml_label")
+def q_ml_label(spark, sf_dir):
+    return ML.with_label(_adm(spark, sf_dir)).groupBy("readmitted", "label") \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("ml_index")
+def q_ml_index(spark, sf_dir):
+    """(feature, value, index) of the frequency-ordered string indexers."""
+    adm = _adm(spark, sf_dir).select(*ML.CATEGORICAL)
+    indexed = Pipeline(stages=ML.indexers()).fit(adm).transform(adm)
+    parts = [indexed.select(F.lit(c).alias("feature"), F.col(c).alias("value"),
+                            F.col(f"{c}_indexed").alias("index")).distinct()
+             for c in ML.CATEGORICAL]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("ml_assemble")
+def q_ml_assemble(spark, sf_dir):
+    """Label and one-hot feature vector (as an array) per admission."""
+    adm = ML.with_label(_adm(spark, sf_dir))
+    stages = ML.onehot_pipeline().getStages()[:-1]
+    feats = Pipeline(stages=stages).fit(adm).transform(adm)
+    return feats.select("label", vector_to_array("features").alias("features"))
+
+
+@register("ml_split")
+def q_ml_split(spark, sf_dir):
+    train, test = ML.split(_adm(spark, sf_dir))
+    return train.agg(F.lit("train").alias("part"), F.count(F.lit(1)).alias("rows")) \
+        .unionByName(test.agg(F.lit("test").alias("part"), F.count(F.lit(1)).alias("rows")))
+
+
+@register("ml_train_rf")
+def q_ml_train_rf(spark, sf_dir):
+    """Test-split predictions of the one-hot forest."""
+    model, test, _ = ML.train_onehot(_adm(spark, sf_dir))
+    pred = model.transform(test)
+    return pred.select("label", "prediction", vector_to_array("probability")[1].alias("p_readmit"))
+
+
+@register("ml_auc")
+def q_ml_auc(spark, sf_dir):
+    model, test, secs = ML.train_onehot(_adm(spark, sf_dir))
+    return ML.model_meta(spark, "RandomForestClassifier", ML.auc(model, test), secs)
+
+
+def _ordinal_model(spark, sf_dir):
+    return ML.train_ordinal(_adm(spark, sf_dir))
+
+
+def _requests(spark, sf_dir):
+    return _adm(spark, sf_dir).select("age_band", "disease", "treatment_cost", "gender")
+
+
+@register("ml_train_rf_ordinal")
+def q_ml_train_rf_ordinal(spark, sf_dir):
+    """Training-set class balance next to the ordinal forest's mean score."""
+    model = _ordinal_model(spark, sf_dir)
+    scored = model.transform(ML.with_label(_adm(spark, sf_dir)))
+    return scored.groupBy("label").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.avg(vector_to_array("probability")[1]).alias("mean_p_readmit"))
+
+
+@register("ml_score")
+def q_ml_score(spark, sf_dir):
+    return ML.score(_ordinal_model(spark, sf_dir), _requests(spark, sf_dir))
+
+
+@register("sink_model")
+def q_sink_model(spark, sf_dir):
+    """Score with the model after a save/load round trip."""
+    path = ML.save_model(_ordinal_model(spark, sf_dir), scratch_path(spark, "model-ordinal"))
+    return ML.score(ML.load_model(path), _requests(spark, sf_dir))
+
+
+@register("sink_model_meta")
+def q_sink_model_meta(spark, sf_dir):
+    model, test, secs = ML.train_onehot(_adm(spark, sf_dir))
+    meta = ML.model_meta(spark, "RandomForestClassifier", ML.auc(model, test), secs)
+    base = scratch_path(spark, "model-meta")
+    GS.write_gold(meta, "ml_model_meta", base)
+    return GS.read_gold(spark, "ml_model_meta", base, schema=meta.schema)
