@@ -371,3 +371,5 @@ SQL["ml_index"] = q("\nUNION ALL\n".join(f"""
 SELECT '{c}' AS feature, {c} AS value,
        CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}) - 1 AS DOUBLE) AS "index"
 FROM admissions GROUP BY {c}""" for c in ["age_band", "gender", "disease"]))
+
+SQL["ingest_admissions"] = q("SELECT * FROM admissions")

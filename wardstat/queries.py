@@ -47,7 +47,17 @@ def register(name: str):
 
 
 def _adm(spark, sf_dir):
-    return fx.admissions(spark, sf_dir)
+    """The admissions fact: star join written once per application, then
+    scanned (see ``fixtures.admissions_fact``)."""
+    return fx.admissions_fact(spark, sf_dir)
+
+
+@register("ingest_admissions")
+def q_ingest_admissions(spark, sf_dir):
+    """The star join denormalised into the partitioned fact (a fresh write
+    on every call) and read back."""
+    path = fx.ingest_admissions(spark, sf_dir, scratch_path(spark, "admissions-ingest"))
+    return fx.read_admissions_fact(spark, path)
 
 
 @register("readmission_rates")

@@ -20,20 +20,23 @@ def with_partition_columns(df: DataFrame) -> DataFrame:
             .withColumn("part_region", F.col("region")))
 
 
-def write_lake(df: DataFrame, path: str, fmt: str = "parquet", files_per_partition: int = 4,
-               max_records_per_file: int = 5_000_000) -> str:
-    """Write admissions partitioned by year and region, replacing the target.
-
-    Rows are hash-partitioned on (part_year, part_region, bucket) before the
-    write, where bucket is a deterministic hash of the row modulo
-    ``files_per_partition``.  Each folder is then written by a few tasks
-    (no small-file explosion from every task writing every folder, and no
-    single task writing a region that holds a third of the data), and a
-    re-run task after an executor loss sees the same rows.
+def rebalance_for_write(df: DataFrame, part_cols: list[str]) -> DataFrame:
+    """Hash rows to tasks by the partition columns with a REBALANCE hint.
+
+    AQE then sizes the write tasks from the real shuffle sizes: a folder
+    holding a third of the data is split over many tasks (skewed
+    partitions are cut at map-output boundaries, so a re-run task sees the
+    same rows), small folders are packed together, and every task writes
+    few, large files instead of one small file per folder.
     """
-    staged = with_partition_columns(df)
-    bucket = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files_per_partition))
-    staged = staged.repartition(F.col("part_year"), F.col("part_region"), bucket)
+    return df.hint("rebalance", *part_cols)
+
+
+def write_lake(df: DataFrame, path: str, fmt: str = "parquet",
+               max_records_per_file: int = 5_000_000) -> str:
+    """Write admissions partitioned by ``part_year``/``part_region``
+    (replacing the target), the layout of the external table."""
+    staged = rebalance_for_write(with_partition_columns(df), LAKE_PARTITIONS)
     (staged.write.mode("overwrite")
      .option("maxRecordsPerFile", max_records_per_file)
      .partitionBy(*LAKE_PARTITIONS)
