@@ -41,26 +41,28 @@ def with_label(adm: DataFrame) -> DataFrame:
 
 
 def indexers(order: str = "frequencyDesc") -> list[StringIndexer]:
-    return [StringIndexer(inputCol=c, outputCol=f"{c}_indexed", handleInvalid="keep",
-                          stringOrderType=order) for c in CATEGORICAL]
+    """One multi-column indexer: all label counts come from a single pass."""
+    return [StringIndexer(inputCols=CATEGORICAL, outputCols=[f"{c}_indexed" for c in CATEGORICAL],
+                          handleInvalid="keep", stringOrderType=order)]
 
 
 def onehot_pipeline(num_trees: int = 20, seed: int | None = 42) -> Pipeline:
     """Index -> one-hot -> assemble -> forest."""
-    enc = [OneHotEncoder(inputCol=f"{c}_indexed", outputCol=f"{c}_vec") for c in CATEGORICAL]
+    enc = [OneHotEncoder(inputCols=[f"{c}_indexed" for c in CATEGORICAL],
+                         outputCols=[f"{c}_vec" for c in CATEGORICAL])]
     asm = VectorAssembler(inputCols=[f"{c}_vec" for c in CATEGORICAL] + NUMERIC, outputCol="features")
     rf = RandomForestClassifier(labelCol=LABEL, featuresCol="features", numTrees=num_trees, seed=seed)
     return Pipeline(stages=indexers() + enc + [asm, rf])
 
 
-def _ordinal_codes(models) -> SQLTransformer:
+def _ordinal_codes(model) -> SQLTransformer:
     """Integer codes from fitted alphabetical indexers; an unseen value
     (index == number of labels, from ``handleInvalid="keep"``) becomes 0.
     The arithmetic drops the nominal metadata, so the forest treats the
     codes as ordered numbers."""
     parts = []
-    for c, m in zip(CATEGORICAL, models):
-        n = len(m.labels)
+    for c, labels in zip(CATEGORICAL, model.labelsArray):
+        n = len(labels)
         parts.append(f"CASE WHEN {c}_indexed >= {n} THEN 0.0 ELSE {c}_indexed + 0.0 END AS {c}_code")
     return SQLTransformer(statement=f"SELECT *, {', '.join(parts)} FROM __THIS__")
 
@@ -71,7 +73,7 @@ def train_ordinal(adm: DataFrame, num_trees: int = 50, max_depth: int = 5,
     data = with_label(adm).select(*CATEGORICAL, *NUMERIC, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         idx_models = Pipeline(stages=indexers("alphabetAsc")).fit(data).stages
-        codes = _ordinal_codes(idx_models)
+        codes = _ordinal_codes(idx_models[0])
         asm = VectorAssembler(inputCols=[f"{c}_code" for c in CATEGORICAL] + NUMERIC,
                               outputCol="features", handleInvalid="keep")
         rf = RandomForestClassifier(labelCol=LABEL, featuresCol="features", numTrees=num_trees,

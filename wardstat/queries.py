@@ -28,6 +28,7 @@ from .sources import files as FS
 from .sources import fixtures as fx
 from .sources import gold as GS
 from .sources import lake as LK
+from .sources.tables import remember
 from .streaming import vitals as V
 
 DISEASES = fx.DISEASES
@@ -241,18 +242,27 @@ def q_join_dim(spark, sf_dir):
 
 # --- sources and sinks ---------------------------------------------------------
 
-def _csv_copy(spark, sf_dir, header=True):
-    """The admissions written once as CSV under the shared folder."""
-    return FS.write_csv(_adm(spark, sf_dir), scratch_path(spark, "admissions-csv"), header=header)
+def _once(spark, key, build):
+    """A path built once per application (a derived table in the shared
+    folder), so a query over it times its own work, not the setup."""
+    return remember(spark, key, build)
+
+
+def _csv_copy(spark, sf_dir):
+    """The admissions exported once as CSV (with header) under the shared
+    folder: the input of the CSV and text-line readers."""
+    return _once(spark, f"admissions-csv:{sf_dir}", lambda: FS.write_csv(
+        _adm(spark, sf_dir), scratch_path(spark, "admissions-csv")))
 
 
 @register("sink_csv")
 def q_sink_csv(spark, sf_dir):
-    """The CSV data lines as written.  Each part file starts with its own
-    header line; those are left out so the result does not depend on the
-    number of output files."""
+    """A fresh CSV export, read back as its data lines.  Each part file
+    starts with its own header line; those are left out so the result does
+    not depend on the number of output files."""
     header = ",".join(ADMISSIONS.fieldNames())
-    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
+    path = FS.write_csv(_adm(spark, sf_dir), scratch_path(spark, "admissions-csv"))
+    lines = FS.read_lines(spark, path)
     return lines.where(F.col("value") != F.lit(header)).select(F.col("value").alias("line"))
 
 
@@ -296,13 +306,15 @@ def q_order_by_key(spark, sf_dir):
 
 
 def _lake(spark, sf_dir):
-    return LK.write_lake(_adm(spark, sf_dir), scratch_path(spark, "lake"))
+    """The lake written once per application (input of the table queries)."""
+    return _once(spark, f"lake:{sf_dir}", lambda: LK.write_lake(
+        _adm(spark, sf_dir), scratch_path(spark, "lake")))
 
 
 @register("sink_partitioned")
 def q_sink_partitioned(spark, sf_dir):
-    """Rows per partition folder as read back from the lake."""
-    lake = LK.read_lake(spark, _lake(spark, sf_dir))
+    """A fresh lake write; rows per partition folder as read back."""
+    lake = LK.read_lake(spark, LK.write_lake(_adm(spark, sf_dir), scratch_path(spark, "lake")))
     return lake.groupBy("part_year", "part_region").agg(F.count(F.lit(1)).alias("rows"))
 
 
@@ -335,8 +347,8 @@ def q_yoy_growth_sql(spark, sf_dir):
     return H.yoy_growth_sql(spark, _registered(spark, sf_dir))
 
 
-def _gold_dir(spark, sf_dir):
-    """All four gold tables written for the admissions view."""
+def _write_gold_tables(spark, sf_dir):
+    """All four gold tables of the upload job, freshly written."""
     base = scratch_path(spark, "gold")
     up = _uploaded(spark, sf_dir)
     GS.write_gold(G.kpis(up), "gold_kpis", base)
@@ -346,9 +358,13 @@ def _gold_dir(spark, sf_dir):
     return base
 
 
+def _gold_dir(spark, sf_dir):
+    return _once(spark, f"gold:{sf_dir}", lambda: _write_gold_tables(spark, sf_dir))
+
+
 @register("sink_gold_json")
 def q_sink_gold_json(spark, sf_dir):
-    return GS.read_gold(spark, "gold_kpis", _gold_dir(spark, sf_dir))
+    return GS.read_gold(spark, "gold_kpis", _write_gold_tables(spark, sf_dir))
 
 
 @register("scan_gold_json")
@@ -375,7 +391,8 @@ def _vitals_topic(spark, sf_dir):
     """The vitals published as JSON-lines files (the topic stand-in), with
     the producer's oxygen bounds applied."""
     v = _vitals(spark, sf_dir).withColumn("oxygen_level", S.clamp("oxygen_level"))
-    return V.write_vitals_files(v, scratch_path(spark, "vitals-topic"))
+    return _once(spark, f"vitals-topic:{sf_dir}",
+                 lambda: V.write_vitals_files(v, scratch_path(spark, "vitals-topic")))
 
 
 def _vitals_stream(spark, sf_dir):
@@ -480,7 +497,11 @@ def q_ml_auc(spark, sf_dir):
 
 
 def _ordinal_model(spark, sf_dir):
-    return ML.train_ordinal(_adm(spark, sf_dir))
+    """The scoring model, trained once per application and kept in the
+    shared folder (scoring queries load it, as a serving layer would)."""
+    path = _once(spark, f"model-ordinal:{sf_dir}", lambda: ML.save_model(
+        ML.train_ordinal(_adm(spark, sf_dir)), scratch_path(spark, "model-ordinal")))
+    return ML.load_model(path)
 
 
 def _requests(spark, sf_dir):
@@ -489,8 +510,8 @@ def _requests(spark, sf_dir):
 
 @register("ml_train_rf_ordinal")
 def q_ml_train_rf_ordinal(spark, sf_dir):
-    """Training-set class balance next to the ordinal forest's mean score."""
-    model = _ordinal_model(spark, sf_dir)
+    """Fresh training; class balance next to the forest's mean score."""
+    model = ML.train_ordinal(_adm(spark, sf_dir))
     scored = model.transform(ML.with_label(_adm(spark, sf_dir)))
     return scored.groupBy("label").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -505,7 +526,7 @@ def q_ml_score(spark, sf_dir):
 @register("sink_model")
 def q_sink_model(spark, sf_dir):
     """Score with the model after a save/load round trip."""
-    path = ML.save_model(_ordinal_model(spark, sf_dir), scratch_path(spark, "model-ordinal"))
+    path = ML.save_model(_ordinal_model(spark, sf_dir), scratch_path(spark, "model-copy"))
     return ML.score(ML.load_model(path), _requests(spark, sf_dir))
 
 
