@@ -135,8 +135,11 @@ def round_n(c, n: int) -> Column:
 
 
 def format_rate(total, positives, rate) -> Column:
-    """``total,positives,rate`` with the rate to four places."""
-    return F.format_string("%d,%d,%.4f", _c(total), _c(positives), _c(rate))
+    """``total,positives,rate`` with the rate to four places (NULL if any
+    part is NULL)."""
+    parts = [_c(total), _c(positives), _c(rate)]
+    ok = parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull()
+    return F.when(ok, F.format_string("%d,%d,%.4f", *parts))
 
 
 def format_thousands(n) -> Column:
@@ -145,8 +148,10 @@ def format_thousands(n) -> Column:
 
 
 def format_pct(x, places: int = 1) -> Column:
-    """A fraction as a percentage text, ``0.1234`` -> ``12.3%``."""
-    return F.format_string(f"%.{places}f%%", _c(x) * F.lit(100.0))
+    """A fraction as a percentage text, ``0.1234`` -> ``12.3%``; NULL stays
+    NULL (the formatter alone would print a truncated ``null``)."""
+    v = _c(x)
+    return F.when(v.isNotNull(), F.format_string(f"%.{places}f%%", v * F.lit(100.0)))
 
 
 def clamp(c, lo: float = OXYGEN_MIN, hi: float = OXYGEN_MAX) -> Column:
