@@ -373,3 +373,18 @@ SELECT '{c}' AS feature, {c} AS value,
 FROM admissions GROUP BY {c}""" for c in ["age_band", "gender", "disease"]))
 
 SQL["ingest_admissions"] = q("SELECT * FROM admissions")
+
+SQL["project"] = q("SELECT region, age_band, disease FROM admissions")
+SQL["filter_malformed"] = q("SELECT * FROM admissions")
+SQL["filter_bad_date"] = q(f"""
+SELECT patient_id, disease, admission_date, {_DAY_TYPE} AS day_type FROM admissions
+""")
+SQL["sink_kafka"] = SQL["stream_decode"]
+SQL["ml_onehot"] = q("\nUNION ALL\n".join(f"""
+SELECT feature, value, "index",
+       CAST("index" + 1 AS INTEGER) AS hot_position
+FROM (SELECT '{c}' AS feature, {c} AS value,
+             CAST(ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}) - 1 AS DOUBLE) AS "index"
+      FROM admissions GROUP BY {c})""" for c in ["age_band", "gender", "disease"]))
+SQL["process_upload"] = SQL["kpis"]
+SQL["run_batch"] = SQL["disease_frequency"]

@@ -21,6 +21,7 @@ from .operators import ml as ML
 from .operators import risk as R
 from .operators import upload as U
 from .operators import windows as W
+from .plans import batch as B
 from .plans import hive as H
 from .schemas import ADMISSIONS
 from .session import scratch_path
@@ -289,6 +290,28 @@ def _rate_kv(spark, sf_dir):
     return FS.kv_lines(rates, ["region", "disease"], value)
 
 
+@register("project")
+def q_project(spark, sf_dir):
+    """Fields picked by position from raw lines (region, age band, disease)."""
+    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
+    return FS.parse_lines(lines, min_fields=6).select("region", "age_band", "disease")
+
+
+@register("filter_malformed")
+def q_filter_malformed(spark, sf_dir):
+    """Lines with all fields, split and typed without failing on bad values."""
+    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
+    return FS.typed_admissions(FS.parse_lines(lines, min_fields=9))
+
+
+@register("filter_bad_date")
+def q_filter_bad_date(spark, sf_dir):
+    """Rows whose date text parses strictly, with their day type."""
+    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
+    parsed = FS.parse_lines(lines, min_fields=9)
+    return A.with_day_type(parsed).select("patient_id", "disease", "admission_date", "day_type")
+
+
 @register("readmission_rates_lines")
 def q_readmission_rates_lines(spark, sf_dir):
     return _rate_kv(spark, sf_dir)
@@ -408,6 +431,15 @@ def q_stream_decode(spark, sf_dir):
     return V.decode_vitals(V.encode_vitals(v), V.VITALS_STREAM)
 
 
+@register("sink_kafka")
+def q_sink_kafka(spark, sf_dir):
+    """Publish every reading as a JSON message (to files: the Kafka
+    connector is not on this classpath) and decode what was published."""
+    v = _vitals(spark, sf_dir).withColumn("oxygen_level", S.clamp("oxygen_level"))
+    path = V.write_vitals_files(v, scratch_path(spark, "vitals-publish"))
+    return V.decode_vitals(FS.read_lines(spark, path), V.VITALS_STREAM)
+
+
 @register("stream_anomaly")
 def q_stream_anomaly(spark, sf_dir):
     return V.flag_anomaly(_vitals(spark, sf_dir))
@@ -475,6 +507,25 @@ def q_ml_assemble(spark, sf_dir):
     return feats.select("label", vector_to_array("features").alias("features"))
 
 
+@register("ml_onehot")
+def q_ml_onehot(spark, sf_dir):
+    """Index and 1-based position of the one per categorical value.  The
+    indexer keeps an extra slot for unseen values; that last slot is the
+    one dropped by the encoder, so an unseen value encodes as all zeros
+    and every seen value has its one."""
+    adm = _adm(spark, sf_dir).select(*ML.CATEGORICAL)
+    stages = ML.onehot_pipeline().getStages()[:2]
+    enc = Pipeline(stages=stages).fit(adm).transform(adm)
+    parts = [enc.select(F.lit(c).alias("feature"), F.col(c).alias("value"),
+                        F.col(f"{c}_indexed").alias("index"),
+                        F.array_position(vector_to_array(f"{c}_vec"), 1.0).alias("hot_position"))
+             .distinct() for c in ML.CATEGORICAL]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @register("ml_split")
 def q_ml_split(spark, sf_dir):
     train, test = ML.split(_adm(spark, sf_dir))
@@ -537,3 +588,26 @@ def q_sink_model_meta(spark, sf_dir):
     base = scratch_path(spark, "model-meta")
     GS.write_gold(meta, "ml_model_meta", base)
     return GS.read_gold(spark, "ml_model_meta", base, schema=meta.schema)
+
+
+# --- end-to-end jobs ---------------------------------------------------------------------
+
+@register("process_upload")
+def q_process_upload(spark, sf_dir):
+    """The upload job over the admissions exported as ``.csv`` (types
+    inferred, roles found by name); returns its KPI gold table."""
+    csv_path = _once(spark, f"upload-csv:{sf_dir}", lambda: FS.write_csv(
+        _adm(spark, sf_dir), scratch_path(spark, "upload") + ".csv"))
+    paths = B.process_upload(spark, csv_path, scratch_path(spark, "upload-gold"), DISEASES)
+    return GS.read_gold(spark, "gold_kpis", paths["gold_kpis"].rsplit("/", 1)[0])
+
+
+@register("run_batch")
+def q_run_batch(spark, sf_dir):
+    """Daily run (ingest -> frequency job -> training); returns the
+    frequency job's output read back from its text files."""
+    out = B.run_batch(spark, _adm(spark, sf_dir), scratch_path(spark, "daily"))
+    parts = F.split(F.col("key"), "[|]")
+    return FS.read_kv(spark, out["disease_frequency"]).select(
+        S.field(parts, 0).alias("region"), S.field(parts, 1).alias("age_band"),
+        S.field(parts, 2).alias("disease"), F.col("value").cast("long").alias("cases"))

@@ -22,10 +22,12 @@ def write_gold(df: DataFrame, name: str, base_dir: str, partitions: int | None =
 
     Gold tables are aggregates (a row per year, region or KPI), so one
     output file is the default; pass ``partitions=None`` to keep the
-    frame's own partitioning for large outputs.  Nothing passes through
-    the driver.
+    frame's own partitioning for large outputs.  ``repartition`` (not
+    ``coalesce``) is used so the aggregation above keeps its parallelism
+    and only its small result moves to the writing task.  Nothing passes
+    through the driver.
     """
-    out = df.coalesce(partitions) if partitions else df
+    out = df.repartition(partitions) if partitions else df
     path = gold_path(base_dir, name)
     out.write.mode("overwrite").json(path)
     return path
