@@ -309,7 +309,8 @@ def q_filter_bad_date(spark, sf_dir):
     """Rows whose date text parses strictly, with their day type."""
     lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
     parsed = FS.parse_lines(lines, min_fields=9)
-    return A.with_day_type(parsed).select("patient_id", "disease", "admission_date", "day_type")
+    return A.with_day_type(parsed).select("patient_id", "disease",
+                                          S.parse_date("admission_date").alias("admission_date"), "day_type")
 
 
 @register("readmission_rates_lines")
@@ -518,7 +519,7 @@ def q_ml_onehot(spark, sf_dir):
     enc = Pipeline(stages=stages).fit(adm).transform(adm)
     parts = [enc.select(F.lit(c).alias("feature"), F.col(c).alias("value"),
                         F.col(f"{c}_indexed").alias("index"),
-                        F.array_position(vector_to_array(f"{c}_vec"), 1.0).alias("hot_position"))
+                        F.array_position(vector_to_array(f"{c}_vec"), 1.0).cast("int").alias("hot_position"))
              .distinct() for c in ML.CATEGORICAL]
     out = parts[0]
     for p in parts[1:]:
