@@ -53,7 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this is ``spark.checkpoint.dir`` as configured by the
     platform (a shared filesystem every executor can reach).  Only when it
-    is unset -- local runs and tests -- a fresh local folder is made.
+    is unset on a ``local[...]`` master (tests, laptops) is a fresh local
+    folder made; on a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
@@ -64,6 +65,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: configure a shared folder every "
+                           "executor can reach (a machine-local folder would lose data)")
     own = tempfile.mkdtemp(prefix="wardstat-ckpt-")
     sc.setCheckpointDir(own)
     return own

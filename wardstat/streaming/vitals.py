@@ -63,19 +63,24 @@ def flag_anomaly(df: DataFrame) -> DataFrame:
 def read_vitals(spark: SparkSession, kind: str = "kafka", schema: T.StructType = VITALS_MESSAGE,
                 path: str | None = None, bootstrap_servers: str | None = None,
                 topic: str = TOPIC, starting_offsets: str = "latest",
-                max_files_per_trigger: int | None = None) -> DataFrame:
+                max_files_per_trigger: int | None = None,
+                max_offsets_per_trigger: int | None = None) -> DataFrame:
     """Streaming frame of decoded vitals.
 
     ``kind="kafka"`` needs the Kafka connector on the classpath;
     ``kind="files"`` reads JSON-lines files (one message per line) from
-    ``path`` with the same schema.
+    ``path`` with the same schema.  ``max_offsets_per_trigger`` /
+    ``max_files_per_trigger`` bound each micro-batch, so a backlog is
+    worked off in steady batches instead of one huge one.
     """
     if kind == "kafka":
-        raw = (spark.readStream.format("kafka")
-               .option("kafka.bootstrap.servers", bootstrap_servers)
-               .option("subscribe", topic)
-               .option("startingOffsets", starting_offsets)
-               .load())
+        reader = (spark.readStream.format("kafka")
+                  .option("kafka.bootstrap.servers", bootstrap_servers)
+                  .option("subscribe", topic)
+                  .option("startingOffsets", starting_offsets))
+        if max_offsets_per_trigger:
+            reader = reader.option("maxOffsetsPerTrigger", max_offsets_per_trigger)
+        raw = reader.load()
         return decode_vitals(raw, schema, source_time_col="timestamp")
     if kind == "files":
         reader = spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())]))
