@@ -35,10 +35,15 @@ def test_year_filter_prunes_fact_partitions(spark):
     assert "PartitionFilters: [isnotnull(year" in p and "(year#" in p
 
 
-def test_view_join_broadcasts_only_checked_small_dimensions(spark):
+def test_view_join_never_builds_on_the_fact(spark):
     p = plan(fx.admissions(spark, SF_SMALL).groupBy("region").count())
-    assert "BroadcastExchange" in p
-    assert "PushedFilters" in p
+    assert "BroadcastExchange" in p and "PushedFilters" in p
+    # the lineitem scan's nearest ancestors are not a BroadcastExchange
+    lines = p.split("\n")
+    li = next(i for i, ln in enumerate(lines) if "lineitem.parquet" in ln)
+    indent = len(lines[li]) - len(lines[li].lstrip(" :+-"))
+    above = [ln for ln in lines[:li] if len(ln) - len(ln.lstrip(" :+-")) < indent]
+    assert not any("BroadcastExchange" in ln for ln in above[-2:])
 
 
 def test_avg_cost_aggregates_before_the_join(spark):

@@ -10,10 +10,14 @@ Join plan (designed for a large cluster):
 * ``region`` and ``nation`` have fixed, small cardinality; their size is
   checked and they are broadcast into the customer scan, so the customer
   side needs no extra shuffle for them.
-* ``orders`` x ``customer`` and the join of that result with ``lineitem``
-  and ``part`` are large-to-large joins; the planner shuffles them on the
-  join keys (or broadcasts at run time through AQE when a side turns out
-  small).  A hot key is split by AQE skew-join handling.
+* ``customer``, ``orders`` and ``part`` are broadcast only while their
+  *base table* is within a row bound (checked with a limit over the scan,
+  never over a join; an inner join on a foreign key cannot have more rows
+  than this side's table).  The fact (``lineitem``) is never the build
+  side: it streams through the hash tables.
+* Above the bound these are large-to-large joins: the planner shuffles
+  them on the join keys (or broadcasts at run time through AQE when a side
+  turns out small), and AQE skew-join handling splits a hot key.
 * Only the columns a query uses survive column pruning, so an aggregate
   that needs region and disease never reads prices or dates.
 """
@@ -38,20 +42,17 @@ BED_BASE, BED_STEP = 50, 25
 # explicit pivot column list so pivot schemas are stable.
 DISEASES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
-# Row bounds proven before a dimension is broadcast.
-_SMALL_DIM_ROWS = 10_000
-_size_checked: dict[str, bool] = {}
+# Row bounds proven before a side is broadcast: the code tables, and the
+# tables joined to the fact (a row there is two or three narrow columns,
+# so a million rows is tens of megabytes).
+_CODE_TABLE_ROWS = 10_000
+_JOIN_SIDE_ROWS = 1_000_000
 
 
-def _small(spark: SparkSession, sf_dir: str, name: str) -> bool:
-    key = table_path(sf_dir, name)
-    if key not in _size_checked:
-        _size_checked[key] = has_at_most(read_table(spark, sf_dir, name), _SMALL_DIM_ROWS)
-    return _size_checked[key]
-
-
-def _maybe_broadcast(spark, sf_dir, name, df):
-    return F.broadcast(df) if _small(spark, sf_dir, name) else df
+def _maybe_broadcast(spark, sf_dir, name, df, max_rows=_CODE_TABLE_ROWS):
+    """Broadcast ``df`` (derived from table ``name`` with at most as many
+    rows) when that table has at most ``max_rows`` rows."""
+    return F.broadcast(df) if has_at_most(read_table(spark, sf_dir, name), max_rows) else df
 
 
 def age_band(size_col) -> F.Column:
@@ -82,9 +83,14 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
         "l_shipdate", "l_extendedprice")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
-    order_region = (orders.join(customer_region(spark, sf_dir), orders.o_custkey == F.col("c_custkey"))
-                    .select("o_orderkey", "o_custkey", "r_name"))
+    part = _maybe_broadcast(spark, sf_dir, "part",
+                            read_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type"),
+                            _JOIN_SIDE_ROWS)
+    cust = _maybe_broadcast(spark, sf_dir, "customer", customer_region(spark, sf_dir), _JOIN_SIDE_ROWS)
+    order_region = _maybe_broadcast(
+        spark, sf_dir, "orders",
+        orders.join(cust, orders.o_custkey == F.col("c_custkey")).select("o_orderkey", "o_custkey", "r_name"),
+        _JOIN_SIDE_ROWS)
     joined = (li.join(order_region, li.l_orderkey == order_region.o_orderkey)
               .join(part, li.l_partkey == part.p_partkey))
     return joined.select(
