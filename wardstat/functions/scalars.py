@@ -103,6 +103,15 @@ def parse_date(c, fmt: str = "yyyy-MM-dd") -> Column:
     return F.try_to_date(_c(c).cast("string"), fmt)
 
 
+def date_of(df, name: str, fmt: str = "yyyy-MM-dd") -> Column:
+    """Column ``name`` of ``df`` as a DATE: used as is when it already is
+    one (parsing its own text form is a no-op), strictly parsed otherwise."""
+    from pyspark.sql import types as T
+    if isinstance(df.schema[name].dataType, T.DateType):
+        return F.col(name)
+    return parse_date(name, fmt)
+
+
 def day_type(date_col) -> Column:
     """``Weekend`` for Saturday/Sunday, else ``Weekday``; NULL for NULL."""
     d = _c(date_col)

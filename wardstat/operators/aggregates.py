@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
@@ -57,11 +56,7 @@ def with_day_type(adm: DataFrame, date_col: str = "admission_date") -> DataFrame
     """Adds ``day_type`` from a strictly parsed ISO date and drops rows whose
     date does not parse (``2020-02-30``, ``2021-1-5``, NULL).  A column
     that is already a DATE needs no parsing, only the NULL check."""
-    if isinstance(adm.schema[date_col].dataType, T.DateType):
-        d = F.col(date_col)
-    else:
-        d = S.parse_date(date_col)
-    return adm.withColumn("_adm_date", d).where(F.col("_adm_date").isNotNull()) \
+    return adm.withColumn("_adm_date", S.date_of(adm, date_col)).where(F.col("_adm_date").isNotNull()) \
         .withColumn("day_type", S.day_type("_adm_date")).drop("_adm_date")
 
 

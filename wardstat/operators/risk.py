@@ -43,7 +43,7 @@ def risk_prior(adm: DataFrame, diseases: Sequence[str] = PRIOR_DISEASES,
                old_bands: Sequence[str] = OLD_AGE_BANDS) -> DataFrame:
     """Adds ``prior_risk`` (double): base + increments for an old age band,
     a high-risk disease and a weekend admission (strictly parsed date)."""
-    wkend = S.day_type(S.parse_date("admission_date")) == F.lit(S.WEEKEND_LABEL)
+    wkend = S.day_type(S.date_of(adm, "admission_date")) == F.lit(S.WEEKEND_LABEL)
     score = (_dec(PRIOR_BASE)
              + F.when(F.col("age_band").isin(list(old_bands)), _dec(PRIOR_OLD_AGE)).otherwise(_dec("0"))
              + F.when(F.col("disease").isin(list(diseases)), _dec(PRIOR_DISEASE)).otherwise(_dec("0"))
@@ -55,7 +55,7 @@ def prior_calibration(adm: DataFrame, diseases: Sequence[str] = PRIOR_DISEASES)
     """Expected (mean prior) versus observed readmission rate by age band,
     disease and day type; sums are exact decimals."""
     scored = risk_prior(adm, diseases)
-    scored = scored.withColumn("day_type", S.day_type(S.parse_date("admission_date")))
+    scored = scored.withColumn("day_type", S.day_type(S.date_of(adm, "admission_date")))
     return (scored.groupBy("age_band", "disease", "day_type")
             .agg(F.count(F.lit(1)).alias("admissions"),
                  S.ratio(F.sum(F.col("prior_risk").cast("decimal(10,2)")), F.count(F.lit(1)))
