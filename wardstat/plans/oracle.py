@@ -388,3 +388,80 @@ FROM (SELECT '{c}' AS feature, {c} AS value,
       FROM admissions GROUP BY {c})""" for c in ["age_band", "gender", "disease"]))
 SQL["process_upload"] = SQL["kpis"]
 SQL["run_batch"] = SQL["disease_frequency"]
+
+# --- one query per scalar function and flag ------------------------------------------------
+
+_SCALAR_SQL = {
+    "concat_key": "SELECT region, disease, region || '|' || disease AS key FROM admissions",
+    "equals_ignore_case": "SELECT readmitted, lower(readmitted) = 'yes' AS is_yes FROM admissions",
+    "lower": """SELECT disease, lower(disease) AS disease_lower, contains(lower(disease), 'large') AS mentions_large
+                FROM admissions""",
+    "year_prefix": "SELECT admission_date, substr(CAST(admission_date AS VARCHAR), 1, 4) AS year_text FROM admissions",
+    "year_of": "SELECT admission_date, CAST(year(admission_date) AS INT) AS year_of_date FROM admissions",
+    "day_type": f"SELECT admission_date, {_DAY_TYPE} AS day_type FROM admissions",
+    "parse_date": """SELECT strftime(admission_date, '%Y-%m-%d') AS date_text,
+                            CAST(try_strptime(strftime(admission_date, '%Y-%m-%d'), '%Y-%m-%d') AS DATE) AS parsed_date
+                     FROM admissions""",
+    "format_date": """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day_text, strftime(ts, '%H:%M:%S') AS time_text
+                      FROM vitals""",
+    "date_plus_days": "SELECT admission_date, CAST(admission_date + INTERVAL 30 DAY AS DATE) AS followup_date FROM admissions",
+    "pad_id": "SELECT hospital_id, printf('HOSP_%03d', TRY_CAST(hospital_id AS INTEGER)) AS hospital_code FROM admissions",
+    "cast_double": """SELECT hospital_id, TRY_CAST(hospital_id AS DOUBLE) AS hospital_num,
+                             TRY_CAST(region AS DOUBLE) AS region_num FROM admissions""",
+    "clamp": "SELECT event_id, heart_rate, LEAST(100.0, GREATEST(85.0, heart_rate)) AS heart_rate_bounded FROM vitals",
+    "fill_default": """SELECT event_id, COALESCE(heart_rate, 0.0) AS heart_rate,
+                              COALESCE(oxygen_level, 100.0) AS oxygen_level FROM vitals""",
+    "if_else": "SELECT readmitted, CASE WHEN readmitted = 'Yes' THEN 1 ELSE 0 END AS readmit_flag FROM admissions",
+    "in_set": f"""SELECT readmitted, CAST(CASE WHEN readmitted IN ({_POS}) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_target
+                  FROM admissions""",
+    "json_encode": """SELECT event_id, CAST(to_json({'event_id': event_id, 'heart_rate': heart_rate}) AS VARCHAR) AS message
+                      FROM vitals""",
+    "json_decode": "SELECT event_id, heart_rate FROM vitals",
+    "format_thousands": """SELECT treatment_cost, format('{:,}', CAST(floor(treatment_cost) AS BIGINT)) AS cost_text
+                           FROM admissions""",
+}
+for _k, _v in _SCALAR_SQL.items():
+    SQL[_k] = q(_v)
+
+_RATES = """rates AS (SELECT region, disease, COUNT(*) AS total,
+                        CAST(SUM(CASE WHEN readmitted = 'Yes' THEN 1 ELSE 0 END) AS BIGINT) AS readmitted
+                 FROM admissions GROUP BY region, disease)"""
+SQL["ratio"] = q(f"WITH {_RATES} SELECT region, disease, CAST(readmitted AS DOUBLE) / total AS rate FROM rates")
+SQL["round_n"] = q(f"WITH {_RATES} SELECT region, disease, ROUND(CAST(readmitted AS DOUBLE) / total, 2) AS rate_2 FROM rates")
+SQL["format_rate"] = q(f"""WITH {_RATES}
+SELECT region, disease, printf('%d,%d,%.4f', total, readmitted, CAST(readmitted AS DOUBLE) / total) AS value FROM rates""")
+SQL["format_pct"] = q(f"""WITH {_RATES}
+SELECT region, disease, printf('%.1f%%', CAST(readmitted AS DOUBLE) / total * 100.0) AS rate_text FROM rates""")
+SQL["flag_yes"] = q(f"WITH {_RATES} SELECT * FROM rates")
+SQL["flag_yes_ci"] = q("""
+SELECT region, disease, COUNT(*) AS total,
+       CAST(SUM(CASE WHEN lower(readmitted) = 'yes' THEN 1 ELSE 0 END) AS BIGINT) AS readmitted
+FROM admissions GROUP BY region, disease
+""")
+
+_YEAR_COLS = ",\n       ".join(
+    f"""COALESCE(ROUND(AVG(CASE WHEN year = {y} THEN is_target END), 2), 0.0) AS "{y}" """ for y in range(1992, 2002))
+SQL["fillna_0"] = q(f"""
+WITH u AS (SELECT region, substr(CAST(admission_date AS VARCHAR), 1, 4) AS year,
+                  CAST(CASE WHEN readmitted IN ({_POS}) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_target
+           FROM admissions)
+SELECT region,
+       {_YEAR_COLS.replace("year = ", "year = '").replace(" THEN is_target", "' THEN is_target")}
+FROM u GROUP BY region
+""")
+
+SQL["split"] = q("""
+SELECT string_split(patient_id || ',' || age_band || ',' || gender || ',' || region || ',' || hospital_id || ','
+       || disease || ',' || CAST(admission_date AS VARCHAR) || ',' || CAST(year AS VARCHAR) || ',' || readmitted
+       || ',' || CAST(treatment_cost AS VARCHAR), ',') AS fields
+FROM admissions
+""")
+
+SQL["rename"] = SQL["regional_burden"]
+SQL["role_fallback"] = q("SELECT patient_id AS region, COUNT(*) AS cases FROM admissions GROUP BY patient_id")
+SQL["source_kafka"] = q("""
+SELECT strftime(ts, '%H:%M:%S') AS "timestamp", event_id, patient_id, ts, heart_rate,
+       LEAST(100.0, GREATEST(85.0, oxygen_level)) AS oxygen_level
+FROM vitals
+""")
+SQL["sink_stream_push"] = q(_FLAGGED)

@@ -33,6 +33,8 @@ from .sources.tables import remember
 from .streaming import vitals as V
 
 DISEASES = fx.DISEASES
+# The calendar years the fixture's ship dates can fall in.
+FIXTURE_YEARS = list(range(1992, 2002))
 # Columns the data-quality check requires: the admissions schema plus one
 # that an admissions table does not have.
 REQUIRED_COLUMNS = [f.name for f in ADMISSIONS.fields] + ["discharge_date"]
@@ -612,3 +614,145 @@ def q_run_batch(spark, sf_dir):
     return FS.read_kv(spark, out["disease_frequency"]).select(
         S.field(parts, 0).alias("region"), S.field(parts, 1).alias("age_band"),
         S.field(parts, 2).alias("disease"), F.col("value").cast("long").alias("cases"))
+
+
+# --- one query per scalar function and flag ------------------------------------------------
+
+def _rates(spark, sf_dir):
+    """Per (region, disease): rows and exact-``Yes`` readmissions."""
+    return _adm(spark, sf_dir).groupBy("region", "disease").agg(
+        F.count(F.lit(1)).alias("total"), F.sum(S.flag("readmitted")).cast("long").alias("readmitted"))
+
+
+_SCALAR_QUERIES = {
+    "concat_key": ("adm", lambda df: df.select("region", "disease",
+                                               S.concat_key("region", "disease").alias("key"))),
+    "equals_ignore_case": ("adm", lambda df: df.select(
+        "readmitted", S.equals_ignore_case("readmitted", "YES").alias("is_yes"))),
+    "lower": ("adm", lambda df: df.select(
+        "disease", F.lower("disease").alias("disease_lower"),
+        F.lower("disease").contains("large").alias("mentions_large"))),
+    "year_prefix": ("adm", lambda df: df.select("admission_date", S.year_prefix("admission_date").alias("year_text"))),
+    "year_of": ("adm", lambda df: df.select("admission_date", S.year_of("admission_date").alias("year_of_date"))),
+    "day_type": ("adm", lambda df: df.select("admission_date", S.day_type("admission_date").alias("day_type"))),
+    "parse_date": ("adm", lambda df: df.select(
+        S.format_date("admission_date").alias("date_text"),
+        S.parse_date(S.format_date("admission_date")).alias("parsed_date"))),
+    "format_date": ("vit", lambda df: df.select(
+        "event_id", S.format_date("ts", "yyyy-MM-dd").alias("day_text"),
+        S.format_date("ts", "HH:mm:ss").alias("time_text"))),
+    "date_plus_days": ("adm", lambda df: df.select(
+        "admission_date", S.date_plus_days("admission_date", 30).alias("followup_date"))),
+    "pad_id": ("adm", lambda df: df.select(
+        "hospital_id", S.pad_id(F.col("hospital_id").try_cast("int")).alias("hospital_code"))),
+    "cast_double": ("adm", lambda df: df.select(
+        "hospital_id", S.cast_double("hospital_id").alias("hospital_num"),
+        S.cast_double("region").alias("region_num"))),
+    "clamp": ("vit", lambda df: df.select(
+        "event_id", "heart_rate", S.clamp("heart_rate", 85.0, 100.0).alias("heart_rate_bounded"))),
+    "fill_default": ("vit", lambda df: df.select(
+        "event_id", S.fill_default("heart_rate", S.HEART_RATE_DEFAULT).alias("heart_rate"),
+        S.fill_default("oxygen_level", S.OXYGEN_DEFAULT).alias("oxygen_level"))),
+    "if_else": ("adm", lambda df: df.select(
+        "readmitted", F.when(F.col("readmitted") == "Yes", F.lit(1)).otherwise(F.lit(0)).alias("readmit_flag"))),
+    "in_set": ("adm", lambda df: df.select("readmitted", S.flag_in_set("readmitted").alias("is_target"))),
+    "json_encode": ("vit", lambda df: df.select(
+        "event_id", F.to_json(F.struct("event_id", "heart_rate")).alias("message"))),
+    "json_decode": ("vit", lambda df: df.select(F.to_json(F.struct("event_id", "heart_rate")).alias("m"))
+                    .select(F.from_json("m", "event_id bigint, heart_rate double").alias("r")).select("r.*")),
+    "format_thousands": ("adm", lambda df: df.select(
+        "treatment_cost", S.format_thousands(F.floor("treatment_cost")).alias("cost_text"))),
+}
+
+_RATE_QUERIES = {
+    "ratio": lambda r: r.select("region", "disease", S.ratio("readmitted", "total").alias("rate")),
+    "round_n": lambda r: r.select("region", "disease",
+                                  S.round_n(S.ratio("readmitted", "total"), 2).alias("rate_2")),
+    "format_rate": lambda r: r.select("region", "disease", S.format_rate(
+        "total", "readmitted", S.ratio("readmitted", "total")).alias("value")),
+    "format_pct": lambda r: r.select("region", "disease",
+                                     S.format_pct(S.ratio("readmitted", "total")).alias("rate_text")),
+    "flag_yes": lambda r: r.select("region", "disease", "total", "readmitted"),
+}
+
+
+def _scalar_query(src, fn):
+    return lambda spark, sf_dir: fn(_adm(spark, sf_dir) if src == "adm" else _vitals(spark, sf_dir))
+
+
+def _rate_query(fn):
+    return lambda spark, sf_dir: fn(_rates(spark, sf_dir))
+
+
+for _name, (_src, _fn) in _SCALAR_QUERIES.items():
+    register(_name)(_scalar_query(_src, _fn))
+for _name, _fn in _RATE_QUERIES.items():
+    register(_name)(_rate_query(_fn))
+
+
+@register("flag_yes_ci")
+def q_flag_yes_ci(spark, sf_dir):
+    return _adm(spark, sf_dir).groupBy("region", "disease").agg(
+        F.count(F.lit(1)).alias("total"), F.sum(S.flag("readmitted", "Yes", True)).cast("long").alias("readmitted"))
+
+
+@register("fillna_0")
+def q_fillna_0(spark, sf_dir):
+    """Rate by region (rows) and year (columns), empty cells 0.  The year
+    columns span the fixture's whole date domain (FIXTURE_YEARS), so every
+    row lands in a column; years without admissions are the empty cells."""
+    up = _uploaded(spark, sf_dir)
+    years = FIXTURE_YEARS
+    out = up.groupBy("region").pivot("year", years).agg(F.round(F.avg("is_target"), 2))
+    return out.na.fill(0.0, subset=[str(y) for y in years])
+
+
+@register("split")
+def q_split(spark, sf_dir):
+    """Raw lines split into fields (header lines left out)."""
+    header = ",".join(ADMISSIONS.fieldNames())
+    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir)).where(F.col("value") != F.lit(header))
+    return lines.select(S.split_fields("value").alias("fields"))
+
+
+@register("rename")
+def q_rename(spark, sf_dir):
+    """Regional burden as the upload job names it (``count`` -> ``cases``)."""
+    return _uploaded(spark, sf_dir).groupBy("region").count().withColumnRenamed("count", "cases")
+
+
+@register("role_fallback")
+def q_role_fallback(spark, sf_dir):
+    """Columns whose names match no role: disease falls back to the first
+    text column, region to the disease column, time to the first column;
+    regional burden of the result."""
+    plain = _adm(spark, sf_dir).select(F.col("patient_id").alias("pid"), F.col("age_band").alias("band"),
+                                       F.col("treatment_cost").alias("amount"))
+    mapped = U.prepare_upload(plain)
+    return A.regional_burden(mapped)
+
+
+@register("source_kafka")
+def q_source_kafka(spark, sf_dir):
+    """The message source as a stream (file stand-in for the topic): every
+    published message decoded, collected through a checkpointed sink."""
+    topic = _vitals_topic(spark, sf_dir)
+    sdf = V.read_vitals(spark, "files", V.VITALS_STREAM, path=topic, max_files_per_trigger=4)
+    out = scratch_path(spark, "vitals-source")
+    V.write_stream_files(sdf, out, scratch_path(spark, "ckpt-vitals-source"), available_now=True) \
+        .awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("sink_stream_push")
+def q_sink_stream_push(spark, sf_dir):
+    """Each flagged micro-batch handed to a foreachBatch function that
+    appends it to a table (idempotent per batch id)."""
+    out = scratch_path(spark, "vitals-pushed")
+
+    def append(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    V.push(_vitals_stream(spark, sf_dir), append, scratch_path(spark, "ckpt-vitals-pushed"),
+           available_now=True).awaitTermination()
+    return spark.read.parquet(out).drop("batch_id")
