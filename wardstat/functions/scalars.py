@@ -145,7 +145,8 @@ def round_n(c, n: int) -> Column:
 
 def format_rate(total, positives, rate) -> Column:
     """``total,positives,rate`` with the rate to four places (NULL if any
-    part is NULL)."""
+    part is NULL).  Java-style formatting (half-up on the shortest decimal
+    form), as the line-oriented jobs produced it."""
     parts = [_c(total), _c(positives), _c(rate)]
     ok = parts[0].isNotNull() & parts[1].isNotNull() & parts[2].isNotNull()
     return F.when(ok, F.format_string("%d,%d,%.4f", *parts))
@@ -156,11 +157,21 @@ def format_thousands(n) -> Column:
     return F.format_number(_c(n), 0)
 
 
+def format_fixed(x, places: int) -> Column:
+    """A double as text with ``places`` decimals, rounded like Python's
+    ``f"{x:.1f}"`` and C's printf: the exact binary value, ties to even
+    (``31.25`` -> ``31.2``, ``24.65`` -> ``24.6``).  ``format_string``
+    would round the shortest decimal form half-up instead (``31.3``,
+    ``24.7``).  No thousands separators; NULL stays NULL."""
+    return F.regexp_replace(F.format_number(_c(x), places), ",", "")
+
+
 def format_pct(x, places: int = 1) -> Column:
-    """A fraction as a percentage text, ``0.1234`` -> ``12.3%``; NULL stays
-    NULL (the formatter alone would print a truncated ``null``)."""
+    """A fraction as a percentage text, ``0.1234`` -> ``12.3%`` (rounded as
+    ``format_fixed``); NULL stays NULL (``format_string`` alone would print
+    a truncated ``null``)."""
     v = _c(x)
-    return F.when(v.isNotNull(), F.format_string(f"%.{places}f%%", v * F.lit(100.0)))
+    return F.when(v.isNotNull(), F.concat(format_fixed(v * F.lit(100.0), places), F.lit("%")))
 
 
 def clamp(c, lo: float = OXYGEN_MIN, hi: float = OXYGEN_MAX) -> Column:

@@ -126,7 +126,7 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = HIGH_RISK_THRE
     p1 = vector_to_array("probability")[1]
     keep = [c for c in df.columns]
     return (pred.select(*keep, p1.alias("probability"))
-            .withColumn("probability_text", F.format_string("%.1f%%", F.round(F.col("probability") * 100, 1)))
+            .withColumn("probability_text", S.format_pct("probability", 1))
             .withColumn("prediction", F.when(F.col("probability") > F.lit(threshold), F.lit(HIGH_RISK))
                         .otherwise(F.lit(LOW_RISK))))
 
