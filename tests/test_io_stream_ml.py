@@ -49,6 +49,19 @@ def test_csv_malformed_modes(spark, tmp_out):
     assert len(perm) == 2 and perm[1].treatment_cost is None
 
 
+def test_hospitals_from_text(spark, tmp_out):
+    dim = fx.hospitals_dim(spark, SF_SMALL)
+    path = FS.write_csv(dim, f"{tmp_out}/hosp", header=False)
+    back = FS.read_hospitals(spark, path)
+    assert _sorted(back.collect()) == _sorted(dim.collect())
+
+
+def test_lines_from_nested_csv_lake(spark, adm, tmp_out):
+    path = LK.write_lake(adm, f"{tmp_out}/lake", fmt="csv")
+    parsed = FS.typed_admissions(FS.parse_lines(FS.read_lines(spark, path), min_fields=9))
+    assert _sorted(parsed.collect()) == _sorted(adm.collect())
+
+
 def test_upload_reader_infers(spark, tmp_out):
     p = f"{tmp_out}/up.csv"
     with open(p, "w") as f:

@@ -274,10 +274,18 @@ def q_scan_csv(spark, sf_dir):
     return FS.read_admissions(spark, _csv_copy(spark, sf_dir))
 
 
+def _csv_lake(spark, sf_dir):
+    """The lake in its text form (headerless CSV under nested
+    ``part_year=/part_region=`` folders), written once per application."""
+    return _once(spark, f"csv-lake:{sf_dir}", lambda: LK.write_lake(
+        _adm(spark, sf_dir), scratch_path(spark, "csv-lake"), fmt="csv"))
+
+
 @register("scan_lines")
 def q_scan_lines(spark, sf_dir):
-    """Disease frequency from raw text lines (6 fields needed)."""
-    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
+    """Disease frequency from the raw text lines of the CSV lake, read
+    recursively through its partition folders (6 fields needed)."""
+    lines = FS.read_lines(spark, _csv_lake(spark, sf_dir))
     return A.disease_frequency(FS.parse_lines(lines, min_fields=6))
 
 

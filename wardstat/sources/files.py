@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from ..schemas import ADMISSIONS, ADMISSIONS_TEXT
+from ..schemas import ADMISSIONS, ADMISSIONS_TEXT, HOSPITALS_DIM
 
 HEADER_FIRST_FIELD = "patient_id"
 
@@ -37,6 +37,13 @@ def read_admissions(spark: SparkSession, path: str, schema: T.StructType = ADMIS
             .csv(path))
 
 
+def read_hospitals(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """The hospital dimension from delimited text (``schemas.HOSPITALS_DIM``;
+    headerless by default, as the table's text format is)."""
+    return (spark.read.schema(HOSPITALS_DIM).option("header", header)
+            .option("mode", "PERMISSIVE").csv(path))
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Raw text lines (one ``value`` column), nested directories included."""
     return spark.read.option("recursiveFileLookup", "true").text(path)
