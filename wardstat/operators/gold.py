@@ -80,21 +80,32 @@ def kpi_target_rate(df: DataFrame) -> DataFrame:
                   .alias("avg_readmission_rate"))
 
 
+def _is(value) -> F.Column:
+    """``disease`` equals ``value`` (NULL-safe, so a NULL value is a column too)."""
+    return F.col("disease").eqNullSafe(F.lit(value))
+
+
+def _name(value) -> str:
+    return "null" if value is None else str(value)
+
+
 def trends(df: DataFrame, diseases: Sequence[str] | None = None) -> DataFrame:
     """Rows = year (first four characters of ``time_var``), one column per
     disease with the row count, 0 where absent, ordered by year.
 
-    Pass ``diseases`` for a stable schema and to skip the extra job Spark
-    runs to discover pivot values (that job is bounded by
-    ``spark.sql.pivotMaxValues``).  A NULL disease becomes a ``null``
-    column when values are discovered.
+    Pass ``diseases`` for a stable schema: the pivot is then one
+    aggregation with a conditional count per disease (one shuffle of
+    partial counts).  Without it Spark's ``pivot`` first runs a job to
+    discover the values (bounded by ``spark.sql.pivotMaxValues``); a NULL
+    disease becomes a ``null`` column.
     """
-    with_year = df.withColumn("year", S.year_prefix("time_var"))
-    grouped = with_year.groupBy("year")
-    piv = grouped.pivot("disease", list(diseases)) if diseases is not None else grouped.pivot("disease")
-    out = piv.agg(F.count(F.lit(1)))
-    value_cols = [c for c in out.columns if c != "year"]
-    return out.na.fill(0, subset=value_cols).orderBy("year")
+    grouped = df.withColumn("year", S.year_prefix("time_var")).groupBy("year")
+    if diseases is not None:
+        out = grouped.agg(*[F.count(F.when(_is(d), F.lit(1))).alias(_name(d)) for d in diseases])
+    else:
+        out = grouped.pivot("disease").agg(F.count(F.lit(1)))
+        out = out.na.fill(0, subset=[c for c in out.columns if c != "year"])
+    return out.orderBy("year")
 
 
 def rate_matrix(df: DataFrame, diseases: Sequence[str] | None = None,
@@ -105,8 +116,11 @@ def rate_matrix(df: DataFrame, diseases: Sequence[str] | None = None,
     ``fill=None`` keeps them NULL.
     """
     grouped = df.groupBy("region")
-    piv = grouped.pivot("disease", list(diseases)) if diseases is not None else grouped.pivot("disease")
-    out = piv.agg(F.round(F.avg("is_target"), 2))
+    if diseases is not None:
+        out = grouped.agg(*[F.round(F.avg(F.when(_is(d), F.col("is_target"))), 2).alias(_name(d))
+                            for d in diseases])
+    else:
+        out = grouped.pivot("disease").agg(F.round(F.avg("is_target"), 2))
     if fill is None:
         return out
     value_cols = [c for c in out.columns if c != "region"]
