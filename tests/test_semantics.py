@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from wardstat.functions import scalars as S
@@ -242,6 +241,3 @@ def test_year_prefix(spark):
     r = df.select(S.year_prefix("d").alias("a"), S.year_prefix("s").alias("b"), S.year_prefix("n").alias("c")).first()
     assert (r.a, r.b, r.c) == ("2021", "1999", "2020")
 
-
-def test_rows_are_rows(spark):
-    assert Row(a=1).a == 1

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import has_at_most
 from ..schemas import ADMISSIONS
-from .tables import read_table, remember, table_path
+from .tables import read_table, remember
 
 # Age bands, and the upper part size of each band but the last.
 AGE_BANDS = ["0-10", "11-20", "21-30", "31-40", "41-50", "51-60", "61-70", "71-80", "81-90", "90+"]

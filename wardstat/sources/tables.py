@@ -12,7 +12,7 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 # plan, so reusing it skips re-listing files and re-reading parquet footers
 # on every query.  Scoped by application id, so a new SparkContext starts
 # afresh.
-_handles: dict[tuple[str, str], DataFrame] = {}
+_handles: dict[tuple[str, str], object] = {}
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -32,8 +32,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _handles[key]
 
 
-def remember(spark: SparkSession, key: str, build) -> DataFrame:
-    """Session-scoped memo for derived tables (``build()`` runs once)."""
+def remember(spark: SparkSession, key: str, build):
+    """Application-scoped memo for derived inputs (a DataFrame handle or
+    the path of a table written under the checkpoint folder); ``build()``
+    runs once per application."""
     k = (_app_id(spark), key)
     if k not in _handles:
         _handles[k] = build()
