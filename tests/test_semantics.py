@@ -241,3 +241,11 @@ def test_year_prefix(spark):
     r = df.select(S.year_prefix("d").alias("a"), S.year_prefix("s").alias("b"), S.year_prefix("n").alias("c")).first()
     assert (r.a, r.b, r.c) == ("2021", "1999", "2020")
 
+
+
+def test_percent_text_rounds_like_python(spark):
+    vals = [5 / 16, 0.2465, 0.02675, 0.15, 12.345, None]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r.p for r in df.select(S.format_pct("x").alias("p")).collect()]
+    assert got == [None if v is None else f"{v * 100:.1f}%" for v in vals]
+    assert got[0] == "31.2%"
