@@ -89,3 +89,17 @@ def test_kpis_single_scan_no_join(spark):
     p = plan(G.kpis(U.prepare_upload(fx.admissions_fact(spark, SF_SMALL))))
     assert "Expand" in p and "Join" not in p
     assert p.count("FileScan") == 1 or p.count("Scan parquet") == 1
+
+
+def test_sql_lag_written_twice_runs_one_window(spark):
+    df = E.queries()["yoy_growth_sql"](spark, SF_SMALL)
+    p = plan(df)
+    assert p.count("Window [") == 1 or p.count("Window ") == 1
+    assert p.count("lag(") >= 1
+
+
+def test_lake_sql_prunes_columns(spark):
+    df = E.queries()["create_tables"](spark, SF_SMALL)
+    p = plan(df)
+    scan = next(ln for ln in p.split("\n") if "ReadSchema" in ln and "hospital_id" in ln and "disease" in ln)
+    assert "patient_id" not in scan and "age_band" not in scan
