@@ -117,7 +117,7 @@ def test_register_tables_and_sql(spark, adm, tmp_out):
 def test_gold_round_trip_and_defaults(spark, adm, tmp_out):
     from wardstat.operators import gold as G
     up = U.prepare_upload(adm)
-    GS.write_gold(G.kpis(up), "gold_kpis", tmp_out)
+    GS.write_gold(G.kpis(up), "gold_kpis", tmp_out, partitions=1)
     k = GS.read_gold(spark, "gold_kpis", tmp_out)
     assert k.count() == 1
     with open(glob.glob(f"{tmp_out}/gold_kpis/part-*.json")[0]) as fh:

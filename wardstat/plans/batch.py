@@ -49,7 +49,8 @@ def process_upload(spark: SparkSession, csv_path: str, gold_dir: str,
         U.require_columns(raw, list(required))
     df = U.prepare_upload(raw).persist()
     try:
-        return {name: GS.write_gold(t, name, gold_dir) for name, t in gold_tables(df, diseases).items()}
+        return {name: GS.write_gold(t, name, gold_dir, partitions=1 if name == "gold_kpis" else None)
+                for name, t in gold_tables(df, diseases).items()}
     finally:
         df.unpersist()
 
@@ -70,5 +71,5 @@ def run_batch(spark: SparkSession, admissions: DataFrame, out_dir: str,
         model, test, secs = ML.train_onehot(lake)
         out["model"] = ML.save_model(model, f"{out_dir}/model")
         meta = ML.model_meta(spark, "RandomForestClassifier", ML.auc(model, test), secs)
-        out["model_meta"] = GS.write_gold(meta, "ml_model_meta", out_dir)
+        out["model_meta"] = GS.write_gold(meta, "ml_model_meta", out_dir, partitions=1)
     return out

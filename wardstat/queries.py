@@ -385,7 +385,7 @@ def _write_gold_tables(spark, sf_dir):
     """All four gold tables of the upload job, freshly written."""
     base = scratch_path(spark, "gold")
     up = _uploaded(spark, sf_dir)
-    GS.write_gold(G.kpis(up), "gold_kpis", base)
+    GS.write_gold(G.kpis(up), "gold_kpis", base, partitions=1)
     GS.write_gold(G.trends(up, DISEASES), "gold_trends", base)
     GS.write_gold(A.regional_burden(up), "gold_regional", base)
     GS.write_gold(G.rate_matrix(up, DISEASES), "gold_readmissions", base)
@@ -597,7 +597,7 @@ def q_sink_model_meta(spark, sf_dir):
     model, test, secs = ML.train_onehot(_adm(spark, sf_dir))
     meta = ML.model_meta(spark, "RandomForestClassifier", ML.auc(model, test), secs)
     base = scratch_path(spark, "model-meta")
-    GS.write_gold(meta, "ml_model_meta", base)
+    GS.write_gold(meta, "ml_model_meta", base, partitions=1)
     return GS.read_gold(spark, "ml_model_meta", base, schema=meta.schema)
 
 

@@ -17,15 +17,15 @@ def gold_path(base_dir: str, name: str) -> str:
     return f"{base_dir.rstrip('/')}/{name}"
 
 
-def write_gold(df: DataFrame, name: str, base_dir: str, partitions: int | None = 1) -> str:
+def write_gold(df: DataFrame, name: str, base_dir: str, partitions: int | None = None) -> str:
     """Write one gold table as JSON lines, replacing the previous version.
 
-    Gold tables are aggregates (a row per year, region or KPI), so one
-    output file is the default; pass ``partitions=None`` to keep the
-    frame's own partitioning for large outputs.  ``repartition`` (not
-    ``coalesce``) is used so the aggregation above keeps its parallelism
-    and only its small result moves to the writing task.  Nothing passes
-    through the driver.
+    By default the table keeps the partitioning of the aggregation that
+    produced it (AQE packs a small result into few files), so a large
+    gold table -- e.g. one row per hospital of a big upload -- is still
+    written by many tasks.  ``partitions=n`` asks for ``n`` files; it uses
+    ``repartition`` (not ``coalesce``) so the aggregation above keeps its
+    parallelism.  Nothing passes through the driver.
     """
     out = df.repartition(partitions) if partitions else df
     path = gold_path(base_dir, name)
