@@ -43,7 +43,10 @@ def split_fields(line, sep: str = ",") -> Column:
     jobs did (``a,b,,`` has two fields), so that field-count filters keep
     their meaning.
     """
-    stripped = F.regexp_replace(_c(line), f"{_escape(sep)}+$", "")
+    if len(sep) == 1:
+        stripped = F.rtrim(_c(line), F.lit(sep))   # no regex for one character
+    else:
+        stripped = F.regexp_replace(_c(line), f"({_escape(sep)})+$", "")
     return F.split(stripped, _escape(sep))
 
 

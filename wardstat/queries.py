@@ -558,12 +558,18 @@ def q_ml_auc(spark, sf_dir):
     return ML.model_meta(spark, "RandomForestClassifier", ML.auc(model, test), secs)
 
 
-def _ordinal_model(spark, sf_dir):
-    """The scoring model, trained once per application and kept in the
-    shared folder (scoring queries load it, as a serving layer would)."""
-    path = _once(spark, f"model-ordinal:{sf_dir}", lambda: ML.save_model(
+def _ordinal_model_path(spark, sf_dir):
+    """The scoring model, trained once per application and saved in the
+    shared folder."""
+    return _once(spark, f"model-ordinal:{sf_dir}", lambda: ML.save_model(
         ML.train_ordinal(_adm(spark, sf_dir)), scratch_path(spark, "model-ordinal")))
-    return ML.load_model(path)
+
+
+def _ordinal_model(spark, sf_dir):
+    """The saved scoring model, loaded once per application and kept, as a
+    serving layer would keep it."""
+    return _once(spark, f"model-ordinal-loaded:{sf_dir}",
+                 lambda: ML.load_model(_ordinal_model_path(spark, sf_dir)))
 
 
 def _requests(spark, sf_dir):
