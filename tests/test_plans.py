@@ -103,3 +103,13 @@ def test_lake_sql_prunes_columns(spark):
     p = plan(df)
     scan = next(ln for ln in p.split("\n") if "ReadSchema" in ln and "hospital_id" in ln and "disease" in ln)
     assert "patient_id" not in scan and "age_band" not in scan
+
+
+def test_positions_are_distributed_and_exact(spark):
+    from pyspark.sql import Window
+    df = spark.range(0, 20000).select((F.col("id") * 7919 % 10007).alias("k"), F.col("id"))
+    got = W.with_position(df, [F.desc("k"), "id"], "pos")
+    want = df.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("k"), "id")))
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    p = plan(got)
+    assert "RangePartitioning" in p
