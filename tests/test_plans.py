@@ -112,4 +112,4 @@ def test_positions_are_distributed_and_exact(spark):
     want = df.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("k"), "id")))
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
     p = plan(got)
-    assert "RangePartitioning" in p
+    assert "rangepartitioning" in p.lower()
