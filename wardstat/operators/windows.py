@@ -32,31 +32,38 @@ def order_by(df: DataFrame, *cols: Column | str) -> DataFrame:
     return df.orderBy(*cols)
 
 
+_LOCAL_BITS = 33   # monotonically_increasing_id: partition index above bit 33, row index below
+
+
 def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "position",
                   num_partitions: int | None = None) -> DataFrame:
     """Adds the 1-based position of each row in the given total order,
     without moving all rows into one task.
 
-    Rows are range-partitioned on the sort keys (equal keys land in the
-    same partition) and numbered inside their partition; each partition's
-    offset is the running sum of the row counts of the partitions before
-    it.  That running sum is a window over one row per partition, and the
-    offsets are broadcast: both are bounded by the partition count, not by
-    the data.  Range partitioning samples deterministically, so the
-    numbering is the same if a task is re-run.
+    The rows are range-partitioned on the sort keys (equal keys land in
+    the same partition), sorted inside each partition and checkpointed to
+    the shared checkpoint folder, so every later read sees the same
+    partitions in the same order (also after an executor loss).  On that
+    fixed data ``monotonically_increasing_id`` carries each row's partition
+    and its index inside it; a partition's offset is the running sum of
+    the row counts of the partitions before it -- a window and a broadcast
+    over one row per partition, bounded by the partition count.
     """
+    from ..session import ensure_checkpoint_dir
     spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-              .withColumn("_part", F.spark_partition_id()))
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    fixed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    mid = F.monotonically_increasing_id()
+    tagged = (fixed.withColumn("_mid", mid)
+              .withColumn("_part", F.shiftrightunsigned("_mid", _LOCAL_BITS))
+              .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+    counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return (ranged.withColumn("_local", local)
-            .join(F.broadcast(offsets), "_part")
-            .withColumn(name, (F.col("_offset") + F.col("_local")).cast("int"))
-            .drop("_part", "_local", "_offset"))
+    return (tagged.join(F.broadcast(offsets), "_part")
+            .withColumn(name, (F.col("_offset") + F.col("_local") + F.lit(1)).cast("int"))
+            .drop("_mid", "_part", "_local", "_offset"))
 
 
 def top_n(df: DataFrame, order: Sequence[Column | str], n: int = 1) -> DataFrame:
