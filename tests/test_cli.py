@@ -15,5 +15,12 @@ def test_cli_exit_codes_and_outputs(spark, tmp_out, capsys):
     assert main(["rates", csv, "--show", "2"]) == 0
     assert main(["batch", csv, f"{tmp_out}/daily", "--no-train"]) == 0
     assert "disease_frequency" in capsys.readouterr().out
+    from wardstat.sources import lake as LK
+    lake = LK.write_lake(fx.admissions(spark, SF_SMALL), f"{tmp_out}/lake", fmt="csv")
+    for job in ["frequency", "rates", "yearly", "weekend"]:
+        assert main(["lines", job, lake, f"{tmp_out}/{job}"]) == 0
+    with open(sorted(__import__("glob").glob(f"{tmp_out}/weekend/part-*"))[0]) as fh:
+        key, value = fh.readline().rstrip("\n").split("\t")
+    assert "|" in key and value.count(",") == 2
     assert main([]) == 1
     assert spark.range(1).count() == 1   # the shared session is still alive

@@ -4,6 +4,7 @@
     python -m wardstat batch    <admissions.csv> <out_dir> [--no-train]
     python -m wardstat rates    <admissions.csv> [--show N]
     python -m wardstat train    <admissions.csv> <model_dir>
+    python -m wardstat lines    <frequency|rates|yearly|weekend> <input_dir> <output_dir>
 
 Exit codes: 0 success, 1 usage or processing failure, 2 required columns
 missing (upload).  The session comes from ``spark-submit``/the platform;
@@ -37,6 +38,10 @@ def main(argv: list[str] | None = None) -> int:
     rt = sub.add_parser("rates", help="readmission rate by region and disease")
     rt.add_argument("csv")
     rt.add_argument("--show", type=int, default=5)
+    ln = sub.add_parser("lines", help="a line-oriented job: text lines -> key<TAB>value text")
+    ln.add_argument("job", choices=sorted(B.LINE_JOBS))
+    ln.add_argument("input")
+    ln.add_argument("output")
     tr = sub.add_parser("train", help="fit and save the scoring forest")
     tr.add_argument("csv")
     tr.add_argument("model_dir")
@@ -60,6 +65,8 @@ def main(argv: list[str] | None = None) -> int:
         elif args.cmd == "rates":
             A.readmission_rates(FS.read_admissions(spark, args.csv)) \
                 .orderBy("region", "disease").show(args.show, truncate=False)
+        elif args.cmd == "lines":
+            print(B.run_line_job(spark, args.job, args.input, args.output))
         elif args.cmd == "train":
             model = ML.train_ordinal(FS.read_admissions(spark, args.csv))
             print(ML.save_model(model, args.model_dir))

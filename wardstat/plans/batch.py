@@ -73,3 +73,40 @@ def run_batch(spark: SparkSession, admissions: DataFrame, out_dir: str,
         meta = ML.model_meta(spark, "RandomForestClassifier", ML.auc(model, test), secs)
         out["model_meta"] = GS.write_gold(meta, "ml_model_meta", out_dir, partitions=1)
     return out
+
+
+# --- the line-oriented jobs: text lines in, key<TAB>value text out ------------------------
+
+def _count_value(df: DataFrame) -> F.Column:
+    return F.col("cases").cast("string")
+
+
+def _rate_value(df: DataFrame) -> F.Column:
+    from ..functions import scalars as S
+    return S.format_rate("total_admissions", "readmitted_count",
+                         S.ratio("readmitted_count", "total_admissions"))
+
+
+# job -> (fields needed, aggregate over parsed text columns, key columns, value)
+LINE_JOBS = {
+    "frequency": (6, A.disease_frequency, ["region", "age_band", "disease"], _count_value),
+    "rates": (9, lambda df: A.readmission_rates(df, ignore_case=True, count_col=None),
+              ["region", "disease"], _rate_value),
+    "yearly": (8, A.yearly_disease_counts, ["year", "disease"], _count_value),
+    "weekend": (9, A.weekend_readmission, ["disease", "day_type"], _rate_value),
+}
+
+
+def line_job(spark: SparkSession, job: str, input_path: str) -> DataFrame:
+    """(key, value) text of one line-oriented job over raw lines under
+    ``input_path`` (nested folders read; header lines skipped; lines with
+    too few fields dropped; ``yes`` matched in any case, rows counted)."""
+    min_fields, agg, keys, value = LINE_JOBS[job]
+    parsed = FS.parse_lines(FS.read_lines(spark, input_path), min_fields=min_fields)
+    out = agg(parsed)
+    return FS.kv_lines(out, keys, value(out))
+
+
+def run_line_job(spark: SparkSession, job: str, input_path: str, output_path: str) -> str:
+    """Write a line-oriented job's result as key-sorted ``key<TAB>value``."""
+    return FS.write_kv(line_job(spark, job, input_path), output_path)

@@ -465,3 +465,14 @@ SELECT strftime(ts, '%H:%M:%S') AS "timestamp", event_id, patient_id, ts, heart_
 FROM vitals
 """)
 SQL["sink_stream_push"] = q(_FLAGGED)
+
+SQL["yearly_disease_counts_lines"] = q("""
+SELECT CAST(year AS VARCHAR) || '|' || disease AS key, CAST(COUNT(*) AS VARCHAR) AS value
+FROM admissions GROUP BY year, disease
+""")
+SQL["weekend_readmission_lines"] = q(f"""
+SELECT disease || '|' || {_DAY_TYPE} AS key,
+       printf('%d,%d,%.4f', COUNT(*), SUM(CASE WHEN lower(readmitted) = 'yes' THEN 1 ELSE 0 END),
+              CAST(SUM(CASE WHEN lower(readmitted) = 'yes' THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*)) AS value
+FROM admissions GROUP BY ALL
+""")

@@ -292,12 +292,20 @@ def q_scan_lines(spark, sf_dir):
 def _rate_kv(spark, sf_dir):
     """Readmission job over text lines: 9 fields needed, every row counted,
     ``yes`` in any case, ``region|disease -> total,readmitted,rate``."""
-    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
-    parsed = FS.parse_lines(lines, min_fields=9)
-    rates = A.readmission_rates(parsed, ignore_case=True, count_col=None)
-    value = S.format_rate("total_admissions", "readmitted_count",
-                          S.ratio("readmitted_count", "total_admissions"))
-    return FS.kv_lines(rates, ["region", "disease"], value)
+    return B.line_job(spark, "rates", _csv_copy(spark, sf_dir))
+
+
+@register("yearly_disease_counts_lines")
+def q_yearly_disease_counts_lines(spark, sf_dir):
+    """Yearly job over the CSV lake's text lines: ``year|disease -> count``."""
+    return B.line_job(spark, "yearly", _csv_lake(spark, sf_dir))
+
+
+@register("weekend_readmission_lines")
+def q_weekend_readmission_lines(spark, sf_dir):
+    """Weekend job over the CSV lake's text lines:
+    ``disease|day_type -> total,readmitted,rate``."""
+    return B.line_job(spark, "weekend", _csv_lake(spark, sf_dir))
 
 
 @register("project")
