@@ -1,7 +1,10 @@
 """Registered queries: ``name -> (spark, sf_dir) -> DataFrame``.
 
-Each query reads the driver's tables through the fixture views and runs
-one operator of the library over the whole input.
+Each query reads the driver's tables -- directly, through the fixture
+views, or through data Spark derives from them once per application (the
+materialised admissions fact, its CSV and lake copies, the published
+vitals messages, the trained scoring model) -- and runs one operator of the
+library over the whole input.
 """
 
 from __future__ import annotations
