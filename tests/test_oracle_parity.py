@@ -64,3 +64,19 @@ def test_entry_smoke(spark):
     rows = df.collect()
     assert rows and df.columns == ["region", "disease", "total_admissions", "readmitted_count",
                                    "readmission_rate"]
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+def test_rows_only_queries_run(spark, name):
+    df = E.queries()[name](spark, SF_SMALL)
+    rows = df.collect()
+    assert rows, name
+    if name == "ml_auc":
+        assert 0.0 <= rows[0].auc_score <= 1.0
+    if name in ("ml_score", "sink_model"):
+        n = E.queries()["kpi_total"](spark, SF_SMALL).first().total_records
+        assert len(rows) == n
+        assert {r.prediction for r in rows} <= {"High Risk", "Low Risk"}
+    if name == "ml_split":
+        parts = {r.part: r.rows for r in rows}
+        assert parts["train"] > parts["test"] > 0
