@@ -476,3 +476,18 @@ SELECT disease || '|' || {_DAY_TYPE} AS key,
               CAST(SUM(CASE WHEN lower(readmitted) = 'yes' THEN 1 ELSE 0 END) AS DOUBLE) / COUNT(*)) AS value
 FROM admissions GROUP BY ALL
 """)
+
+# One-hot feature vectors: frequency-ordered indices (ties by value), one
+# slot per seen value (the dropped slot is the unseen-value slot), then cost.
+_IDX = "\n".join(f""", i_{c} AS (SELECT {c}, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, {c}) - 1 AS idx_{c}
+              FROM admissions GROUP BY {c})""" for c in ["age_band", "gender", "disease"])
+_HOT = ",\n".join(f"""list_transform(range((SELECT COUNT(*) FROM i_{c})),
+                     lambda i: CAST(CASE WHEN i = idx_{c} THEN 1 ELSE 0 END AS DOUBLE))"""
+                  for c in ["age_band", "gender", "disease"])
+SQL["ml_assemble"] = q(f"""
+WITH lab AS (SELECT age_band, gender, disease, treatment_cost,
+                    CAST(CASE WHEN readmitted = 'Yes' THEN 1 ELSE 0 END AS DOUBLE) AS label FROM admissions)
+{_IDX}
+SELECT label, list_concat({_HOT}, [treatment_cost]) AS features
+FROM lab JOIN i_age_band USING (age_band) JOIN i_gender USING (gender) JOIN i_disease USING (disease)
+""")
