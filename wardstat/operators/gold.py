@@ -80,9 +80,23 @@ def kpi_target_rate(df: DataFrame) -> DataFrame:
                   .alias("avg_readmission_rate"))
 
 
-def _is(value) -> F.Column:
-    """``disease`` equals ``value`` (NULL-safe, so a NULL value is a column too)."""
-    return F.col("disease").eqNullSafe(F.lit(value))
+def pivot_values(df: DataFrame, col: str, max_values: int | None = None) -> list:
+    """The distinct values of ``col``, sorted (NULL first), as Spark's own
+    ``pivot`` finds them: a distributed distinct, of which at most
+    ``max_values + 1`` values (default ``spark.sql.pivotMaxValues``) reach
+    the driver.  More values than that is an error, never a silent cut."""
+    if max_values is None:
+        max_values = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
+    vals = [r[0] for r in df.select(col).distinct().orderBy(F.col(col).asc_nulls_first())
+            .limit(max_values + 1).collect()]
+    if len(vals) > max_values:
+        raise ValueError(f"{col} has more than {max_values} distinct values to pivot on")
+    return vals
+
+
+def _is(value, col: str = "disease") -> F.Column:
+    """``col`` equals ``value`` (NULL-safe, so a NULL value is a column too)."""
+    return F.col(col).eqNullSafe(F.lit(value))
 
 
 def _name(value) -> str:
@@ -93,18 +107,15 @@ def trends(df: DataFrame, diseases: Sequence[str] | None = None) -> DataFrame:
     """Rows = year (first four characters of ``time_var``), one column per
     disease with the row count, 0 where absent, ordered by year.
 
-    Pass ``diseases`` for a stable schema: the pivot is then one
-    aggregation with a conditional count per disease (one shuffle of
-    partial counts).  Without it Spark's ``pivot`` first runs a job to
-    discover the values (bounded by ``spark.sql.pivotMaxValues``); a NULL
-    disease becomes a ``null`` column.
+    One aggregation with a conditional count per disease (one shuffle of
+    partial counts).  The diseases are discovered from the data
+    (``pivot_values``) unless given; given values are taken as the whole
+    domain (a disease outside them has no column).  A NULL disease becomes
+    a ``null`` column.
     """
+    values = list(diseases) if diseases is not None else pivot_values(df, "disease")
     grouped = df.withColumn("year", S.year_prefix("time_var")).groupBy("year")
-    if diseases is not None:
-        out = grouped.agg(*[F.count(F.when(_is(d), F.lit(1))).alias(_name(d)) for d in diseases])
-    else:
-        out = grouped.pivot("disease").agg(F.count(F.lit(1)))
-        out = out.na.fill(0, subset=[c for c in out.columns if c != "year"])
+    out = grouped.agg(*[F.count(F.when(_is(d), F.lit(1))).alias(_name(d)) for d in values])
     return out.orderBy("year")
 
 
@@ -115,12 +126,9 @@ def rate_matrix(df: DataFrame, diseases: Sequence[str] | None = None,
     Empty cells are 0 by default (indistinguishable from a zero rate);
     ``fill=None`` keeps them NULL.
     """
-    grouped = df.groupBy("region")
-    if diseases is not None:
-        out = grouped.agg(*[F.round(F.avg(F.when(_is(d), F.col("is_target"))), 2).alias(_name(d))
-                            for d in diseases])
-    else:
-        out = grouped.pivot("disease").agg(F.round(F.avg("is_target"), 2))
+    values = list(diseases) if diseases is not None else pivot_values(df, "disease")
+    out = df.groupBy("region").agg(*[F.round(F.avg(F.when(_is(d), F.col("is_target"))), 2).alias(_name(d))
+                                     for d in values])
     if fill is None:
         return out
     value_cols = [c for c in out.columns if c != "region"]

@@ -120,6 +120,10 @@ SELECT region, COUNT(*) AS cases FROM admissions GROUP BY region
 # --- upload path ------------------------------------------------------------
 
 from ..sources.fixtures import DISEASES  # noqa: E402
+
+# The calendar years of the fixture's ship dates (the oracle
+# spells the pivot columns out; the Spark side discovers them).
+FIXTURE_YEARS = list(range(1995, 2002))
 from ..functions.scalars import POSITIVE_TARGET_VALUES  # noqa: E402
 
 _POS = ", ".join(f"'{v}'" for v in POSITIVE_TARGET_VALUES)
@@ -440,7 +444,7 @@ FROM admissions GROUP BY region, disease
 """)
 
 _YEAR_COLS = ",\n       ".join(
-    f"""COALESCE(ROUND(AVG(CASE WHEN year = {y} THEN is_target END), 2), 0.0) AS "{y}" """ for y in range(1992, 2002))
+    f"""COALESCE(ROUND(AVG(CASE WHEN year = {y} THEN is_target END), 2), 0.0) AS "{y}" """ for y in FIXTURE_YEARS)
 SQL["fillna_0"] = q(f"""
 WITH u AS (SELECT region, substr(CAST(admission_date AS VARCHAR), 1, 4) AS year,
                   CAST(CASE WHEN readmitted IN ({_POS}) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_target

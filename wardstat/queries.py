@@ -35,9 +35,6 @@ from .sources import lake as LK
 from .sources.tables import remember
 from .streaming import vitals as V
 
-DISEASES = fx.DISEASES
-# The calendar years the fixture's ship dates can fall in.
-FIXTURE_YEARS = list(range(1992, 2002))
 # Columns the data-quality check requires: the admissions schema plus one
 # that an admissions table does not have.
 REQUIRED_COLUMNS = [f.name for f in ADMISSIONS.fields] + ["discharge_date"]
@@ -162,12 +159,12 @@ def q_kpi_target_rate(spark, sf_dir):
 
 @register("trend_pivot")
 def q_trend_pivot(spark, sf_dir):
-    return G.trends(_uploaded(spark, sf_dir), DISEASES)
+    return G.trends(_uploaded(spark, sf_dir))
 
 
 @register("rate_pivot")
 def q_rate_pivot(spark, sf_dir):
-    return G.rate_matrix(_uploaded(spark, sf_dir), DISEASES)
+    return G.rate_matrix(_uploaded(spark, sf_dir))
 
 
 @register("distinct")
@@ -196,7 +193,7 @@ def q_order_by_cost(spark, sf_dir):
 
 @register("order_by_year")
 def q_order_by_year(spark, sf_dir):
-    res = G.trends(_uploaded(spark, sf_dir), DISEASES)
+    res = G.trends(_uploaded(spark, sf_dir))
     return W.with_position(res, ["year"], "year_rank")
 
 
@@ -397,9 +394,9 @@ def _write_gold_tables(spark, sf_dir):
     base = scratch_path(spark, "gold")
     up = _uploaded(spark, sf_dir)
     GS.write_gold(G.kpis(up), "gold_kpis", base, partitions=1)
-    GS.write_gold(G.trends(up, DISEASES), "gold_trends", base)
+    GS.write_gold(G.trends(up), "gold_trends", base)
     GS.write_gold(A.regional_burden(up), "gold_regional", base)
-    GS.write_gold(G.rate_matrix(up, DISEASES), "gold_readmissions", base)
+    GS.write_gold(G.rate_matrix(up), "gold_readmissions", base)
     return base
 
 
@@ -626,7 +623,7 @@ def q_process_upload(spark, sf_dir):
     inferred, roles found by name); returns its KPI gold table."""
     csv_path = _once(spark, f"upload-csv:{sf_dir}", lambda: FS.write_csv(
         _adm(spark, sf_dir), scratch_path(spark, "upload") + ".csv"))
-    paths = B.process_upload(spark, csv_path, scratch_path(spark, "upload-gold"), DISEASES)
+    paths = B.process_upload(spark, csv_path, scratch_path(spark, "upload-gold"))
     return GS.read_gold(spark, "gold_kpis", paths["gold_kpis"].rsplit("/", 1)[0])
 
 
@@ -723,12 +720,13 @@ def q_flag_yes_ci(spark, sf_dir):
 
 @register("fillna_0")
 def q_fillna_0(spark, sf_dir):
-    """Rate by region (rows) and year (columns), empty cells 0.  The year
-    columns span the fixture's whole date domain (FIXTURE_YEARS), so every
-    row lands in a column; years without admissions are the empty cells."""
+    """Rate by region (rows) and year (columns, discovered from the data),
+    region-year cells without admissions filled with 0."""
     up = _uploaded(spark, sf_dir)
-    years = FIXTURE_YEARS
-    out = up.groupBy("region").pivot("year", years).agg(F.round(F.avg("is_target"), 2))
+    years = G.pivot_values(up, "year")
+    out = up.groupBy("region").agg(*[F.round(F.avg(F.when(F.col("year").eqNullSafe(F.lit(y)),
+                                                          F.col("is_target"))), 2).alias(str(y))
+                                     for y in years])
     return out.na.fill(0.0, subset=[str(y) for y in years])
 
 
