@@ -213,3 +213,12 @@ def test_model_save_load(spark, adm, ordinal_model, tmp_out):
     assert _sorted(a) == _sorted(b)
     meta = ML.model_meta(spark, "RandomForestClassifier", 0.6, 1.0)
     assert meta.first().features_used == ML.CATEGORICAL + ML.NUMERIC
+
+
+def test_hash_split_is_layout_independent(spark, adm):
+    a_train, a_test = ML.split(adm, method="hash")
+    b_train, b_test = ML.split(adm.repartition(5), method="hash")
+    assert a_train.count() + a_test.count() == adm.count()
+    assert _sorted(a_test.collect()) == _sorted(b_test.collect())
+    frac = a_train.count() / adm.count()
+    assert 0.75 < frac < 0.85

@@ -91,17 +91,34 @@ def train_ordinal(adm: DataFrame, num_trees: int = 50, max_depth: int = 5,
         data.unpersist()
 
 
-def split(adm: DataFrame, train_fraction: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Random train/test split (per-row Bernoulli draw, seeded)."""
-    train, test = with_label(adm).randomSplit([train_fraction, 1.0 - train_fraction], seed=seed)
-    return train, test
+def split(adm: DataFrame, train_fraction: float = 0.8, seed: int = 42,
+          method: str = "random") -> tuple[DataFrame, DataFrame]:
+    """Train/test split.
+
+    ``random``: seeded ``randomSplit`` (per-row Bernoulli draw); repeatable
+    for the same physical layout of the input.  ``hash``: a row goes to
+    train when a seeded hash of its content falls below the fraction --
+    the same split whatever the layout, partitioning or run (identical
+    rows land on the same side).
+    """
+    labelled = with_label(adm)
+    if method == "random":
+        train, test = labelled.randomSplit([train_fraction, 1.0 - train_fraction], seed=seed)
+        return train, test
+    if method != "hash":
+        raise ValueError(f"unknown split method {method!r}")
+    buckets = 1_000_000
+    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in adm.columns]), F.lit(buckets))
+    in_train = h < F.lit(int(train_fraction * buckets))
+    return labelled.where(in_train), labelled.where(~in_train)
 
 
 def train_onehot(adm: DataFrame, num_trees: int = 20, seed: int = 42,
-                 train_fraction: float = 0.8) -> tuple[PipelineModel, DataFrame, float]:
+                 train_fraction: float = 0.8,
+                 split_method: str = "random") -> tuple[PipelineModel, DataFrame, float]:
     """Fit the one-hot forest on the training split; returns the model, the
     test split and the training time in seconds."""
-    train, test = split(adm, train_fraction, seed)
+    train, test = split(adm, train_fraction, seed, split_method)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         t0 = time.time()
