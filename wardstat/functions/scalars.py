@@ -28,6 +28,9 @@ OXYGEN_DEFAULT = 100.0
 # Oxygen level bounds of the vitals producer.
 OXYGEN_MIN = 85.0
 OXYGEN_MAX = 100.0
+# Hospital code format: prefix and zero-padded width.
+HOSPITAL_ID_PREFIX = "HOSP_"
+HOSPITAL_ID_WIDTH = 3
 
 
 def _c(x) -> Column:
@@ -75,7 +78,7 @@ def year_prefix(c) -> Column:
     return F.substring(_c(c).cast("string"), 1, 4)
 
 
-def pad_id(n, prefix: str = "HOSP_", width: int = 3) -> Column:
+def pad_id(n, prefix: str = HOSPITAL_ID_PREFIX, width: int = HOSPITAL_ID_WIDTH) -> Column:
     return F.format_string(f"{prefix}%0{width}d", _c(n))
 
 

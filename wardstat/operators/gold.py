@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
+# The KPI texts for "no disease" and "no target rate".
 UNKNOWN_DISEASE = "Unknown"
 NO_RATE = "0%"
 

@@ -10,6 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..schemas import DATABASE, DIMENSION_TABLE, FACT_TABLE
+
+FACT = f"{DATABASE}.{FACT_TABLE}"
+
 AVG_COST_SQL = """
 SELECT h.hospital_type, p.disease,
        try_divide(CAST(SUM(CAST(p.treatment_cost AS DECIMAL(38,2))) AS DOUBLE),
@@ -34,14 +38,14 @@ ORDER BY region, disease, year
 """
 
 
-def avg_cost_sql(spark: SparkSession, fact: str = "healthcare_db.patient_records",
-                 dim: str = "hospitals_dim") -> DataFrame:
+def avg_cost_sql(spark: SparkSession, fact: str = FACT,
+                 dim: str = DIMENSION_TABLE) -> DataFrame:
     return spark.sql(AVG_COST_SQL.format(fact=fact, dim=dim))
 
 
-def yoy_growth_sql(spark: SparkSession, fact: str = "healthcare_db.patient_records") -> DataFrame:
+def yoy_growth_sql(spark: SparkSession, fact: str = FACT) -> DataFrame:
     return spark.sql(YOY_SQL.format(fact=fact))
 
 
-def show_partitions(spark: SparkSession, fact: str = "healthcare_db.patient_records") -> DataFrame:
+def show_partitions(spark: SparkSession, fact: str = FACT) -> DataFrame:
     return spark.sql(f"SHOW PARTITIONS {fact}")

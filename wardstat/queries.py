@@ -367,8 +367,7 @@ def q_scan_partitioned(spark, sf_dir):
 
 def _registered(spark, sf_dir):
     db_dir = scratch_path(spark, "warehouse")
-    db = "healthcare_db"
-    return LK.register_tables(spark, _lake(spark, sf_dir), db, db_location=db_dir,
+    return LK.register_tables(spark, _lake(spark, sf_dir), db_location=db_dir,
                               hospitals=fx.hospitals_dim(spark, sf_dir), fmt="parquet",
                               replace=True)
 

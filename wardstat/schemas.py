@@ -3,6 +3,12 @@ upload path, whose columns are unknown by design."""
 
 from pyspark.sql import types as T
 
+# Identifiers users of the reference address their data by.
+DATABASE = "healthcare_db"
+FACT_TABLE = "patient_records"
+DIMENSION_TABLE = "hospitals_dim"
+VITALS_TOPIC = "icu_vitals"
+
 # The admissions fact, in column order (the order matters for headerless
 # text files and for role mapping, which scans columns left to right).
 ADMISSIONS = T.StructType([

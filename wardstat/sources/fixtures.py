@@ -34,7 +34,8 @@ from .tables import read_table, remember
 # Age bands, and the upper part size of each band but the last.
 AGE_BANDS = ["0-10", "11-20", "21-30", "31-40", "41-50", "51-60", "61-70", "71-80", "81-90", "90+"]
 AGE_BAND_SIZE_STEP = 5
-# Hospital-type names by supplier nation key modulo 3, and the bed-count rule.
+# Hospital-type names by supplier nation key modulo 3, and
+# the bed-count rule (base plus step times key modulo 10).
 HOSPITAL_TYPES = ["Public", "Private", "Teaching"]
 BED_BASE, BED_STEP = 50, 25
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schemas import ADMISSIONS, LAKE_PARTITIONS
+from ..schemas import ADMISSIONS, DATABASE, DIMENSION_TABLE, FACT_TABLE, LAKE_PARTITIONS
 
 LAKE_SCHEMA = T.StructType(ADMISSIONS.fields + [T.StructField(c, T.StringType()) for c in LAKE_PARTITIONS])
 
@@ -56,7 +56,7 @@ def read_lake(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
     return reader.load(path)
 
 
-def register_tables(spark: SparkSession, lake_path: str, database: str = "healthcare_db",
+def register_tables(spark: SparkSession, lake_path: str, database: str = DATABASE,
                     db_location: str | None = None, fmt: str = "parquet",
                     hospitals: DataFrame | None = None, replace: bool = False) -> str:
     """Create the database, the partitioned external fact table over the
@@ -66,16 +66,16 @@ def register_tables(spark: SparkSession, lake_path: str, database: str = "health
     loc = f" LOCATION '{db_location}'" if db_location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{loc}")
     if replace:
-        spark.sql(f"DROP TABLE IF EXISTS {database}.patient_records")
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{FACT_TABLE}")
     cols = ", ".join(f"{f.name} {f.dataType.simpleString().upper()}" for f in LAKE_SCHEMA.fields)
     options = " OPTIONS (header 'false', dateFormat 'yyyy-MM-dd')" if fmt == "csv" else ""
-    spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.patient_records ({cols})
+    spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.{FACT_TABLE} ({cols})
                   USING {fmt}{options} PARTITIONED BY ({', '.join(LAKE_PARTITIONS)})
                   LOCATION '{lake_path}'""")
-    repair_partitions(spark, f"{database}.patient_records")
+    repair_partitions(spark, f"{database}.{FACT_TABLE}")
     if hospitals is not None:
-        hospitals.createOrReplaceTempView("hospitals_dim")
-    return f"{database}.patient_records"
+        hospitals.createOrReplaceTempView(DIMENSION_TABLE)
+    return f"{database}.{FACT_TABLE}"
 
 
 def repair_partitions(spark: SparkSession, table: str) -> None:

@@ -19,9 +19,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import scalars as S
 from ..operators.windows import latest_n
-from ..schemas import VITALS, VITALS_MESSAGE
+from ..schemas import VITALS, VITALS_MESSAGE, VITALS_TOPIC
 
-TOPIC = "icu_vitals"
+TOPIC = VITALS_TOPIC
 # Messages built from vitals rows: the time-of-day text plus every column.
 VITALS_STREAM = T.StructType([T.StructField("timestamp", T.StringType())] + VITALS.fields)
 # Microsecond timestamps in messages (the JSON default keeps milliseconds).
