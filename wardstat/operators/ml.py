@@ -40,6 +40,15 @@ ORDINAL_ORDER = ["age_band", "disease", "gender"]
 LABEL = "label"
 
 
+def _use_all_cores(df: DataFrame) -> DataFrame:
+    """Spread a small input over every core before an iterative fit.  Only
+    when it has fewer partitions than the cluster has cores: a large input
+    already has more partitions and is left unshuffled.  (Spark sorts rows
+    before a round-robin repartition, so a re-run task gets the same rows.)"""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def with_label(adm: DataFrame) -> DataFrame:
     """label = 1.0 when readmitted is exactly ``Yes``, else 0.0."""
     return adm.withColumn(LABEL, S.flag("readmitted", "Yes").cast("double"))
@@ -76,7 +85,8 @@ def _ordinal_codes(model) -> SQLTransformer:
 def train_ordinal(adm: DataFrame, num_trees: int = 50, max_depth: int = 5,
                   seed: int = 42) -> PipelineModel:
     """Fit the ordinal-code forest on all rows."""
-    data = with_label(adm).select(*CATEGORICAL, *NUMERIC, LABEL).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _use_all_cores(with_label(adm).select(*CATEGORICAL, *NUMERIC, LABEL)) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     try:
         idx_models = Pipeline(stages=indexers("alphabetAsc")).fit(data).stages
         codes = _ordinal_codes(idx_models[0])
@@ -119,7 +129,7 @@ def train_onehot(adm: DataFrame, num_trees: int = 20, seed: int = 42,
     """Fit the one-hot forest on the training split; returns the model, the
     test split and the training time in seconds."""
     train, test = split(adm, train_fraction, seed, split_method)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = _use_all_cores(train).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         t0 = time.time()
         model = onehot_pipeline(num_trees, seed).fit(train)
