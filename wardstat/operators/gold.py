@@ -24,18 +24,23 @@ def kpis(df: DataFrame) -> DataFrame:
     region counts as one), most frequent disease (``Unknown`` if none) and
     the mean target as ``12.3%`` (``0%`` without a target or mean).
 
-    One aggregation over grouping sets (disease), (region) and () gives
-    the per-disease counts, the region groups and the totals together;
-    a final one-row aggregate picks the values, so there is no join and
-    the input is scanned once.
+    The rows are aggregated by (disease, region); grouping sets
+    (disease), (region) and () over that small result give the per-disease
+    counts, the region groups and the totals together, and a final one-row
+    aggregate picks the values: one scan, no join.
     """
     has_target = "is_target" in df.columns
     tgt = F.col("is_target") if has_target else F.lit(None).cast("double")
-    by_sets = (df.groupingSets([["disease"], ["region"], []], "disease", "region")
+    # Counts and target sums are additive: aggregate the rows to one per
+    # (disease, region) first, so the grouping-set expansion works on those
+    # few rows instead of tripling every input row.
+    base = (df.groupBy("disease", "region")
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(tgt).alias("t_sum"), F.count(tgt).alias("t_n")))
+    by_sets = (base.groupingSets([["disease"], ["region"], []], "disease", "region")
                .agg(F.grouping_id().alias("gid"),
-                    F.count(F.lit(1)).alias("n"),
-                    F.sum(tgt).alias("t_sum"),
-                    F.count(tgt).alias("t_n")))
+                    F.sum("n").alias("n"),
+                    F.sum("t_sum").alias("t_sum"),
+                    F.sum("t_n").alias("t_n")))
     disease_level, region_level, grand = 1, 2, 3
     g = F.col("gid")
     one = by_sets.agg(
