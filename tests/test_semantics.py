@@ -249,3 +249,12 @@ def test_percent_text_rounds_like_python(spark):
     got = [r.p for r in df.select(S.format_pct("x").alias("p")).collect()]
     assert got == [None if v is None else f"{v * 100:.1f}%" for v in vals]
     assert got[0] == "31.2%"
+
+
+def test_stray_role_named_columns_are_not_taken_as_roles(spark):
+    df = spark.createDataFrame([("Flu", "N", "Yes", 1.0)],
+                               "disease string, region string, target string, is_target double")
+    mapped = U.prepare_upload(df)
+    assert "target" not in mapped.columns and "is_target" not in mapped.columns
+    assert {"target_src", "is_target_src"} <= set(mapped.columns)
+    assert G.kpis(mapped).first().avg_readmission_rate == "0%"

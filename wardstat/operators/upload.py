@@ -23,6 +23,8 @@ REGION_CANDIDATES = ["hospital", "region", "state", "city", "location", "ward"]
 TIME_CANDIDATES = ["date of ad", "date", "year", "month", "timestamp", "admission"]
 
 ROLE_NAMES = ("target", "disease", "region", "time_var")
+# Output names the mapping owns: role columns and the derived flag.
+RESERVED_NAMES = ROLE_NAMES + ("is_target",)
 
 
 @dataclass(frozen=True)
@@ -73,8 +75,10 @@ def map_roles(df: DataFrame, roles: Roles | None = None) -> DataFrame:
 
     A column that fills one role is renamed in place; when one column fills
     several roles (e.g. the disease column standing in for region), each
-    further role gets a copy, so every role column exists.  An unrelated
-    column that already carries a role name is kept as ``<name>_src``.
+    further role gets a copy, so every role column exists.  Any other
+    column already carrying a role name (or ``is_target``) is kept as
+    ``<name>_src``, so it is never mistaken for a mapped role -- e.g. a
+    column called ``target`` that matched no target candidate.
     """
     roles = roles or find_roles(df.schema)
     wanted = {role: src for role, src in roles.as_dict().items() if src is not None}
@@ -88,12 +92,11 @@ def map_roles(df: DataFrame, roles: Roles | None = None) -> DataFrame:
             renamed_in_place[src] = role
         else:
             copies.append((src, role))
-    role_set = set(wanted)
     out = []
     for c in df.columns:
         if c in renamed_in_place:
             out.append(F.col(f"`{c}`").alias(renamed_in_place[c]))
-        elif c.lower() in role_set:
+        elif c.lower() in RESERVED_NAMES:
             out.append(F.col(f"`{c}`").alias(f"{c}_src"))
         else:
             out.append(F.col(f"`{c}`"))
