@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardstat.session import ensure_checkpoint_dir, scratch_path
 
@@ -22,6 +23,8 @@ AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows above which a set of ids is joined by a shuffle and not broadcast
 #: (a broadcast row of two longs takes about 40 bytes: at most 40 MB).
 BROADCAST_ROWS = 1_000_000
+#: Rows of a batch that a Python step sees at once.
+SLICE_ROWS = 512
 
 
 def ascii_lower(col: Column) -> Column:
@@ -65,11 +68,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def in_arrow(df: DataFrame, task: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]],
              schema: str) -> DataFrame:
     """``mapInArrow`` where ``task()`` runs once per task and returns the
-    function of one batch."""
+    function of one batch; batches come in slices, so that what a step makes
+    of them stays small."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = task()
         for batch in batches:
-            yield from step(batch)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                yield from step(batch.slice(at, SLICE_ROWS))
     return df.mapInArrow(run, schema)
 
 
@@ -81,6 +86,36 @@ def utf8(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+class Memory:
+    """Values of words, computed once and kept by the worker: two
+    generations, so that what is used stays and the size is bounded."""
+
+    def __init__(self, size: int):
+        self.half, self.new, self.old = max(1, size // 2), {}, {}
+
+    def of(self, words: list, one: Callable | None = None, many: Callable | None = None) -> list:
+        """The value of each word, by ``one(word)`` or ``many(words)``."""
+        if len(self.new) > self.half:
+            self.old, self.new = self.new, {}
+        get = self.new.get
+        out = [get(w) for w in words]
+        missing = list(dict.fromkeys([w for w, v in zip(words, out, strict=True) if v is None]))
+        if not missing:
+            return out
+        found = {w: self.old[w] for w in missing if w in self.old}
+        fresh = [w for w in missing if w not in found]
+        if fresh:
+            found.update(zip(fresh, many(fresh) if many else map(one, fresh), strict=True))
+        self.new.update(found)
+        return [found[w] if v is None else v for w, v in zip(words, out, strict=True)]
+
+
+def with_columns(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of a frame with columns added."""
+    return T.StructType([*df.schema.fields, *(T.StructField(k, T.DoubleType() if v == "double" else T.StringType())
+                                              for k, v in kinds.items())])
+
+
 def crc_fold(col: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 4
@@ -100,5 +135,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-__all__ = ["AZ", "BROADCAST_ROWS", "ascii_lower", "attempt", "crc_fold", "documents", "ensure_checkpoint_dir",
-           "has_at_most", "in_arrow", "let", "scratch_path", "small", "stored", "table", "utf8", "wide_hash"]
+__all__ = ["AZ", "BROADCAST_ROWS", "Memory", "ascii_lower", "attempt", "crc_fold", "documents", "ensure_checkpoint_dir",
+           "has_at_most", "in_arrow", "let", "scratch_path", "small", "stored", "table", "utf8", "wide_hash", "with_columns"]

@@ -44,8 +44,6 @@ MIN_DOCS = 3
 #: Batches in which a whole table is taken in, and runs of a level before it is compacted.
 BATCHES = 4
 FANOUT = 2
-#: Hash buckets of every run: choose about run bytes / 200 MB for large corpora.
-BUCKETS = 32
 
 KEY = ["h1", "h2"]
 
@@ -69,10 +67,13 @@ class LineRuns:
     """The levelled runs of one corpus.
 
     ``levels[i]`` lists the table names of level i.  Tables live in the
-    session's warehouse folder, which a cluster shares."""
+    session's warehouse folder, which a cluster shares.  ``buckets`` holds
+    for all runs; by default it is the session's shuffle partitions, so that the
+    task that dealt a bucket's rows writes its file."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int = BUCKETS):
-        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"line_runs_{uuid.uuid4().hex[:12]}"
         self.levels: list[list[str]] = [[]]
         self._made = 0
@@ -148,7 +149,7 @@ def _batch_bounds(docs: DataFrame, batches: int) -> list[int]:
 
 
 def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
-                      batches: int = BATCHES, fanout: int = FANOUT, buckets: int = BUCKETS) -> DataFrame:
+                      batches: int = BATCHES, fanout: int = FANOUT, buckets: int | None = None) -> DataFrame:
     """doc_id, th (text hash), text, n_lines, n_dropped, kept for every row.
 
     Batches go in from the largest ids to the smallest, as a growing corpus

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, lines
+from . import decontaminate, fingerprints, language, lines, near_dups, pieces, token_files, toxicity, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_language": language.op3_language,
     "op4_fingerprints": fingerprints.op4_fingerprints,
+    "op5_pieces": pieces.op5_pieces,
+    "op6_token_files": token_files.op6_token_files,
+    "op7_url_filter": urls.op7_url_filter,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_near_dups": near_dups.op10_near_dups,
 }
 
 ORACLE = {
     "op1_line_dedup": lines.ORACLE,
+    "op7_url_filter": urls.ORACLE,
 }
