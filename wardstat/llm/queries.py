@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, language, lines, near_dups, pieces, token_files, toxicity, urls
+from . import decontaminate, fingerprints, language, licences, lines, near_dups, pieces, token_files, toxicity, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pieces": pieces.op5_pieces,
     "op6_token_files": token_files.op6_token_files,
     "op7_url_filter": urls.op7_url_filter,
+    "op8_licences": licences.op8_licences,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_near_dups": near_dups.op10_near_dups,
 }
