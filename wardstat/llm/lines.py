@@ -98,27 +98,27 @@ class LineRuns:
         novel = own
         for run in self.runs():
             novel = novel.join(run.filter("first").hint("merge"), KEY, "left_anti")
-        if self.runs():
-            known = own
-            seen = self._union([r.filter("first").select(*KEY) for r in self.runs()])
-            known = known.join(seen.hint("merge"), KEY, "left_semi")
-            rows = novel.withColumn("first", F.lit(True)).unionByName(known.withColumn("first", F.lit(False)))
-        else:
-            rows = novel.withColumn("first", F.lit(True))
+        rows = novel.withColumn("first", F.lit(True))
+        for run in self.runs():  # a key is first in one run only, so these do not overlap
+            known = own.join(run.filter("first").select(*KEY).hint("merge"), KEY, "left_semi")
+            rows = rows.unionByName(known.withColumn("first", F.lit(False)))
         self._write(rows, 0)
         self._compact()
 
-    @staticmethod
-    def _union(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
-        return (LineRuns._union(runs).groupBy(*KEY)
-                .agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"), F.max("first").alias("first")))
+        """Runs merged into one row per key.  Buckets and sorting agree, so
+        each merge join reads both sides in order, without an exchange (a
+        union would lose that)."""
+        out = runs[0]
+        for run in runs[1:]:
+            a, b = out.alias("a"), run.alias("b").hint("merge")
+            out = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full").select(
+                *[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in KEY],
+                (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"),
+                F.greatest("a.keeper", "b.keeper").alias("keeper"),
+                (F.coalesce("a.first", F.lit(False)) | F.coalesce("b.first", F.lit(False))).alias("first"))
+        return out
 
     def _compact(self) -> None:
         level = 0
@@ -144,23 +144,21 @@ class LineRuns:
 
 def _batch_bounds(docs: DataFrame, batches: int) -> list[int]:
     """Cuts of the id range into batches of about equal row counts."""
+    if batches < 2:
+        return []
     cuts = docs.select("doc_id").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
     return sorted({int(c) for c in cuts})
 
 
-def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
-                      batches: int = BATCHES, fanout: int = FANOUT, buckets: int | None = None) -> DataFrame:
-    """doc_id, th (text hash), text, n_lines, n_dropped, kept for every row.
-
+def _shared_positions(src: DataFrame, min_docs: int, min_chars: int, batches: int, fanout: int,
+                      buckets: int | None) -> DataFrame:
+    """(doc_id, th, drop): the positions of the lines that every text loses.
     Batches go in from the largest ids to the smallest, as a growing corpus
     read newest first would."""
-    spark = docs.sparkSession
-    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = _batch_bounds(src, batches)
     batch = sum((F.when(F.col("doc_id") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
-    hashes = line_hashes(src, min_chars).withColumn("batch", batch)
-    lines = stored(hashes, "line-hashes")
-    runs = LineRuns(spark, fanout, buckets)
+    lines = stored(line_hashes(src, min_chars).withColumn("batch", batch), "line-hashes")
+    runs = LineRuns(src.sparkSession, fanout, buckets)
     try:
         for b in range(len(cuts), -1, -1):
             runs.add(lines.filter(F.col("batch") == b).select("doc_id", *KEY))
@@ -168,17 +166,45 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
         decisions = stored(runs.shared(min_docs), "line-decisions")
     finally:
         runs.drop()
-    drops = (lines.join(decisions, KEY).filter(F.col("doc_id") != F.col("keeper"))
-             .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop")))
-    split = src.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"))
+    return (lines.join(decisions, KEY).filter(F.col("doc_id") != F.col("keeper"))
+            .groupBy("doc_id", "th").agg(F.collect_set("pos").alias("drop")))
+
+
+def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES,
+                      fanout: int = FANOUT, buckets: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_lines, n_dropped and kept (the text left) of every row, and
+    a struct ``row`` of the columns named in ``keep``."""
+    row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
+    src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *row)
+    drops = _shared_positions(src.select("doc_id", "text"), min_docs, min_chars, batches, fanout, buckets)
+    split = src.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n").alias("lines"), *(["row"] if keep else []))
     # The lines are an attribute below the join, so the lambda does not split again.
     cut = split.join(drops, ["doc_id", "th"], "left")
     n = F.size("lines")
-    keep = F.array_except(F.sequence(F.lit(0), n - 1), F.col("drop"))
+    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col("drop"))
     kept = F.when(F.col("drop").isNull(), F.array_join("lines", "\n")).otherwise(
-        F.array_join(F.transform(keep, lambda i: F.get("lines", i)), "\n"))
+        F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n"))
     return cut.select("doc_id", n.cast("long").alias("n_lines"),
-                      F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))
+                      F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"),
+                      *(["row"] if keep else []))
+
+
+def without_shared_lines(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with the shared lines cut out of ``text`` (and ``n_chars``,
+    if it is there, following the text); null text stays null."""
+    others = [c for c in docs.columns if c != "text"]
+    marked = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("text").isNull().alias("_null_text"))
+    out = drop_shared_lines(marked, keep=[*others, "_null_text"], **settings)
+    text = F.when(~F.col("row._null_text"), F.col("kept"))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return text.alias(c)
+        if c == "n_chars":
+            kind = docs.schema[c].dataType
+            return F.when(F.col("n_dropped") > 0, F.char_length("kept").cast(kind)).otherwise(F.col("row.n_chars")).alias(c)
+        return F.col("row").getField(c).alias(c)
+    return out.select(*[column(c) for c in docs.columns])
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,14 +21,15 @@ only pairs whose estimate is within ``SLACK`` standard deviations of the
 threshold go on.
 *Verification.*  Every candidate pair is decided on the two full sets.
 
-A link of 0.85 is missed by all bands with a probability of
-``(1 - 0.85 ** ROWS) ** BANDS``, below 1e-6.
+There are as many bands as it takes for a link at the threshold to miss all
+of them with a probability below ``MISS``.
 
 Defined results: null or empty text, or text without words, has an empty set
 and no link; a text of fewer words than a shingle is one shingle; rows of a null
 doc_id have no link and no component, and are kept; rows that repeat a doc_id
-are looked at each by its own text; an empty table gives no rows; other columns are
-never read.
+are counted each by its own text, and classes with the same least doc_id are
+one node, so what one of its rows is linked with, such a document is; an empty
+table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -45,7 +46,8 @@ from pyspark.sql import functions as F
 from .common import Memory, documents, in_arrow, small, stored, utf8
 from .components import components
 
-ROWS, BANDS = 5, 24
+ROWS = 5
+MISS = 1e-6
 #: Places of the circle, and the seed of its permutation.
 CIRCLE = 1 << 20
 SEED = 11
@@ -109,15 +111,21 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
     return out
 
 
-def _bands(sig: np.ndarray) -> list[int]:
-    return [xxhash.xxh64_intdigest(sig[b * ROWS:(b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+def bands_for(percent: int) -> int:
+    return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+
+
+def _bands(sig: np.ndarray, bands: int) -> list[int]:
+    return [xxhash.xxh64_intdigest(sig[b * ROWS:(b + 1) * ROWS].tobytes(), b) - (1 << 63) for b in range(bands)]
 
 
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
-def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest of the set, and a bucket hash per band."""
+    n_bands = bands_for(percent)
+
     def task():
         shingles = Shingler(shingle)
 
@@ -127,7 +135,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 s = shingles(text)
                 sizes.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                bands.append(_bands(signature(s, ROWS * BANDS)) if len(s) else None)
+                bands.append(_bands(signature(s, ROWS * n_bands), n_bands) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
@@ -135,30 +143,34 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return in_arrow(docs.select("doc_id", "text"), task, SIGNED)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """id, set (array<long>) and long signature of the classes in ``wanted``
-    (id, digest).  A row is taken by its doc_id and, for ids that repeat, by its set."""
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """id, set (array<long>), bands and long signature of the classes in
+    ``wanted`` (id, digest).  The short signature is the beginning of the long one.  A row is taken by its doc_id and, for ids that repeat, by its set."""
     rows = docs.select("doc_id", "text").join(small(wanted.select(F.col("id").alias("doc_id"), "digest")), "doc_id")
+    n_bands = bands_for(percent)
 
     def task():
         shingles = Shingler(shingle)
 
         def step(batch):
-            ids, sets, longs = [], [], []
+            ids, sets, bands, longs = [], [], [], []
             for doc_id, digest, text in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(),
                                             utf8(batch, "text"), strict=True):
                 s = shingles(text)
                 if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == digest:
                     ids.append(doc_id)
                     sets.append(s.view(np.int64))
-                    longs.append(signature(s, LONG).astype(np.uint8).tobytes())
+                    sig = signature(s, LONG)
+                    bands.append(_bands(sig, n_bands))
+                    longs.append(sig.astype(np.uint8).tobytes())
             if ids:
                 flat = pa.array(np.concatenate(sets))
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat),
-                                                  pa.array(longs, pa.binary())], ["id", "shingles", "long"])
+                                                  pa.array(bands, pa.list_(pa.int64())), pa.array(longs, pa.binary())],
+                                                 ["id", "shingles", "bands", "long"])
         return step
-    return in_arrow(rows, task, "id long, shingles array<long>, long binary")
+    return in_arrow(rows, task, "id long, shingles array<long>, bands array<long>, long binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +240,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """doc_id, n_shingles, component_id (the least doc_id reachable over
     links, its own if there is none) and kept (whether it is that one)."""
     docs = docs.select("doc_id", "text")
-    signed = stored(signatures(docs, shingle), "signatures")
+    signed = stored(signatures(docs, shingle, percent), "signatures")
     # Classes of equal sets; a class is named by its least doc_id.
     real = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stored(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
@@ -239,11 +251,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     members = stored(entries.join(buckets, "bucket"), "bucket-members")
     pairs = stored(members.filter("id != chosen")
                    .select(F.least("id", "chosen").alias("src"), F.greatest("id", "chosen").alias("dst")).distinct(), "pairs")
-    wanted = stored(members.select("id").distinct().join(classes.select("id", "digest", "bands"), "id"), "wanted")
-    found = _sets(docs, wanted, shingle)
+    wanted = stored(members.select("id").distinct().join(classes.select("id", "digest"), "id"), "wanted")
+    found = _sets(docs, wanted, shingle, percent)
     if not real.groupBy("doc_id").count().filter("count > 1").isEmpty():
         found = found.dropDuplicates(["id"])  # only where ids repeat, as this moves the sets
-    sets = stored(found.join(small(wanted.select("id", "bands")), "id"), "sets")
+    sets = stored(found, "sets")
     links = stored(_linked(pairs, sets, percent), "links")
     labels = components(links)
     more = stored(_mixed_pairs(members, labels, sets, percent).join(pairs, ["src", "dst"], "left_anti"), "mixed-pairs")
@@ -257,6 +269,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group left, by the result of
+    ``near_duplicates``.  Rows of one doc_id stay or go together: they go if
+    none of them is kept."""
+    gone = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("NOT kept")
+    return docs.join(small(stored(gone.select("doc_id"), "near-duplicates")), "doc_id", "left_anti")
+
+
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_shingles, component_id, kept."""
     return near_duplicates(documents(spark, sf_dir, "doc_id", "text"))

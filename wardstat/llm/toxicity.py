@@ -17,8 +17,8 @@ so what reaches the driver is bounded by those two numbers.
 
 Defined results: null and empty text scores by the intercept alone; texts are
 scored whole; a doc_id with several labels counts with each; null labels are
-not learnt from; without any training row of either label the score is the
-share of the label seen, or 0.5; repeated rows score alike; an empty table
+not learnt from; without training rows of both labels every
+score is 0.999 if only toxic ones are known and 0.001 if not; repeated rows score alike; an empty table
 gives no rows; other columns are never read.
 """
 
@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, kept: in
     found = {r["label"]: r["n"] for r in training.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(found.values())
     if len(found) < 2:
-        share = 0.5 if not found else 0.999 if 1 in found else 0.001
+        share = 0.999 if 1 in found else 0.001
         return ToxicityModel(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
     counts = _bucket_counts(training).toPandas()  # at most BUCKETS rows
     p, q = np.full(BUCKETS, SMOOTH), np.full(BUCKETS, SMOOTH)
