@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memory, crc_fold, documents, in_arrow, stored, utf8, with_columns
+from .common import crc_fold, documents, in_arrow, stored, utf8, with_columns
 
 SIZES = (5, 4, 3, 2, 1)
 TOP_WORDS = 20_000
@@ -49,18 +49,19 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: bytes) -> list[str]:
-    """Runs of letters, lower-cased (other word characters without the
-    letter property are left out)."""
-    return [w for w in _LETTERS.findall(text.decode("utf-8", "replace").lower()) if w.isalpha() or _letters(w)]
+    """Runs of word characters other than digits, lower-cased; a run without
+    a letter (like a lone superscript) is no word, see ``is_word``."""
+    return _LETTERS.findall(text.decode("utf-8", "replace").lower())
 
 
-def _letters(word: str) -> bool:
-    return any(c.isalpha() for c in word)
+def is_word(run: str) -> bool:
+    return any(map(str.isalpha, run))
 
 
 def _grams(word: str, size: int) -> list[str]:
-    w = f" {word} "
-    return [w[i:i + size] for i in range(len(w) - size + 1) if w[i:i + size] != " "]
+    """The n-grams of a word between spaces; of one character, those of the word."""
+    w = f" {word} " if size > 1 else word
+    return [w[i:i + size] for i in range(len(w) - size + 1)]
 
 
 def _word_counts(training: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def _word_counts(training: DataFrame) -> DataFrame:
     def run(batches):
         def rows(counts):
             for lang, words in counts.items():
-                keys = list(words)
+                keys = list(filter(is_word, words))
                 for at in range(0, len(keys), 50_000):
                     part = keys[at:at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part),
@@ -120,13 +121,35 @@ class LanguageModel:
         if found is not None:
             return found
         for size in SIZES:
-            known = self.grams.get(size, {})
-            rows = [known[g] for g in _grams(word, size) if g in known]
+            known = self.grams.get(size, {}).get
+            rows = [r for r in map(known, _grams(word, size)) if r is not None]
             if rows:
-                return np.mean(rows, 0)
+                return sum(rows[1:], rows[0]) / len(rows)
         return self.none
 
 
+class _Scores:
+    """Scores of the words a worker has met, as rows of one array."""
+
+    def __init__(self, model: LanguageModel, size: int):
+        self.model, self.rows, self.size = model, {}, size
+        self.array = np.zeros((1024, len(model.langs)))
+
+    def mean(self, words: list[str]) -> np.ndarray | None:
+        """The mean over the words; None if none of them has a letter."""
+        if len(self.rows) > self.size:
+            self.rows = {}
+        for w in set(words).difference(self.rows):
+            at = self.rows[w] = len(self.rows) if is_word(w) else -1 - len(self.rows)
+            if at >= 0:
+                if at >= len(self.array):
+                    self.array = np.concatenate([self.array, np.zeros_like(self.array)])
+                self.array[at] = self.model.word(w)
+        at = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        at = at[at >= 0]
+        return self.array[at].mean(0) if len(at) else None
+
+
 def train(training: DataFrame, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS,
           penalty: float = PENALTY) -> LanguageModel:
     """Count the training rows (text, lang); rows without a lang are skipped."""
@@ -172,19 +195,18 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     schema = with_columns(docs, lang_pred="string", lang_score="double")
 
     def task():
-        m, known = shared.value, Memory(MEMORY_WORDS)
+        m = shared.value
+        known = _Scores(m, MEMORY_WORDS)
 
         def step(batch):
             preds, scores = [], []
             for text in utf8(batch, "text"):
                 words = words_of(text)
-                if not words or not m.langs:
+                mean = known.mean(words) if words and m.langs else None
+                if mean is None:
                     preds.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                counts = Counter(words)
-                rows = np.array(known.of(list(counts), m.word))
-                mean = np.fromiter(counts.values(), float, len(counts)) @ rows / len(words)
                 best = int(np.argmax(mean))
                 preds.append(m.langs[best])
                 scores.append(float(1 / np.exp(mean - mean[best]).sum()))

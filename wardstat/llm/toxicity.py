@@ -45,6 +45,8 @@ FIT_ROWS = 20_000
 KEPT = 1024
 THRESHOLD = 0.3
 MEMORY_WORDS = 400_000
+#: The same where a word's value is one number.
+SCORED_WORDS = 1_000_000
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -177,7 +179,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     schema = with_columns(docs, toxicity="double")
 
     def task():
-        known, m = Memory(MEMORY_WORDS), shared.value
+        known, m = Memory(SCORED_WORDS), shared.value
         share = m.sharer()
 
         def step(batch):
