@@ -173,6 +173,20 @@ def test_token_files_equal_the_library(spark):
     assert sorted(got) == token_files.brute_force(rows, token_files.default_tokenizer())
 
 
+def test_words_encode_as_the_library_encodes_texts():
+    import random
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(token_files.default_tokenizer())
+    codec = token_files.encoder(token_files.default_tokenizer())
+    rng = random.Random(9)
+    letters = "abcxyzABCéÉßñŒœİıſǆǅΣσςжЖ一あ½²ªº'.,-!_0 9\u0301\u00a0\u2028’“"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["it's WE'LL don't.", "<|ENDOFTEXT|> <|endoftext|>x", "a., b.. c,. d.", "STRASSE, Ünder. ªº, ſ."]
+    got = codec.ids([t.encode() for t in texts])
+    for t, g in zip(texts, got, strict=True):
+        assert np.frombuffer(g, codec.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids, t
+
+
 def test_token_files_of_odd_tables(spark):
     path = scratch_path(spark, "t")
     empty = token_files.write_files(docs_of(spark, []), path, token_files.default_tokenizer())

@@ -93,21 +93,23 @@ class Memory:
     def __init__(self, size: int):
         self.half, self.new, self.old = max(1, size // 2), {}, {}
 
-    def of(self, words: list, one: Callable | None = None, many: Callable | None = None) -> list:
-        """The value of each word, by ``one(word)`` or ``many(words)``."""
+    def ready(self, words: Iterable, one: Callable | None = None, many: Callable | None = None) -> Callable:
+        """The lookup of a word's value, once all of ``words`` (without
+        repeats) are known, by ``one(word)`` or ``many(words)``."""
         if len(self.new) > self.half:
             self.old, self.new = self.new, {}
-        get = self.new.get
-        out = [get(w) for w in words]
-        missing = list(dict.fromkeys([w for w, v in zip(words, out, strict=True) if v is None]))
-        if not missing:
-            return out
-        found = {w: self.old[w] for w in missing if w in self.old}
-        fresh = [w for w in missing if w not in found]
-        if fresh:
+        known, old = self.new, self.old
+        # One look into the large memory for each word; the caller's many
+        # lookups then go to a small one.
+        local = {w: known.get(w) for w in words}
+        missing = [w for w, v in local.items() if v is None]
+        if missing:
+            fresh = [w for w in missing if w not in old]
+            found = {w: old[w] for w in missing if w in old}
             found.update(zip(fresh, many(fresh) if many else map(one, fresh), strict=True))
-        self.new.update(found)
-        return [found[w] if v is None else v for w, v in zip(words, out, strict=True)]
+            known.update(found)
+            local.update(found)
+        return local.__getitem__
 
 
 def with_columns(df: DataFrame, **kinds: str) -> T.StructType:

@@ -87,8 +87,7 @@ def next_documents(docs: DataFrame) -> DataFrame:
     ids = src.select("doc_id").filter("doc_id IS NOT NULL")
     cuts = sorted({int(c) for c in ids.approxQuantile("doc_id", [i / blocks for i in range(1, blocks)], 0.25 / blocks)})
     # Block of an id: how many cuts are at or below it; null ids are block -1.
-    at = F.array(*map(F.lit, cuts)) if cuts else F.array().cast("array<bigint>")
-    own = F.when(F.col("doc_id").isNull(), -1).otherwise(_rank(at, F.col("doc_id"), len(cuts)))
+    own = F.when(F.col("doc_id").isNull(), -1).otherwise(_rank(_longs(cuts), F.col("doc_id"), len(cuts)))
     found = src.select("doc_id").withColumn("own", own).groupBy("own").agg(F.max("doc_id").alias("top"))
     tops = {r["own"]: r["top"] for r in found.collect()}  # one row per block
     order = sorted(tops, reverse=True)
@@ -96,25 +95,32 @@ def next_documents(docs: DataFrame) -> DataFrame:
         return src.select("doc_id", "text", F.lit(False).alias("guest"), own.alias("block"))
     guest_of = {below: above for above, below in zip(order, order[1:], strict=False)}
     guest_of[order[0]] = order[-1]  # after the last document comes the first
-    top_of = F.create_map(*[F.lit(x) for b in order for x in (b, tops[b])])
-    above = F.create_map(*[F.lit(x) for b, a in guest_of.items() for x in (b, a)])
+    # By block number plus one: its top id, and the block that its guest goes to.
+    top_of = _longs([tops.get(b) for b in range(-1, len(cuts) + 1)])
+    above = _longs([guest_of.get(b) for b in range(-1, len(cuts) + 1)])
     rows = src.withColumn("own", own)
     # Rows that share the top id are all guests; the first by order is read.
-    lead = F.col("doc_id").eqNullSafe(F.element_at(top_of, F.col("own")))
+    lead = F.col("doc_id").eqNullSafe(F.get(top_of, F.col("own") + 1))
     places = F.when(lead, F.array(F.struct(F.col("own").alias("block"), F.lit(False).alias("guest")),
-                                  F.struct(F.element_at(above, F.col("own")).alias("block"), F.lit(True).alias("guest")))
+                                  F.struct(F.get(above, F.col("own") + 1).cast("int").alias("block"), F.lit(True).alias("guest")))
                     ).otherwise(F.array(F.struct(F.col("own").alias("block"), F.lit(False).alias("guest"))))
     return rows.select("doc_id", "text", F.explode(places).alias("p")).select("doc_id", "text", "p.guest", "p.block")
 
 
+def _longs(values: list[int | None]) -> Column:
+    """A constant array; made of one text, so that the plan stays small."""
+    if not values:
+        return F.array().cast("array<bigint>")
+    return F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",").try_cast("array<bigint>")
+
+
 def _rank(cuts: Column, value: Column, n: int) -> Column:
     """How many of the sorted cuts are at or below the value, by halving."""
-    low = F.lit(0)
-    step = 1 << max(n.bit_length() - 1, 0)
-    while step and n:
-        low = low + F.when(F.coalesce(F.get(cuts, low + (step - 1)) <= value, F.lit(False)), step).otherwise(0)
-        step >>= 1
-    return low
+    steps = [1 << i for i in reversed(range(n.bit_length()))]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: low + F.when(
+        F.coalesce(F.get(cuts, low + step - 1) <= value, F.lit(False)), step).otherwise(0))
 
 
 def _order():

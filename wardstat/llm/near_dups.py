@@ -81,7 +81,7 @@ class Shingler:
         words = text.lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        w = np.array(self.known.of(words, xxhash.xxh64_intdigest), np.uint64)
+        w = np.fromiter(map(self.known.ready(set(words), xxhash.xxh64_intdigest), words), np.uint64, len(words))
         n = max(1, len(w) - self.size + 1)
         h = np.full(n, min(len(w), self.size), np.uint64)
         for j in range(min(self.size, len(w))):

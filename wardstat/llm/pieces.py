@@ -191,7 +191,7 @@ class PieceModel:
         if not self.by_word:
             return np.array(self.library.encode(text.decode("utf-8", "replace")), "<u4")
         words = _WORDS.findall(SPACE + text.decode("utf-8", "replace").replace(" ", SPACE))
-        return np.frombuffer(b"".join(self.known.of(words, self._word)), "<u4")
+        return np.frombuffer(b"".join(map(self.known.ready(set(words), self._word), words)), "<u4")
 
     def _word(self, word: str) -> bytes:
         """One word with the U+2581 before it: the library puts the first of

@@ -28,6 +28,8 @@ never read.
 
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
 
 import numpy as np
@@ -37,14 +39,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Memory, attempt, documents, in_arrow, scratch_path, stored, utf8
+from .common import SLICE_ROWS, Memory, attempt, documents, in_arrow, scratch_path, stored, utf8
 
 END_ID = 1
 #: Words remembered by a worker (two generations of half of it).
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 1_000_000
 _NO_ID = -(1 << 63)
 
 
+# Characters that the byte-level vocabulary writes for the 256 bytes: the
+# visible ones of Latin-1 for themselves, the others as U+0100 and up in order.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = dict(zip([*_VISIBLE, *(b for b in range(256) if b not in _VISIBLE)],
+                       [*map(chr, _VISIBLE), *(chr(0x100 + i) for i in range(256 - len(_VISIBLE)))], strict=True))
+
+
 class WordEncoder:
     """A tokenizer file whose patterns never match across white space."""
 
@@ -53,20 +62,36 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known = Memory(MEMORY_WORDS)
-
-    def ids(self, text: bytes) -> bytes:
-        """The ids of a text, packed."""
-        return b"".join(self.known.of(text.split(), many=self._words))
-
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """Packed ids of new words, encoded as one text and cut at the words'
-        places: a call for each word costs several times the work."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        got = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-        begins = np.fromiter((a for a, _ in got.offsets), np.int64, len(got.ids))
-        cuts = np.searchsorted(begins, np.cumsum([0, *(len(t) + 1 for t in texts)]))
-        ids = np.array(got.ids, self.dtype)
-        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        # Where the steps before the model do no more than these, a word of
+        # normalised small letters goes to the model as its bytes.
+        config = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
+        cuts = [x["type"] for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.bare = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, packed.  Words are what stands between ASCII
+        white space; A-Z are lower-cased here, as the tokenizer would, unless
+        that could make a special token."""
+        runs = [(t if not self.bare or b"<|" in t else t.lower()).split() for t in texts]
+        value = self.known.ready(set().union(*runs), self._word)
+        return [b"".join(map(value, words)) for words in runs]
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.bare:
+            # One comma or full stop after letters is a token of its own.
+            stop = text[-1] if text[-1] in ",." else ""
+            head = text[:-1] if stop else text
+            if head.isalpha() and head == head.lower() and unicodedata.is_normalized("NFC", head):
+                model = self.tokenizer.model
+                if not head.isascii():
+                    head = head.encode().decode("latin-1").translate(_BYTE_CHARS)
+                got = [t.id for t in model.tokenize(head)]
+                if stop:
+                    got += [t.id for t in model.tokenize(stop)]
+                return np.array(got, self.dtype).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -95,15 +120,15 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
         out, name, offsets, n_docs = None, None, [0], 0
         streams = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                piece = batch.slice(at, SLICE_ROWS)
                 if out is None and piece.num_rows:
                     name = f"part-{attempt()}"
                     store.create_dir(folder, recursive=True)
                     streams = {k: store.open_output_stream(f"{folder}/{name}.{k}") for k in ("ids", "off", "doc")}
                     out = streams["ids"]
                     streams["off"].write(np.zeros(1, "<u8").tobytes())
-                packed = [codec.ids(t) + end for t in utf8(piece, "text")]
+                packed = [ids + end for ids in codec.ids(list(utf8(piece, "text")))]
                 sizes = np.array([len(p) for p in packed], np.uint64) // np.uint64(codec.dtype.itemsize)
                 out.write(b"".join(packed))
                 here = np.cumsum(sizes, dtype=np.uint64) + np.uint64(offsets[-1])

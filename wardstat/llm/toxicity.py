@@ -76,7 +76,7 @@ def _bucket_counts(training: DataFrame) -> DataFrame:
             for at, text in enumerate(utf8(batch, "text")):
                 words = words_of(text)
                 if words:
-                    here = np.concatenate(known.of(words, _packed))
+                    here = np.concatenate(list(map(known.ready(words, _packed), words)))
                     sums[int(label[at])] += np.bincount(here, minlength=BUCKETS)
         at = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[1, at]), pa.array(sums[0, at])],
@@ -100,7 +100,8 @@ def _features(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
         def step(batch):
             at, values = [], []
             for text in utf8(batch, "text"):
-                parts = known.of(words_of(text), own)
+                words = words_of(text)
+                parts = list(map(known.ready(words, own), words))
                 all_at = np.concatenate(parts) if parts else np.zeros(0, np.int32)
                 u, n = np.unique(all_at, return_counts=True)
                 at.append(u.astype("<i4").tobytes())
@@ -183,7 +184,11 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         share = m.sharer()
 
         def step(batch):
-            z = np.array([m.intercept + sum(known.of(words_of(t), share)) for t in utf8(batch, "text")])
+            z = []
+            for text in utf8(batch, "text"):
+                words = words_of(text)
+                z.append(m.intercept + sum(map(known.ready(words, share), words)))
+            z = np.array(z)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))))],
                                              [*batch.schema.names, "toxicity"])
         return step
