@@ -29,8 +29,10 @@ never read.
 from __future__ import annotations
 
 import json
+import string
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,7 @@ from .common import SLICE_ROWS, Memory, attempt, documents, in_arrow, scratch_pa
 
 END_ID = 1
 #: Words remembered by a worker (two generations of half of it).
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 1_400_000
 _NO_ID = -(1 << 63)
 
 
@@ -61,6 +63,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.model = self.tokenizer.model
         self.known = Memory(MEMORY_WORDS)
         # Where the steps before the model do no more than these, a word of
         # normalised small letters goes to the model as its bytes.
@@ -80,18 +84,17 @@ class WordEncoder:
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if self.bare:
-            # One comma or full stop after letters is a token of its own.
-            stop = text[-1] if text[-1] in ",." else ""
-            head = text[:-1] if stop else text
-            if head.isalpha() and head == head.lower() and unicodedata.is_normalized("NFC", head):
-                model = self.tokenizer.model
+            # ASCII marks after letters are one run, a token of their own.
+            head = text.rstrip(string.punctuation)
+            if head.isalpha() and (head.isascii() or unicodedata.is_normalized("NFC", head)) and head == head.lower():
+                tail = text[len(head):]
                 if not head.isascii():
                     head = head.encode().decode("latin-1").translate(_BYTE_CHARS)
-                got = [t.id for t in model.tokenize(head)]
-                if stop:
-                    got += [t.id for t in model.tokenize(stop)]
-                return np.array(got, self.dtype).tobytes()
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+                return self._model(head) + (self._model(tail) if tail else b"")
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _model(self, text: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(text)]).tobytes()
 
 
 _encoders: dict[str, WordEncoder] = {}
