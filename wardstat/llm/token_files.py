@@ -45,7 +45,7 @@ from .common import SLICE_ROWS, Memory, attempt, documents, in_arrow, scratch_pa
 
 END_ID = 1
 #: Words remembered by a worker (two generations of half of it).
-MEMORY_WORDS = 1_400_000
+MEMORY_WORDS = 1_200_000
 _NO_ID = -(1 << 63)
 
 

@@ -44,9 +44,9 @@ FIT_ROWS = 20_000
 #: Features that enter the regression.
 KEPT = 1024
 THRESHOLD = 0.3
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 #: The same where a word's value is one number.
-SCORED_WORDS = 1_000_000
+SCORED_WORDS = 400_000
 _WORDS = re.compile(r"[^\W_]+")
 
 
