@@ -8,7 +8,6 @@ import __spark_entry__ as E
 from conftest import SF_SMALL
 from wardstat.operators import aggregates as A
 from wardstat.operators import windows as W
-from wardstat.operators.joins import broadcast_if_small, has_at_most
 from wardstat.sources import fixtures as fx
 
 
@@ -76,11 +75,25 @@ def test_no_cross_or_nested_loop_joins(spark, name):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-def test_size_check_is_bounded(spark):
-    big = spark.range(0, 1_000_000)
-    assert has_at_most(spark.range(0, 10), 10)
-    assert not has_at_most(big, 1000)
-    assert "ResolvedHint" not in broadcast_if_small(big, 1000)._jdf.queryExecution().analyzed().toString()
+def test_no_join_side_is_hinted(spark):
+    for df in (fx.admissions(spark, SF_SMALL), E.queries()["join_dim"](spark, SF_SMALL), E.queries()["avg_cost"](spark, SF_SMALL)):
+        assert "ResolvedHint" not in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_pivots_scan_the_rows_once(spark):
+    from wardstat.operators import gold as G
+    from wardstat.operators import upload as U
+    up = U.prepare_upload(fx.admissions_fact(spark, SF_SMALL))
+    for df in (G.trends(up), G.rate_matrix(up)):
+        p = plan(df)
+        assert "FileScan" not in p and "Scan parquet" not in p and "ExistingRDD" in p
+
+
+def test_warehouse_cost_aggregates_below_the_join(spark):
+    p = plan(E.queries()["create_tables"](spark, SF_SMALL))
+    join = next(i for i, ln in enumerate(p.split("\n")) if "Join" in ln)
+    below = "\n".join(p.split("\n")[join:])
+    assert "partial_sum" in below
 
 
 def test_kpis_single_scan_no_join(spark):

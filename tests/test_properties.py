@@ -12,10 +12,10 @@ LINE = st.lists(FIELD, min_size=0, max_size=8).map(",".join)
 
 
 def java_split(line: str) -> list[str]:
-    """The reference rule: split on ',' and drop trailing empty strings
-    (an empty line still yields one empty field)."""
+    """The line-oriented jobs' rule: split on ',' and drop all trailing empty
+    strings; only the empty line itself yields one empty field."""
     parts = line.split(",")
-    while len(parts) > 1 and parts[-1] == "":
+    while line and parts and parts[-1] == "":
         parts.pop()
     return parts
 
@@ -36,3 +36,10 @@ def test_flags_match_python(spark, values):
     row = df.agg(F.sum(S.flag("r")).alias("exact"), F.sum(S.flag("r", "Yes", True)).alias("ci")).first()
     assert row.exact == sum(v == "Yes" for v in values)
     assert row.ci == sum(v is not None and v.lower() == "yes" for v in values)
+
+
+def test_header_lines_are_known_quoted_and_with_a_mark(spark):
+    from wardstat.sources import files as FS
+    rest = "," + ",".join(["x"] * 9)
+    lines = spark.createDataFrame([(h + rest,) for h in ["patient_id", '"patient_id"', "\ufeffpatient_id", "patient_idx", "P1"]], "value string")
+    assert sorted(r.patient_id for r in FS.parse_lines(lines).collect()) == ["P1", "patient_idx"]

@@ -55,7 +55,7 @@ def test_hot_key_join_is_split_by_aqe(skew_conf):
     fact = _skewed_fact(spark)
     dim = spark.range(1000).select(F.col("id").cast("string").alias("hospital_id"),
                                    F.lit("t").alias("hospital_type"))
-    j = join_dim(fact.select("hospital_id", "treatment_cost"), dim, "hospital_id", max_broadcast_rows=0)
+    j = join_dim(fact.select("hospital_id", "treatment_cost"), dim, "hospital_id")
     rows = j.collect()
     assert len(rows) == 300_000
     plan = j._jdf.queryExecution().executedPlan().toString()

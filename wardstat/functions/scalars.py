@@ -43,14 +43,15 @@ def split_fields(line, sep: str = ",") -> Column:
     """Split a delimited line into an array of fields.
 
     A trailing run of empty fields is dropped first, as the line-oriented
-    jobs did (``a,b,,`` has two fields), so that field-count filters keep
-    their meaning.
+    jobs did (``a,b,,`` has two fields, ``,,`` has none, an empty line has
+    one empty field), so that field-count filters keep their meaning.
     """
     if len(sep) == 1:
         stripped = F.rtrim(_c(line), F.lit(sep))   # no regex for one character
     else:
         stripped = F.regexp_replace(_c(line), f"({_escape(sep)})+$", "")
-    return F.split(stripped, _escape(sep))
+    only_seps = (F.length(_c(line)) > 0) & (F.length(stripped) == 0)
+    return F.when(only_seps, F.array().cast("array<string>")).otherwise(F.split(stripped, _escape(sep)))
 
 
 def _escape(sep: str) -> str:

@@ -16,9 +16,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scalars as S
-from .joins import DEFAULT_BROADCAST_ROWS, broadcast_if_small
+
+# Decimals kept of a cost that comes as a double.
+DOUBLE_SCALE = 10
 
 
 def _total(count_col: str | None):
@@ -90,8 +93,15 @@ def weekend_compare(adm: DataFrame) -> DataFrame:
                                      rate(True).alias("weekend_rate"))
 
 
-def avg_cost(adm: DataFrame, dim: DataFrame, cost_scale: int = 2,
-             max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def exact_cost(df: DataFrame, col: str = "treatment_cost") -> F.Column:
+    """The column as a decimal: with its own scale if it is one already, else
+    with ``DOUBLE_SCALE`` decimals (amounts of money have far fewer)."""
+    kind = df.schema[col].dataType
+    scale = kind.scale if isinstance(kind, T.DecimalType) else DOUBLE_SCALE
+    return F.col(col).cast(T.DecimalType(38, scale))
+
+
+def avg_cost(adm: DataFrame, dim: DataFrame) -> DataFrame:
     """AVG(treatment_cost) by hospital_type and disease over the inner join
     with the hospital dimension, ordered by the average, highest first.
 
@@ -101,13 +111,11 @@ def avg_cost(adm: DataFrame, dim: DataFrame, cost_scale: int = 2,
     reduced map-side like any other.  Sums are exact decimals, so the
     result does not depend on row order.
     """
-    dec = f"decimal(38,{cost_scale})"
     per_hospital = (adm.where(F.col("hospital_id").isNotNull())
                     .groupBy("hospital_id", "disease")
-                    .agg(F.sum(F.col("treatment_cost").cast(dec)).alias("_cost_sum"),
+                    .agg(F.sum(exact_cost(adm)).alias("_cost_sum"),
                          F.count("treatment_cost").alias("_cost_n")))
-    dim_small = broadcast_if_small(dim.select("hospital_id", "hospital_type"), max_broadcast_rows)
-    joined = per_hospital.join(dim_small, "hospital_id", "inner")
+    joined = per_hospital.join(dim.select("hospital_id", "hospital_type"), "hospital_id", "inner")
     return (joined.groupBy("hospital_type", "disease")
             .agg(S.ratio(F.sum("_cost_sum"), F.sum("_cost_n")).alias("avg_cost"))
             .orderBy(F.desc("avg_cost"), "hospital_type", "disease"))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import ensure_checkpoint_dir
 
 # The KPI texts for "no disease" and "no target rate".
 UNKNOWN_DISEASE = "Unknown"
@@ -66,17 +67,18 @@ def kpi_total(df: DataFrame) -> DataFrame:
 
 
 def kpi_regions(df: DataFrame) -> DataFrame:
-    """Distinct regions, a NULL region counting as one value."""
-    return df.agg((F.count_distinct("region")
-                   + F.max(F.col("region").isNull().cast("int"))).cast("long").alias("regions_analyzed"))
+    """Distinct regions, a NULL region counting as one value; 0 without rows."""
+    null_region = F.coalesce(F.max(F.col("region").isNull().cast("int")), F.lit(0))
+    return df.agg((F.count_distinct("region") + null_region).cast("long").alias("regions_analyzed"))
 
 
 def kpi_top_disease(df: DataFrame) -> DataFrame:
-    """Most frequent disease and its count (ties -> smallest name)."""
+    """Most frequent disease and its count (ties -> smallest name, a NULL
+    disease counting as one); ``Unknown`` and 0 without rows."""
     counts = df.groupBy("disease").agg(F.count(F.lit(1)).alias("n"))
     top = counts.agg(F.min(F.struct((-F.col("n")).alias("neg_n"), F.col("disease").alias("d"))).alias("m"))
-    return top.select(F.coalesce(F.col("m.d"), F.lit(UNKNOWN_DISEASE)).alias("top_disease"),
-                      (-F.col("m.neg_n")).alias("cases"))
+    return top.select(F.when(F.col("m").isNull(), F.lit(UNKNOWN_DISEASE)).otherwise(F.col("m.d")).alias("top_disease"),
+                      F.coalesce(-F.col("m.neg_n"), F.lit(0)).cast("long").alias("cases"))
 
 
 def kpi_target_rate(df: DataFrame) -> DataFrame:
@@ -86,43 +88,36 @@ def kpi_target_rate(df: DataFrame) -> DataFrame:
                   .alias("avg_readmission_rate"))
 
 
-def pivot_values(df: DataFrame, col: str, max_values: int | None = None) -> list:
-    """The distinct values of ``col``, sorted (NULL first), as Spark's own
-    ``pivot`` finds them: a distributed distinct, of which at most
-    ``max_values + 1`` values (default ``spark.sql.pivotMaxValues``) reach
-    the driver.  More values than that is an error, never a silent cut."""
-    if max_values is None:
-        max_values = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues", "10000"))
-    vals = [r[0] for r in df.select(col).distinct().orderBy(F.col(col).asc_nulls_first())
-            .limit(max_values + 1).collect()]
-    if len(vals) > max_values:
-        raise ValueError(f"{col} has more than {max_values} distinct values to pivot on")
-    return vals
-
-
-def _is(value, col: str = "disease") -> F.Column:
-    """``col`` equals ``value`` (NULL-safe, so a NULL value is a column too)."""
-    return F.col(col).eqNullSafe(F.lit(value))
-
-
-def _name(value) -> str:
-    return "null" if value is None else str(value)
+def _small(df: DataFrame) -> DataFrame:
+    """A grouped result (one row per pair of keys) kept under the shared
+    checkpoint folder: ``pivot`` looks for its columns and then aggregates, and
+    neither is to scan the rows behind it again."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def trends(df: DataFrame, diseases: Sequence[str] | None = None) -> DataFrame:
     """Rows = year (first four characters of ``time_var``), one column per
     disease with the row count, 0 where absent, ordered by year.
 
-    One aggregation with a conditional count per disease (one shuffle of
-    partial counts).  The diseases are discovered from the data
-    (``pivot_values``) unless given; given values are taken as the whole
+    The rows are grouped by year and disease in one scan, and that small result is pivoted.
+    The diseases are found in the data (at most ``spark.sql.pivotMaxValues``,
+    more is an error) unless given; given values are taken as the whole
     domain (a disease outside them has no column).  A NULL disease becomes
     a ``null`` column.
     """
-    values = list(diseases) if diseases is not None else pivot_values(df, "disease")
-    grouped = df.withColumn("year", S.year_prefix("time_var")).groupBy("year")
-    out = grouped.agg(*[F.count(F.when(_is(d), F.lit(1))).alias(_name(d)) for d in values])
-    return out.orderBy("year")
+    per = _small(df.groupBy(S.year_prefix("time_var").alias("year"), "disease").agg(F.count(F.lit(1)).alias("n")))
+    return per.groupBy("year").pivot("disease", _listed(diseases)).agg(F.sum("n")).fillna(0).orderBy("year")
+
+
+def pivot_mean(df: DataFrame, rows: str, columns: str, value: str, values: Sequence | None = None,
+               fill: float | None = 0.0) -> DataFrame:
+    """One row per ``rows``, one column per value of ``columns``, with the
+    mean of ``value`` rounded to two places; cells without one are ``fill``
+    (``None``: NULL).  One scan, then a pivot of the grouped result."""
+    per = _small(df.groupBy(rows, columns).agg(F.avg(value).alias("mean")))
+    out = per.groupBy(rows).pivot(columns, _listed(values)).agg(F.round(F.max("mean"), 2))
+    return out if fill is None else out.fillna(fill)
 
 
 def rate_matrix(df: DataFrame, diseases: Sequence[str] | None = None,
@@ -132,10 +127,8 @@ def rate_matrix(df: DataFrame, diseases: Sequence[str] | None = None,
     Empty cells are 0 by default (indistinguishable from a zero rate);
     ``fill=None`` keeps them NULL.
     """
-    values = list(diseases) if diseases is not None else pivot_values(df, "disease")
-    out = df.groupBy("region").agg(*[F.round(F.avg(F.when(_is(d), F.col("is_target"))), 2).alias(_name(d))
-                                     for d in values])
-    if fill is None:
-        return out
-    value_cols = [c for c in out.columns if c != "region"]
-    return out.na.fill(fill, subset=value_cols)
+    return pivot_mean(df, "region", "disease", "is_target", diseases, fill)
+
+
+def _listed(values: Sequence | None) -> list | None:
+    return None if values is None else list(values)

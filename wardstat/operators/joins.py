@@ -1,51 +1,21 @@
 """Join helpers.
 
-Broadcasting is used only for a side whose size has been checked; above
-the bound the join is left to the planner (sort-merge or shuffle-hash,
-with AQE free to switch strategy and to split skewed partitions).
+No side is hinted: the planner broadcasts one whose size in bytes is within
+``spark.sql.autoBroadcastJoinThreshold``, AQE does so at run time when a side
+turns out that small, and splits skewed partitions of the others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-# Largest row count we hint for broadcast.  A dimension row here is a few
-# short strings, so this stays far below the default 8 GiB broadcast limit.
-DEFAULT_BROADCAST_ROWS = 1_000_000
 
-
-_checked: dict[tuple[str, int, int], bool] = {}
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
-
-    Reads at most ``max_rows + 1`` rows (a limit job), never the whole
-    input, so it is cheap on both small and huge tables.  The answer is
-    remembered per application and plan, so repeated queries over the
-    same dimension check it once.
-    """
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
-    if key not in _checked:
-        _checked[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _checked[key]
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Hint ``df`` for broadcast only if its row count is within the bound."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
-def join_dim(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner",
-             max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def join_dim(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Fact-to-dimension equi-join on ``key``.
 
-    The dimension is broadcast when it is checked to be small.  Otherwise
-    the planner shuffles both sides on the key; a hot key on the fact side
-    is split by AQE's skew-join handling.  Callers that aggregate right
-    after the join should aggregate the fact by ``key`` first (see
-    ``operators.aggregates.avg_cost``) so the shuffle carries one row per
-    key and group instead of one per fact row.
+    A hot key on the fact side is split by AQE's skew-join handling.  Callers
+    that aggregate right after the join should aggregate the fact by ``key``
+    first (see ``operators.aggregates.avg_cost``) so the shuffle carries one
+    row per key and group instead of one per fact row.
     """
-    return fact.join(broadcast_if_small(dim, max_broadcast_rows), on=key, how=how)
+    return fact.join(dim, on=key, how=how)

@@ -7,7 +7,7 @@ Two forests, as in the reference:
   evaluated by area under ROC on the rest.
 * ``ordinal``: the same columns as alphabetical integer codes (no
   one-hot, treated as ordered numbers), plus cost; 50 trees of depth 5,
-  seed 42, trained on all rows.  This is the model used for scoring:
+  seed 42.  This is the model used for scoring:
   an unseen value gets code 0.
 
 Training and evaluation are distributed Spark ML jobs; nothing is
@@ -38,15 +38,33 @@ NUMERIC = ["treatment_cost"]
 # Column order of the ordinal model's feature vector.
 ORDINAL_ORDER = ["age_band", "disease", "gender"]
 LABEL = "label"
+# Fixed value: the status text of a trained model's record.
+READY = "Ready for Production"
 
 
-def _use_all_cores(df: DataFrame) -> DataFrame:
-    """Spread a small input over every core before an iterative fit.  Only
-    when it has fewer partitions than the cluster has cores: a large input
-    already has more partitions and is left unshuffled.  (Spark sorts rows
-    before a round-robin repartition, so a re-run task gets the same rows.)"""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+# Partitions of a training set, whatever the cluster: bagging draws per
+# partition, so the layout is part of the model.
+FIT_PARTITIONS = 32
+# Rows a forest is fitted on, at most about (chosen by a hash of the row).
+FIT_ROWS = 2_000_000
+
+
+def row_hash(*cols: str) -> F.Column:
+    """A number from 0 to 999,999 made of a row's text: the first eight
+    hexadecimal digits of the md5 of its columns' texts joined by ``|``."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 1_000_000
+
+
+def fit_layout(df: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The rows to fit on, laid out by their content alone: at most about
+    ``fit_rows`` of them (a share of the row hashes), dealt to
+    ``FIT_PARTITIONS`` partitions by hash and sorted.  So the same rows give
+    the same forest on any cluster and from any files."""
+    total = df.count()
+    if total > fit_rows:
+        df = df.where(row_hash(*df.columns) < int(1_000_000 * fit_rows / total))
+    return df.repartition(FIT_PARTITIONS, *df.columns).sortWithinPartitions(*df.columns)
 
 
 def with_label(adm: DataFrame) -> DataFrame:
@@ -83,12 +101,13 @@ def _ordinal_codes(model) -> SQLTransformer:
 
 
 def train_ordinal(adm: DataFrame, num_trees: int = 50, max_depth: int = 5,
-                  seed: int = 42) -> PipelineModel:
-    """Fit the ordinal-code forest on all rows."""
-    data = _use_all_cores(with_label(adm).select(*CATEGORICAL, *NUMERIC, LABEL)) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
+                  seed: int = 42, fit_rows: int = FIT_ROWS) -> PipelineModel:
+    """Fit the ordinal-code forest; the codes come from all rows, the trees
+    from at most about ``fit_rows`` of them (``fit_layout``)."""
+    rows = with_label(adm).select(*CATEGORICAL, *NUMERIC, LABEL)
+    data = fit_layout(rows, fit_rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        idx_models = Pipeline(stages=indexers("alphabetAsc")).fit(data).stages
+        idx_models = Pipeline(stages=indexers("alphabetAsc")).fit(rows).stages
         codes = _ordinal_codes(idx_models[0])
         asm = VectorAssembler(inputCols=[f"{c}_code" for c in ORDINAL_ORDER] + NUMERIC,
                               outputCol="features", handleInvalid="keep")
@@ -102,14 +121,14 @@ def train_ordinal(adm: DataFrame, num_trees: int = 50, max_depth: int = 5,
 
 
 def split(adm: DataFrame, train_fraction: float = 0.8, seed: int = 42,
-          method: str = "random") -> tuple[DataFrame, DataFrame]:
+          method: str = "hash") -> tuple[DataFrame, DataFrame]:
     """Train/test split.
 
+    ``hash`` (default): a row goes to train when ``row_hash`` of its content falls
+    below the fraction -- the same split whatever the layout, partitioning
+    or run (identical rows land on the same side), without a sort.
     ``random``: seeded ``randomSplit`` (per-row Bernoulli draw); repeatable
-    for the same physical layout of the input.  ``hash``: a row goes to
-    train when a seeded hash of its content falls below the fraction --
-    the same split whatever the layout, partitioning or run (identical
-    rows land on the same side).
+    for the same physical layout of the input only.
     """
     labelled = with_label(adm)
     if method == "random":
@@ -117,26 +136,24 @@ def split(adm: DataFrame, train_fraction: float = 0.8, seed: int = 42,
         return train, test
     if method != "hash":
         raise ValueError(f"unknown split method {method!r}")
-    buckets = 1_000_000
-    h = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in adm.columns]), F.lit(buckets))
-    in_train = h < F.lit(int(train_fraction * buckets))
+    in_train = row_hash(*adm.columns) < F.lit(round(train_fraction * 1_000_000))
     return labelled.where(in_train), labelled.where(~in_train)
 
 
-def train_onehot(adm: DataFrame, num_trees: int = 20, seed: int = 42,
-                 train_fraction: float = 0.8,
-                 split_method: str = "random") -> tuple[PipelineModel, DataFrame, float]:
+def train_onehot(adm: DataFrame, num_trees: int = 20, seed: int = 42, train_fraction: float = 0.8,
+                 split_method: str = "hash", fit_rows: int = FIT_ROWS) -> tuple[PipelineModel, DataFrame, float, float]:
     """Fit the one-hot forest on the training split; returns the model, the
-    test split and the training time in seconds."""
+    test split, its area under ROC and the seconds that training and
+    evaluation took."""
     train, test = split(adm, train_fraction, seed, split_method)
-    train = _use_all_cores(train).persist(StorageLevel.MEMORY_AND_DISK)
+    train = fit_layout(train.select(*CATEGORICAL, *NUMERIC, LABEL), fit_rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         t0 = time.time()
         model = onehot_pipeline(num_trees, seed).fit(train)
-        secs = time.time() - t0
+        score = auc(model, test)
+        return model, test, score, time.time() - t0
     finally:
         train.unpersist()
-    return model, test, secs
 
 
 def auc(model: PipelineModel, test: DataFrame) -> float:
@@ -159,7 +176,7 @@ def score(model: PipelineModel, df: DataFrame, threshold: float = HIGH_RISK_THRE
 
 
 def model_meta(spark: SparkSession, model_type: str, auc_score: float, seconds: float,
-               features: list[str] | None = None, status: str = "Ready for Production") -> DataFrame:
+               features: list[str] | None = None, status: str = READY) -> DataFrame:
     """One-row metrics record of a trained model."""
     return spark.createDataFrame(
         [(model_type, float(auc_score), float(seconds), features or CATEGORICAL + NUMERIC, status)],

@@ -62,7 +62,7 @@ def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "pos
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (tagged.join(F.broadcast(offsets), "_part")
-            .withColumn(name, (F.col("_offset") + F.col("_local") + F.lit(1)).cast("int"))
+            .withColumn(name, (F.col("_offset") + F.col("_local") + F.lit(1)).cast("long"))
             .drop("_mid", "_part", "_local", "_offset"))
 
 
@@ -89,7 +89,9 @@ def latest_n(df: DataFrame, ts: str, n: int = 20, keys: Sequence[str] = (),
     Overall: a top-``n`` (each task keeps ``n`` rows).  Per key:
     ``row_number() <= n`` over the key, which Spark plans with a partial
     WindowGroupLimit before the shuffle, so a hot key sends at most ``n``
-    rows per map task instead of all its rows.
+    rows per map task instead of all its rows (up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; for a larger ``n`` all
+    rows of a key are sorted in one task, spilling as needed).
     """
     order = [F.col(ts).desc()] + [F.col(c).desc() for c in tie_breakers]
     if not keys:

@@ -18,6 +18,7 @@ from ..operators import aggregates as A
 from ..operators import gold as G
 from ..operators import ml as ML
 from ..operators import upload as U
+from ..schemas import ADMISSIONS
 from ..sources import files as FS
 from ..sources import gold as GS
 from ..sources import lake as LK
@@ -40,14 +41,15 @@ def process_upload(spark: SparkSession, csv_path: str, gold_dir: str,
     """Read an uploaded CSV, map roles, flag the target and write the gold
     tables as JSON under ``gold_dir``; returns table -> path.
 
-    The mapped frame is persisted, so the CSV is parsed once for all the
-    gold tables instead of once per table.  ``required`` columns are
+    The mapped frame's columns that the gold tables need are persisted, so
+    the CSV is parsed once for all of them and nothing else is kept.  ``required`` columns are
     checked first (``MissingColumnsError``, exit code 2).
     """
     raw = U.read_upload(spark, csv_path)
     if required:
         U.require_columns(raw, list(required))
-    df = U.prepare_upload(raw).persist()
+    mapped = U.prepare_upload(raw)
+    df = mapped.select(*[c for c in ("disease", "region", "time_var", "is_target") if c in mapped.columns]).persist()
     try:
         return {name: GS.write_gold(t, name, gold_dir, partitions=1 if name == "gold_kpis" else None)
                 for name, t in gold_tables(df, diseases).items()}
@@ -68,9 +70,9 @@ def run_batch(spark: SparkSession, admissions: DataFrame, out_dir: str,
         FS.kv_lines(freq, ["region", "age_band", "disease"], F.col("cases").cast("string")),
         f"{out_dir}/disease_frequency")
     if train:
-        model, test, secs = ML.train_onehot(lake)
+        model, _, score, secs = ML.train_onehot(lake.select(*ADMISSIONS.fieldNames()))
         out["model"] = ML.save_model(model, f"{out_dir}/model")
-        meta = ML.model_meta(spark, "RandomForestClassifier", ML.auc(model, test), secs)
+        meta = ML.model_meta(spark, "RandomForestClassifier", score, secs)
         out["model_meta"] = GS.write_gold(meta, "ml_model_meta", out_dir, partitions=1)
     return out
 

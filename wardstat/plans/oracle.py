@@ -93,11 +93,9 @@ FROM t GROUP BY disease
 """)
 
 SQL["avg_cost"] = q("""
-SELECT h.hospital_type, p.disease,
-       CAST(SUM(CAST(p.treatment_cost AS DECIMAL(38,2))) AS DOUBLE) / COUNT(p.treatment_cost) AS avg_cost
-FROM admissions p JOIN hospitals_dim h ON p.hospital_id = h.hospital_id
-GROUP BY h.hospital_type, p.disease
-ORDER BY avg_cost DESC, hospital_type, disease
+SELECT (SELECT min(hospital_type) FROM hospitals_dim d WHERE d.hospital_id = a.hospital_id) AS hospital_type, disease,
+       CAST(SUM(CAST(treatment_cost AS DECIMAL(38,2))) AS DOUBLE) / COUNT(treatment_cost) AS avg_cost
+FROM admissions a WHERE hospital_id IN (SELECT hospital_id FROM hospitals_dim) GROUP BY ALL
 """)
 
 SQL["cases_by_region_year"] = q("""
@@ -105,12 +103,12 @@ SELECT region, year, disease, COUNT(patient_id) AS total_cases FROM admissions G
 """)
 
 SQL["yoy_growth"] = q("""
-WITH c AS (SELECT region, year, disease, COUNT(patient_id) AS total_cases
+WITH n AS (SELECT region, year, disease, COUNT(patient_id) AS total_cases,
+                  ROW_NUMBER() OVER (PARTITION BY region, disease ORDER BY year) AS k
            FROM admissions GROUP BY region, year, disease)
-SELECT region, year, disease, total_cases,
-       LAG(total_cases, 1) OVER (PARTITION BY region, disease ORDER BY year) AS prev_year_cases,
-       total_cases - LAG(total_cases, 1) OVER (PARTITION BY region, disease ORDER BY year) AS yoy_difference
-FROM c ORDER BY region, disease, year
+SELECT n.region, n.year, n.disease, n.total_cases, p.total_cases AS prev_year_cases,
+       n.total_cases - p.total_cases AS yoy_difference
+FROM n LEFT JOIN n p ON p.region = n.region AND p.disease = n.disease AND p.k = n.k - 1
 """)
 
 SQL["regional_burden"] = q("""
@@ -155,8 +153,7 @@ SQL["kpis"] = q(f"""
 WITH {_UPLOADED},
 dc AS (SELECT disease, COUNT(*) AS n FROM uploaded GROUP BY disease)
 SELECT format('{{:,}}', (SELECT COUNT(*) FROM uploaded)) AS total_records_processed,
-       (SELECT CAST(COUNT(DISTINCT region) + MAX(CASE WHEN region IS NULL THEN 1 ELSE 0 END) AS BIGINT)
-        FROM uploaded) AS regions_analyzed,
+       (SELECT COUNT(*) FROM (SELECT DISTINCT region FROM uploaded)) AS regions_analyzed,
        COALESCE((SELECT disease FROM dc ORDER BY n DESC, disease NULLS FIRST LIMIT 1), 'Unknown') AS top_disease,
        COALESCE(printf('%.1f%%', (SELECT AVG(is_target) FROM uploaded) * 100.0), '0%') AS avg_readmission_rate
 """)
@@ -168,8 +165,7 @@ SELECT COUNT(*) AS total_records FROM uploaded
 
 SQL["kpi_regions"] = q(f"""
 WITH {_UPLOADED}
-SELECT CAST(COUNT(DISTINCT region) + MAX(CASE WHEN region IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS regions_analyzed
-FROM uploaded
+SELECT COUNT(*) AS regions_analyzed FROM (SELECT DISTINCT region FROM uploaded)
 """)
 
 SQL["kpi_top_disease"] = q(f"""
@@ -195,7 +191,7 @@ WITH {_UPLOADED}
 
 SQL["order_by_year"] = q(f"""
 WITH {_UPLOADED}, t AS ({_TREND})
-SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY year) AS INTEGER) AS year_rank FROM t
+SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY year) AS BIGINT) AS year_rank FROM t
 """)
 
 _RATE_COLS = ",\n       ".join(
@@ -224,15 +220,9 @@ SELECT region, disease, COUNT(patient_id) AS total_admissions,
 FROM admissions GROUP BY region, disease ORDER BY region, disease LIMIT 5
 """)
 
-SQL["order_by_cost"] = q("""
-WITH c AS (
-  SELECT h.hospital_type, p.disease,
-         CAST(SUM(CAST(p.treatment_cost AS DECIMAL(38,2))) AS DOUBLE) / COUNT(p.treatment_cost) AS avg_cost
-  FROM admissions p JOIN hospitals_dim h ON p.hospital_id = h.hospital_id
-  GROUP BY h.hospital_type, p.disease)
-SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY avg_cost DESC, hospital_type, disease) AS INTEGER) AS cost_rank
-FROM c
-""")
+SQL["order_by_cost"] = SQL["avg_cost"].replace(
+    "SELECT (SELECT min", "SELECT *, ROW_NUMBER() OVER (ORDER BY avg_cost DESC, hospital_type, disease) AS cost_rank FROM (SELECT (SELECT min"
+).rstrip() + ")"
 
 # --- scalar functions and rules ----------------------------------------------
 
@@ -309,7 +299,7 @@ SQL["readmission_rates_lines"] = q(_RATE_KV)
 SQL["sink_kv_text"] = q(_RATE_KV)
 SQL["order_by_key"] = q(f"""
 WITH kv AS ({_RATE_KV})
-SELECT key, value, CAST(ROW_NUMBER() OVER (ORDER BY key) AS INTEGER) AS line_no FROM kv
+SELECT key, value, CAST(ROW_NUMBER() OVER (ORDER BY key) AS BIGINT) AS line_no FROM kv
 """)
 
 SQL["sink_partitioned"] = q("""
@@ -327,37 +317,35 @@ SELECT DISTINCT 'part_year=' || CAST(year AS VARCHAR) || '/part_region=' || regi
 
 SQL["create_tables"] = SQL["avg_cost"]
 
-SQL["yoy_growth_sql"] = q("""
-WITH c AS (SELECT region, CAST(year AS VARCHAR) AS year, disease, COUNT(patient_id) AS total_cases
-           FROM admissions GROUP BY ALL)
-SELECT region, year, disease, total_cases,
-       LAG(total_cases, 1) OVER (PARTITION BY region, disease ORDER BY year) AS prev_year_cases,
-       total_cases - LAG(total_cases, 1) OVER (PARTITION BY region, disease ORDER BY year) AS yoy_difference
-FROM c ORDER BY region, disease, year
-""")
+SQL["yoy_growth_sql"] = SQL["yoy_growth"].replace("SELECT n.region, n.year,", "SELECT n.region, CAST(n.year AS VARCHAR) AS year,")
 
 SQL["sink_gold_json"] = SQL["kpis"]
 SQL["scan_gold_json"] = SQL["trend_pivot"]
-SQL["scan_or_default"] = SQL["regional_burden"]
+SQL["scan_or_default"] = q("""
+SELECT 'read' AS source, region, COUNT(*) AS cases FROM admissions GROUP BY region
+UNION ALL SELECT s, region, CAST(-1 AS BIGINT) FROM (SELECT DISTINCT region FROM admissions), (VALUES ('missing'), ('broken')) AS t(s)
+""")
 
 # --- vitals stream ---------------------------------------------------------------
 
 _FLAGGED = """SELECT *, (COALESCE(heart_rate, 0) > 120 OR COALESCE(oxygen_level, 100) < 90) AS anomaly_detected
 FROM vitals"""
+# What a message carries: oxygen within its bounds, readings with one decimal.
+_MESSAGES = """SELECT strftime(ts, '%H:%M:%S') AS "timestamp", event_id, patient_id, ts, ROUND(heart_rate, 1) AS heart_rate,
+       ROUND(LEAST(100.0, GREATEST(85.0, oxygen_level)), 1) AS oxygen_level
+FROM vitals"""
+_PUSHED = f"""SELECT event_id, patient_id, ts, heart_rate, oxygen_level,
+       (COALESCE(heart_rate, 0) > 120 OR COALESCE(oxygen_level, 100) < 90) AS anomaly_detected FROM ({_MESSAGES})"""
 
-SQL["stream_decode"] = q("""
-SELECT strftime(ts, '%H:%M:%S') AS "timestamp", event_id, patient_id, ts, heart_rate,
-       LEAST(100.0, GREATEST(85.0, oxygen_level)) AS oxygen_level
-FROM vitals
-""")
+SQL["stream_decode"] = q(_MESSAGES)
 
 SQL["stream_anomaly"] = q(_FLAGGED)
 
-SQL["stream_push"] = q(_FLAGGED)
+SQL["stream_push"] = q(_PUSHED)
 
-SQL["stream_latest_20"] = q(_FLAGGED + " ORDER BY ts DESC, event_id DESC LIMIT 20")
+SQL["stream_latest_20"] = q(_PUSHED + " ORDER BY ts DESC, event_id DESC LIMIT 20")
 
-SQL["latest_n"] = SQL["stream_latest_20"]
+SQL["latest_n"] = q(_FLAGGED + " ORDER BY ts DESC, event_id DESC LIMIT 20")
 
 SQL["latest_n_per_key"] = q("""
 SELECT * FROM vitals
@@ -379,9 +367,15 @@ FROM admissions GROUP BY {c}""" for c in ["age_band", "gender", "disease"]))
 SQL["ingest_admissions"] = q("SELECT * FROM admissions")
 
 SQL["project"] = q("SELECT region, age_band, disease FROM admissions")
-SQL["filter_malformed"] = q("SELECT * FROM admissions")
+_N = "CAST(patient_id AS BIGINT)"
+_GOOD_DATE = f"{_N} % 7 <> 0 AND {_N} % 13 <> 0"
+SQL["filter_malformed"] = q(f"""
+SELECT patient_id, age_band, gender, region, hospital_id, disease, CASE WHEN {_GOOD_DATE} THEN admission_date END AS admission_date,
+       year, CASE WHEN {_N} % 5 = 0 THEN upper(readmitted) ELSE readmitted END AS readmitted, treatment_cost
+FROM admissions WHERE {_N} % 11 <> 0
+""")
 SQL["filter_bad_date"] = q(f"""
-SELECT patient_id, disease, admission_date, {_DAY_TYPE} AS day_type FROM admissions
+SELECT patient_id, disease, admission_date, {_DAY_TYPE} AS day_type FROM admissions WHERE {_N} % 11 <> 0 AND {_GOOD_DATE}
 """)
 SQL["sink_kafka"] = SQL["stream_decode"]
 SQL["ml_onehot"] = q("\nUNION ALL\n".join(f"""
@@ -403,9 +397,10 @@ _SCALAR_SQL = {
     "year_prefix": "SELECT admission_date, substr(CAST(admission_date AS VARCHAR), 1, 4) AS year_text FROM admissions",
     "year_of": "SELECT admission_date, CAST(year(admission_date) AS INT) AS year_of_date FROM admissions",
     "day_type": f"SELECT admission_date, {_DAY_TYPE} AS day_type FROM admissions",
-    "parse_date": """SELECT strftime(admission_date, '%Y-%m-%d') AS date_text,
-                            CAST(try_strptime(strftime(admission_date, '%Y-%m-%d'), '%Y-%m-%d') AS DATE) AS parsed_date
-                     FROM admissions""",
+    "parse_date": """SELECT CASE WHEN n % 3 = 0 THEN strftime(admission_date, '%d-%m-%Y') WHEN n % 5 = 0 THEN '2021-02-30'
+                                 WHEN n % 7 = 0 THEN '' ELSE strftime(admission_date, '%Y-%m-%d') END AS date_text,
+                            CASE WHEN n % 3 <> 0 AND n % 5 <> 0 AND n % 7 <> 0 THEN admission_date END AS parsed_date
+                     FROM (SELECT *, CAST(patient_id AS BIGINT) AS n FROM admissions)""",
     "format_date": """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day_text, strftime(ts, '%H:%M:%S') AS time_text
                       FROM vitals""",
     "date_plus_days": "SELECT admission_date, CAST(admission_date + INTERVAL 30 DAY AS DATE) AS followup_date FROM admissions",
@@ -413,8 +408,8 @@ _SCALAR_SQL = {
     "cast_double": """SELECT hospital_id, TRY_CAST(hospital_id AS DOUBLE) AS hospital_num,
                              TRY_CAST(region AS DOUBLE) AS region_num FROM admissions""",
     "clamp": "SELECT event_id, heart_rate, LEAST(100.0, GREATEST(85.0, heart_rate)) AS heart_rate_bounded FROM vitals",
-    "fill_default": """SELECT event_id, COALESCE(heart_rate, 0.0) AS heart_rate,
-                              COALESCE(oxygen_level, 100.0) AS oxygen_level FROM vitals""",
+    "fill_default": """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE heart_rate END AS heart_rate,
+                              CASE WHEN event_id % 6 = 0 THEN 100.0 ELSE oxygen_level END AS oxygen_level FROM vitals""",
     "if_else": "SELECT readmitted, CASE WHEN readmitted = 'Yes' THEN 1 ELSE 0 END AS readmit_flag FROM admissions",
     "in_set": f"""SELECT readmitted, CAST(CASE WHEN readmitted IN ({_POS}) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_target
                   FROM admissions""",
@@ -437,10 +432,10 @@ SELECT region, disease, printf('%d,%d,%.4f', total, readmitted, CAST(readmitted
 SQL["format_pct"] = q(f"""WITH {_RATES}
 SELECT region, disease, printf('%.1f%%', CAST(readmitted AS DOUBLE) / total * 100.0) AS rate_text FROM rates""")
 SQL["flag_yes"] = q(f"WITH {_RATES} SELECT * FROM rates")
-SQL["flag_yes_ci"] = q("""
-SELECT region, disease, COUNT(*) AS total,
-       CAST(SUM(CASE WHEN lower(readmitted) = 'yes' THEN 1 ELSE 0 END) AS BIGINT) AS readmitted
-FROM admissions GROUP BY region, disease
+SQL["flag_yes_ci"] = q(f"""
+SELECT region, disease, COUNT(*) AS total, COUNT(*) FILTER (readmitted = 'Yes') AS readmitted,
+       COUNT(*) FILTER (readmitted = 'Yes' AND {_N} % 5 <> 0) AS readmitted_exact
+FROM admissions WHERE {_N} % 11 <> 0 GROUP BY region, disease
 """)
 
 _YEAR_COLS = ",\n       ".join(
@@ -448,7 +443,7 @@ _YEAR_COLS = ",\n       ".join(
 SQL["fillna_0"] = q(f"""
 WITH u AS (SELECT region, substr(CAST(admission_date AS VARCHAR), 1, 4) AS year,
                   CAST(CASE WHEN readmitted IN ({_POS}) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_target
-           FROM admissions)
+           FROM admissions WHERE year % 2 = 0 OR length(region) <= 6)
 SELECT region,
        {_YEAR_COLS.replace("year = ", "year = '").replace(" THEN is_target", "' THEN is_target")}
 FROM u GROUP BY region
@@ -463,12 +458,8 @@ FROM admissions
 
 SQL["rename"] = SQL["regional_burden"]
 SQL["role_fallback"] = q("SELECT patient_id AS region, COUNT(*) AS cases FROM admissions GROUP BY patient_id")
-SQL["source_kafka"] = q("""
-SELECT strftime(ts, '%H:%M:%S') AS "timestamp", event_id, patient_id, ts, heart_rate,
-       LEAST(100.0, GREATEST(85.0, oxygen_level)) AS oxygen_level
-FROM vitals
-""")
-SQL["sink_stream_push"] = q(_FLAGGED)
+SQL["source_kafka"] = SQL["stream_decode"]
+SQL["sink_stream_push"] = q(_PUSHED)
 
 SQL["yearly_disease_counts_lines"] = q("""
 SELECT CAST(year AS VARCHAR) || '|' || disease AS key, CAST(COUNT(*) AS VARCHAR) AS value
@@ -495,3 +486,15 @@ WITH lab AS (SELECT age_band, gender, disease, treatment_cost,
 SELECT label, list_concat({_HOT}, [treatment_cost]) AS features
 FROM lab JOIN i_age_band USING (age_band) JOIN i_gender USING (gender) JOIN i_disease USING (disease)
 """)
+
+# Split by content: the same digits of the same md5.
+SQL["ml_split"] = q("""
+WITH r AS (SELECT CAST('0x' || substr(md5(concat_ws('|', patient_id, age_band, gender, region, hospital_id, disease,
+                  CAST(admission_date AS VARCHAR), CAST(year AS VARCHAR), readmitted, CAST(treatment_cost AS VARCHAR))), 1, 8)
+                  AS BIGINT) % 1000000 < 800000 AS train FROM admissions)
+SELECT CASE WHEN train THEN 'train' ELSE 'test' END AS part, COUNT(*) AS "rows" FROM r GROUP BY ALL
+""")
+SQL["ml_score"] = q("""
+SELECT age_band, disease, treatment_cost, gender, TRUE AS in_range, TRUE AS class_agrees, TRUE AS text_agrees FROM admissions
+""")
+SQL["sink_model"] = SQL["ml_score"]

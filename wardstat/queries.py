@@ -9,6 +9,8 @@ library over the whole input.
 
 from __future__ import annotations
 
+import uuid
+
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
@@ -26,7 +28,7 @@ from .operators import upload as U
 from .operators import windows as W
 from .plans import batch as B
 from .plans import hive as H
-from .schemas import ADMISSIONS
+from .schemas import ADMISSIONS, DATABASE, DIMENSION_TABLE, FACT_TABLE
 from .session import scratch_path
 from .sources import files as FS
 from .sources import fixtures as fx
@@ -255,7 +257,21 @@ def _csv_copy(spark, sf_dir):
     """The admissions exported once as CSV (with header) under the shared
     folder: the input of the CSV and text-line readers."""
     return _once(spark, f"admissions-csv:{sf_dir}", lambda: FS.write_csv(
-        _adm(spark, sf_dir), scratch_path(spark, "admissions-csv")))
+        _adm(spark, sf_dir), scratch_path(spark, "admissions") + ".csv"))
+
+
+def _dirty_lines(spark, sf_dir):
+    """The admissions as raw lines with faults by patient number: every 7th
+    has no date, every 11th lost its last five fields, every 13th has an
+    impossible date, every 5th says ``YES`` or ``NO``."""
+    cols = {c: F.col(c).cast("string") for c in ADMISSIONS.fieldNames()}
+    n = F.col("patient_id").cast("long")
+    cols["admission_date"] = F.when(n % 7 == 0, "").when(n % 13 == 0, "2021-02-30").otherwise(cols["admission_date"])
+    cols["readmitted"] = F.when(n % 5 == 0, F.upper("readmitted")).otherwise(cols["readmitted"])
+    names = ADMISSIONS.fieldNames()
+    line = F.when(n % 11 == 0, F.concat_ws(",", *[cols[c] for c in names[:5]])).otherwise(
+        F.concat_ws(",", *[cols[c] for c in names]))
+    return _adm(spark, sf_dir).select(line.alias("value"))
 
 
 @register("sink_csv")
@@ -317,16 +333,15 @@ def q_project(spark, sf_dir):
 
 @register("filter_malformed")
 def q_filter_malformed(spark, sf_dir):
-    """Lines with all fields, split and typed without failing on bad values."""
-    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
-    return FS.typed_admissions(FS.parse_lines(lines, min_fields=9))
+    """Lines with all fields, split and typed without failing on bad values:
+    short lines go, bad dates become NULL."""
+    return FS.typed_admissions(FS.parse_lines(_dirty_lines(spark, sf_dir), min_fields=9))
 
 
 @register("filter_bad_date")
 def q_filter_bad_date(spark, sf_dir):
     """Rows whose date text parses strictly, with their day type."""
-    lines = FS.read_lines(spark, _csv_copy(spark, sf_dir))
-    parsed = FS.parse_lines(lines, min_fields=9)
+    parsed = FS.parse_lines(_dirty_lines(spark, sf_dir), min_fields=9)
     return A.with_day_type(parsed).select("patient_id", "disease",
                                           S.parse_date("admission_date").alias("admission_date"), "day_type")
 
@@ -365,27 +380,32 @@ def q_scan_partitioned(spark, sf_dir):
     return LK.read_lake(spark, _lake(spark, sf_dir))
 
 
-def _registered(spark, sf_dir):
-    db_dir = scratch_path(spark, "warehouse")
-    return LK.register_tables(spark, _lake(spark, sf_dir), db_location=db_dir,
-                              hospitals=fx.hospitals_dim(spark, sf_dir), fmt="parquet",
-                              replace=True)
+def _registered(spark, sf_dir, fmt="parquet"):
+    """The tables in a database of this call's own: no other catalog entry
+    is touched."""
+    lake = _csv_lake(spark, sf_dir) if fmt == "csv" else _lake(spark, sf_dir)
+    database = f"{DATABASE}_{uuid.uuid4().hex[:12]}"
+    LK.register_tables(spark, lake, database, db_location=scratch_path(spark, "warehouse"),
+                       hospitals=fx.hospitals_dim(spark, sf_dir), fmt=fmt)
+    return database
 
 
 @register("repair_partitions")
 def q_repair_partitions(spark, sf_dir):
-    return H.show_partitions(spark, _registered(spark, sf_dir))
+    return H.show_partitions(spark, f"{_registered(spark, sf_dir)}.{FACT_TABLE}")
 
 
 @register("create_tables")
 def q_create_tables(spark, sf_dir):
-    """The warehouse cost query over the created tables."""
-    return H.avg_cost_sql(spark, _registered(spark, sf_dir))
+    """The warehouse cost query over the created tables: the external text
+    table and the dimension table."""
+    database = _registered(spark, sf_dir, "csv")
+    return H.avg_cost_sql(spark, f"{database}.{FACT_TABLE}", f"{database}.{DIMENSION_TABLE}")
 
 
 @register("yoy_growth_sql")
 def q_yoy_growth_sql(spark, sf_dir):
-    return H.yoy_growth_sql(spark, _registered(spark, sf_dir))
+    return H.yoy_growth_sql(spark, f"{_registered(spark, sf_dir)}.{FACT_TABLE}")
 
 
 def _write_gold_tables(spark, sf_dir):
@@ -415,11 +435,19 @@ def q_scan_gold_json(spark, sf_dir):
 
 @register("scan_or_default")
 def q_scan_or_default(spark, sf_dir):
-    """Regional burden from its gold table; a missing table would give the
-    (empty) default instead."""
+    """Regional burden from its gold table, and the default in place of a
+    table that is missing and of one with a line that is no JSON."""
     base = _gold_dir(spark, sf_dir)
-    default = spark.createDataFrame([], "region string, cases long")
-    return GS.read_or_default(spark, GS.gold_path(base, "gold_regional"), default)
+    good = spark.createDataFrame([], "region string, cases long")
+    fallback = _adm(spark, sf_dir).select(F.col("region"), F.lit(-1).cast("long").alias("cases")).distinct()
+    broken = scratch_path(spark, "gold-broken")
+    (spark.read.text(GS.gold_path(base, "gold_regional")).select("value")
+     .unionByName(_adm(spark, sf_dir).select(F.concat(F.lit("{"), "region").alias("value")).distinct()).write.text(broken))
+    parts = [("read", GS.read_or_default(spark, GS.gold_path(base, "gold_regional"), good)),
+             ("missing", GS.read_or_default(spark, GS.gold_path(base, "no_such_table"), fallback)),
+             ("broken", GS.read_or_default(spark, broken, fallback))]
+    out = [df.select(F.lit(name).alias("source"), "region", "cases") for name, df in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 # --- vitals stream ---------------------------------------------------------------
@@ -442,6 +470,14 @@ def _vitals_stream(spark, sf_dir):
     return V.flag_anomaly(sdf).drop("timestamp")
 
 
+def _gappy_vitals(spark, sf_dir):
+    """Vitals with NULL readings by event number: every 4th has no heart
+    rate, every 6th no oxygen level."""
+    return _vitals(spark, sf_dir).withColumns({
+        "heart_rate": F.when(F.col("event_id") % 4 != 0, F.col("heart_rate")),
+        "oxygen_level": F.when(F.col("event_id") % 6 != 0, F.col("oxygen_level"))})
+
+
 @register("stream_decode")
 def q_stream_decode(spark, sf_dir):
     """Encode each reading as a message and decode it with the schema."""
@@ -506,14 +542,16 @@ def q_ml_label(spark, sf_dir):
 def q_ml_index(spark, sf_dir):
     """(feature, value, index) of the frequency-ordered string indexers."""
     adm = _adm(spark, sf_dir).select(*ML.CATEGORICAL)
-    indexed = Pipeline(stages=ML.indexers()).fit(adm).transform(adm)
-    parts = [indexed.select(F.lit(c).alias("feature"), F.col(c).alias("value"),
-                            F.col(f"{c}_indexed").alias("index")).distinct()
-             for c in ML.CATEGORICAL]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    model = Pipeline(stages=ML.indexers()).fit(adm)
+    return _stacked(model.transform(adm.distinct()), lambda c: {"index": F.col(f"{c}_indexed")})
+
+
+def _stacked(df, columns):
+    """One row per feature and value of a frame with a row per combination
+    of values, with ``columns(feature)``."""
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"),
+                              *[v.alias(k) for k, v in columns(c).items()]) for c in ML.CATEGORICAL])
+    return df.select(F.explode(rows).alias("r")).select("r.*").distinct()
 
 
 @register("ml_assemble")
@@ -533,15 +571,10 @@ def q_ml_onehot(spark, sf_dir):
     and every seen value has its one."""
     adm = _adm(spark, sf_dir).select(*ML.CATEGORICAL)
     stages = ML.onehot_pipeline().getStages()[:2]
-    enc = Pipeline(stages=stages).fit(adm).transform(adm)
-    parts = [enc.select(F.lit(c).alias("feature"), F.col(c).alias("value"),
-                        F.col(f"{c}_indexed").alias("index"),
-                        F.array_position(vector_to_array(f"{c}_vec"), 1.0).cast("int").alias("hot_position"))
-             .distinct() for c in ML.CATEGORICAL]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    enc = Pipeline(stages=stages).fit(adm).transform(adm.distinct())
+    return _stacked(enc, lambda c: {
+        "index": F.col(f"{c}_indexed"),
+        "hot_position": F.array_position(vector_to_array(f"{c}_vec"), 1.0).cast("int")})
 
 
 @register("ml_split")
@@ -554,15 +587,15 @@ def q_ml_split(spark, sf_dir):
 @register("ml_train_rf")
 def q_ml_train_rf(spark, sf_dir):
     """Test-split predictions of the one-hot forest."""
-    model, test, _ = ML.train_onehot(_adm(spark, sf_dir))
+    model, test, _, _ = ML.train_onehot(_adm(spark, sf_dir))
     pred = model.transform(test)
     return pred.select("label", "prediction", vector_to_array("probability")[1].alias("p_readmit"))
 
 
 @register("ml_auc")
 def q_ml_auc(spark, sf_dir):
-    model, test, secs = ML.train_onehot(_adm(spark, sf_dir))
-    return ML.model_meta(spark, "RandomForestClassifier", ML.auc(model, test), secs)
+    _, _, score, secs = ML.train_onehot(_adm(spark, sf_dir))
+    return ML.model_meta(spark, "RandomForestClassifier", score, secs)
 
 
 def _ordinal_model_path(spark, sf_dir):
@@ -593,22 +626,33 @@ def q_ml_train_rf_ordinal(spark, sf_dir):
         F.avg(vector_to_array("probability")[1]).alias("mean_p_readmit"))
 
 
+def _checked_scores(scored):
+    """The requests with what must hold of every score: it is a
+    probability, its text is its rounding, and the class follows the threshold."""
+    p = F.col("probability")
+    return scored.select(
+        "age_band", "disease", "treatment_cost", "gender", p.between(0, 1).alias("in_range"),
+        (F.col("prediction") == F.when(p > R.HIGH_RISK_THRESHOLD, R.HIGH_RISK).otherwise(R.LOW_RISK)).alias("class_agrees"),
+        (F.abs(F.regexp_replace("probability_text", "%", "").cast("double") - p * 100) <= 0.0501).alias("text_agrees"))
+
+
 @register("ml_score")
 def q_ml_score(spark, sf_dir):
-    return ML.score(_ordinal_model(spark, sf_dir), _requests(spark, sf_dir))
+    """Every request scored, as columns that SQL can hold against."""
+    return _checked_scores(ML.score(_ordinal_model(spark, sf_dir), _requests(spark, sf_dir)))
 
 
 @register("sink_model")
 def q_sink_model(spark, sf_dir):
-    """Score with the model after a save/load round trip."""
+    """The same with the model after a save/load round trip."""
     path = ML.save_model(_ordinal_model(spark, sf_dir), scratch_path(spark, "model-copy"))
-    return ML.score(ML.load_model(path), _requests(spark, sf_dir))
+    return _checked_scores(ML.score(ML.load_model(path), _requests(spark, sf_dir)))
 
 
 @register("sink_model_meta")
 def q_sink_model_meta(spark, sf_dir):
-    model, test, secs = ML.train_onehot(_adm(spark, sf_dir))
-    meta = ML.model_meta(spark, "RandomForestClassifier", ML.auc(model, test), secs)
+    _, _, score, secs = ML.train_onehot(_adm(spark, sf_dir))
+    meta = ML.model_meta(spark, "RandomForestClassifier", score, secs)
     base = scratch_path(spark, "model-meta")
     GS.write_gold(meta, "ml_model_meta", base, partitions=1)
     return GS.read_gold(spark, "ml_model_meta", base, schema=meta.schema)
@@ -620,9 +664,7 @@ def q_sink_model_meta(spark, sf_dir):
 def q_process_upload(spark, sf_dir):
     """The upload job over the admissions exported as ``.csv`` (types
     inferred, roles found by name); returns its KPI gold table."""
-    csv_path = _once(spark, f"upload-csv:{sf_dir}", lambda: FS.write_csv(
-        _adm(spark, sf_dir), scratch_path(spark, "upload") + ".csv"))
-    paths = B.process_upload(spark, csv_path, scratch_path(spark, "upload-gold"))
+    paths = B.process_upload(spark, _csv_copy(spark, sf_dir), scratch_path(spark, "upload-gold"))
     return GS.read_gold(spark, "gold_kpis", paths["gold_kpis"].rsplit("/", 1)[0])
 
 
@@ -645,6 +687,14 @@ def _rates(spark, sf_dir):
         F.count(F.lit(1)).alias("total"), F.sum(S.flag("readmitted")).cast("long").alias("readmitted"))
 
 
+def _odd_date():
+    """Date texts, by patient number: every 3rd day-first, every 5th
+    impossible, every 7th empty."""
+    n = F.col("patient_id").cast("long")
+    return (F.when(n % 3 == 0, S.format_date("admission_date", "dd-MM-yyyy")).when(n % 5 == 0, F.lit("2021-02-30"))
+            .when(n % 7 == 0, F.lit("")).otherwise(S.format_date("admission_date")))
+
+
 _SCALAR_QUERIES = {
     "concat_key": ("adm", lambda df: df.select("region", "disease",
                                                S.concat_key("region", "disease").alias("key"))),
@@ -656,9 +706,7 @@ _SCALAR_QUERIES = {
     "year_prefix": ("adm", lambda df: df.select("admission_date", S.year_prefix("admission_date").alias("year_text"))),
     "year_of": ("adm", lambda df: df.select("admission_date", S.year_of("admission_date").alias("year_of_date"))),
     "day_type": ("adm", lambda df: df.select("admission_date", S.day_type("admission_date").alias("day_type"))),
-    "parse_date": ("adm", lambda df: df.select(
-        S.format_date("admission_date").alias("date_text"),
-        S.parse_date(S.format_date("admission_date")).alias("parsed_date"))),
+    "parse_date": ("adm", lambda df: df.select(_odd_date().alias("date_text"), S.parse_date(_odd_date()).alias("parsed_date"))),
     "format_date": ("vit", lambda df: df.select(
         "event_id", S.format_date("ts", "yyyy-MM-dd").alias("day_text"),
         S.format_date("ts", "HH:mm:ss").alias("time_text"))),
@@ -671,7 +719,7 @@ _SCALAR_QUERIES = {
         S.cast_double("region").alias("region_num"))),
     "clamp": ("vit", lambda df: df.select(
         "event_id", "heart_rate", S.clamp("heart_rate", 85.0, 100.0).alias("heart_rate_bounded"))),
-    "fill_default": ("vit", lambda df: df.select(
+    "fill_default": ("gap", lambda df: df.select(
         "event_id", S.fill_default("heart_rate", S.HEART_RATE_DEFAULT).alias("heart_rate"),
         S.fill_default("oxygen_level", S.OXYGEN_DEFAULT).alias("oxygen_level"))),
     "if_else": ("adm", lambda df: df.select(
@@ -698,7 +746,8 @@ _RATE_QUERIES = {
 
 
 def _scalar_query(src, fn):
-    return lambda spark, sf_dir: fn(_adm(spark, sf_dir) if src == "adm" else _vitals(spark, sf_dir))
+    source = {"adm": _adm, "vit": _vitals, "gap": _gappy_vitals}[src]
+    return lambda spark, sf_dir: fn(source(spark, sf_dir))
 
 
 def _rate_query(fn):
@@ -713,20 +762,21 @@ for _name, _fn in _RATE_QUERIES.items():
 
 @register("flag_yes_ci")
 def q_flag_yes_ci(spark, sf_dir):
-    return _adm(spark, sf_dir).groupBy("region", "disease").agg(
-        F.count(F.lit(1)).alias("total"), F.sum(S.flag("readmitted", "Yes", True)).cast("long").alias("readmitted"))
+    """Readmissions with ``yes`` in any case, of lines that write it so; exact
+    ``Yes`` next to it."""
+    parsed = FS.parse_lines(_dirty_lines(spark, sf_dir), min_fields=9)
+    return parsed.groupBy("region", "disease").agg(
+        F.count(F.lit(1)).alias("total"), F.sum(S.flag("readmitted", "Yes", True)).cast("long").alias("readmitted"),
+        F.sum(S.flag("readmitted")).cast("long").alias("readmitted_exact"))
 
 
 @register("fillna_0")
 def q_fillna_0(spark, sf_dir):
-    """Rate by region (rows) and year (columns, discovered from the data),
-    region-year cells without admissions filled with 0."""
-    up = _uploaded(spark, sf_dir)
-    years = G.pivot_values(up, "year")
-    out = up.groupBy("region").agg(*[F.round(F.avg(F.when(F.col("year").eqNullSafe(F.lit(y)),
-                                                          F.col("is_target"))), 2).alias(str(y))
-                                     for y in years])
-    return out.na.fill(0.0, subset=[str(y) for y in years])
+    """Rate by region (rows) and year (columns, found in the data); the
+    region-year cells without admissions (odd years of regions with a name
+    of more than six letters are left out here) are filled with 0."""
+    up = _uploaded(spark, sf_dir).where((F.col("year").cast("int") % 2 == 0) | (F.length("region") <= 6))
+    return G.pivot_mean(up, "region", "year", "is_target")
 
 
 @register("split")

@@ -53,7 +53,9 @@ def parse_lines(lines: DataFrame, min_fields: int = 9,
                 schema: T.StructType = ADMISSIONS_TEXT, sep: str = ",") -> DataFrame:
     """Split raw lines into the named text columns of ``schema``.
 
-    * a header line (first field ``patient_id``) is dropped;
+    * a header line is dropped: its first field is ``patient_id``, quoted or
+      not, with or without a byte-order mark.  Spark's text reader tells no
+      line's place in its file, so such a line is dropped wherever it stands;
     * trailing empty fields do not count (``...,Yes,`` has 9 fields,
       ``...,,`` with empty readmitted and cost has 8);
     * lines with fewer than ``min_fields`` fields are dropped (the
@@ -66,7 +68,7 @@ def parse_lines(lines: DataFrame, min_fields: int = 9,
     arr = S.split_fields("value", sep)
     parsed = lines.select(arr.alias("_f"))
     kept = parsed.where((F.size("_f") >= min_fields)
-                        & ~((S.field("_f", 0) == F.lit(HEADER_FIRST_FIELD))))
+                        & (F.btrim(S.field("_f", 0), F.lit("\ufeff\" ")) != F.lit(HEADER_FIRST_FIELD)))
     return kept.select(*[S.field("_f", i).alias(f.name) for i, f in enumerate(schema.fields)])
 
 

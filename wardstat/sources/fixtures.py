@@ -7,17 +7,13 @@ region, the disease is the part type and the hospital is the supplier.
 
 Join plan (designed for a large cluster):
 
-* ``region`` and ``nation`` have fixed, small cardinality; their size is
-  checked and they are broadcast into the customer scan, so the customer
-  side needs no extra shuffle for them.
-* ``customer``, ``orders`` and ``part`` are broadcast only while their
-  *base table* is within a row bound (checked with a limit over the scan,
-  never over a join; an inner join on a foreign key cannot have more rows
-  than this side's table).  The fact (``lineitem``) is never the build
-  side: it streams through the hash tables.
-* Above the bound these are large-to-large joins: the planner shuffles
-  them on the join keys (or broadcasts at run time through AQE when a side
-  turns out small), and AQE skew-join handling splits a hot key.
+* No side is hinted and nothing is counted beforehand: the planner knows
+  the files' sizes and broadcasts a side within
+  ``spark.sql.autoBroadcastJoinThreshold`` (``region``, ``nation``, small
+  dimensions), AQE does the same at run time when a joined side turns out
+  small.
+* The others are large-to-large joins, shuffled on the join keys; AQE
+  skew-join handling splits a hot key.
 * Only the columns a query uses survive column pruning, so an aggregate
   that needs region and disease never reads prices or dates.
 """
@@ -27,7 +23,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import has_at_most
 from ..schemas import ADMISSIONS
 from .tables import read_table, remember
 
@@ -39,23 +34,10 @@ AGE_BAND_SIZE_STEP = 5
 HOSPITAL_TYPES = ["Public", "Private", "Teaching"]
 BED_BASE, BED_STEP = 50, 25
 
-# The disease (part type) domain of the fixture, used as the
-# explicit pivot column list so pivot schemas are stable.
+# The disease (part type) domain of the fixture, which the
+# oracle's pivots spell out.
 DISEASES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
-# Row bounds proven before a side is broadcast: the code tables, and the
-# tables joined to the fact (a row there is two or three narrow columns,
-# so a million rows is tens of megabytes).
-_CODE_TABLE_ROWS = 10_000
-_JOIN_SIDE_ROWS = 1_000_000
-
-
-def _maybe_broadcast(spark, sf_dir, name, df, max_rows=_CODE_TABLE_ROWS):
-    """Broadcast ``df`` (derived from table ``name`` with at most as many
-    rows) when that table has at most ``max_rows`` rows."""
-    return F.broadcast(df) if has_at_most(read_table(spark, sf_dir, name), max_rows) else df
-
-
 def age_band(size_col) -> F.Column:
     """Part size 1-5 -> 0-10, 6-10 -> 11-20, ..., above 45 -> 90+."""
     expr = None
@@ -67,10 +49,8 @@ def age_band(size_col) -> F.Column:
 
 def customer_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(c_custkey, r_name): customer with its region name."""
-    region = _maybe_broadcast(spark, sf_dir, "region",
-                              read_table(spark, sf_dir, "region").select("r_regionkey", "r_name"))
-    nation = _maybe_broadcast(spark, sf_dir, "nation",
-                              read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"))
+    region = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     return (customer
             .join(nation, customer.c_nationkey == nation.n_nationkey)
@@ -84,14 +64,9 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
         "l_shipdate", "l_extendedprice")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    part = _maybe_broadcast(spark, sf_dir, "part",
-                            read_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type"),
-                            _JOIN_SIDE_ROWS)
-    cust = _maybe_broadcast(spark, sf_dir, "customer", customer_region(spark, sf_dir), _JOIN_SIDE_ROWS)
-    order_region = _maybe_broadcast(
-        spark, sf_dir, "orders",
-        orders.join(cust, orders.o_custkey == F.col("c_custkey")).select("o_orderkey", "o_custkey", "r_name"),
-        _JOIN_SIDE_ROWS)
+    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
+    cust = customer_region(spark, sf_dir)
+    order_region = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "o_custkey", "r_name")
     joined = (li.join(order_region, li.l_orderkey == order_region.o_orderkey)
               .join(part, li.l_partkey == part.p_partkey))
     return joined.select(

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
@@ -17,47 +20,59 @@ def gold_path(base_dir: str, name: str) -> str:
     return f"{base_dir.rstrip('/')}/{name}"
 
 
+def _schema_path(base_dir: str, name: str) -> str:
+    return f"{gold_path(base_dir, name)}.schema"
+
+
 def write_gold(df: DataFrame, name: str, base_dir: str, partitions: int | None = None) -> str:
-    """Write one gold table as JSON lines, replacing the previous version.
-
-    By default the table keeps the partitioning of the aggregation that
-    produced it (AQE packs a small result into few files), so a large
-    gold table -- e.g. one row per hospital of a big upload -- is still
-    written by many tasks.  ``partitions=n`` asks for ``n`` files; it uses
-    ``repartition`` (not ``coalesce``) so the aggregation above keeps its
-    parallelism.  Nothing passes through the driver.
+    """Write one gold table as JSON lines, replacing the previous version,
+    and its schema beside it.
+
+    Records are text made by ``to_json``: NULL fields stay in them, and
+    columns may differ in case only.  By default the table keeps the
+    partitioning of the aggregation that produced it (AQE packs a small
+    result into few files), so a large gold table -- e.g. one row per
+    hospital of a big upload -- is still written by many tasks.
+    ``partitions=n`` asks for ``n`` files; it uses ``repartition`` (not
+    ``coalesce``) so the aggregation above keeps its parallelism.  Nothing
+    passes through the driver.
     """
     out = df.repartition(partitions) if partitions else df
     path = gold_path(base_dir, name)
-    out.write.mode("overwrite").json(path)
+    schema = df.sparkSession.createDataFrame([(df.schema.json(),)], "value string")
+    schema.coalesce(1).write.mode("overwrite").text(_schema_path(base_dir, name))
+    out.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
     return path
 
 
 def read_gold(spark: SparkSession, name: str, base_dir: str,
               schema: T.StructType | None = None) -> DataFrame:
-    """Read a gold table; ``gold_kpis`` yields its first record only.
+    """Read a gold table with the schema it was written with (or the given
+    one); ``gold_kpis`` yields its first record only.
 
     Raises ``GoldTableNotFound`` when the table was never written.
     """
-    reader = spark.read.schema(schema) if schema is not None else spark.read
     try:
-        df = reader.json(gold_path(base_dir, name))
-        df.schema  # resolve now so a missing path fails here
+        lines = spark.read.text(gold_path(base_dir, name))
+        if schema is None:
+            schema = T.StructType.fromJson(json.loads(spark.read.text(_schema_path(base_dir, name)).first()["value"]))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
             raise GoldTableNotFound(f"{name}: data not found, process a dataset first") from e
         raise
+    df = lines.select(F.from_json("value", schema).alias("r")).select("r.*")
     return df.limit(1) if name == "gold_kpis" else df
 
 
 def read_or_default(spark: SparkSession, path: str, default: DataFrame,
                     schema: T.StructType | None = None) -> DataFrame:
-    """The JSON table at ``path``, or ``default`` when it is missing or
-    cannot be read (the schema of ``default`` is used for reading)."""
+    """The JSON table at ``path``, or ``default`` when it is missing or any
+    part of it cannot be read (the schema of ``default`` is used for
+    reading).  The whole table is parsed once to know."""
     schema = schema or default.schema
     try:
         df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-        df.limit(1).collect()  # surfaces unreadable files here, not at the caller
+        df.write.format("noop").mode("overwrite").save()
         return df
     except Exception:  # noqa: BLE001 - any read failure falls back
         return default

@@ -58,23 +58,21 @@ def read_lake(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 def register_tables(spark: SparkSession, lake_path: str, database: str = DATABASE,
                     db_location: str | None = None, fmt: str = "parquet",
-                    hospitals: DataFrame | None = None, replace: bool = False) -> str:
+                    hospitals: DataFrame | None = None) -> str:
     """Create the database, the partitioned external fact table over the
-    lake and (optionally) the hospital dimension as a view, then discover
-    the partitions.  Idempotent; ``replace`` re-points an existing fact
-    table at ``lake_path`` (metadata only, the old folder is untouched)."""
+    lake (``fmt="csv"``: headerless text) and, if given, the hospital
+    dimension as a table, then discover the partitions.  Idempotent; tables
+    that exist stay as they are, so take another ``database`` for another lake."""
     loc = f" LOCATION '{db_location}'" if db_location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{loc}")
-    if replace:
-        spark.sql(f"DROP TABLE IF EXISTS {database}.{FACT_TABLE}")
     cols = ", ".join(f"{f.name} {f.dataType.simpleString().upper()}" for f in LAKE_SCHEMA.fields)
     options = " OPTIONS (header 'false', dateFormat 'yyyy-MM-dd')" if fmt == "csv" else ""
     spark.sql(f"""CREATE TABLE IF NOT EXISTS {database}.{FACT_TABLE} ({cols})
                   USING {fmt}{options} PARTITIONED BY ({', '.join(LAKE_PARTITIONS)})
                   LOCATION '{lake_path}'""")
     repair_partitions(spark, f"{database}.{FACT_TABLE}")
-    if hospitals is not None:
-        hospitals.createOrReplaceTempView(DIMENSION_TABLE)
+    if hospitals is not None and not spark.catalog.tableExists(f"{database}.{DIMENSION_TABLE}"):
+        hospitals.write.saveAsTable(f"{database}.{DIMENSION_TABLE}")
     return f"{database}.{FACT_TABLE}"
 
 

@@ -24,6 +24,8 @@ from ..schemas import VITALS, VITALS_MESSAGE, VITALS_TOPIC
 TOPIC = VITALS_TOPIC
 # Messages built from vitals rows: the time-of-day text plus every column.
 VITALS_STREAM = T.StructType([T.StructField("timestamp", T.StringType())] + VITALS.fields)
+# Readings, which messages carry with one decimal.
+READINGS = ("heart_rate", "blood_pressure_systolic", "oxygen_level")
 # Microsecond timestamps in messages (the JSON default keeps milliseconds).
 JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
                 "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
@@ -32,10 +34,12 @@ JSON_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
 # --- codec ------------------------------------------------------------------
 
 def encode_vitals(df: DataFrame, time_col: str | None = "ts") -> DataFrame:
-    """One JSON text ``value`` per row (all columns), plus the message's
-    ``timestamp`` field as ``HH:mm:ss`` text when ``time_col`` is given."""
-    cols = [F.col(c) for c in df.columns]
-    if time_col and "timestamp" not in df.columns:
+    """One JSON text ``value`` per row, as every sink publishes it: all
+    columns, readings rounded to one decimal, and the message's
+    ``timestamp`` as ``HH:mm:ss`` text of ``time_col`` (unless the rows have
+    one already)."""
+    cols = [F.round(c, 1).alias(c) if c in READINGS else F.col(c) for c in df.columns]
+    if time_col and time_col in df.columns and "timestamp" not in df.columns:
         cols = [S.format_date(time_col, "HH:mm:ss").alias("timestamp")] + cols
     return df.select(F.to_json(F.struct(*cols), JSON_OPTIONS).alias("value"))
 
@@ -101,7 +105,7 @@ def write_vitals_files(df: DataFrame, path: str) -> str:
 def write_vitals_kafka(sdf: DataFrame, checkpoint: str, bootstrap_servers: str,
                        topic: str = TOPIC) -> StreamingQuery:
     """Publish each record as a JSON message (needs the Kafka connector)."""
-    return (encode_vitals(sdf, time_col=None).writeStream.format("kafka")
+    return (encode_vitals(sdf).writeStream.format("kafka")
             .option("kafka.bootstrap.servers", bootstrap_servers)
             .option("topic", topic)
             .option("checkpointLocation", checkpoint)
@@ -130,35 +134,58 @@ def write_stream_files(sdf: DataFrame, path: str, checkpoint: str, fmt: str = "p
     return w.start()
 
 
+def _generations(spark: SparkSession, path: str) -> list[tuple[int, str, int, str]]:
+    """Completed generations under ``path`` as (number, query, batch, folder),
+    oldest first; empty only if the folder does not exist yet."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    out = []
+    for status in fs.listStatus(place):
+        folder = status.getPath()
+        name = folder.getName().split("_")
+        if len(name) == 4 and name[0] == "gen" and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
+            out.append((int(name[1]), name[2], int(name[3]), folder.toString()))
+    return sorted(out)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def latest_n_writer(path: str, n: int = 20, ts: str = "ts", keys: Sequence[str] = (),
                     tie_breakers: Sequence[str] = ()) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function keeping the ``n`` most recent records
     (overall, or per key) under ``path``.
 
-    Batch ``b`` writes the new top ``n`` (previous kept rows plus the
-    batch) to ``path/batch_id=b``, overwriting that folder only, so a
-    re-run batch is idempotent; ``read_latest`` takes the newest folder.
-    The kept state is ``n`` rows (per key), whatever the stream size.
+    Every batch writes a new generation (the previous one's rows and its
+    own, cut to the top ``n``) and then deletes all but the last two, so a
+    batch reads one folder by name however long the stream runs.  A
+    generation's folder names the query and batch that wrote it: a batch
+    run again replaces its own generation from the one before it, and a
+    query restarted on a new checkpoint goes on from what is kept.
     """
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = read_latest(spark, path, before=batch_id)
-        rows = batch if prev is None else batch.unionByName(prev.select(*batch.columns))
+        query = (spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch").replace("_", "-")
+        done = _generations(spark, path)
+        if done and done[-1][1:3] == (query, batch_id):
+            number, done = done[-1][0], done[:-1]
+        else:
+            number = done[-1][0] + 1 if done else 0
+        rows = batch.unionByName(spark.read.parquet(done[-1][3]).select(*batch.columns)) if done else batch
         top = latest_n(rows, ts, n, keys, tie_breakers)
-        top.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        top.write.mode("overwrite").parquet(f"{path}/gen_{number:012d}_{query}_{batch_id}")
+        for _, _, _, folder in done[:-1]:
+            _delete(spark, folder)
     return fn
 
 
-def read_latest(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The newest kept top-``n`` written by ``latest_n_writer`` (only
-    batches before ``before`` when given), or None if there is none."""
-    try:
-        kept = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        return None
-    if before is not None:
-        kept = kept.where(F.col("batch_id") < before)
-    last = kept.agg(F.max("batch_id")).first()[0]
-    if last is None:
-        return None
-    return kept.where(F.col("batch_id") == last).drop("batch_id")
+def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows last kept by ``latest_n_writer``; None if nothing was kept
+    yet.  A folder that is there but cannot be read raises."""
+    done = _generations(spark, path)
+    return spark.read.parquet(done[-1][3]) if done else None
