@@ -55,7 +55,7 @@ SEED = 11
 LONG = 1024
 SLACK = 4.5
 BLOCK = 512
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 200_000
 
 SHINGLE = 3
 #: Similarity as a whole ratio: a link has ``100 * common >= PERCENT * union``.

@@ -34,7 +34,7 @@ from .common import Memory, documents, in_arrow, utf8
 SPACE = "▁"
 _SPACE = SPACE.encode()
 #: Words remembered by a worker (two generations of half of it).
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:

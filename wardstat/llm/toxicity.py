@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memory, crc_fold, documents, in_arrow, small, stored, table, utf8, with_columns
+from .common import Memory, crc_fold, documents, give_back, in_arrow, small, stored, table, utf8, with_columns
 
 BUCKETS = 1 << 18
 MASK = BUCKETS - 1
@@ -44,9 +44,9 @@ FIT_ROWS = 20_000
 #: Features that enter the regression.
 KEPT = 1024
 THRESHOLD = 0.3
-MEMORY_WORDS = 250_000
+MEMORY_WORDS = 150_000
 #: The same where a word's value is one number.
-SCORED_WORDS = 400_000
+SCORED_WORDS = 300_000
 _WORDS = re.compile(r"[^\W_]+")
 
 
@@ -78,6 +78,8 @@ def _bucket_counts(training: DataFrame) -> DataFrame:
                 if words:
                     here = np.concatenate(list(map(known.ready(words, _packed), words)))
                     sums[int(label[at])] += np.bincount(here, minlength=BUCKETS)
+        del known
+        give_back()
         at = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[1, at]), pa.array(sums[0, at])],
                                          ["bucket", "toxic", "other"])
