@@ -27,6 +27,7 @@ AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BROADCAST_ROWS = 1_000_000
 #: Rows of a batch that a Python step sees at once.
 SLICE_ROWS = 512
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ascii_lower(col: Column) -> Column:
@@ -67,6 +68,16 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if has_at_most(df, rows) else df
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold at most ``SLICE_ROWS``
+    rows (a smaller setting stays): the buffers of a batch lie outside an
+    executor's heap, once for each direction and task."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(BATCH_SETTING)) <= SLICE_ROWS:
+        conf.set(BATCH_SETTING, str(SLICE_ROWS))
+    return df
+
+
 def in_arrow(df: DataFrame, task: Callable[[], Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]],
              schema: str) -> DataFrame:
     """``mapInArrow`` where ``task()`` runs once per task and returns the
@@ -79,7 +90,7 @@ def in_arrow(df: DataFrame, task: Callable[[], Callable[[pa.RecordBatch], Iterab
                 yield from step(batch.slice(at, SLICE_ROWS))
         del step, batches
         give_back()
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def give_back() -> None:
@@ -152,4 +163,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 __all__ = ["AZ", "BROADCAST_ROWS", "Memory", "ascii_lower", "attempt", "crc_fold", "documents", "ensure_checkpoint_dir", "give_back",
-           "has_at_most", "in_arrow", "let", "scratch_path", "small", "stored", "table", "utf8", "wide_hash", "with_columns"]
+           "has_at_most", "in_arrow", "let", "scratch_path", "small", "small_batches", "stored", "table", "utf8", "wide_hash", "with_columns"]

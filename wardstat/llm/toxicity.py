@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memory, crc_fold, documents, give_back, in_arrow, small, stored, table, utf8, with_columns
+from .common import Memory, crc_fold, documents, give_back, in_arrow, small, small_batches, stored, table, utf8, with_columns
 
 BUCKETS = 1 << 18
 MASK = BUCKETS - 1
@@ -83,7 +83,7 @@ def _bucket_counts(training: DataFrame) -> DataFrame:
         at = np.flatnonzero(sums.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[1, at]), pa.array(sums[0, at])],
                                          ["bucket", "toxic", "other"])
-    return (training.mapInArrow(run, "bucket int, toxic double, other double")
+    return (small_batches(training).mapInArrow(run, "bucket int, toxic double, other double")
             .groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
 
 
