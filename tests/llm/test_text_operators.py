@@ -230,3 +230,20 @@ def test_banded_alignment_counts_as_the_full_one():
         best = max((f["matched"] for f in finds), default=0)
         full = licences.longest_common([w.encode() for w in text], [w.encode() for w in template])
         assert best == full
+
+
+def found_in(index, text):
+    return index.finds(np.array([index.word_id.get(w, 0) for w in decontaminate.words_of(text.encode())], np.uint64))
+
+
+def test_short_notices_are_found_with_any_word_changed_or_words_put_in():
+    index = licences.TemplateIndex(licences.TEMPLATES)
+    for name, text in licences.TEMPLATES:
+        template = decontaminate.words_of(text.encode())
+        for i in range(len(template)):
+            for new in ([b"other"], [], [template[i], b"put", b"in"]):
+                changed = template[:i] + new + template[i + 1:]
+                full = licences.longest_common(changed, template)
+                got = found_in(index, b" ".join([b"before", *changed, b"after"]).decode())
+                if full >= licences.COVERAGE * len(template):
+                    assert any(f["license"] == name and f["matched"] >= full for f in got), (name, i, new)

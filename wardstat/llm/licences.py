@@ -1,18 +1,20 @@
-"""License scans: winnowed fingerprints and banded alignment.
+"""License scans: an inverted index of template words and banded alignment.
 
 Templates are license texts and notices, a small table whose size is checked.
-Their ``K``-word hashes are winnowed (the least of every ``W`` successive
-ones, the rightmost of equal ones) into an inverted index hash -> (template,
-position), which is broadcast.  Every word run of a document is looked up in
-it; hits of one template on about the same diagonal (position in the text minus
-position in the template) make a candidate, and the candidate is aligned to the
+Of a template of ``m`` words that a find has to match in ``n`` words, every find
+matches at least one of any ``m - n + 1`` places.  So that many places, those
+whose words are the rarest in the templates, go into an inverted index word ->
+(template, place), which is broadcast.  Every word of a document is looked up in
+it; a hit whose surroundings hold enough of the template's words (each as often
+as the template has it) is a candidate, and the candidate is aligned to the
 template by a banded sequence alignment (matches count 1, and a gap or
-another word 0, along a band of ``BAND`` diagonals to both sides).  Reported are the share of the
+another word 0, along a band of diagonals to both sides).  Reported are the share of the
 template's words matched in order (coverage) and the span of the text between
 the first and the last matched word.  Of overlapping finds the one that matches more words stays.
 
-A run of ``K + W - 1`` template words in a text always meets the index; a shorter
-template is indexed whole.
+The band is ``BAND`` diagonals plus the words that a find may lack, so a text that
+matches enough words meets the index and the band, wherever words are missing
+or others stand in their place, with up to ``BAND`` words put in between.
 
 Words are runs of letters and digits, A-Z lower-cased, so line breaks,
 comment marks and punctuation do not matter.
@@ -25,6 +27,8 @@ gives no rows; other columns are never read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +37,7 @@ from pyspark.sql import functions as F
 from .common import documents, in_arrow, utf8
 from .decontaminate import words_of
 
-K = 4
-W = 4
-#: Diagonals to both sides of a candidate that its alignment may use.
+#: Words put into a template's text that its alignment bears.
 BAND = 16
 #: Share of a template's words that a find has to match.
 COVERAGE = 0.8
@@ -68,66 +70,60 @@ TEMPLATES = [
 ]
 
 
-def _gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    h = np.zeros(max(0, len(ids) - k + 1), np.uint64)
-    for j in range(k):
-        h = (h ^ ids[j:j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h
-
-
-def winnowed(h: np.ndarray, w: int) -> list[int]:
-    """Positions of the least hash of every window, the rightmost of equal ones."""
-    if len(h) <= w:
-        return [len(h) - 1 - int(np.argmin(h[::-1]))] if len(h) else []
-    windows = np.lib.stride_tricks.sliding_window_view(h, w)
-    at = np.arange(len(windows)) + w - 1 - np.argmin(windows[:, ::-1], 1)
-    return sorted(set(at.tolist()))
-
-
 class TemplateIndex:
-    """Words, fingerprints and lengths of the templates, as it is broadcast."""
+    """Words, indexed places and lengths of the templates, as it is broadcast."""
 
-    def __init__(self, templates: list[tuple[str, str]], k: int = K, w: int = W):
+    def __init__(self, templates: list[tuple[str, str]], coverage: float = COVERAGE):
         self.names, self.ids, self.word_id = [], [], {}
-        self.k = k
-        self.by_hash: dict[int, list[tuple[int, int]]] = {}
-        self.short: list[int] = []
+        self.coverage = coverage
+        self.by_word: dict[int, list[tuple[int, int]]] = {}
         for name, text in templates:
             words = words_of((text or "").encode())
             if not words:
                 continue
-            t = len(self.names)
             self.names.append(name)
             self.ids.append(np.array([self.word_id.setdefault(x, len(self.word_id) + 1) for x in words], np.uint64))
             if sum(map(len, self.ids)) > TEMPLATE_WORDS:
                 raise ValueError(f"templates have more than {TEMPLATE_WORDS} words; scan with parts of them")
-            if len(words) < k:
-                self.short.append(t)
-                continue
-            h = _gram_hashes(self.ids[t], k)
-            for p in winnowed(h, w):
-                self.by_hash.setdefault(int(h[p]), []).append((t, p))
-        self.hashes = np.array(sorted(self.by_hash), np.uint64)
-
-    def candidates(self, ids: np.ndarray) -> list[tuple[int, int]]:
+        # By word id (0: in no template): how often the templates have it, and its length.
+        often = np.bincount(np.concatenate(self.ids).astype(np.int64) if self.ids else [], minlength=len(self.word_id) + 1)
+        length = np.array([0, *map(len, self.word_id)])
+        self.is_key = np.zeros(len(self.word_id) + 1, bool)
+        self.bags = [np.unique(ids, return_counts=True) for ids in self.ids]
+        for t, ids in enumerate(self.ids):
+            at = ids.astype(np.int64)
+            rarest = np.lexsort((np.arange(len(at)), -length[at], often[at]))
+            for p in rarest[:len(at) - self.needed(t, coverage) + 1]:
+                self.is_key[at[p]] = True
+                self.by_word.setdefault(int(at[p]), []).append((t, int(p)))
+
+    def needed(self, t: int, coverage: float) -> int:
+        """Words that a find of template t matches at least."""
+        return max(1, math.ceil(coverage * len(self.ids[t])))
+
+    def band(self, t: int) -> int:
+        """Diagonals to both sides of a candidate that its alignment may use."""
+        return BAND + len(self.ids[t]) - self.needed(t, self.coverage)
+
+    def holds(self, window: np.ndarray, t: int, needed: int) -> bool:
+        """Whether a piece of text has so many of the template's words in any order."""
+        words, counts = self.bags[t]
+        at = np.minimum(np.searchsorted(words, window), len(words) - 1)
+        here = np.bincount(at[words[at] == window], minlength=len(words))
+        return int(np.minimum(here, counts).sum()) >= needed
+
+    def candidates(self, ids: np.ndarray, coverage: float) -> list[tuple[int, int]]:
         """(template, place in the text where it would begin), one for each
         run of hits within the band."""
-        found: dict[int, list[int]] = {}
-        h = _gram_hashes(ids, self.k)
-        if len(h) and len(self.hashes):
-            place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            for i in np.flatnonzero(self.hashes[place] == h):
-                for t, p in self.by_hash[int(h[i])]:
-                    found.setdefault(t, []).append(int(i) - p)
-        for t in self.short:  # shorter than a gram: looked up by its first word
-            for i in np.flatnonzero(ids == self.ids[t][0]):
-                found.setdefault(t, []).append(int(i))
+        found: dict[int, set[int]] = {}
+        for i in np.flatnonzero(self.is_key[ids]).tolist():
+            for t, p in self.by_word[int(ids[i])]:
+                found.setdefault(t, set()).add(i - p)
         out = []
         for t, diagonals in found.items():
-            last = None
+            last, band, needed = None, self.band(t), self.needed(t, coverage)
             for d in sorted(diagonals):
-                if last is None or d - last > BAND:
+                if (last is None or d - last > BAND) and self.holds(ids[max(0, d - band):d + len(self.ids[t]) + band], t, needed):
                     out.append((t, d))
                     last = d
         return out
@@ -136,13 +132,14 @@ class TemplateIndex:
         """The most words of template t matched in order around a diagonal:
         matched, first and last matched word of the text."""
         want = self.ids[t]
-        m, width = len(want), 2 * BAND + 1
-        # best[d]: (matched, -first, last) of alignments ending on diagonal begin + d - BAND
+        m, band = len(want), self.band(t)
+        width = 2 * band + 1
+        # best[d]: (matched, -first, last) of alignments ending on diagonal begin + d - band
         count = np.zeros(width + 2, np.int64)
         first = np.full(width + 2, -1, np.int64)
         last = np.full(width + 2, -1, np.int64)
         for p in range(m):
-            at = begin - BAND + p + np.arange(width)
+            at = begin - band + p + np.arange(width)
             inside = (at >= 0) & (at < len(ids))
             hit = np.zeros(width, bool)
             hit[inside] = ids[at[inside]] == want[p]
@@ -161,10 +158,11 @@ class TemplateIndex:
         d = int(np.argmax(count))
         return int(count[d]), int(first[d]), int(last[d])
 
-    def finds(self, ids: np.ndarray, coverage: float = COVERAGE) -> list[dict]:
+    def finds(self, ids: np.ndarray, coverage: float | None = None) -> list[dict]:
         """Finds of a text, best first where they overlap, in text order."""
+        coverage = self.coverage if coverage is None else coverage
         got = []
-        for t, begin in self.candidates(ids):
+        for t, begin in self.candidates(ids, coverage):
             matched, first, last = self.align(ids, t, begin)
             if matched and matched >= coverage * len(self.ids[t]):
                 got.append((matched, matched / len(self.ids[t]), -first, -t, last))
@@ -186,7 +184,7 @@ _KIND = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()),
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """doc_id, n_words and finds (license, template, matched words, coverage,
     first and last matched word of the text) of every row; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates))
+    shared = docs.sparkSession.sparkContext.broadcast(TemplateIndex(TEMPLATES if templates is None else templates, coverage))
 
     def task():
         index = shared.value
@@ -198,7 +196,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, covera
                 words = words_of(text)
                 n_words.append(len(words))
                 ids = np.fromiter((get(w, 0) for w in words), np.uint64, len(words))
-                finds.append(index.finds(ids, coverage) if ids.any() else [])
+                finds.append(index.finds(ids) if ids.any() else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(finds, _KIND)],
                                              ["doc_id", "n_words", "finds"])
         return step
