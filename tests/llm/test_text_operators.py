@@ -247,3 +247,27 @@ def test_short_notices_are_found_with_any_word_changed_or_words_put_in():
                 got = found_in(index, b" ".join([b"before", *changed, b"after"]).decode())
                 if full >= licences.COVERAGE * len(template):
                     assert any(f["license"] == name and f["matched"] >= full for f in got), (name, i, new)
+
+
+@pytest.mark.parametrize("between", ["", " ", " and ", " one two three four five six seven "])
+def test_notices_that_repeat_close_together_are_all_found(between):
+    index = licences.TemplateIndex(licences.TEMPLATES)
+    gap = len(between.split())
+    for t, (name, text) in enumerate(licences.TEMPLATES):
+        n = len(decontaminate.words_of(text.encode()))
+        got = found_in(index, between.join([text + "\n"] * 4))
+        assert [(f["template"], f["matched"], f["first"]) for f in got] == [(t, n, i * (n + gap)) for i in range(4)], name
+
+
+def test_two_changed_notices_side_by_side_are_two_finds():
+    index = licences.TemplateIndex(licences.TEMPLATES)
+    got = found_in(index, "Released under the MIT terms Released under an MIT License")
+    assert [(f["matched"], f["first"], f["last"]) for f in got] == [(4, 0, 3), (4, 5, 9)]
+
+
+def test_a_stray_run_before_the_notice_does_not_take_its_place():
+    index = licences.TemplateIndex(licences.TEMPLATES)
+    text = licences.TEMPLATES[5][1].split()
+    put_in = [*text[:30], *["more"] * 10, *text[30:]]
+    got = found_in(index, " ".join([*text[:4], *["x"] * 12, *put_in]))
+    assert [(f["matched"], f["coverage"], f["first"]) for f in got] == [(len(decontaminate.words_of(" ".join(text).encode())), 1.0, 16)]

@@ -12,6 +12,11 @@ another word 0, along a band of diagonals to both sides).  Reported are the shar
 template's words matched in order (coverage) and the span of the text between
 the first and the last matched word.  Of overlapping finds the one that matches more words stays.
 
+Finds of one template do not overlap: what lies outside the accepted ones is
+aligned again until no indexed word begins another, so notices that follow
+each other closely are all found.  A span whose words make two finds by
+themselves is those two.
+
 The band is ``BAND`` diagonals plus the words that a find may lack, so a text that
 matches enough words meets the index and the band, wherever words are missing
 or others stand in their place, with up to ``BAND`` words put in between.
@@ -28,6 +33,7 @@ gives no rows; other columns are never read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +49,9 @@ BAND = 16
 COVERAGE = 0.8
 #: Words that all templates together may have (they are broadcast).
 TEMPLATE_WORDS = 2_000_000
+#: Bits of a place within an alignment's piece of text.
+_BITS = 21
+_LAST = (1 << _BITS) - 1
 
 # Public license notices and short texts, as their licences print them.
 TEMPLATES = [
@@ -89,6 +98,9 @@ class TemplateIndex:
         often = np.bincount(np.concatenate(self.ids).astype(np.int64) if self.ids else [], minlength=len(self.word_id) + 1)
         length = np.array([0, *map(len, self.word_id)])
         self.is_key = np.zeros(len(self.word_id) + 1, bool)
+        for t, ids in enumerate(self.ids):
+            if len(ids) + 2 * self.band(t) > _LAST:
+                raise ValueError("a template is too long for its alignment; scan with parts of it")
         self.bags = [np.unique(ids, return_counts=True) for ids in self.ids]
         for t, ids in enumerate(self.ids):
             at = ids.astype(np.int64)
@@ -112,69 +124,128 @@ class TemplateIndex:
         here = np.bincount(at[words[at] == window], minlength=len(words))
         return int(np.minimum(here, counts).sum()) >= needed
 
-    def candidates(self, ids: np.ndarray, coverage: float) -> list[tuple[int, int]]:
-        """(template, place in the text where it would begin), one for each
-        run of hits within the band."""
-        found: dict[int, set[int]] = {}
+    def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """By template: (place in the text, place where the template would
+        begin) of every indexed word."""
+        found: dict[int, list[tuple[int, int]]] = {}
         for i in np.flatnonzero(self.is_key[ids]).tolist():
             for t, p in self.by_word[int(ids[i])]:
-                found.setdefault(t, set()).add(i - p)
-        out = []
-        for t, diagonals in found.items():
-            last, band, needed = None, self.band(t), self.needed(t, coverage)
-            for d in sorted(diagonals):
-                if (last is None or d - last > BAND) and self.holds(ids[max(0, d - band):d + len(self.ids[t]) + band], t, needed):
-                    out.append((t, d))
-                    last = d
-        return out
-
-    def align(self, ids: np.ndarray, t: int, begin: int) -> tuple[int, int, int]:
-        """The most words of template t matched in order around a diagonal:
-        matched, first and last matched word of the text."""
-        want = self.ids[t]
-        m, band = len(want), self.band(t)
-        width = 2 * band + 1
-        # best[d]: (matched, -first, last) of alignments ending on diagonal begin + d - band
-        count = np.zeros(width + 2, np.int64)
-        first = np.full(width + 2, -1, np.int64)
-        last = np.full(width + 2, -1, np.int64)
+                found.setdefault(t, []).append((i, i - p))
+        return found
+
+    def align(self, ids: np.ndarray, t: int, begin: int, low: int, high: int) -> tuple[int, int, int]:
+        """The most words of template t matched in order around a diagonal in
+        the text from low to high (of equal ones the shortest span): matched,
+        first and last matched word of the text."""
+        want, band = self.ids[t], self.band(t)
+        m, width = len(want), 2 * band + 1
+        window = np.zeros(m + width - 1, np.uint64)
+        start = begin - band
+        a, b = max(low, start), min(high + 1, start + len(window))
+        window[a - start:max(a, b) - start] = ids[a:max(a, b)]
+        # best[d]: alignments ending on diagonal start + d, as one number:
+        # matched, then first (late ones are better), then last (early ones are).
+        best = np.zeros(width + 1, np.int64)
+        place = np.arange(1, len(window) + 1)
         for p in range(m):
-            at = begin - band + p + np.arange(width)
-            inside = (at >= 0) & (at < len(ids))
-            hit = np.zeros(width, bool)
-            hit[inside] = ids[at[inside]] == want[p]
-            # From the template's previous word: same diagonal (+ match), or
-            # one further right (the template's word is missing in the text).
-            c, f, e = count[1:-1] + hit, first[1:-1].copy(), last[1:-1].copy()
-            f[hit & (f < 0)] = at[hit & (f < 0)]
-            e[hit] = at[hit]
-            skip = count[2:] > c
-            c[skip], f[skip], e[skip] = count[2:][skip], first[2:][skip], last[2:][skip]
-            # The text may have words that the template lacks: from the left.
-            for d in range(1, width):
-                if c[d - 1] > c[d]:
-                    c[d], f[d], e[d] = c[d - 1], f[d - 1], e[d - 1]
-            count[1:-1], first[1:-1], last[1:-1] = c, f, e
-        d = int(np.argmax(count))
-        return int(count[d]), int(first[d]), int(last[d])
+            here = best[:-1]
+            hit = window[p:p + width] == want[p]
+            if hit.any():
+                at = place[p:p + width]
+                begun = np.where(here > 0, here >> _BITS, at) << _BITS
+                here = np.where(hit, begun + (1 << 2 * _BITS) + _LAST - at, here)
+            # From the template's previous word: same diagonal, or one further
+            # right (the template's word is missing in the text); then from the
+            # left (the text has words that the template lacks).
+            best[:-1] = np.maximum.accumulate(np.maximum(here, best[1:]))
+        matched, first, last = best >> 2 * _BITS, (best >> _BITS) & _LAST, _LAST - (best & _LAST)
+        d = int(np.lexsort((first, last - first, -matched))[0])
+        return int(matched[d]), start + int(first[d]) - 1, start + int(last[d]) - 1
+
+    def spans(self, ids: np.ndarray, t: int, begin: int, low: int, high: int, needed: int) -> list[tuple[int, int, int]]:
+        """(matched, first, last) of the find around a diagonal, or of the two
+        that the words of the best alignment's span make by themselves."""
+        band, m = self.band(t), len(self.ids[t])
+        if not self.holds(ids[max(low, begin - band):max(0, min(high + 1, begin + m + band))], t, needed):
+            return []
+        matched, first, last = self.align(ids, t, begin, low, high)
+        if matched < needed:
+            return []
+        halves = []
+        for cut in range(first + needed, last - needed + 2):
+            left = self.align(ids, t, begin, first, cut - 1)
+            right = self.align(ids, t, begin, cut, last)
+            if min(left[0], right[0]) >= needed:
+                halves.append((left[0] + right[0], -cut, [left, right]))
+        return max(halves)[2] if needed > 1 and halves else [(matched, first, last)]
+
+    def template_finds(self, ids: np.ndarray, t: int, hits: list[tuple[int, int]], needed: int) -> list[tuple[int, int, int]]:
+        """Finds of one template that do not overlap: every indexed word
+        outside the ones accepted so far is aligned again between them."""
+        band, m = self.band(t), len(self.ids[t])
+        taken = _Spans()
+        known: dict[tuple[int, int, int], list[tuple[int, int, int]]] = {}
+        while True:
+            got = set()
+            for i, begin in hits:
+                low, high = taken.gap(i, len(ids))
+                key = begin, max(low, begin - band), min(high, begin + m + band)
+                if key not in known:
+                    known[key] = self.spans(ids, t, *key, needed)
+                got.update(known[key])
+            accepted = [x for x in sorted(got, key=lambda x: (-x[0], x[2] - x[1], x[1])) if taken.add(x[1], x[2], x)]
+            if not accepted:
+                return taken.values()
+            hits = [(i, begin) for i, begin in hits if not taken.overlaps(i, i)]
 
     def finds(self, ids: np.ndarray, coverage: float | None = None) -> list[dict]:
         """Finds of a text, best first where they overlap, in text order."""
         coverage = self.coverage if coverage is None else coverage
         got = []
-        for t, begin in self.candidates(ids, coverage):
-            matched, first, last = self.align(ids, t, begin)
-            if matched and matched >= coverage * len(self.ids[t]):
+        for t, hits in self.candidates(ids).items():
+            for matched, first, last in self.template_finds(ids, t, hits, self.needed(t, coverage)):
                 got.append((matched, matched / len(self.ids[t]), -first, -t, last))
-        out: list[dict] = []
-        for matched, share, first, t, last in sorted(set(got), reverse=True):
-            if all(last < o["first"] or -first > o["last"] or (o["matched"] == matched and o["first"] == -first
-                   and o["last"] == last and o["template"] != -t and share == o["coverage"]) for o in out):
+        taken, out = _Spans(), []
+        for matched, share, first, t, last in sorted(got, reverse=True):
+            # Equal finds of several templates all stay.
+            same = taken.at(-first)
+            if taken.add(-first, last, (matched, share, last)) or same == (matched, share, last):
                 out.append({"license": self.names[-t], "template": -t, "matched": matched, "coverage": share,
                             "first": -first, "last": last})
         return sorted(out, key=lambda o: (o["first"], o["template"]))
 
 
+class _Spans:
+    """Spans of a text that do not overlap, with a value each."""
+
+    def __init__(self):
+        self.firsts, self.lasts, self.found = [], [], {}
+
+    def overlaps(self, first: int, last: int) -> bool:
+        k = bisect_right(self.firsts, last)
+        return k > 0 and self.lasts[k - 1] >= first
+
+    def add(self, first: int, last: int, value) -> bool:
+        if self.overlaps(first, last):
+            return False
+        k = bisect_right(self.firsts, first)
+        self.firsts.insert(k, first)
+        self.lasts.insert(k, last)
+        self.found[first] = value
+        return True
+
+    def at(self, first: int):
+        return self.found.get(first)
+
+    def gap(self, place: int, n: int) -> tuple[int, int]:
+        """First and last word around a free place that no span holds."""
+        k = bisect_right(self.firsts, place)
+        return (self.lasts[k - 1] + 1 if k else 0), (self.firsts[k] if k < len(self.firsts) else n) - 1
+
+    def values(self) -> list:
+        return [self.found[f] for f in self.firsts]
+
+
 FOUND = ("doc_id long, n_words long, finds array<struct<license:string,template:int,matched:int,coverage:double,"
          "first:long,last:long>>")
 _KIND = pa.list_(pa.struct([("license", pa.string()), ("template", pa.int32()), ("matched", pa.int32()),
