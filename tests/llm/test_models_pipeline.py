@@ -80,6 +80,23 @@ def test_log_count_ratios_count_all_training_rows(spark):
     assert got == {b: tuple(v) for b, v in want.items()}
 
 
+def test_toxicity_knows_hundreds_of_distinct_toxic_words(spark):
+    rng = random.Random(12)
+    made = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8))
+    bad, good = [made() for _ in range(500)], [made() for _ in range(500)]
+    rows, labels = [], []
+    for d in range(3000):
+        toxic = d % 2
+        special = (bad if toxic else good)[d // 2 % 500]
+        rows.append((d, f"{sentence(rng, STEMS['aa'], 8)} {special} {sentence(rng, STEMS['aa'], 8)}", "aa"))
+        labels.append((d, toxic))
+    df = docs_of(spark, rows)
+    model = toxicity.train(df.filter("doc_id < 2000"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score(df, model).filter("doc_id >= 2000").collect()}
+    assert np.mean([(s >= 0.5) == (d % 2 == 1) for d, s in got.items()]) > 0.99
+    assert np.mean([any(model.weights[b] for b in toxicity.grams(w)) for w in bad]) == 1.0
+
+
 @pytest.mark.parametrize("labels,share", [([], 0.001), ([(1, 1), (2, 1)], 0.999), ([(1, 0), (2, None)], 0.001)])
 def test_toxicity_without_both_labels(spark, labels, share):
     model = toxicity.train(docs_of(spark, [(1, "a", None), (2, "b", None)]), spark.createDataFrame(labels, "doc_id long, toxic int"))

@@ -11,9 +11,11 @@ word's share is computed once and remembered.
 
 The log-count ratios come from every training row (counted in tasks, summed
 per bucket).  The regression is fitted on a bounded sample of training rows:
-``FIT_ROWS``, chosen by a hash of the doc_id; all of them if there are no more.  Of its
-features the ``KEPT`` with the greatest ratios by weight of evidence enter,
-so what reaches the driver is bounded by those two numbers.
+``FIT_ROWS``, chosen by a hash of the doc_id; all of them if there are no more.  All
+their features enter.  A row's features are the sum of those of its distinct
+words, so the driver holds the words of each row and the buckets of each word, and not
+the buckets of each row.  A bucket that was counted, but is in no row of the
+sample, has the mean weight of the others.
 
 Defined results: null and empty text scores by the intercept alone; texts are
 scored whole; a doc_id with several labels counts with each; null labels are
@@ -41,8 +43,8 @@ SIZES = (3, 4, 5)
 SMOOTH = 1.0
 #: Rows the regression is fitted on, at most about.
 FIT_ROWS = 20_000
-#: Features that enter the regression.
-KEPT = 1024
+#: Words whose buckets the fit takes at a time.
+FIT_BLOCK = 100_000
 THRESHOLD = 0.3
 MEMORY_WORDS = 150_000
 #: The same where a word's value is one number.
@@ -87,51 +89,95 @@ def _bucket_counts(training: DataFrame) -> DataFrame:
             .groupBy("bucket").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")))
 
 
-def _features(rows: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """label and the sparse feature values of the chosen buckets."""
-    place = np.full(BUCKETS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-
+def _sample_words(rows: DataFrame) -> DataFrame:
+    """label and the distinct words (separated by a line feed, which is in no
+    word) of every row."""
     def task():
-        known = Memory(MEMORY_WORDS)
-
-        def own(word):
-            p = place[_packed(word)]
-            return p[p >= 0]
-
         def step(batch):
-            at, values = [], []
-            for text in utf8(batch, "text"):
-                words = words_of(text)
-                parts = list(map(known.ready(words, own), words))
-                all_at = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-                u, n = np.unique(all_at, return_counts=True)
-                at.append(u.astype("<i4").tobytes())
-                values.append(n.astype("<i4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(at, pa.binary()), pa.array(values, pa.binary())],
-                                             ["label", "at", "n"])
+            words = ["\n".join(words_of(text)).encode("utf-8", "replace") for text in utf8(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(words, pa.binary())], ["label", "words"])
         return step
-    return in_arrow(rows.select("label", "text"), task, "label int, at binary, n binary")
-
-
-def _fit(at: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, n: int,
-         steps: int = 300, rate: float = 0.05, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression with a ridge penalty, by Adam steps over the whole
-    sample: the same rows give the same weights."""
-    rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
-    cols, x = np.concatenate(at), np.concatenate(values)
-    mean = np.clip(y.mean(), 1e-6, 1 - 1e-6)
-    w, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
-    w[n] = np.log(mean / (1 - mean))
-    for t in range(1, steps + 1):
-        z = np.bincount(rows, x * w[cols], len(at)) + w[n]
-        d = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) / len(at)
-        g = np.bincount(cols, x * d[rows], n + 1)
-        g[n] = d.sum()
-        g[:n] += penalty * w[:n]
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-9)
-    return w[:n], float(w[n])
+    return in_arrow(rows.select("label", "text"), task, "label int, words binary")
+
+
+class _Sample:
+    """The rows that the regression is fitted on: the words of every row and
+    the buckets of every word."""
+
+    def __init__(self, rows):
+        known: dict[bytes, int] = {}
+        own, labels = [], []
+        for r in rows:
+            words = bytes(r["words"]).split(b"\n") if r["words"] else []
+            own.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+            labels.append(r["label"])
+        self.y = np.array(labels, float)
+        self.row = np.repeat(np.arange(len(own), dtype=np.int32), [len(a) for a in own])
+        self.word = np.concatenate(own) if own else np.zeros(0, np.int32)
+        self.n_words = len(known)
+        del own
+        self.blocks, words = [], list(known)
+        for at in range(0, len(words), FIT_BLOCK):
+            parts = [_packed(w.decode()) for w in words[at:at + FIT_BLOCK]]
+            self.blocks.append((at, np.array([len(a) for a in parts]), np.concatenate(parts)))
+
+    def buckets(self) -> np.ndarray:
+        """Whether a bucket is in any row."""
+        there = np.zeros(BUCKETS, bool)
+        for _, _, b in self.blocks:
+            there[b] = True
+        return there
+
+    def loss(self, w: np.ndarray, ratio: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+        """Mean logistic loss with a ridge penalty, and its gradient; the last
+        number of ``w`` is the intercept."""
+        weight, share = w[:-1] * ratio, np.zeros(self.n_words)
+        for at, lengths, b in self.blocks:
+            share[at:at + len(lengths)] = np.add.reduceat(weight[b], np.cumsum(lengths) - lengths)
+        z = np.bincount(self.row, share[self.word], len(self.y)) + w[-1]
+        value = (np.logaddexp(0, z) - self.y * z).mean() + penalty / 2 * (w[:-1] @ w[:-1])
+        d = (1 / (1 + np.exp(-np.clip(z, -700, 700))) - self.y) / len(self.y)
+        pull, g = np.bincount(self.word, d[self.row], self.n_words), np.zeros(len(w))
+        for at, lengths, b in self.blocks:
+            g[:-1] += np.bincount(b, np.repeat(pull[at:at + len(lengths)], lengths), BUCKETS)
+        g[:-1] = g[:-1] * ratio + penalty * w[:-1]
+        g[-1] = d.sum()
+        return value, g
+
+
+def _fit(sample: _Sample, ratio: np.ndarray, steps: int = 100, penalty: float = 1e-4, memory: int = 8) -> tuple[np.ndarray, float]:
+    """Logistic regression with a ridge penalty, by limited-memory BFGS over the
+    whole sample: the same rows give the same weights."""
+    mean = np.clip(sample.y.mean(), 1e-6, 1 - 1e-6)
+    w = np.zeros(BUCKETS + 1)
+    w[-1] = np.log(mean / (1 - mean))
+    value, g = sample.loss(w, ratio, penalty)
+    start, past = np.linalg.norm(g), []
+    for _ in range(steps):
+        if np.linalg.norm(g) <= 1e-4 * start:
+            break
+        step, kept = -g, []
+        for s, y, r in reversed(past):
+            a = r * (s @ step)
+            step -= a * y
+            kept.append(a)
+        step *= 1 / (past[-1][2] * (past[-1][1] @ past[-1][1])) if past else 1 / max(1.0, np.linalg.norm(g))
+        for (s, y, r), a in zip(past, reversed(kept), strict=True):
+            step += (a - r * (y @ step)) * s
+        slope, size = g @ step, 1.0
+        while True:
+            new = w + size * step
+            new_value, new_g = sample.loss(new, ratio, penalty)
+            if new_value <= value + 1e-4 * size * slope or size < 1e-6:
+                break
+            size /= 2
+        if new_value >= value:
+            break
+        s, y = new - w, new_g - g
+        if s @ y > 1e-12:
+            past = [*past[1 - memory:], (s, y, 1 / (s @ y))]
+        w, value, g = new, new_value, new_g
+    return w[:-1], float(w[-1])
 
 
 class ToxicityModel:
@@ -146,7 +192,7 @@ class ToxicityModel:
         return lambda word: sum(map(weight, grams(word)))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, kept: int = KEPT) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Learn from (doc_id, text) and (doc_id, toxic); the caller leaves out
     the rows that are not to be learnt from."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("toxic") > 0).cast("int").alias("label"))
@@ -161,17 +207,15 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, kept: in
     p[counts["bucket"]] += counts["toxic"]
     q[counts["bucket"]] += counts["other"]
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    evidence = np.abs(ratio) * np.sqrt(p + q - 2 * SMOOTH)
-    chosen = np.sort(np.argsort(-evidence, kind="stable")[:kept])
     limit = int(min(1.0, fit_rows / total) * (1 << 31))
     sample = training.filter(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 31)) < limit) if total > fit_rows else training
-    rows = _features(sample, chosen).collect()  # about fit_rows sparse rows of kept features
-    at = [np.frombuffer(r["at"], "<i4") for r in rows]
-    values = [np.frombuffer(r["n"], "<i4") * ratio[chosen[a]] for r, a in zip(rows, at, strict=True)]
-    w, intercept = _fit(at, values, np.array([r["label"] for r in rows], float), len(chosen))
-    weights = np.zeros(BUCKETS)
-    weights[chosen] = w * ratio[chosen]
-    return ToxicityModel(weights, intercept)
+    rows = _Sample(stored(_sample_words(sample), "toxicity-sample").toLocalIterator())  # about fit_rows rows
+    w, intercept = _fit(rows, ratio)
+    there = rows.buckets()
+    counted = np.zeros(BUCKETS, bool)
+    counted[counts["bucket"]] = True
+    w[counted & ~there] = w[there].mean() if there.any() else 0.0
+    return ToxicityModel(w * ratio, intercept)
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
