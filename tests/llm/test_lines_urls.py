@@ -130,3 +130,36 @@ def test_components_of_paths_cycles_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(300, 301), (301, 302), (302, 300), (5, 5), (None, 1)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "src long, dst long")).collect()))
     assert got == {**{i: 0 for i in range(1, 41)}, **{200 + i: 100 for i in range(50)}, 301: 300, 302: 300}
+
+
+def test_links_of_every_form_are_resolved(spark):
+    far = "https://b.org/x?" + "k" * 3000 + "=1"
+    cases = [
+        ('<link rel=canonical href="/page">', "http://a.org/page"),
+        ("<link rel='canonical' href='//c.org/p?x=1'>", "http://c.org/p?x=1"),
+        ('<link href="other" rel="canonical">', "http://a.org/d/other"),
+        ('<LINK REL=canonical HREF=../up/./z>', "http://a.org/up/z"),
+        ('<link rel=canonical href="?q=2">', "http://a.org/d/e?q=2"),
+        ('<link rel=canonical href="https://b.org/x?a=1&amp;b=2">', "https://b.org/x?a=1&b=2"),
+        (f'<link rel=canonical href="{far}">', far),
+        ('<link rel=canonical title="' + "t" * 3000 + '" href="/page">', "http://a.org/page"),
+        ('<meta http-equiv="refresh" content="0; url=/new">', "http://a.org/new"),
+        ("<meta http-equiv=refresh content=\"3;URL='https://b.org/n'\">", "https://b.org/n"),
+        ('<meta http-equiv="refresh" content="5">', None),
+        ('<link rel=canonical href="javascript:x()">', None),
+        ('<link rel=stylesheet href="/s.css">', None),
+        ('<link rel=canonical href="">', None),
+    ]
+    df = spark.createDataFrame([(i, "http://a.org/d/e?y=1", h) for i, (h, _) in enumerate(cases)], "i int, url string, html string")
+    got = {r["i"]: r["l"] for r in df.select("i", urls.links(F.col("html"), F.col("url")).alias("l")).collect()}
+    assert got == {i: [w] if w else [] for i, (_, w) in enumerate(cases)}
+    loose = spark.createDataFrame([("a.org/d", '<link rel=canonical href="/p">'), (None, '<link rel=canonical href="/p">'), ("http://a.org", None),
+                                   ("http://a.org", '<link rel=canonical href="p">')], "url string, html string")
+    assert [r["l"] for r in loose.select(urls.links(F.col("html"), F.col("url")).alias("l")).collect()] == [[], [], None, ["http://a.org/p"]]
+
+
+def test_a_rule_reaches_an_alias_by_a_relative_link(spark):
+    rows = [(1, "http://a.test/x", '<link rel=canonical href="/bad/y">'), (2, "http://a.test/bad/y", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(pages, urls.rules_frame(spark, [("block", "a.test", "/bad/")])).collect()}
+    assert got == {1: "block", 2: "block"}

@@ -9,8 +9,9 @@ work grows with the URLs and not with URLs times rules.
 *Aliases.*  Pages are the same node if their URLs differ only in scheme,
 ``www.``, fragment, tracking parameters, a trailing slash or an ``.html``
 ending (their canonical URL).  Further edges come from the pages: the target
-of ``<link rel=canonical>`` and of ``<meta http-equiv=refresh>``, and a table
-of redirects if there is one.  Distributed connected components over these
+of ``<link rel=canonical>`` and of ``<meta http-equiv=refresh>`` (relative
+ones are resolved against the page's URL, ``&amp;`` is read as ``&``), and a
+table of redirects if there is one.  Distributed connected components over these
 edges put every alias in one component.
 
 *Decisions.*  A URL that a rule fits has that rule's verdict.  Any other URL
@@ -64,12 +65,37 @@ def canonical(url: Column) -> Column:
     return F.when(rest.isNotNull(), F.concat(host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
 
 
-def links(html: Column) -> Column:
-    """Absolute targets of canonical links and refreshes in a page."""
-    tag = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]{0,2000}>"), F.lit(0))
-    tag = F.filter(tag, lambda t: t.rlike(r"(?is)\brel\s*=\s*[\"']?canonical\b|\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    target = F.transform(tag, lambda t: F.regexp_extract(t, r"(?is)(?:\bhref\s*=\s*[\"']?|\burl\s*=\s*[\"']?)\s*([a-z][a-z0-9+.-]*://[^\"'\s>]+)", 1))
-    return F.filter(target, lambda u: u != "")
+def resolved(target: Column, url: Column) -> Column:
+    """A link's target as an absolute URL, read from the page at ``url``;
+    empty if it is none (another kind of scheme, or a relative one in a page without ``://``)."""
+    site = F.coalesce(F.regexp_extract(url, r"(?s)\A(.*?://[^/?#]*)", 1), F.lit(""))
+    scheme = F.coalesce(F.regexp_extract(url, r"(?s)\A(.*?:)//", 1), F.lit(""))
+    way = F.regexp_extract(target, r"\A[^?#]*", 0)
+    # Relative paths begin at the page's last slash.
+    way = F.when(F.startswith(way, F.lit("/")), way).otherwise(F.concat(
+        F.regexp_extract(F.concat(F.lit("/"), F.regexp_replace(path_of(url), r"\A/", "")), r"(?s)\A.*/", 0), way))
+    parts = F.aggregate(F.split(way, "/"), F.array().cast("array<string>"), lambda done, part: F.when(
+        part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(part == ".", done).otherwise(F.concat(done, F.array(part))))
+    whole = F.concat(site, F.array_join(parts, "/"), F.regexp_extract(target, r"(?s)\A[^?#]*(.*)", 1))
+    return (F.when(target.rlike(r"(?i)\A[a-z][a-z0-9+.-]*://"), target)
+            .when(target.rlike(r"(?i)\A[a-z][a-z0-9+.-]*:") | (target == "") | (site == ""), "")
+            .when(F.startswith(target, F.lit("//")), F.concat(scheme, target))
+            .when(F.startswith(target, F.lit("#")), url)
+            .when(F.startswith(target, F.lit("?")), F.concat(site, path_of(url), target))
+            .otherwise(whole))
+
+
+def links(html: Column, url: Column) -> Column:
+    """Absolute targets of canonical links and refreshes in the page at ``url``."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*+>"), F.lit(0))
+
+    def target(tag: Column) -> Column:
+        href = r"(?is)(?<![\w-])href\s*=\s*(?:\"([^\">]*)|'([^'>]*)|([^\s\"'>]+))"
+        content = r"(?is)(?<![\w-])content\s*=\s*[\"']?[\s\d.]*[;,\s]\s*(?:url\s*=\s*[\"']?\s*)?+([^\"'\s>]+)"
+        named = (F.when(tag.rlike(r"(?is)\A<link\b.*\brel\s*=\s*[\"']?canonical\b"), F.concat(*(F.regexp_extract(tag, href, i) for i in (1, 2, 3))))
+                 .when(tag.rlike(r"(?is)\A<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract(tag, content, 1)).otherwise(""))
+        return F.regexp_replace(F.trim(named), r"(?i)&(?:amp|#0*38|#x0*26);", "&")
+    return F.filter(F.transform(F.transform(tags, target), lambda t: resolved(t, url)), lambda u: u != "")
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
@@ -104,7 +130,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     ``redirects`` (src, dst) are URLs known to lead to one another, besides
     what the pages say themselves."""
     src = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
-                       canonical(F.col("url")).alias("node"), links(F.col("html")).alias("links"))
+                       canonical(F.col("url")).alias("node"), links(F.col("html"), F.col("url")).alias("links"))
     src = stored(src, "pages")
     found = stored(match_rules(src, rules), "page-rules")
     edges = src.select("node", F.explode("links").alias("to")).select(F.col("node").alias("src"), canonical(F.col("to")).alias("dst"))
