@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, fingerprints, language, licences, lines, near_dups, pieces, token_files, toxicity, urls
+from . import alignment, decontaminate, fingerprints, language, licences, lines, near_dups, pieces, token_files, toxicity, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_licences": licences.op8_licences,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_near_dups": near_dups.op10_near_dups,
+    "op11_alignment": alignment.op11_alignment,
 }
 
 ORACLE = {
