@@ -1,0 +1,133 @@
+"""The FM-index against plain counting, and collocations against DuckDB."""
+
+import random
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from wardstat.llm import phrases as P
+
+SCHEMA = "doc_id long, lang string, text string, phrase string, a long, n string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(d, lang, t, "p", 1, "n") for d, lang, t in rows], SCHEMA)
+
+
+def corpus(seed, docs=60):
+    rng = random.Random(seed)
+    vocabulary = ["The", "of", "a", "über", "Éa", "x\x1cy", "new", "york", "city", "日本"]
+    def text():
+        out = []
+        for _ in range(rng.randrange(0, 60)):
+            out.append(rng.choice(vocabulary) if rng.random() < 0.7 else "New York City")
+            out.append(rng.choice([" ", " ", " ", "\t ", ", ", ".", "\n", "!?", " \r\n"]))
+        return "".join(out)
+    rows = [(i, rng.choice(["en", "fr", None, ""]), text()) for i in range(docs)]
+    return [*rows, (None, "en", "new york " * 50), (7, "en", None), (7, "en", ""), (8, "only", " ... \t"), (9, "one", "word"),
+            (9, "one", "word"), (10, "long", "again and " * 3000)]
+
+
+def counted(rows, longest):
+    found = Counter()
+    for _, lang, text in rows:
+        for piece in (text or "").encode().lower().translate(P._FOLD).split(b"\n"):
+            w = piece.split()
+            for k in range(1, longest + 1):
+                for i in range(len(w) - k + 1):
+                    found[lang if lang is not None else "und", b" ".join(w[i:i + k]).decode(), i > 0, i + k < len(w)] += 1
+    out = {}
+    for (lang, phrase, left, right), n in found.items():
+        a, b, c = out.get((lang, phrase), (0, 0, 0))
+        out[lang, phrase] = a + n, b + n * left, c + n * right
+    return out
+
+
+def expected(rows, longest, least, top, covered):
+    f = {k: v[0] for k, v in counted(rows, longest).items()}
+    out = []
+    for lang in {k[0] for k in f}:
+        own = {p: a for (l, p), a in f.items() if l == lang}
+        n = sum(a for p, a in own.items() if " " not in p)
+        found = {p: a for p, a in own.items() if " " in p and a >= least}
+        scored = []
+        for p, a in found.items():
+            w = p.split(" ")
+            if any(100 * b >= covered * a and any(q.split(" ")[i:i + len(w)] == w for i in range(len(q.split(" "))))
+                   for q, b in found.items() if len(q.split(" ")) > len(w)):
+                continue
+            cuts = [(1_000_000 * a * a // (own[" ".join(w[:k])] * own[" ".join(w[k:])]), k) for k in range(1, len(w))]
+            score, k = min(cuts)
+            scored.append((-score, -a, p.encode(), own[" ".join(w[:k])], own[" ".join(w[k:])]))
+        out += [(lang, i, p.decode(), -a, l, r, n, -s) for i, (s, a, p, l, r) in enumerate(sorted(scored)[:top], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("depth", [3, 5])
+def test_intervals_match_plain_counts(depth):
+    rng = random.Random(depth)
+    for _ in range(60):
+        shard = P.Shard("x")
+        shard.add([" ".join(rng.choice("abcde") for _ in range(rng.randrange(9))).encode() for _ in range(rng.randrange(1, 30))])
+        if not len(shard):
+            continue
+        names, index = list(shard.numbers), shard.index(depth)
+        text = np.concatenate(shard.ids).tolist()
+        level = index.single()
+        for k in range(1, depth + 1):
+            if k > 1:
+                level = index.extended(level, left=k % 2 == 1)
+            want = Counter(tuple(text[i:i + k]) for i in range(len(text) - k + 1) if 0 not in text[i:i + k])
+            assert {tuple(w): c for w, c in zip(level.words.tolist(), level.count.tolist(), strict=True)} == dict(want)
+            for w, low, back, c in zip(level.words.tolist(), level.low, level.low_reversed, level.count, strict=True):
+                assert index.find(w) == (low, low + c)
+                assert len(names) > max(w) and 0 <= back <= len(text) - c
+
+
+def test_wide_vocabularies_sort_alike():
+    """Ids too large for one sort key take the other sort."""
+    text = np.array([5, 3, 5, 3, 1, 0, 5, 3, 0], np.int64)
+    wide = np.where(text > 0, text + (1 << 21), 0)
+    one, other = P.Half(text, 6, 3), P.Half(wide, (1 << 21) + 6, 3)
+    assert np.where(one.bwt > 0, one.bwt + (1 << 21), 0).tolist() == other.bwt.tolist()
+
+
+@pytest.mark.parametrize("shard_words", [40, 1_000_000])
+def test_ngrams_with_neighbours(spark, shard_words):
+    rows = corpus(1)
+    got = {(r["lang"], r["phrase"]): (r["count"], r["lefts"], r["rights"])
+           for r in P.ngrams(frame(spark, rows), 4, shard_words).collect()}
+    assert got == counted(rows, 4)
+
+
+@pytest.mark.parametrize("longest,least,top,covered,shard_words,bits",
+                         [(3, 10, 2000, 50, 1_000_000, 1 << 28), (3, 2, 5, 50, 60, 64), (4, 3, 50, 80, 200, 1 << 12), (2, 1, 9, 50, 30, 64)])
+def test_collocations_match_plain_counting(spark, longest, least, top, covered, shard_words, bits):
+    """Also with a bit set that lets everything pass."""
+    rows = corpus(longest)
+    got = P.collocations(frame(spark, rows).repartition(4), longest, least, top, covered, shard_words, bits)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == expected(rows, longest, least, top, covered)
+
+
+def test_sql_says_the_same(spark):
+    rows = corpus(11, 200)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, lang VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    got = [tuple(r) for r in P.collocations(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(con.execute(P.ORACLE).fetchall()) and len(got) > 20
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    big = [(10**9 + 7, 10**9 + 9, 2 * 10**9 + 1), (999_999_999_999_989, 999_999_999_999_999, 999_999_999_999_997), (1, 3, 1)]
+    got = [r[0] for r in spark.createDataFrame(big, "a long, l long, r long").select(F.expr(P.SCORE)).collect()]
+    assert got == [1_000_000 * a * a // (l * r) for a, l, r in big]
+
+
+def test_empty_table(spark):
+    assert P.collocations(frame(spark, [])).collect() == []
+    assert P.ngrams(frame(spark, [(1, "en", None)])).collect() == []

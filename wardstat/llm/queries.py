@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, decontaminate, fingerprints, language, licences, lines, near_dups, pieces, token_files, toxicity, urls
+from . import alignment, decontaminate, fingerprints, language, licences, lines, near_dups, phrases, pieces, secret_scan, token_files, toxicity, urls
 
 QUERIES = {
     "op1_line_dedup": lines.op1_line_dedup,
@@ -16,9 +16,13 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_near_dups": near_dups.op10_near_dups,
     "op11_alignment": alignment.op11_alignment,
+    "op12_secrets": secret_scan.op12_secrets,
+    "op13_collocations": phrases.op13_collocations,
 }
 
 ORACLE = {
     "op1_line_dedup": lines.ORACLE,
     "op7_url_filter": urls.ORACLE,
+    "op12_secrets": secret_scan.ORACLE,
+    "op13_collocations": phrases.ORACLE,
 }
