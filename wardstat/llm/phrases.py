@@ -264,7 +264,7 @@ def sieve(pairs: DataFrame, most: int = SIEVE_BITS) -> np.ndarray:
     bits = 1 << (wanted.bit_length() - 1)
     place = F.col("pair").bitwiseAND(F.lit(bits - 1))
     words = pairs.groupBy(F.shiftright(place, 6).alias("at")).agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))).alias("set")).toArrow()
+        F.bit_or(F.expr("shiftleft(1L, CAST(pair & 63 AS INT))")).alias("set")).toArrow()
     out = np.zeros(bits >> 6, np.uint64)
     out[np.asarray(words.column("at"))] = np.asarray(words.column("set")).view(np.uint64)
     return out

@@ -239,7 +239,8 @@ def listed(found: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[str, .
     word = lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))
     numbers = [n for n, r in enumerate(rules) if r.kind in base]
     own = F.filter("spans", lambda s: s["kind"].isin(numbers))
-    counts = [F.size(F.filter("spans", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{rules[n].kind}") for n in numbers]
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, n))).cast("long").alias(f"n_{rules[n].kind}") for n in numbers]
     return found.select("doc_id", *counts, F.sha2(F.array_join(F.transform(own, word), ","), 256).alias("base_sha256"),
                         F.array_join(F.transform("spans", word), ",").alias("spans"))
 
