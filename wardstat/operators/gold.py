@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_path
 
 # The KPI texts for "no disease" and "no target rate".
 UNKNOWN_DISEASE = "Unknown"
@@ -89,11 +89,13 @@ def kpi_target_rate(df: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A grouped result (one row per pair of keys) kept under the shared
-    checkpoint folder: ``pivot`` looks for its columns and then aggregates, and
-    neither is to scan the rows behind it again."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A grouped result (one row per pair of keys) written under the shared
+    checkpoint folder and read back: ``pivot`` looks for its columns and then
+    aggregates, and neither is to scan the rows behind it again.  (A checkpoint
+    would compute them twice.)"""
+    path = scratch_path(df.sparkSession, "grouped")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def trends(df: DataFrame, diseases: Sequence[str] | None = None) -> DataFrame:

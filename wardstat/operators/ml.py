@@ -27,10 +27,12 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..session import scratch_path
+from .ranking import roc_auc
 from .risk import HIGH_RISK, HIGH_RISK_THRESHOLD, LOW_RISK
 
 CATEGORICAL = ["age_band", "gender", "disease"]
@@ -157,11 +159,114 @@ def train_onehot(adm: DataFrame, num_trees: int = 20, seed: int = 42, train_frac
 
 
 def auc(model: PipelineModel, test: DataFrame) -> float:
-    """Area under ROC on ``test`` (distributed evaluation)."""
+    """Area under ROC on ``test`` by Spark's evaluator (its curve is down-sampled
+    to about 1,000 thresholds; ``auc_table`` is exact)."""
     pred = model.transform(test)
     return BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC").evaluate(pred)
 
 
+def evaluator_auc(df: DataFrame, score: str, label: str = LABEL) -> float:
+    """The same evaluator over any score column."""
+    return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, metricName="areaUnderROC").evaluate(df)
+
+
+def auc_table(model: PipelineModel, test: DataFrame) -> DataFrame:
+    """One row: positives, negatives and the exact area under ROC of the
+    model's probability on ``test`` (``ranking.roc_auc``)."""
+    pred = model.transform(test).select(vector_to_array("probability")[1].alias("score"), LABEL)
+    return roc_auc(pred, "score", LABEL)
+
+
+# --- the forest as data ---------------------------------------------------------------
+
+NODE_COLUMNS = ["tree", "node", "feature", "threshold", "left", "right", "rows", "probability"]
+
+
+def forest_nodes(model: PipelineModel) -> DataFrame:
+    """The fitted forest as a table, one row per node: ``tree``, ``node`` (0
+    is the root), the ``feature`` that it asks for and the ``threshold`` (the
+    left child takes values up to it), the children ``left`` and ``right``
+    (all NULL for a leaf), the training ``rows`` that came by, and the
+    ``probability`` of the positive class there.
+
+    A split of a 0/1 feature is written as the threshold 0.5.  The forest is
+    saved with Spark ML's own writer under the checkpoint folder and read back as
+    the table that the writer makes.
+    """
+    forest = model.stages[-1]
+    spark = SparkSession.active()
+    path = scratch_path(spark, "forest")
+    forest.write().overwrite().save(path)
+    n = F.col("nodeData")
+    split = n["split"]
+    is_split = n["leftChild"] >= 0
+    binary = split["numCategories"] == 2
+    # The left child takes the listed categories: {0} is "up to 0.5", {1} the other way round.
+    turned = binary & (split["leftCategoriesOrThreshold"][0] == 1.0)
+    children = [F.when(turned, n["rightChild"]).otherwise(n["leftChild"]), F.when(turned, n["leftChild"]).otherwise(n["rightChild"])]
+    counts = n["impurityStats"]
+    rows = spark.read.parquet(f"{path}/data")
+    if not rows.where(is_split & (split["numCategories"] > 2)).isEmpty():
+        raise ValueError("splits of features with more than two categories have no threshold")
+    return rows.select(
+        F.col("treeID").alias("tree"), n["id"].alias("node"), F.when(is_split, split["featureIndex"]).alias("feature"),
+        F.when(is_split, F.when(binary, F.lit(0.5)).otherwise(F.try_element_at(split["leftCategoriesOrThreshold"], F.lit(1)))).alias("threshold"),
+        F.when(is_split, children[0]).alias("left"), F.when(is_split, children[1]).alias("right"),
+        n["rawCount"].alias("rows"), F.try_divide(counts[1], counts[0] + counts[1]).alias("probability"))
+
+
+def feature_columns(model: PipelineModel) -> list[Column]:
+    """The forest's features as expressions over a request's own columns,
+    in the order of its vector: built from the fitted labels alone."""
+    labels = dict(zip(CATEGORICAL, model.stages[0].labelsArray, strict=True))
+    onehot = any(type(s).__name__ == "OneHotEncoderModel" for s in model.stages)
+    out = []
+    for c in CATEGORICAL if onehot else ORDINAL_ORDER:
+        if onehot:
+            out += [F.when(F.col(c) == label, 1.0).otherwise(0.0) for label in labels[c]]
+        else:  # an unseen or missing value has code 0
+            place = F.array_position(F.array(*[F.lit(x) for x in labels[c]]), F.col(c))
+            out.append(F.coalesce(F.greatest(place - 1, F.lit(0)), F.lit(0)).cast("double"))
+    return out + [F.col(c).cast("double") for c in NUMERIC]
+
+
+def walked(model: PipelineModel, df: DataFrame, name: str = "walked", nodes: DataFrame | None = None) -> DataFrame:
+    """Adds the positive class's probability by walking the node table with
+    expressions: a row goes down every tree by nested ``when``, and the leaves'
+    probabilities are averaged.  No model is called.
+
+    The node table is taken to the driver to write the expressions; it is as
+    large as the model, whatever the data.
+    """
+    table = (forest_nodes(model) if nodes is None else nodes).select(NODE_COLUMNS).collect()
+    tree: dict[tuple[int, int], object] = {(r["tree"], r["node"]): r for r in table}
+    features = feature_columns(model)
+    names = [f"_feature_{i}" for i in range(len(features))]
+
+    def down(t: int, node: int) -> Column:
+        r = tree[t, node]
+        if r["feature"] is None:
+            return F.lit(r["probability"])
+        return F.when(F.col(names[r["feature"]]) <= r["threshold"], down(t, r["left"])).otherwise(down(t, r["right"]))
+    trees = sorted({t for t, _ in tree})
+    votes = F.aggregate(F.array(*[down(t, 0) for t in trees]), F.lit(0.0), lambda a, b: a + b)
+    with_features = df.withColumns(dict(zip(names, features, strict=True)))
+    return with_features.withColumn(name, votes / len(trees)).drop(*names)
+
+
+def forest_facts(nodes: DataFrame, fit_rows: int) -> DataFrame:
+    """One row about a forest that was fitted on ``fit_rows`` rows: ``trees``,
+    ``roots_hold_fit`` (each tree was grown on a bootstrap of as many rows, six
+    standard deviations at most apart) and ``children_add_up`` (the rows of
+    every split are those of its children)."""
+    apart = F.abs(F.col("rows") - fit_rows) <= 6 * (max(1, fit_rows) ** 0.5)
+    side = lambda c: nodes.select("tree", F.col("node").alias(c), F.col("rows").alias(f"{c}_rows"))
+    splits = nodes.join(side("left"), ["tree", "left"]).join(side("right"), ["tree", "right"])
+    whole = splits.agg(F.coalesce(F.min(F.col("rows") == F.col("left_rows") + F.col("right_rows")), F.lit(True)).alias("children_add_up"))
+    roots = nodes.where("node = 0").agg(F.count(F.lit(1)).alias("trees"), F.min(apart).alias("roots_hold_fit"))
+    return roots.withColumn("children_add_up", F.col("trees").isNotNull() & whole.scalar())
+
+
 def score(model: PipelineModel, df: DataFrame, threshold: float = HIGH_RISK_THRESHOLD) -> DataFrame:
     """Batch scoring: ``probability`` (P(readmitted)), ``probability_text``
     (``23.4%``) and ``prediction`` (High Risk strictly above the
@@ -184,6 +289,16 @@ def model_meta(spark: SparkSession, model_type: str, auc_score: float, seconds:
         "features_used array<string>, status string")
 
 
+def model_record(meta: DataFrame, train: DataFrame, test: DataFrame) -> DataFrame:
+    """A metrics record in two parts: what the data and the settings fix
+    (``model_type``, ``features_used``, ``status``, ``train_rows``,
+    ``test_rows``) and, in the struct ``run``, what one run measured
+    (``auc_score``, ``training_time_seconds``)."""
+    rows = lambda df: df.agg(F.count(F.lit(1))).scalar()
+    return meta.select("model_type", "features_used", "status", rows(train).alias("train_rows"), rows(test).alias("test_rows"),
+                       F.struct("auc_score", "training_time_seconds").alias("run"))
+
+
 def save_model(model: PipelineModel, path: str) -> str:
     """Persist the fitted pipeline (encoders included)."""
     model.write().overwrite().save(path)

@@ -156,10 +156,14 @@ def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
     return df
 
 
+class NotCsvError(ValueError):
+    """An upload whose name does not end in ``.csv``."""
+
+
 def read_upload(spark: SparkSession, path: str) -> DataFrame:
     """Read an uploaded CSV with header, inferring types (the columns of an
     upload are unknown by design).  Names not ending in ``.csv`` are
     rejected before anything is read."""
     if not path.endswith(".csv"):
-        raise ValueError("Only CSV files are allowed")
+        raise NotCsvError("Only CSV files are allowed")
     return spark.read.csv(path, header=True, inferSchema=True)

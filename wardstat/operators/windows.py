@@ -35,35 +35,61 @@ def order_by(df: DataFrame, *cols: Column | str) -> DataFrame:
 _LOCAL_BITS = 33   # monotonically_increasing_id: partition index above bit 33, row index below
 
 
+def _laid_out(df: DataFrame, order: Sequence[Column | str], num_partitions: int | None) -> DataFrame:
+    """Rows range-partitioned on the sort keys (equal keys land in the same
+    partition), sorted inside each partition and checkpointed to the shared
+    checkpoint folder, so every later read sees the same partitions in the
+    same order (also after an executor loss).  On that fixed data
+    ``monotonically_increasing_id`` carries each row's partition (``_part``)
+    and its index inside it (``_local``)."""
+    from ..session import ensure_checkpoint_dir
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fixed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    return (fixed.withColumn("_mid", F.monotonically_increasing_id())
+            .withColumn("_part", F.shiftrightunsigned("_mid", _LOCAL_BITS))
+            .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+            .drop("_mid"))
+
+
 def with_position(df: DataFrame, order: Sequence[Column | str], name: str = "position",
                   num_partitions: int | None = None) -> DataFrame:
     """Adds the 1-based position of each row in the given total order,
     without moving all rows into one task.
 
-    The rows are range-partitioned on the sort keys (equal keys land in
-    the same partition), sorted inside each partition and checkpointed to
-    the shared checkpoint folder, so every later read sees the same
-    partitions in the same order (also after an executor loss).  On that
-    fixed data ``monotonically_increasing_id`` carries each row's partition
-    and its index inside it; a partition's offset is the running sum of
-    the row counts of the partitions before it -- a window and a broadcast
-    over one row per partition, bounded by the partition count.
+    A position is the row's index inside its range partition plus the
+    partition's offset, the running sum of the row counts of the partitions
+    before it -- a window and a broadcast over one row per partition, bounded
+    by the partition count.
     """
-    from ..session import ensure_checkpoint_dir
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fixed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-    mid = F.monotonically_increasing_id()
-    tagged = (fixed.withColumn("_mid", mid)
-              .withColumn("_part", F.shiftrightunsigned("_mid", _LOCAL_BITS))
-              .withColumn("_local", F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+    tagged = _laid_out(df, order, num_partitions)
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     return (tagged.join(F.broadcast(offsets), "_part")
             .withColumn(name, (F.col("_offset") + F.col("_local") + F.lit(1)).cast("long"))
-            .drop("_mid", "_part", "_local", "_offset"))
+            .drop("_part", "_local", "_offset"))
+
+
+def running_totals(df: DataFrame, order: Sequence[Column | str], totals: dict[str, str],
+                   num_partitions: int | None = None) -> DataFrame:
+    """Adds, for each ``{name: column}``, the sum of ``column`` over the rows
+    before this one in the given order (0 for the first; the order has to be
+    total, or ties are cut arbitrarily).
+
+    The running sum is taken inside each range partition, and the partition
+    sums before it are added, so no task sees more than its own partition.
+    """
+    tagged = _laid_out(df, order, num_partitions)
+    per = tagged.groupBy("_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in totals.items()])
+    parts = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_part", *[F.coalesce(F.sum(f"_{n}").over(parts), F.lit(0)).alias(f"_{n}") for n in totals])
+    rows = Window.partitionBy("_part").orderBy("_local").rowsBetween(Window.unboundedPreceding, -1)
+    out = tagged.join(F.broadcast(offsets), "_part")
+    for n, c in totals.items():
+        out = out.withColumn(n, F.coalesce(F.sum(c).over(rows), F.lit(0)) + F.col(f"_{n}"))
+    return out.drop("_part", "_local", *[f"_{n}" for n in totals])
 
 
 def top_n(df: DataFrame, order: Sequence[Column | str], n: int = 1) -> DataFrame:

@@ -104,7 +104,7 @@ def line_job(spark: SparkSession, job: str, input_path: str) -> DataFrame:
     ``input_path`` (nested folders read; header lines skipped; lines with
     too few fields dropped; ``yes`` matched in any case, rows counted)."""
     min_fields, agg, keys, value = LINE_JOBS[job]
-    parsed = FS.parse_lines(FS.read_lines(spark, input_path), min_fields=min_fields)
+    parsed = FS.parse_lines(FS.read_data_lines(spark, input_path), min_fields=min_fields, headers=False)
     out = agg(parsed)
     return FS.kv_lines(out, keys, value(out))
 

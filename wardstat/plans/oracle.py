@@ -442,13 +442,22 @@ _YEAR_COLS = ",\n       ".join(
     f"""COALESCE(ROUND(AVG(CASE WHEN year = {y} THEN is_target END), 2), 0.0) AS "{y}" """ for y in FIXTURE_YEARS)
 SQL["fillna_0"] = q(f"""
 WITH u AS (SELECT region, substr(CAST(admission_date AS VARCHAR), 1, 4) AS year,
-                  CAST(CASE WHEN readmitted IN ({_POS}) THEN 1.0 ELSE 0.0 END AS DOUBLE) AS is_target
-           FROM admissions WHERE year % 2 = 0 OR length(region) <= 6)
+                  CASE WHEN year % 2 = 0 OR length(region) <= 6
+                       THEN CAST(CASE WHEN readmitted IN ({_POS}) THEN 1.0 ELSE 0.0 END AS DOUBLE) END AS is_target
+           FROM admissions)
 SELECT region,
        {_YEAR_COLS.replace("year = ", "year = '").replace(" THEN is_target", "' THEN is_target")}
 FROM u GROUP BY region
 """)
 
+SQL["accept_csv_only"] = q("""
+SELECT f AS file, f LIKE '%.csv' AS accepted,
+       CAST(CASE WHEN f = 'admissions.csv' THEN (SELECT COUNT(*) FROM admissions)
+                 WHEN f LIKE '%.csv' THEN (SELECT COUNT(DISTINCT region) FROM admissions) ELSE 0 END AS BIGINT) AS "rows",
+       CASE WHEN f LIKE '%.csv' THEN '' ELSE 'Only CSV files are allowed' END AS message
+FROM (VALUES ('admissions.csv'), ('burden.csv'), ('burden.CSV'), ('burden.csv.txt'), ('burden.json'), ('csv')) AS t(f)
+""")
+
 SQL["split"] = q("""
 SELECT string_split(patient_id || ',' || age_band || ',' || gender || ',' || region || ',' || hospital_id || ','
        || disease || ',' || CAST(admission_date AS VARCHAR) || ',' || CAST(year AS VARCHAR) || ',' || readmitted
@@ -459,6 +468,7 @@ FROM admissions
 SQL["rename"] = SQL["regional_burden"]
 SQL["role_fallback"] = q("SELECT patient_id AS region, COUNT(*) AS cases FROM admissions GROUP BY patient_id")
 SQL["source_kafka"] = SQL["stream_decode"]
+SQL["source_kafka_latest"] = q(_MESSAGES + " WHERE ts >= TIMESTAMP '2024-01-15 12:00:00'")
 SQL["sink_stream_push"] = q(_PUSHED)
 
 SQL["yearly_disease_counts_lines"] = q("""
@@ -488,13 +498,42 @@ FROM lab JOIN i_age_band USING (age_band) JOIN i_gender USING (gender) JOIN i_di
 """)
 
 # Split by content: the same digits of the same md5.
-SQL["ml_split"] = q("""
-WITH r AS (SELECT CAST('0x' || substr(md5(concat_ws('|', patient_id, age_band, gender, region, hospital_id, disease,
+_PARTS = """r AS (SELECT *, CAST('0x' || substr(md5(concat_ws('|', patient_id, age_band, gender, region, hospital_id, disease,
                   CAST(admission_date AS VARCHAR), CAST(year AS VARCHAR), readmitted, CAST(treatment_cost AS VARCHAR))), 1, 8)
-                  AS BIGINT) % 1000000 < 800000 AS train FROM admissions)
+                  AS BIGINT) % 1000000 < 800000 AS train, CAST(CASE WHEN readmitted = 'Yes' THEN 1 ELSE 0 END AS DOUBLE) AS label
+           FROM admissions)"""
+SQL["ml_split"] = q(f"""
+WITH {_PARTS}
 SELECT CASE WHEN train THEN 'train' ELSE 'test' END AS part, COUNT(*) AS "rows" FROM r GROUP BY ALL
 """)
+# What must hold of any forest of that many trees on these rows.
+_FOREST = """label, COUNT(*) AS "rows", COUNT(*) AS walked_rows, TRUE AS mean_matches, CAST({} AS BIGINT) AS trees,
+       TRUE AS roots_hold_fit, TRUE AS children_add_up"""
+SQL["ml_train_rf"] = q(f"WITH {_PARTS}\nSELECT {_FOREST.format(20)} FROM r WHERE NOT train GROUP BY label")
+SQL["ml_train_rf_ordinal"] = q(f"WITH {_PARTS}\nSELECT {_FOREST.format(50)} FROM r GROUP BY label")
+# The rule's area by rank sums: a positive of average rank k wins against k - 1 rows
+# (ties half), less the positives among them.
+SQL["ml_auc"] = q(f"""
+WITH {_PARTS},
+s AS (SELECT label, 0.15 + CASE WHEN age_band IN ('71-80', '81-90', '90+') THEN 0.10 ELSE 0 END
+                    + CASE WHEN disease IN ('ECONOMY', 'PROMO', 'STANDARD') THEN 0.05 ELSE 0 END
+                    + CASE WHEN isodow(admission_date) >= 6 THEN 0.08 ELSE 0 END AS score FROM r WHERE NOT train),
+k AS (SELECT label, 2 * RANK() OVER (ORDER BY score) + COUNT(*) OVER (PARTITION BY score) - 1 AS twice_rank FROM s),
+t AS (SELECT COUNT(*) FILTER (label = 1) AS p, COUNT(*) FILTER (label = 0) AS n,
+             SUM(twice_rank) FILTER (label = 1) AS w FROM k)
+SELECT 'prior rule' AS scored_by, p AS positives, n AS negatives,
+       CAST(w - CAST(p AS HUGEINT) * (p + 1) AS DOUBLE) / (2 * (CAST(p AS DOUBLE) * CAST(n AS DOUBLE))) AS auc, TRUE AS evaluator_agrees
+FROM t
+UNION ALL SELECT 'forest', p, n, NULL, TRUE FROM t
+""")
+SQL["sink_model_meta"] = q(f"""
+WITH {_PARTS}
+SELECT 'RandomForestClassifier' AS model_type, 'age_band,gender,disease,treatment_cost' AS features_used,
+       'Ready for Production' AS status, COUNT(*) FILTER (train) AS train_rows, COUNT(*) FILTER (NOT train) AS test_rows,
+       TRUE AS auc_in_range, TRUE AS took_time FROM r
+""")
 SQL["ml_score"] = q("""
-SELECT age_band, disease, treatment_cost, gender, TRUE AS in_range, TRUE AS class_agrees, TRUE AS text_agrees FROM admissions
+SELECT age_band, disease, treatment_cost, gender, TRUE AS in_range, TRUE AS class_agrees, TRUE AS text_agrees,
+       TRUE AS walk_agrees, TRUE AS unseen_as_first FROM admissions
 """)
 SQL["sink_model"] = SQL["ml_score"]

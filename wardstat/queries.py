@@ -26,6 +26,7 @@ from .operators import ml as ML
 from .operators import risk as R
 from .operators import upload as U
 from .operators import windows as W
+from .operators.ranking import roc_auc
 from .plans import batch as B
 from .plans import hive as H
 from .schemas import ADMISSIONS, DATABASE, DIMENSION_TABLE, FACT_TABLE
@@ -297,12 +298,34 @@ def _csv_lake(spark, sf_dir):
         _adm(spark, sf_dir), scratch_path(spark, "csv-lake"), fmt="csv"))
 
 
+def _headed_lake(spark, sf_dir):
+    """The admissions as text files under ``part_year=/part_file=`` folders,
+    written once per application: the files of even years begin with a header,
+    the others with a record, and patients whose number is a multiple of 50
+    are called ``patient_id`` (in lines behind the first)."""
+    def build():
+        cols = [F.col(c).cast("string") for c in ADMISSIONS.fieldNames()]
+        called = F.col("patient_id").cast("long") % 50 == 0
+        line = F.concat_ws(",", F.when(called, F.lit(FS.HEADER_FIRST_FIELD)).otherwise(cols[0]), *cols[1:])
+        file_no = F.pmod(F.xxhash64("patient_id", "hospital_id"), F.lit(16)).alias("part_file")
+        rows = _adm(spark, sf_dir).select(F.col("year").alias("part_year"), file_no, F.when(called, 2).otherwise(1).alias("place"),
+                                          line.alias("value"))
+        headers = (rows.where(F.col("part_year") % 2 == 0).select("part_year", "part_file").distinct()
+                   .select("*", F.lit(0).alias("place"), F.lit(",".join(ADMISSIONS.fieldNames())).alias("value")))
+        path = scratch_path(spark, "headed-lake")
+        (rows.unionByName(headers).repartition("part_year", "part_file").sortWithinPartitions("part_year", "part_file", "place")
+         .drop("place").write.partitionBy("part_year", "part_file").text(path))
+        return path
+    return _once(spark, f"headed-lake:{sf_dir}", build)
+
+
 @register("scan_lines")
 def q_scan_lines(spark, sf_dir):
-    """Disease frequency from the raw text lines of the CSV lake, read
-    recursively through its partition folders (6 fields needed)."""
-    lines = FS.read_lines(spark, _csv_lake(spark, sf_dir))
-    return A.disease_frequency(FS.parse_lines(lines, min_fields=6))
+    """Disease frequency from raw text lines, read recursively through the
+    folders (6 fields needed): some files begin with a header, and lines that
+    look like one further down are data."""
+    lines = FS.read_data_lines(spark, _headed_lake(spark, sf_dir))
+    return A.disease_frequency(FS.parse_lines(lines, min_fields=6, headers=False))
 
 
 def _rate_kv(spark, sf_dir):
@@ -584,18 +607,63 @@ def q_ml_split(spark, sf_dir):
         .unionByName(test.agg(F.lit("test").alias("part"), F.count(F.lit(1)).alias("rows")))
 
 
+# Two probabilities that come from the same leaves, added in another order.
+SAME = 1e-9
+# How far a forest's mean probability may be from the share of its labels.
+MEAN_APART = 0.02
+
+
+def _forest_rows(model, rows, fit_rows, label_share):
+    """What must hold of a fitted forest, with its labels: the walk over its
+    node table gives what the model gives on every row, every tree was
+    grown on a bootstrap of the training rows, and the mean is calibrated."""
+    nodes = ML.forest_nodes(model).persist()
+    p = vector_to_array("probability")[1]
+    both = ML.walked(model, model.transform(rows).withColumn("p", p), "w", nodes)
+    counts = both.groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.abs(F.col("p") - F.col("w")) <= SAME, 1)).alias("walked_rows"),
+                                       F.sum("p").alias("p"))
+    whole = F.struct(F.sum("rows").alias("rows"), F.sum("p").alias("p"))
+    mean = counts.agg(whole.alias("s")).select((F.abs(F.col("s.p") / F.col("s.rows") - label_share) <= MEAN_APART).alias("ok"))
+    facts = ML.forest_facts(nodes, fit_rows)
+    return counts.select("label", "rows", "walked_rows", mean.scalar().alias("mean_matches"),
+                         *[facts.select(c).scalar().alias(c) for c in ("trees", "roots_hold_fit", "children_add_up")])
+
+
 @register("ml_train_rf")
 def q_ml_train_rf(spark, sf_dir):
-    """Test-split predictions of the one-hot forest."""
-    model, test, _, _ = ML.train_onehot(_adm(spark, sf_dir))
-    pred = model.transform(test)
-    return pred.select("label", "prediction", vector_to_array("probability")[1].alias("p_readmit"))
+    """The one-hot forest by label: rows of the test part, those of them
+    that a walk over the node table scores as the model does, and what must
+    hold of its trees."""
+    adm = _adm(spark, sf_dir)
+    model, test, _, _ = ML.train_onehot(adm)
+    train, _ = ML.split(adm)
+    seen = train.agg(F.count(F.lit(1)).alias("n"), F.avg(ML.LABEL).alias("share")).first()
+    return _forest_rows(model, test, min(seen["n"], ML.FIT_ROWS), seen["share"])
 
 
 @register("ml_auc")
 def q_ml_auc(spark, sf_dir):
-    _, _, score, secs = ML.train_onehot(_adm(spark, sf_dir))
-    return ML.model_meta(spark, "RandomForestClassifier", score, secs)
+    """Exact area under ROC on the test part: of the prior rule, and of the
+    forest (``auc`` there is left to ``ml_auc_forest``), with whether Spark's
+    own evaluator comes to the same."""
+    model, test, score, _ = ML.train_onehot(_adm(spark, sf_dir))
+    rule = R.risk_prior(test, PRIOR_FIXTURE_DISEASES)
+    exact = [("prior rule", roc_auc(rule, "prior_risk", ML.LABEL), F.col("auc"), ML.evaluator_auc(rule, "prior_risk")),
+             ("forest", ML.auc_table(model, test), F.lit(None).cast("double"), score)]
+    rows = [df.select(F.lit(name).alias("scored_by"), "positives", "negatives", shown.alias("auc"),
+                      (F.abs(F.col("auc") - other) <= AUC_APART).alias("evaluator_agrees")) for name, df, shown, other in exact]
+    return rows[0].unionByName(rows[1])
+
+
+# Spark's evaluator joins about 1,000 points of the curve by straight lines.
+AUC_APART = 2e-3
+
+
+@register("ml_auc_forest")
+def q_ml_auc_forest(spark, sf_dir):
+    """The forest's metrics record of one run, with its exact area under ROC."""
+    model, test, _, secs = ML.train_onehot(_adm(spark, sf_dir))
+    return ML.model_meta(spark, "RandomForestClassifier", ML.auc_table(model, test).first()["auc"], secs)
 
 
 def _ordinal_model_path(spark, sf_dir):
@@ -618,44 +686,63 @@ def _requests(spark, sf_dir):
 
 @register("ml_train_rf_ordinal")
 def q_ml_train_rf_ordinal(spark, sf_dir):
-    """Fresh training; class balance next to the forest's mean score."""
-    model = ML.train_ordinal(_adm(spark, sf_dir))
-    scored = model.transform(ML.with_label(_adm(spark, sf_dir)))
-    return scored.groupBy("label").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg(vector_to_array("probability")[1]).alias("mean_p_readmit"))
-
-
-def _checked_scores(scored):
-    """The requests with what must hold of every score: it is a
-    probability, its text is its rounding, and the class follows the threshold."""
-    p = F.col("probability")
-    return scored.select(
+    """Fresh training of the scoring forest on all rows: the same facts."""
+    adm = ML.with_label(_adm(spark, sf_dir))
+    model = ML.train_ordinal(adm)
+    seen = adm.agg(F.count(F.lit(1)).alias("n"), F.avg(ML.LABEL).alias("share")).first()
+    return _forest_rows(model, adm, min(seen["n"], ML.FIT_ROWS), seen["share"])
+
+
+# A gender that no model has seen: the dashboard's spelling.
+UNSEEN_GENDER = "Male"
+
+
+def _checked_scores(model, requests):
+    """The requests with what must hold of every score: it is a probability,
+    its text is its rounding, the class follows the threshold, a walk over
+    the forest's nodes gives the same, and the request of an unseen gender is
+    scored as that of the first label (code 0)."""
+    p, first = F.col("probability"), model.stages[0].labelsArray[ML.CATEGORICAL.index("gender")][0]
+    nodes = ML.forest_nodes(model).persist()
+    scored = ML.walked(model, ML.score(model, requests), "walk", nodes)
+    scored = scored.select(
         "age_band", "disease", "treatment_cost", "gender", p.between(0, 1).alias("in_range"),
         (F.col("prediction") == F.when(p > R.HIGH_RISK_THRESHOLD, R.HIGH_RISK).otherwise(R.LOW_RISK)).alias("class_agrees"),
-        (F.abs(F.regexp_replace("probability_text", "%", "").cast("double") - p * 100) <= 0.0501).alias("text_agrees"))
+        (F.abs(F.regexp_replace("probability_text", "%", "").cast("double") - p * 100) <= 0.0501).alias("text_agrees"),
+        (F.abs(p - F.col("walk")) <= SAME).alias("walk_agrees"))
+    own = F.col("gender").alias("_own")
+    unseen = ML.score(model, scored.select("*", own).withColumn("gender", F.lit(UNSEEN_GENDER)))
+    unseen = ML.walked(model, unseen.withColumn("gender", F.lit(first)), "walk", nodes)
+    return (unseen.withColumn("unseen_as_first", F.abs(F.col("probability") - F.col("walk")) <= SAME)
+            .withColumn("gender", F.col("_own")).drop("_own", "walk", "probability", "probability_text", "prediction"))
 
 
 @register("ml_score")
 def q_ml_score(spark, sf_dir):
     """Every request scored, as columns that SQL can hold against."""
-    return _checked_scores(ML.score(_ordinal_model(spark, sf_dir), _requests(spark, sf_dir)))
+    return _checked_scores(_ordinal_model(spark, sf_dir), _requests(spark, sf_dir))
 
 
 @register("sink_model")
 def q_sink_model(spark, sf_dir):
     """The same with the model after a save/load round trip."""
     path = ML.save_model(_ordinal_model(spark, sf_dir), scratch_path(spark, "model-copy"))
-    return _checked_scores(ML.score(ML.load_model(path), _requests(spark, sf_dir)))
+    return _checked_scores(ML.load_model(path), _requests(spark, sf_dir))
 
 
 @register("sink_model_meta")
 def q_sink_model_meta(spark, sf_dir):
-    _, _, score, secs = ML.train_onehot(_adm(spark, sf_dir))
-    meta = ML.model_meta(spark, "RandomForestClassifier", score, secs)
+    """The metrics record written as gold JSON and read back: its fixed
+    part, and whether the run's part is possible."""
+    adm = _adm(spark, sf_dir)
+    _, test, score, secs = ML.train_onehot(adm)
+    record = ML.model_record(ML.model_meta(spark, "RandomForestClassifier", score, secs), ML.split(adm)[0], test)
     base = scratch_path(spark, "model-meta")
-    GS.write_gold(meta, "ml_model_meta", base, partitions=1)
-    return GS.read_gold(spark, "ml_model_meta", base, schema=meta.schema)
+    GS.write_gold(record, "ml_model_meta", base, partitions=1)
+    read = GS.read_gold(spark, "ml_model_meta", base)
+    return read.select("model_type", F.array_join("features_used", ",").alias("features_used"), "status", "train_rows", "test_rows",
+                       F.col("run.auc_score").between(0, 1).alias("auc_in_range"),
+                       (F.col("run.training_time_seconds") > 0).alias("took_time"))
 
 
 # --- end-to-end jobs ---------------------------------------------------------------------
@@ -772,13 +859,34 @@ def q_flag_yes_ci(spark, sf_dir):
 
 @register("fillna_0")
 def q_fillna_0(spark, sf_dir):
-    """Rate by region (rows) and year (columns, found in the data); the
-    region-year cells without admissions (odd years of regions with a name
-    of more than six letters are left out here) are filled with 0."""
-    up = _uploaded(spark, sf_dir).where((F.col("year").cast("int") % 2 == 0) | (F.length("region") <= 6))
+    """Rate by region (rows) and year (columns, found in the data) of all
+    admissions; in odd years, regions with a name of more than six letters
+    have no target, so their cells have no mean and are filled with 0."""
+    known = (F.col("year").cast("int") % 2 == 0) | (F.length("region") <= 6)
+    up = _uploaded(spark, sf_dir).withColumn("is_target", F.when(known, F.col("is_target")))
     return G.pivot_mean(up, "region", "year", "is_target")
 
 
+@register("accept_csv_only")
+def q_accept_csv_only(spark, sf_dir):
+    """The admissions' export offered as an upload, and exports of the
+    regional burden under other names: the name alone decides, before anything is read."""
+    burden = A.regional_burden(_uploaded(spark, sf_dir))
+    offered = {"admissions.csv": _csv_copy(spark, sf_dir)}
+    for name in ("burden.csv", "burden.CSV", "burden.csv.txt", "burden.json", "csv"):
+        offered[name] = FS.write_csv(burden, f"{scratch_path(spark, 'offered')}/{name}")
+    out = None
+    for name, path in offered.items():
+        try:
+            read = U.read_upload(spark, path).agg(F.count(F.lit(1)).alias("rows"))
+            row = read.select(F.lit(name).alias("file"), F.lit(True).alias("accepted"), "rows", F.lit("").alias("message"))
+        except U.NotCsvError as e:
+            row = spark.range(1).select(F.lit(name).alias("file"), F.lit(False).alias("accepted"),
+                                        F.lit(0).cast("long").alias("rows"), F.lit(str(e)).alias("message"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @register("split")
 def q_split(spark, sf_dir):
     """Raw lines split into fields (header lines left out)."""
@@ -816,6 +924,27 @@ def q_source_kafka(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+# Messages up to this time are in the topic before the consumer starts.
+BACKLOG_UNTIL = "2024-01-15 12:00:00"
+
+
+@register("source_kafka_latest")
+def q_source_kafka_latest(spark, sf_dir):
+    """A consumer that starts at the latest message (file stand-in): readings
+    are published before and after it has taken its position, and it
+    receives the later ones only."""
+    v = _vitals(spark, sf_dir).withColumn("oxygen_level", S.clamp("oxygen_level"))
+    earlier = F.col("ts") < F.lit(BACKLOG_UNTIL).cast("timestamp_ntz")
+    topic, log = scratch_path(spark, "vitals-topic-live"), scratch_path(spark, "start-position")
+    V.write_vitals_files(v.where(earlier), topic)
+    position = V.start_position(spark, topic, log)
+    V.write_vitals_files(v.where(~earlier), topic)
+    sdf = V.read_vitals(spark, "files", V.VITALS_STREAM, path=topic, after=position)
+    out = scratch_path(spark, "vitals-live")
+    V.write_stream_files(sdf, out, scratch_path(spark, "ckpt-vitals-live"), available_now=True).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @register("sink_stream_push")
 def q_sink_stream_push(spark, sf_dir):
     """Each flagged micro-batch handed to a foreachBatch function that

@@ -49,13 +49,43 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").text(path)
 
 
-def parse_lines(lines: DataFrame, min_fields: int = 9,
-                schema: T.StructType = ADMISSIONS_TEXT, sep: str = ",") -> DataFrame:
+def read_data_lines(spark: SparkSession, path: str, mark: str = HEADER_FIRST_FIELD) -> DataFrame:
+    """Raw text lines without the files' headers (one ``value`` column),
+    nested directories included.
+
+    A header is a file's first line (byte offset 0), and only if it contains
+    ``mark``; a line that contains it anywhere else is data, and so is a first
+    line without it.  An empty first line is a first line.
+
+    Lines without the mark stream through untouched.  Of the others a file
+    has few: they are grouped by file and text in one more scan, together with
+    the place of the file's first line, and the one that stands there loses one
+    of its copies.  The place is the row's running number inside the scan of
+    the file's first block, and is compared within that scan only.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
+    marked = F.contains(F.col("value"), F.lit(mark))
+    first_block = F.col("_metadata.file_block_start") == 0
+    place = F.monotonically_increasing_id()
+    groups = (lines.select(F.col("_metadata.file_path").alias("file"), F.when(marked, F.col("value")).alias("line"),
+                           F.when(first_block, place).alias("place"))
+              .groupBy("file", "line").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("place")))
+    firsts = groups.groupBy("file").agg(F.min("place").alias("first"))
+    is_first = F.coalesce(F.col("place") == F.col("first"), F.lit(False))
+    copies = F.when(F.col("line").isNull(), 0).otherwise(F.col("n") - is_first.cast("long"))
+    kept = (groups.join(firsts, "file").withColumn("copies", copies).where("copies > 0")
+            .select(F.col("line").alias("value"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("i")))
+    return lines.select("value").where(~marked).unionByName(kept.select("value"))
+
+
+def parse_lines(lines: DataFrame, min_fields: int = 9, schema: T.StructType = ADMISSIONS_TEXT, sep: str = ",",
+                headers: bool = True) -> DataFrame:
     """Split raw lines into the named text columns of ``schema``.
 
-    * a header line is dropped: its first field is ``patient_id``, quoted or
-      not, with or without a byte-order mark.  Spark's text reader tells no
-      line's place in its file, so such a line is dropped wherever it stands;
+    * lines may hold headers whose place in a file is not known: a line whose
+      first field is ``patient_id``, quoted or not, with or without a
+      byte-order mark, is dropped.  ``headers=False`` for lines of
+      ``read_data_lines``, where such a line is data;
     * trailing empty fields do not count (``...,Yes,`` has 9 fields,
       ``...,,`` with empty readmitted and cost has 8);
     * lines with fewer than ``min_fields`` fields are dropped (the
@@ -67,8 +97,9 @@ def parse_lines(lines: DataFrame, min_fields: int = 9,
     """
     arr = S.split_fields("value", sep)
     parsed = lines.select(arr.alias("_f"))
-    kept = parsed.where((F.size("_f") >= min_fields)
-                        & (F.btrim(S.field("_f", 0), F.lit("\ufeff\" ")) != F.lit(HEADER_FIRST_FIELD)))
+    kept = parsed.where(F.size("_f") >= min_fields)
+    if headers:
+        kept = kept.where(F.btrim(S.field("_f", 0), F.lit("\ufeff\" ")) != F.lit(HEADER_FIRST_FIELD))
     return kept.select(*[S.field("_f", i).alias(f.name) for i, f in enumerate(schema.fields)])
 
 

@@ -10,12 +10,14 @@ resumes from its last committed micro-batch.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import scalars as S
 from ..operators.windows import latest_n
@@ -68,12 +70,16 @@ def read_vitals(spark: SparkSession, kind: str = "kafka", schema: T.StructType =
                 path: str | None = None, bootstrap_servers: str | None = None,
                 topic: str = TOPIC, starting_offsets: str = "latest",
                 max_files_per_trigger: int | None = None,
-                max_offsets_per_trigger: int | None = None) -> DataFrame:
+                max_offsets_per_trigger: int | None = None,
+                after: dt.datetime | None = None) -> DataFrame:
     """Streaming frame of decoded vitals.
 
-    ``kind="kafka"`` needs the Kafka connector on the classpath;
-    ``kind="files"`` reads JSON-lines files (one message per line) from
-    ``path`` with the same schema.  ``max_offsets_per_trigger`` /
+    ``kind="kafka"`` needs the Kafka connector on the classpath; it starts at
+    ``starting_offsets``.  ``kind="files"`` reads JSON-lines files (one message
+    per line) from ``path`` with the same schema, from the first file on, or,
+    with ``after`` (see ``start_position``), only files newer than that: the
+    backlog of the start is left out, as a consumer that starts at the latest
+    message leaves it.  ``max_offsets_per_trigger`` /
     ``max_files_per_trigger`` bound each micro-batch, so a backlog is
     worked off in steady batches instead of one huge one.
     """
@@ -90,7 +96,10 @@ def read_vitals(spark: SparkSession, kind: str = "kafka", schema: T.StructType =
         reader = spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())]))
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-        return decode_vitals(reader.text(path), schema)
+        raw = reader.text(path)
+        if after is not None:
+            raw = raw.where(F.col("_metadata.file_modification_time") > F.lit(after))
+        return decode_vitals(raw, schema)
     raise ValueError(f"unknown vitals source {kind!r}")
 
 
@@ -134,26 +143,31 @@ def write_stream_files(sdf: DataFrame, path: str, checkpoint: str, fmt: str = "p
     return w.start()
 
 
-def _generations(spark: SparkSession, path: str) -> list[tuple[int, str, int, str]]:
-    """Completed generations under ``path`` as (number, query, batch, folder),
-    oldest first; empty only if the folder does not exist yet."""
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        return []
-    out = []
-    for status in fs.listStatus(place):
-        folder = status.getPath()
-        name = folder.getName().split("_")
-        if len(name) == 4 and name[0] == "gen" and fs.exists(jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")):
-            out.append((int(name[1]), name[2], int(name[3]), folder.toString()))
-    return sorted(out)
+#: Columns of the writer's own log, in every kept row: the generation, and the
+#: query and batch that wrote it.
+_LOG = "_generation long, _query string, _batch long"
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+def _slot(path: str, generation: int) -> str:
+    return f"{path}/gen_{generation % 2}"
+
+
+def _kept(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """A slot's rows with their log; None if it was never written.  The schema
+    is given, so nothing but the rows themselves is read."""
+    wide = T.StructType([*schema.fields, *T.StructType.fromDDL(_LOG).fields])
+    try:
+        return spark.read.schema(wide).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+            return None
+        raise
+
+
+def _last(slots: list[DataFrame | None]) -> list[tuple[int, str, int]]:
+    """(generation, query, batch) of the slots that hold rows, oldest first."""
+    heads = [s.select("_generation", "_query", "_batch").first() for s in slots if s is not None]
+    return sorted(tuple(h) for h in heads if h is not None)
 
 
 def latest_n_writer(path: str, n: int = 20, ts: str = "ts", keys: Sequence[str] = (),
@@ -161,31 +175,77 @@ def latest_n_writer(path: str, n: int = 20, ts: str = "ts", keys: Sequence[str]
     """A ``foreachBatch`` function keeping the ``n`` most recent records
     (overall, or per key) under ``path``.
 
-    Every batch writes a new generation (the previous one's rows and its
-    own, cut to the top ``n``) and then deletes all but the last two, so a
-    batch reads one folder by name however long the stream runs.  A
-    generation's folder names the query and batch that wrote it: a batch
-    run again replaces its own generation from the one before it, and a
-    query restarted on a new checkpoint goes on from what is kept.
+    Generations take turns in two slots, and every row carries its own commit
+    log: the generation, the query and the batch that wrote it.  A batch reads the
+    last generation, cuts its rows and its own to the top ``n``, and overwrites
+    the other slot through Spark's commit protocol, so until that write has
+    committed the last generation is whole and is what readers see.  A batch
+    that runs again (killed before the stream committed it) finds its own
+    generation and replaces it from the one before, still in the other slot; a
+    query restarted on a new checkpoint goes on from what is kept.  Nothing
+    is listed, renamed or deleted.
     """
     def fn(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        query = (spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch").replace("_", "-")
-        done = _generations(spark, path)
-        if done and done[-1][1:3] == (query, batch_id):
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        done = _last([_kept(spark, _slot(path, g), batch.schema) for g in (0, 1)])
+        if done and done[-1][1:] == (query, batch_id):
             number, done = done[-1][0], done[:-1]
         else:
             number = done[-1][0] + 1 if done else 0
-        rows = batch.unionByName(spark.read.parquet(done[-1][3]).select(*batch.columns)) if done else batch
+        rows = batch
+        if done:
+            rows = batch.unionByName(_kept(spark, _slot(path, done[-1][0]), batch.schema).select(*batch.columns))
         top = latest_n(rows, ts, n, keys, tie_breakers)
-        top.write.mode("overwrite").parquet(f"{path}/gen_{number:012d}_{query}_{batch_id}")
-        for _, _, _, folder in done[:-1]:
-            _delete(spark, folder)
+        top = top.select("*", F.lit(number).cast("long").alias("_generation"), F.lit(query).alias("_query"),
+                         F.lit(batch_id).cast("long").alias("_batch"))
+        top.write.mode("overwrite").parquet(_slot(path, number))
     return fn
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame | None:
     """The rows last kept by ``latest_n_writer``; None if nothing was kept
-    yet.  A folder that is there but cannot be read raises."""
-    done = _generations(spark, path)
-    return spark.read.parquet(done[-1][3]) if done else None
+    yet.  A slot that is there but cannot be read raises."""
+    slots = []
+    for g in (0, 1):
+        try:
+            slots.append(spark.read.parquet(_slot(path, g)))
+        except AnalysisException as e:
+            # Not there, or no file committed there yet.
+            if (e.getCondition() or "").split(".")[0] not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    done = [(head[0], s) for s in slots if (head := s.select("_generation").first()) is not None]
+    if not done and not slots:
+        return None
+    _, rows = max(done, key=lambda d: d[0]) if done else (None, slots[0])
+    return rows.drop(*T.StructType.fromDDL(_LOG).fieldNames())
+
+
+def newest_message(spark: SparkSession, path: str) -> dt.datetime | None:
+    """The position behind everything that is in the topic folder ``path``
+    now: the time of its newest file, as the file system tells it; None if
+    there is none.  Only the files' listing is read."""
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in (e.getCondition() or ""):
+            return None
+        raise
+    return files.agg(F.max("modificationTime")).first()[0]
+
+
+def start_position(spark: SparkSession, path: str, log: str) -> dt.datetime | None:
+    """The position that a stream over ``path`` started at: ``newest_message``
+    on the first call, written to ``log`` (one row, beside the stream's
+    checkpoint); what is written there on every later one.  So a restarted
+    query leaves out what the first start left out, and reads what was
+    published while it was down."""
+    schema = T.StructType([T.StructField("position", T.TimestampType())])
+    try:
+        return spark.read.schema(schema).parquet(log).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
+    position = newest_message(spark, path)
+    spark.createDataFrame([(position,)], schema).coalesce(1).write.parquet(log)
+    return position
