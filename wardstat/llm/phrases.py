@@ -355,8 +355,8 @@ WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-runs AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
-f AS (
+runs AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+f AS MATERIALIZED (
   SELECT lang, 1 AS words, phrase, count(*) AS a FROM (SELECT lang, unnest(w) AS phrase FROM runs) GROUP BY ALL
   UNION ALL
   SELECT lang, 2, phrase, count(*) FROM (
@@ -365,12 +365,13 @@ f AS (
   SELECT lang, 3, phrase, count(*) FROM (
     SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS phrase
     FROM runs) GROUP BY ALL),
-c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND a >= 10),
-cuts AS (SELECT lang, phrase, words, a, w, unnest(range(1, words)) AS k FROM c),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND a >= 10),
+each AS (SELECT lang, phrase, a, w, unnest(range(1, words)) AS k FROM c),
+cuts AS MATERIALIZED (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM each),
 scored AS (
   SELECT cuts.*, h.a AS l, t.a AS r, 1000000::HUGEINT * cuts.a * cuts.a // (h.a::HUGEINT * t.a) AS score
-  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = array_to_string(cuts.w[1:cuts.k], ' ')
-            JOIN f t ON t.lang = cuts.lang AND t.phrase = array_to_string(cuts.w[cuts.k + 1:], ' ')),
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = cuts.head JOIN f t ON t.lang = cuts.lang AND t.phrase = cuts.tail),
 best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 holders AS (
   SELECT lang, phrase, max(a) AS most FROM (
