@@ -157,38 +157,75 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html"), rules_frame(spark, RULES))
 
 
+def _sql_rest(url: str) -> str:
+    return f"CASE WHEN contains({url}, '://') THEN substr({url}, strpos({url}, '://') + 3) END"
+
+
+def _sql_host(rest: str) -> str:
+    return (f"coalesce(translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+            "'abcdefghijklmnopqrstuvwxyz'), '')")
+
+
+def _sql_path(rest: str) -> str:
+    return f"coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '')"
+
+
+def _sql_node(rest: str) -> str:
+    kept = (f"array_to_string(list_sort(list_filter(string_split(regexp_extract({rest}, '^[^?#]*\\?([^#]*)', 1), '&'), "
+            "lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)=', 'i'))), '&')")
+    return (f"CASE WHEN {rest} IS NOT NULL THEN regexp_replace({_sql_host(rest)}, '^www\\.', '') || "
+            f"regexp_replace({_sql_path(rest)}, '(/|\\.html?)$', '') || CASE WHEN {kept} = '' THEN '' ELSE '?' || {kept} END END")
+
+
+#: The same rules as above for hosts, rules, nodes, links in every form, and components.
 ORACLE = r"""
-WITH RECURSIVE p AS (
-  SELECT page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
-q AS (
-  SELECT page_id, html, rest,
-         coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
-         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
-         regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query FROM p),
-n AS (
-  SELECT *, CASE WHEN rest IS NULL THEN NULL ELSE regexp_replace(host, '^www\.', '') || regexp_replace(path, '(/|\.html?)$', '')
-    || CASE WHEN array_to_string(list_sort(list_filter(string_split(query, '&'),
-         lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)=', 'i'))), '&') = '' THEN ''
-       ELSE '?' || array_to_string(list_sort(list_filter(string_split(query, '&'),
-         lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)=', 'i'))), '&') END END AS node FROM q),
+WITH RECURSIVE p AS (SELECT page_id, url, html, """ + _sql_rest("url") + r""" AS rest FROM pages),
+n AS (SELECT page_id, url, html, """ + f'{_sql_host("rest")} AS host, {_sql_path("rest")} AS path, {_sql_node("rest")} AS node' + r""" FROM p),
 rules(action, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 fits AS (
-  SELECT n.page_id, n.host AS h, n.path AS pa, r.host || r.path AS rule, r.action,
+  SELECT n.page_id, r.host || r.path AS rule, r.action,
          row_number() OVER (PARTITION BY n.page_id ORDER BY length(r.host || r.path) DESC, r.action) AS k
   FROM n JOIN rules r ON (n.host = r.host OR ends_with(n.host, '.' || r.host)) AND starts_with(n.path, r.path)),
 own AS (SELECT n.page_id, n.host, n.path, n.node, f.rule, f.action FROM n LEFT JOIN fits f ON n.page_id = f.page_id AND f.k = 1),
-links AS (
-  SELECT n.node AS src, regexp_replace(regexp_extract(t, '://([^"''\s>#?]+)', 1), '(/|\.html?)$', '') AS dst
-  FROM n, unnest(regexp_extract_all(n.html, '(?is)<(?:link|meta)\b[^>]*(?:rel\s*=\s*["'']?canonical|http-equiv\s*=\s*["'']?refresh)\b[^>]*>')) AS u(t)
-  WHERE n.node IS NOT NULL),
-both_ways AS (SELECT src, dst FROM links UNION SELECT dst, src FROM links),
+tags AS (
+  SELECT node, path, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS site, regexp_extract(url, '(?s)^(.*?:)//', 1) AS scheme, url,
+         unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+  FROM n WHERE node IS NOT NULL),
+named AS (
+  SELECT *, regexp_replace(trim(CASE
+      WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?canonical\b') THEN
+        regexp_extract(tag, '(?is)[^\w-]href\s*=\s*(?:"([^">]*)|''([^''>]*)|([^\s"''>]+))', 1)
+        || regexp_extract(tag, '(?is)[^\w-]href\s*=\s*(?:"([^">]*)|''([^''>]*)|([^\s"''>]+))', 2)
+        || regexp_extract(tag, '(?is)[^\w-]href\s*=\s*(?:"([^">]*)|''([^''>]*)|([^\s"''>]+))', 3)
+      WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN
+        CASE WHEN regexp_matches(tag, '(?is)[^\w-]content\s*=\s*["'']?[\s\d.]*[;,\s]\s*url\s*=') THEN
+          regexp_extract(tag, '(?is)[^\w-]content\s*=\s*["'']?[\s\d.]*[;,\s]\s*url\s*=\s*["'']?\s*([^"''\s>]+)', 1)
+        ELSE regexp_extract(tag, '(?is)[^\w-]content\s*=\s*["'']?[\s\d.]*[;,\s]\s*([^"''\s>]+)', 1) END
+      ELSE '' END), '(?i)&(amp|#0*38|#x0*26);', '&', 'g') AS t
+  FROM tags),
+ways AS (
+  SELECT *, CASE WHEN starts_with(regexp_extract(t, '^[^?#]*'), '/') THEN regexp_extract(t, '^[^?#]*')
+            ELSE regexp_extract('/' || regexp_replace(path, '^/', ''), '(?s)^.*/') || regexp_extract(t, '^[^?#]*') END AS way FROM named),
+targets AS (
+  SELECT node, CASE
+      WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') THEN t
+      WHEN t = '' OR site = '' OR regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') THEN ''
+      WHEN starts_with(t, '//') THEN scheme || t
+      WHEN starts_with(t, '#') THEN url
+      WHEN starts_with(t, '?') THEN site || path || t
+      ELSE site || list_reduce(string_split(way, '/'), lambda done, part: CASE WHEN part = '..' THEN regexp_replace(done, '/[^/]*$', '')
+                               WHEN part = '.' THEN done ELSE done || '/' || part END)
+           || regexp_extract(t, '(?s)^[^?#]*(.*)', 1) END AS target FROM ways),
+ends AS (SELECT node AS src, """ + _sql_rest("target") + r""" AS rest FROM targets WHERE target <> ''),
+links AS (SELECT src, """ + _sql_node("rest") + r""" AS dst FROM ends WHERE rest IS NOT NULL),
+both_ways AS (SELECT src, dst FROM links WHERE src <> dst UNION SELECT dst, src FROM links WHERE src <> dst),
 reach(node, other) AS (
   SELECT DISTINCT src, src FROM both_ways UNION SELECT r.node, b.dst FROM reach r JOIN both_ways b ON r.other = b.src),
 least AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
-named AS (SELECT own.*, coalesce(l.component, own.node) AS component FROM own LEFT JOIN least l ON own.node = l.node),
-per AS (SELECT component, bool_or(action = 'allow') AS allow, bool_or(action = 'block') AS block FROM named
+placed AS (SELECT own.*, coalesce(l.component, own.node) AS component FROM own LEFT JOIN least l ON own.node = l.node),
+per AS (SELECT component, bool_or(action = 'allow') AS allow, bool_or(action = 'block') AS block FROM placed
         WHERE component IS NOT NULL GROUP BY component)
-SELECT named.page_id, named.host, named.path, named.rule,
-       coalesce(named.action, CASE WHEN per.allow THEN 'allow' WHEN per.block THEN 'block' ELSE 'allow' END) AS verdict, named.component
-FROM named LEFT JOIN per ON named.component = per.component
+SELECT placed.page_id, placed.host, placed.path, placed.rule,
+       coalesce(placed.action, CASE WHEN per.allow THEN 'allow' WHEN per.block THEN 'block' ELSE 'allow' END) AS verdict, placed.component
+FROM placed LEFT JOIN per ON placed.component = per.component
 """
