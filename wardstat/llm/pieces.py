@@ -14,8 +14,8 @@ several times faster.  Models without that property are encoded text by text.
 
 Defined results: null text is empty; the empty text has no piece but the
 begin and end ids; begin and end ids have empty spans; texts are taken whole;
-repeated rows have equal results; an empty table gives no rows; other columns
-are never read.  The word memory is bounded.
+repeated rows have equal results, and rows of a null doc_id one each; an empty
+table gives no rows; other columns are never read.  The word memory is bounded.
 """
 
 from __future__ import annotations
