@@ -232,7 +232,7 @@ def feature_columns(model: PipelineModel) -> list[Column]:
 
 def walked(model: PipelineModel, df: DataFrame, name: str = "walked", nodes: DataFrame | None = None) -> DataFrame:
     """Adds the positive class's probability by walking the node table with
-    expressions: a row goes down every tree by nested ``when``, and the leaves'
+    expressions: a row goes down every tree by nested ``CASE``, and the leaves'
     probabilities are averaged.  No model is called.
 
     The node table is taken to the driver to write the expressions; it is as
@@ -243,13 +243,14 @@ def walked(model: PipelineModel, df: DataFrame, name: str = "walked", nodes: Dat
     features = feature_columns(model)
     names = [f"_feature_{i}" for i in range(len(features))]
 
-    def down(t: int, node: int) -> Column:
+    def down(t: int, node: int) -> str:
         r = tree[t, node]
         if r["feature"] is None:
-            return F.lit(r["probability"])
-        return F.when(F.col(names[r["feature"]]) <= r["threshold"], down(t, r["left"])).otherwise(down(t, r["right"]))
+            return "CAST(NULL AS DOUBLE)" if r["probability"] is None else f"{r['probability']!r}D"
+        return (f"CASE WHEN {names[r['feature']]} <= {r['threshold']!r}D THEN {down(t, r['left'])}"
+                f" ELSE {down(t, r['right'])} END")
     trees = sorted({t for t, _ in tree})
-    votes = F.aggregate(F.array(*[down(t, 0) for t in trees]), F.lit(0.0), lambda a, b: a + b)
+    votes = F.aggregate(F.array(*[F.expr(down(t, 0)) for t in trees]), F.lit(0.0), lambda a, b: a + b)
     with_features = df.withColumns(dict(zip(names, features, strict=True)))
     return with_features.withColumn(name, votes / len(trees)).drop(*names)
 
