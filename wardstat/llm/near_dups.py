@@ -14,12 +14,15 @@ bucket are candidates.  A bucket never emits its pairs: every member is
 compared with one member that the bucket elects (the one with the least hash),
 and what that joins is contracted by connected components.
 *The rest, exactly.*  Buckets that still hold several components compare
-members of different components only, by long one-byte signatures, in blocks
-of at most ``BLOCK`` members against ``BLOCK``, so a bucket of any size is
+members of different components only, by long one-byte signatures, in cells
+of two blocks of at most about ``BLOCK`` 64-bit numbers, so a bucket of any size is
 split over tasks.  A pair is looked at only in the first band it shares, and
 only pairs whose estimate is within ``SLACK`` standard deviations of the
-threshold go on.
-*Verification.*  Every candidate pair is decided on the two full sets.
+threshold are candidates.  A cell hands on a spanning forest of its candidates,
+the likeliest pairs first: never more pairs than members.  Where one of them
+fails, the cell is decided inside its task on the full sets, component by
+component, and hands on a spanning forest of the links.
+*Verification.*  Every link is decided on the two full sets.
 
 There are as many bands as it takes for a link at the threshold to miss all
 of them with a probability below ``MISS``.
@@ -54,7 +57,8 @@ SEED = 11
 #: Coordinates of the long signature that sorts out candidates of mixed buckets.
 LONG = 1024
 SLACK = 4.5
-BLOCK = 512
+#: Weight of a block: shingles and signatures, in 64-bit numbers (4 MB).
+BLOCK = 1 << 19
 MEMORY_WORDS = 200_000
 
 SHINGLE = 3
@@ -185,22 +189,21 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         100 * F.col("c") >= percent * (F.col("both") - F.col("c"))).select("src", "dst")
 
 
-def _mixed_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components inside buckets that hold
-    several, found block against block."""
+def _cells(members: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """bucket, i, j, odd, id, component, main: the members of buckets that
+    hold several components, dealt to cells of bounded weight, so that every pair
+    across components meets in one cell of each bucket that it shares."""
     named = (members.join(small(labels), members["id"] == labels["node"], "left")
-             .select("bucket", "id", F.coalesce("component", "id").alias("component")))
-    # The most frequent component of a bucket need not meet itself, nor be split against itself.
-    per = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (per.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"),
-                                       F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"))
+             .select("bucket", "id", F.coalesce("component", "id").alias("component")).join(sizes, "id"))
+    # The heaviest component of a bucket need not meet itself, nor be split against itself.
+    weight = F.col("n_shingles") + F.lit(LONG // 8)
+    per = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("weight"))
+    mixed = (per.groupBy("bucket").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.sum("weight").alias("weight"),
+                                       F.max_by("component", F.struct("weight", "component")).alias("main"), F.max("weight").alias("most"))
              .filter((F.col("parts") > 1) & (F.col("n") > 2)))
-    rest = F.col("n") - F.col("most")
-    mixed = mixed.select("bucket", "main", F.ceil(rest / BLOCK).cast("int").alias("across"),
-                         F.ceil(F.col("n") / BLOCK).cast("int").alias("down"))
-    found = stored(named.join(mixed, "bucket"), "mixed-members")
-    sigs = sets.select("id", "bands", "long")
-    rows = small(found).join(sigs, "id")
+    blocks = lambda w: F.greatest(F.ceil(w / BLOCK), F.lit(1)).cast("int")
+    mixed = mixed.select("bucket", "main", blocks(F.col("weight") - F.col("most")).alias("across"), blocks(F.col("weight")).alias("down"))
+    rows = named.select("bucket", "id", "component").join(mixed, "bucket")
     # A member outside the main component goes, as a row of the block, to every
     # block of all members, and every member to every block of such rows.
     i = F.pmod(F.xxhash64("id"), F.col("across")).cast("int")
@@ -208,32 +211,129 @@ def _mixed_pairs(members: DataFrame, labels: DataFrame, sets: DataFrame, percent
     left = (rows.filter(F.col("component") != F.col("main"))
             .select("*", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("j"), F.lit(True).alias("odd")))
     right = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("i"), j.alias("j"), F.lit(False).alias("odd"))
-    cells = left.unionByName(right).select("bucket", "i", "j", "odd", "id", "component", "main", "bands", "long")
+    return left.unionByName(right).select("bucket", "i", "j", "odd", "id", "component", "main")
+
+
+class Forest:
+    """Components of a cell's members, by union."""
+
+    def __init__(self, components: np.ndarray):
+        _, at = np.unique(components, return_inverse=True)
+        self.of, self.up = at.tolist(), list(range(int(at.max()) + 1 if len(at) else 0))
+
+    def root(self, member: int) -> int:
+        up, x = self.up, self.of[member]
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _candidates(cell: pa.Table, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (rows of the cell) whose signatures agree in ``least`` places or
+    more, the best first: each pair in the first band that it shares only."""
+    odd = np.asarray(cell.column("odd").combine_chunks().cast(pa.uint8())).astype(bool)
+    ids, comps = np.asarray(cell.column("id")), np.asarray(cell.column("component"))
+    bucket, main = cell.column("bucket")[0].as_py(), cell.column("main")[0].as_py()
+    bands = np.array(cell.column("bands").to_pylist(), np.int64)
+    sig = np.frombuffer(b"".join(cell.column("long").to_pylist()), np.uint8).reshape(-1, LONG)
+    at = np.flatnonzero(~odd)
+    band = int(np.argmax((bands == bucket).all(0)))
+    src, dst, same = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in np.flatnonzero(odd):
+        others = at[comps[at] != comps[k]]
+        # Two members outside the main component meet twice: the lesser asks.
+        others = others[~((comps[others] != main) & (ids[others] <= ids[k]))]
+        if band:  # pairs that share an earlier band are looked at there
+            others = others[~(bands[others, :band] == bands[k, :band]).any(1)]
+        alike = (sig[others] == sig[k]).sum(1)
+        near = alike >= least
+        src.append(np.full(int(near.sum()), k))
+        dst.append(others[near])
+        same.append(alike[near])
+    src, dst, same = map(np.concatenate, (src, dst, same))
+    order = np.argsort(-same, kind="stable")
+    return src[order], dst[order], same[order]
+
+
+def _edges(cell: pa.Table, pairs: list[tuple[int, int]]) -> pa.Table:
+    ids = np.asarray(cell.column("id"))
+    ends = ids[np.array(pairs, np.int64).reshape(-1, 2)]
+    n = len(pairs)
+    return pa.table({"bucket": pa.array([cell.column("bucket")[0].as_py()] * n, pa.int64()),
+                     "i": pa.array([cell.column("i")[0].as_py()] * n, pa.int32()), "j": pa.array([cell.column("j")[0].as_py()] * n, pa.int32()),
+                     "src": pa.array(ends.min(1) if n else [], pa.int64()), "dst": pa.array(ends.max(1) if n else [], pa.int64())})
+
+
+EDGES = "bucket long, i int, j int, src long, dst long"
+
+
+def _least(percent: int) -> int:
     share = percent / 100
-    least = int((share - SLACK * math.sqrt(share * (1 - share) / LONG)) * LONG)
+    return int((share - SLACK * math.sqrt(share * (1 - share) / LONG)) * LONG)
+
+
+def _likely_edges(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest of the components of every cell by its candidate
+    pairs, the likeliest first: fewer edges than members."""
+    least = _least(percent)
 
     def compare(cell: pa.Table) -> pa.Table:
-        odd = np.asarray(cell.column("odd").combine_chunks().cast(pa.uint8())).astype(bool)
-        ids, comps = np.asarray(cell.column("id")), np.asarray(cell.column("component"))
-        bucket, main = cell.column("bucket")[0].as_py(), cell.column("main")[0].as_py()
-        bands = np.array(cell.column("bands").to_pylist(), np.int64)
-        sig = np.frombuffer(b"".join(cell.column("long").to_pylist()), np.uint8).reshape(-1, LONG)
-        src, dst = [], []
-        at = np.flatnonzero(~odd)
-        band = int(np.argmax((bands == bucket).all(0)))
-        for k in np.flatnonzero(odd):
-            with_other = at[comps[at] != comps[k]]
-            # Two members outside the main component meet twice: the lesser asks.
-            twice = (comps[with_other] != main) & (ids[with_other] <= ids[k])
-            with_other = with_other[~twice]
-            if band:  # pairs that share an earlier band are looked at there
-                with_other = with_other[~(bands[with_other, :band] == bands[k, :band]).any(1)]
-            near = with_other[(sig[with_other] == sig[k]).sum(1) >= least]
-            src.extend([int(ids[k])] * len(near))
-            dst.extend(ids[near].tolist())
-        return pa.table({"src": pa.array(np.minimum(src, dst) if src else [], pa.int64()),
-                         "dst": pa.array(np.maximum(src, dst) if src else [], pa.int64())})
-    return cells.groupBy("bucket", "i", "j").applyInArrow(compare, "src long, dst long").distinct()
+        src, dst, _ = _candidates(cell, least)
+        forest = Forest(np.asarray(cell.column("component")))
+        return _edges(cell, [(a, b) for a, b in zip(src.tolist(), dst.tolist(), strict=True) if forest.join(a, b)])
+    return cells.join(sets.select("id", "bands", "long"), "id").groupBy("bucket", "i", "j").applyInArrow(compare, EDGES)
+
+
+def _exact_edges(cells: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest of every cell's links, decided on the full sets, over
+    the components known so far: what is connected is not compared again."""
+    least = _least(percent)
+    now = cells.join(small(labels), cells["id"] == labels["node"], "left").drop("node").withColumnRenamed("_now", "now")
+    now = now.withColumn("now", F.coalesce("now", "id"))
+
+    def decide(cell: pa.Table) -> pa.Table:
+        src, dst, _ = _candidates(cell, least)
+        column = cell.column("shingles").combine_chunks()
+        flat, ends = np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths()))])
+        own = lambda k: flat[ends[k]:ends[k + 1]]
+        forest, found = Forest(np.asarray(cell.column("now"))), []
+        for a, b in zip(src.tolist(), dst.tolist(), strict=True):
+            if forest.root(a) == forest.root(b):
+                continue
+            x, y = sorted((own(a), own(b)), key=len)
+            if 100 * len(x) < percent * len(y):
+                continue
+            x, y = x.view(np.uint64), y.view(np.uint64)  # sorted as unsigned numbers
+            place = np.searchsorted(y, x)
+            common = int((y[np.minimum(place, len(y) - 1)] == x).sum())
+            if 100 * common >= percent * (len(x) + len(y) - common):
+                forest.join(a, b)
+                found.append((a, b))
+        return _edges(cell, found)
+    return now.join(sets, "id").groupBy("bucket", "i", "j").applyInArrow(decide, EDGES)
+
+
+def _mixed_links(members: DataFrame, links: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Links that connect what is linked across the components inside
+    buckets.  First the likeliest pairs are decided, as few as connect each
+    cell's candidates; a cell whose pairs all hold is done.  Cells with a pair that
+    failed are decided on the full sets."""
+    cells = stored(_cells(members, components(links), sizes), "cells")
+    likely = stored(_likely_edges(cells, sets, percent), "likely-edges")
+    pairs = stored(likely.select("src", "dst").distinct().join(links, ["src", "dst"], "left_anti"), "likely-pairs")
+    held = stored(_linked(pairs, sets, percent), "links")
+    known = links.unionByName(held)
+    failed = likely.join(known, ["src", "dst"], "left_anti").select("bucket", "i", "j").distinct()
+    failed = stored(failed, "open-cells")
+    labels = components(known).select("node", F.col("component").alias("_now"))
+    rest = stored(_exact_edges(cells.join(small(failed), ["bucket", "i", "j"]), labels, sets, percent), "exact-edges")
+    return held.unionByName(rest.select("src", "dst"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -243,7 +343,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     signed = stored(signatures(docs, shingle, percent), "signatures")
     # Classes of equal sets; a class is named by its least doc_id.
     real = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = stored(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
+    classes = stored(real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"),
+                                                F.first("n_shingles").alias("n_shingles")), "classes")
     entries = classes.select("id", F.explode("bands").alias("bucket"))
     elected = F.min(F.struct(F.xxhash64("id").alias("h"), "id"))["id"]
     buckets = (entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), elected.alias("chosen"))
@@ -257,9 +358,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         found = found.dropDuplicates(["id"])  # only where ids repeat, as this moves the sets
     sets = stored(found, "sets")
     links = stored(_linked(pairs, sets, percent), "links")
-    labels = components(links)
-    more = stored(_mixed_pairs(members, labels, sets, percent).join(pairs, ["src", "dst"], "left_anti"), "mixed-pairs")
-    rest = stored(_linked(more, sets, percent), "links")
+    # Classes with the same least doc_id are one member.
+    sizes = classes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles"))
+    rest = _mixed_links(members.select("bucket", "id").distinct(), links, sets, sizes, percent)
     labels = stored(components(links.unionByName(rest)), "components")
     named = classes.join(labels, classes["id"] == labels["node"], "left").select(
         "digest", F.coalesce("component", "id").alias("component"))
