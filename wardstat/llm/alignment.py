@@ -48,7 +48,7 @@ from .common import Memory, documents, in_arrow, small, stored, utf8
 from .pieces import SPACE, PieceModel
 
 #: Stretches remembered by a worker, and the longest one that is.
-MEMORY_STRETCHES = 800_000
+MEMORY_STRETCHES = 1_400_000
 MEMORY_BYTES = 48
 LETTERS, STOPS = "A-Za-z", ".,;:!?"
 #: Every cut is behind a character that is no white space and before a space,
