@@ -164,11 +164,12 @@ def trigram_query(pattern: str) -> Query | None:
 def forward(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """doc_id, the text's key (two hashes of doc_id and text) and which of
     ``trigrams`` (by number) its lower-cased text holds."""
-    low = F.lower(F.coalesce("text", F.lit("")))
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)])) if trigrams \
-        else F.array().cast("array<int>")
     k1, k2 = wide_hash("doc_id", "text")
-    return docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), held.alias("held"))
+    # Lower-cased once, below the projection that looks for every trigram.
+    texts = docs.select("doc_id", k1.alias("k1"), k2.alias("k2"), F.lower(F.coalesce("text", F.lit(""))).alias("low"))
+    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)])) if trigrams \
+        else F.array().cast("array<int>")
+    return texts.select("doc_id", "k1", "k2", held.alias("held"))
 
 
 def postings(rows: DataFrame) -> DataFrame:
