@@ -1,13 +1,17 @@
 """Line dedup over levelled sorted runs of line hashes (DataFrame only).
 
 A *run* is a table of line hashes, bucketed by hash and sorted inside its
-buckets: one row per line key with the number of documents that hold it and
-the largest of their ids.  Documents come in batches.  A batch is reduced to
-one row per key, merge-anti-joined with the runs to tell the keys nobody has
-seen from the known ones, and added as a run of level 0.  When a level holds
-``fanout`` runs they are compacted into one run of the next level, so a key
-is rewritten once per level and a batch meets few runs.  Runs and batches are
-bucketed alike, so these joins and merges move no run over the network.
+buckets: one row per line key with the number of documents known to hold it
+and the id that keeps it.  Documents come in batches, newest (largest ids)
+first.  A batch is reduced to one row per key and merge-anti-joined with the
+runs: a key that ``min_docs`` documents hold already is decided, its keeper (the
+largest id of its first batch) cannot change any more, and it is not written
+again.  What is left, keys nobody has seen and keys with too few documents so
+far, is added as a run of level 0, with the counts so far carried on by a merge
+join.  When a level holds ``fanout`` runs they are compacted into one run of the
+next level, so a key is rewritten once per level and a batch meets few runs.
+Runs and batches are bucketed alike, so these joins and merges move no run over
+the network.
 
 Only hashes are ever shuffled by key (partial sums first, so a line that a
 third of the documents hold is one row per task).  Texts move once, by
@@ -69,10 +73,15 @@ class LineRuns:
     ``levels[i]`` lists the table names of level i.  Tables live in the
     session's warehouse folder, which a cluster shares.  ``buckets`` holds
     for all runs; by default it is the session's shuffle partitions, so that the
-    task that dealt a bucket's rows writes its file."""
+    task that dealt a bucket's rows writes its file.
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None):
-        self.spark, self.fanout = spark, fanout
+    With ``newest_first``, every batch has smaller ids than the ones before, and
+    keys with ``min_docs`` documents are decided.  Without, a later batch may
+    bring a larger id, so every key of a batch is written."""
+
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None,
+                 min_docs: int = MIN_DOCS, newest_first: bool = False):
+        self.spark, self.fanout, self.min_docs, self.newest_first = spark, fanout, min_docs, newest_first
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"line_runs_{uuid.uuid4().hex[:12]}"
         self.levels: list[list[str]] = [[]]
@@ -93,16 +102,18 @@ class LineRuns:
 
     def add(self, lines: DataFrame) -> None:
         """Take in one batch: rows (doc_id, h1, h2) of documents in no earlier batch."""
-        own = (lines.groupBy(*KEY)
-               .agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")))
-        novel = own
+        rows = (lines.groupBy(*KEY)
+                .agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper")))
+        if self.newest_first:
+            for run in self.runs():
+                rows = rows.join(run.filter(F.col("n_docs") >= self.min_docs).select(*KEY).hint("merge"), KEY, "left_anti")
+        # Counts in a run are those up to its batch, so the largest one is the last.
+        rows = rows.withColumns({"before": F.lit(0).cast("long"), "kept_by": F.col("keeper")})
         for run in self.runs():
-            novel = novel.join(run.filter("first").hint("merge"), KEY, "left_anti")
-        rows = novel.withColumn("first", F.lit(True))
-        for run in self.runs():  # a key is first in one run only, so these do not overlap
-            known = own.join(run.filter("first").select(*KEY).hint("merge"), KEY, "left_semi")
-            rows = rows.unionByName(known.withColumn("first", F.lit(False)))
-        self._write(rows, 0)
+            known = run.select(*KEY, F.col("n_docs").alias("_n"), F.col("keeper").alias("_k")).hint("merge")
+            rows = rows.join(known, KEY, "left").withColumns({
+                "before": F.greatest("before", F.coalesce("_n", F.lit(0))), "kept_by": F.greatest("kept_by", "_k")}).drop("_n", "_k")
+        self._write(rows.select(*KEY, (F.col("n_docs") + F.col("before")).alias("n_docs"), F.col("kept_by").alias("keeper")), 0)
         self._compact()
 
     @staticmethod
@@ -115,9 +126,7 @@ class LineRuns:
             a, b = out.alias("a"), run.alias("b").hint("merge")
             out = a.join(b, (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "full").select(
                 *[F.coalesce(f"a.{k}", f"b.{k}").alias(k) for k in KEY],
-                (F.coalesce("a.n_docs", F.lit(0)) + F.coalesce("b.n_docs", F.lit(0))).alias("n_docs"),
-                F.greatest("a.keeper", "b.keeper").alias("keeper"),
-                (F.coalesce("a.first", F.lit(False)) | F.coalesce("b.first", F.lit(False))).alias("first"))
+                F.greatest("a.n_docs", "b.n_docs").alias("n_docs"), F.greatest("a.keeper", "b.keeper").alias("keeper"))
         return out
 
     def _compact(self) -> None:
@@ -133,6 +142,8 @@ class LineRuns:
 
     def shared(self, min_docs: int = MIN_DOCS) -> DataFrame:
         """Keys held by at least ``min_docs`` documents, with their keeper."""
+        if self.newest_first and min_docs > self.min_docs:
+            raise ValueError(f"keys are counted up to {self.min_docs} documents only")
         return self._merged(self.runs()).filter(F.col("n_docs") >= min_docs).select(*KEY, "keeper")
 
     def drop(self) -> None:
@@ -158,7 +169,7 @@ def _shared_positions(src: DataFrame, min_docs: int, min_chars: int, batches: in
     cuts = _batch_bounds(src, batches)
     batch = sum((F.when(F.col("doc_id") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
     lines = stored(line_hashes(src, min_chars).withColumn("batch", batch), "line-hashes")
-    runs = LineRuns(src.sparkSession, fanout, buckets)
+    runs = LineRuns(src.sparkSession, fanout, buckets, min_docs, newest_first=True)
     try:
         for b in range(len(cuts), -1, -1):
             runs.add(lines.filter(F.col("batch") == b).select("doc_id", *KEY))
