@@ -11,8 +11,9 @@ word's share is computed once and remembered.
 
 The log-count ratios come from every training row (counted in tasks, summed
 per bucket).  The regression is fitted on a bounded sample of training rows:
-``FIT_ROWS``, chosen by a hash of the doc_id; all of them if there are no more.  All
-their features enter.  A row's features are the sum of those of its distinct
+about ``FIT_ROWS`` rows and ``FIT_BYTES`` of text, chosen by a hash of the doc_id;
+all of them if there are no more.  So what the driver holds is bounded for
+texts of any length.  All features of the sample enter.  A row's features are the sum of those of its distinct
 words, so the driver holds the words of each row and the buckets of each word, and not
 the buckets of each row.  A bucket that was counted, but is in no row of the
 sample, has the mean weight of the others.
@@ -20,8 +21,8 @@ sample, has the mean weight of the others.
 Defined results: null and empty text scores by the intercept alone; texts are
 scored whole; a doc_id with several labels counts with each; null labels are
 not learnt from; without training rows of both labels every
-score is 0.999 if only toxic ones are known and 0.001 if not; repeated rows score alike; an empty table
-gives no rows; other columns are never read.
+score is 0.999 if only toxic ones are known and 0.001 if not; repeated rows score alike; rows of a null doc_id
+are scored (their ``held_out`` is null) and not learnt from; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ SIZES = (3, 4, 5)
 SMOOTH = 1.0
 #: Rows the regression is fitted on, at most about.
 FIT_ROWS = 20_000
+#: Bytes of text that they have together, at most about.
+FIT_BYTES = 40 << 20
 #: Words whose buckets the fit takes at a time.
 FIT_BLOCK = 100_000
 THRESHOLD = 0.3
@@ -192,13 +195,19 @@ class ToxicityModel:
         return lambda word: sum(map(weight, grams(word)))
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> ToxicityModel:
+def fit_share(rows: int, size: int, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> float:
+    """Share of the training rows that the regression is fitted on."""
+    return min(1.0, fit_rows / max(1, rows), fit_bytes / max(1, size))
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> ToxicityModel:
     """Learn from (doc_id, text) and (doc_id, toxic); the caller leaves out
     the rows that are not to be learnt from."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", (F.col("toxic") > 0).cast("int").alias("label"))
     training = stored(docs.select("doc_id", "text").join(small(known), "doc_id").select("doc_id", "text", "label"), "toxicity-training")
-    found = {r["label"]: r["n"] for r in training.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total = sum(found.values())
+    sums = training.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    found = {r["label"]: r["n"] for r in sums}
+    share_of = fit_share(sum(found.values()), sum(r["bytes"] or 0 for r in sums), fit_rows, fit_bytes)
     if len(found) < 2:
         share = 0.999 if 1 in found else 0.001
         return ToxicityModel(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
@@ -207,9 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Toxic
     p[counts["bucket"]] += counts["toxic"]
     q[counts["bucket"]] += counts["other"]
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    limit = int(min(1.0, fit_rows / total) * (1 << 31))
-    sample = training.filter(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 31)) < limit) if total > fit_rows else training
-    rows = _Sample(stored(_sample_words(sample), "toxicity-sample").toLocalIterator())  # about fit_rows rows
+    kept = F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1 << 31)) < int(share_of * (1 << 31))
+    sample = training.filter(kept) if share_of < 1 else training
+    rows = _Sample(stored(_sample_words(sample), "toxicity-sample").toLocalIterator())  # about fit_rows rows and fit_bytes
     w, intercept = _fit(rows, ratio)
     there = rows.buckets()
     counted = np.zeros(BUCKETS, bool)
