@@ -1,10 +1,18 @@
 """Document fingerprints by winnowing, as column expressions.
 
-A text is cut into words at white space after lower-casing; every run of
-``K`` words is hashed (a text of fewer words is one gram) and in every window
-of ``W`` successive grams the least hash is chosen, the rightmost of equal
-ones.  So any ``K + W - 1`` words that two texts share give both of them a
-common fingerprint, and no shared run under ``K`` words does.  A fingerprint keeps
+*Tokens.*  A lower-cased text is cut into words at white space.  A letter of a
+script that is written without spaces (Han, Kana, Thai, Lao, Khmer, Myanmar) is
+a token by itself, and so is every character of an unbroken run of more than
+``LONG_RUN`` others (encoded or minified data), so such texts have grams of
+characters and a change of one leaves the others as they are.
+*Rolling hash.*  Every token is hashed once; the hash of ``K`` tokens is the
+cyclic polynomial of theirs, ``rot(h1, K-1) ^ ... ^ rot(hK, 0)``, the value that
+rolls on by one rotation, one token out and one in.  (A text of fewer
+tokens is one gram.)
+*Winnowing.*  In every window of ``W`` successive grams the least hash is
+chosen, the rightmost of equal ones.  So any ``K + W - 1`` tokens that two texts
+share give both of them a common fingerprint, and no shared run under ``K``
+tokens does; the kept positions tell where.  A fingerprint keeps
 its hash (32 bits) and its position (the gram's number), in one long: the
 hash above, the position counted down below, so the least long of a window
 *is* the least hash and of equal ones the rightmost, and the window's minimum
@@ -15,8 +23,9 @@ doc_id.  Ids are cut into blocks by quantiles; a block is sorted by itself, and
 the first document of each block also goes, as a guest, to the block above
 it.  Every text moves once; no block is the whole table.
 
-Defined results: null text is empty; an empty text has one gram (the empty
-word), so all empty texts have equal fingerprints; texts are taken whole; rows of equal
+Defined results: null text is empty; a text without a token has one gram (the
+empty word), so all empty texts have equal fingerprints; a text of fewer than
+``K`` tokens is like another only if all of them are equal; texts are taken whole; rows of equal
 doc_id follow each other by text hash; rows with a null doc_id come after all
 others; the only document is its own next one; an empty table gives no rows;
 other columns are never read.
@@ -35,15 +44,36 @@ _HASH_BITS = -(1 << 32)
 _LOW = (1 << 32) - 1
 
 
+#: Characters of an unbroken run that are still one word.
+LONG_RUN = 32
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_RUN = rf"[^\s{_UNSPACED}]"
+#: A letter of an unspaced script; a whole run of other characters, if it is no
+#: longer than a word; a character of a longer one.
+TOKENS = rf"[{_UNSPACED}]|(?<!{_RUN}){_RUN}{{1,{LONG_RUN}}}(?!{_RUN})|{_RUN}"
+
+
+def tokens(text: Column) -> Column:
+    found = F.regexp_extract_all(F.lower(text), F.lit(TOKENS), F.lit(0))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("")))
+
+
+def _rotated(h: Column, bits: int) -> Column:
+    return F.shiftleft(h, bits).bitwiseOR(F.shiftrightunsigned(h, 64 - bits)) if bits else h
+
+
 def _grams(text: Column, k: int) -> Column:
-    """Packed (hash, position counted down) of every run of k words."""
-    words = F.split(F.lower(text), r"\s+")
+    """Packed (hash, position counted down) of every run of k tokens."""
+    def packed(h: Column) -> Column:
+        heads = F.slice(h, 1, F.greatest(F.size(h) - (k - 1), F.lit(1)))
 
-    def hashed(t: Column) -> Column:
-        heads = F.slice(t, 1, F.greatest(F.size(t) - (k - 1), F.lit(1)))
-        return F.transform(heads, lambda x, i: F.xxhash64(x, *(F.get(t, i + j) for j in range(1, k)))
-                           .bitwiseAND(F.lit(_HASH_BITS)) + (F.lit(_LOW) - i))
-    return let(words, hashed)
+        def gram(x: Column, i: Column) -> Column:
+            out = _rotated(x, k - 1)
+            for j in range(1, k):  # a short text lacks the last tokens
+                out = out.bitwiseXOR(_rotated(F.coalesce(F.get(h, i + j), F.lit(0).cast("long")), k - 1 - j))
+            return out.bitwiseAND(F.lit(_HASH_BITS)) + (F.lit(_LOW) - i)
+        return F.transform(heads, gram)
+    return let(F.transform(tokens(text), lambda t: F.xxhash64(t)), packed)
 
 
 def winnow(text: Column, k: int = K, w: int = W) -> Column:
@@ -133,28 +163,48 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     return docs.select("doc_id", "text", winnow(F.coalesce("text", F.lit("")), k, w).alias("fp"))
 
 
+def places(fp: Column) -> Column:
+    """A fingerprint's positions as text, in text order."""
+    return F.array_join(F.transform(fp, lambda x: (F.lit(_LOW) - x.bitwiseAND(F.lit(_LOW))).cast("string")), " ")
+
+
 def with_next(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
-    """doc_id, text, its hashes, and the next document's text and hashes."""
+    """doc_id, text, its hashes and their places, and the next document's text
+    and hashes."""
     rows = next_documents(docs)
     by = Window.partitionBy("block").orderBy(*_order())
     # The fingerprint is made where the sorted blocks are and read by a second
     # window over the same blocks, so neither of them moves a row.
     led = rows.withColumn("next_text", F.lead("text").over(by))
-    led = led.withColumn("fp", hashes(winnow(F.col("text"), k, w)))
+    led = led.withColumn("chosen", winnow(F.col("text"), k, w))
+    led = led.withColumn("fp", hashes(F.col("chosen"))).withColumn("places", places(F.col("chosen"))).drop("chosen")
     led = led.withColumn("next_fp", F.lead("fp").over(by))
-    return led.filter(~F.col("guest")).select("doc_id", "text", "fp", "next_text", "next_fp")
+    return led.filter(~F.col("guest")).select("doc_id", "text", "fp", "places", "next_text", "next_fp")
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text (the last half
-    replaced by the beginning of the next document)."""
-    rows = with_next(documents(spark, sf_dir, "doc_id", "text"))
+    replaced by the beginning of the next document), and the positions of the
+    text's chosen grams."""
+    return edited(with_next(documents(spark, sf_dir, "doc_id", "text")))
+
+
+def edited(rows: DataFrame) -> DataFrame:
+    """Digests and likenesses of rows of ``with_next``."""
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.left("text", n - half), F.left("next_text", half))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fp", "next_fp")
+    changed = F.concat(F.left("text", n - half), F.left("next_text", half))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), changed.alias("edited"), "fp", "places", "next_fp")
     rows = rows.select("*", hashes(winnow(F.col("edited"))).alias("edited_fp"))
     return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
                        printed(F.col("fp")).alias("fingerprint"), printed(F.col("edited_fp")).alias("edited_fingerprint"),
                        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-                       likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+                       likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.col("places").alias("positions"))
+
+
+#: What SQL can say of ``op4_fingerprints`` (for tables whose ids are unique).
+EDITS_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+nexts AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS next_text FROM t)
+SELECT doc_id, n AS n_chars, sha256(substr(text, 1, n - n // 2) || substr(next_text, 1, n // 2)) AS edited_sha256 FROM nexts
+"""
