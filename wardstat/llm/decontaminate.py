@@ -1,12 +1,16 @@
 """Benchmark decontamination.
 
-The windows of the benchmark (``width`` consecutive words, or a whole item
-of fewer) are a small set.  It is cut into blocks of at most
-``block_windows``; each block is broadcast to the tasks as a hash set and
-the documents' word windows are scanned against it, batch by batch, with no
-shuffle.  A hash hit is verified word by word before it counts.  A benchmark
-of any size stays exact: it only takes more passes, one per block, and no
-broadcast is larger than a block.
+The distinct windows of the benchmark (``width`` consecutive words, or a whole
+item of fewer) are numbered and kept as a table.  It is cut into blocks of at
+most ``block_windows``; each block, words and numbers only, is broadcast to the
+tasks as a hash set and the documents' word windows are scanned against it, batch
+by batch, with no shuffle.  A hash hit is verified word by word before it
+counts.  With several blocks, one at a time is read, broadcast, scanned and
+released, so a benchmark of any size stays exact: it only takes more passes.
+
+Which items have a window is a table of its own, (window, item), that neither
+the driver nor a broadcast ever holds: it is joined with the sets of windows that
+documents hit, each different set once, however many documents share it.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z:
 runs of digits, letters and anything beyond ASCII.
@@ -16,7 +20,8 @@ Defined results:
 * null or empty text, or text without words: no words, no hit, kept;
 * an item without words, or null: no window; a null item_id: its windows
   still mark words, but it is not listed among the items;
-* repeated items, and windows that several items share: every item counts;
+* repeated items, and windows that several items share, however many: every
+  item counts;
 * repeated rows or ids of documents: each row has its own result;
 * an empty benchmark: nothing is hit; an empty documents table: no rows;
 * texts are scanned whole, whatever their length; extra columns are kept by
@@ -26,18 +31,20 @@ Defined results:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, in_arrow, table, utf8
+from .common import documents, in_arrow, small, stored, table, utf8
 
 #: Words of a window.
 WIDTH = 10
-#: Windows in one broadcast block (about 100 bytes each).
+#: Windows in one broadcast block (about 100 bytes each, and their words once).
 BLOCK_WINDOWS = 500_000
 
 # Bytes that are no part of a word become spaces, A-Z become a-z.
@@ -62,25 +69,30 @@ def _hashes(ids: np.ndarray, width: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The hash set of one block of benchmark windows, as it is broadcast."""
+    """The hash set of one block of numbered windows, as it is broadcast."""
 
-    def __init__(self, windows: list[tuple[tuple[bytes, ...], list]]):
+    def __init__(self, windows: Iterable[tuple[list[bytes], int]]):
         self.word_id: dict[bytes, int] = {}
-        by_width: dict[int, list] = {}
-        for words, items in windows:
-            ids = [self.word_id.setdefault(w, len(self.word_id) + 1) for w in words]
-            by_width.setdefault(len(ids), []).append((ids, items))
+        by_width: dict[int, tuple[array, array]] = {}
+        for words, number in windows:
+            grams, numbers = by_width.setdefault(len(words), (array("Q"), array("q")))
+            grams.extend(self.word_id.setdefault(bytes(w), len(self.word_id) + 1) for w in words)
+            numbers.append(number)
         self.tables = []
-        for width, rows in sorted(by_width.items()):
-            grams = np.array([r[0] for r in rows], np.uint64)
-            hashed = np.concatenate([_hashes(g, width) for g in grams])
+        for width, (grams, numbers) in sorted(by_width.items()):
+            rows = np.frombuffer(grams, np.uint64).reshape(-1, width)
+            hashed = np.zeros(len(rows), np.uint64)
+            for j in range(width):
+                hashed *= _STEP
+                hashed += rows[:, j]
+            hashed ^= hashed >> np.uint64(31)
             order = np.argsort(hashed, kind="stable")
-            self.tables.append((width, hashed[order], grams[order], [rows[i][1] for i in order]))
+            self.tables.append((width, hashed[order], rows[order], np.frombuffer(numbers, np.int64)[order]))
 
-    def scan(self, ids: np.ndarray) -> Iterator[tuple[int, int, list]]:
-        """(position, width, items) of every occurrence of a window in a
+    def scan(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(position, width, number) of every occurrence of a window in a
         sequence of word ids (0: a word that no window has)."""
-        for width, hashed, grams, items in self.tables:
+        for width, hashed, grams, numbers in self.tables:
             if len(ids) < width:
                 continue
             # A window of the set has no word 0, so only runs without one count.
@@ -93,12 +105,11 @@ class WindowSet:
             for i in np.flatnonzero(hi > lo):
                 for k in range(lo[i], hi[i]):
                     if (ids[at[i]:at[i] + width] == grams[k]).all():  # the hit is verified on the words
-                        yield int(at[i]), width, items[k]
+                        yield int(at[i]), width, int(numbers[k])
 
 
 def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The distinct windows of the benchmark: words (array<binary>), items
-    (the item_ids that have it, as sorted strings)."""
+    """Every window of the benchmark: words (array<binary>), item (the item_id as text)."""
     def task():
         def step(batch):
             words, items = [], []
@@ -111,48 +122,54 @@ def windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
                                              ["words", "item"])
         return step
     src = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-    return (in_arrow(src, task, "words array<binary>, item string")
-            .groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    return in_arrow(src, task, "words array<binary>, item string")
 
 
-def blocks(benchmark: DataFrame, width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> Iterator[WindowSet]:
-    """The windows in blocks of a bounded size, at least one block."""
-    rows: list = []
-    made = False
-    for r in windows(benchmark, width).toLocalIterator():
-        rows.append((tuple(bytes(w) for w in r["words"]), list(r["items"])))
-        if len(rows) == block_windows:
-            yield WindowSet(rows)
-            rows, made = [], True
-    if rows or not made:
-        yield WindowSet(rows)
+class Windows:
+    """The benchmark's windows as stored tables: ``found`` (words, item) of
+    all of them and ``numbered`` (window, words) of the distinct ones."""
 
+    def __init__(self, benchmark: DataFrame, width: int = WIDTH):
+        self.found = stored(windows(benchmark, width), "windows")
+        distinct = self.found.select("words").distinct().withColumn("window", F.monotonically_increasing_id())
+        self.numbered = stored(distinct, "numbered-windows")
+        self.count = self.numbered.count()
 
-SCAN_SCHEMA = "doc_id long, n_words long, spans array<struct<first:long,last:long>>, items array<string>"
+    def items(self) -> DataFrame:
+        """(window, item) of every item that has a window."""
+        return self.found.filter("item IS NOT NULL").join(self.numbered, "words").select("window", "item").distinct()
 
+    def blocks(self, most: int) -> Iterator[WindowSet]:
+        """Hash sets of a bounded size, at least one; the driver holds one at a time."""
+        rows = ((r["words"], r["window"]) for r in self.numbered.toLocalIterator())
+        for _ in range(max(1, -(-self.count // most))):
+            yield WindowSet(itertools.islice(rows, most))
 
-def _scan_block(docs: DataFrame, block: WindowSet) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
 
+SCAN_SCHEMA = "doc_id long, n_words long, spans array<struct<first:long,last:long>>, windows array<long>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+
+
+def _scan_block(docs: DataFrame, shared, schema: str = SCAN_SCHEMA) -> DataFrame:
+    """doc_id, n_words, spans and the numbers of the windows that occur."""
     def task():
         found = shared.value
 
         def step(batch):
             get = found.word_id.get
-            n_words, spans, items = [], [], []
+            n_words, spans, numbers = [], [], []
             for text in utf8(batch, "text"):
                 w = words_of(text)
                 n_words.append(len(w))
                 ids = np.fromiter((get(x, 0) for x in w), np.uint64, len(w))
                 hits = list(found.scan(ids)) if ids.any() else []
                 spans.append(_merged(hits))
-                items.append(sorted({x for _, _, its in hits for x in its}))
+                numbers.append(sorted({n for _, _, n in hits}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                 pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
+                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(spans, _SPANS), pa.array(numbers, pa.list_(pa.int64()))],
+                ["doc_id", "n_words", "spans", "windows"])
         return step
-    return in_arrow(docs.select("doc_id", "text"), task, SCAN_SCHEMA)
+    return in_arrow(docs.select("doc_id", "text"), task, schema)
 
 
 def _merged(hits: list[tuple[int, int, list]]) -> list[dict]:
@@ -182,47 +199,43 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_window
     """One row per document: doc_id, n_words, spans (hit word positions,
     merged) and items (sorted item_ids with an occurring window).
 
-    With one block (the usual case) this is a single pass without a shuffle.
+    With one block (the usual case) the texts are read once, without a shuffle.
     With more, the passes are put together by (doc_id, text hash, row copy),
-    carrying only the spans."""
-    found = list(blocks(benchmark, width, block_windows))
-    if len(found) == 1:
-        return _scan_block(docs, found[0])
+    carrying only the spans and numbers."""
+    known = Windows(benchmark, width)
+    if known.count <= block_windows:
+        found = stored(_hit_windows(docs, next(known.blocks(block_windows))), "scanned")
+    else:
+        found = stored(_in_passes(docs, known, block_windows), "scanned")
+    # Each different set of windows is looked up once.
+    sets = found.select("windows").distinct().filter(F.size("windows") > 0)
+    each = sets.select("windows", F.explode("windows").alias("window"))
+    items = each.join(known.items(), "window").groupBy("windows").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = stored(items, "items-of-windows")
+    return found.join(small(items), "windows", "left").select(
+        "doc_id", "n_words", "spans", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _hit_windows(docs: DataFrame, block: WindowSet) -> DataFrame:
+    return _scan_block(docs, docs.sparkSession.sparkContext.broadcast(block))
+
+
+def _in_passes(docs: DataFrame, known: Windows, block_windows: int) -> DataFrame:
     # Rows are told apart by their content; equal rows have equal results.
     src = docs.select(F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).alias("doc_id"), "text")
-    key = "struct<doc_id:long,h:string>"
-    parts = None
-    for block in found:
-        one = _scan_keyed(src, block, key)
+    schema = SCAN_SCHEMA.replace("doc_id long", "doc_id struct<doc_id:long,h:string>")
+    parts, passes = None, 0
+    for block in known.blocks(block_windows):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        one = stored(_scan_block(src, shared, schema), "scanned-block")
+        shared.destroy()
         parts = one if parts is None else parts.unionByName(one)
+        passes += 1
     merged = (parts.groupBy("doc_id")
-              .agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("rows"),
-                   _union_spans(F.collect_set("spans")).alias("spans"),
-                   F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")))
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), (F.col("rows") / len(found)).cast("long")))
-    return merged.select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", "spans", "items", copies.alias("copy")).drop("copy")
-
-
-def _scan_keyed(src: DataFrame, block: WindowSet, key: str) -> DataFrame:
-    shared = src.sparkSession.sparkContext.broadcast(block)
-
-    def task():
-        found = shared.value
-
-        def step(batch):
-            n_words, spans, items = [], [], []
-            for text in utf8(batch, "text"):
-                w = words_of(text)
-                n_words.append(len(w))
-                hits = list(found.scan(np.fromiter((found.word_id.get(x, 0) for x in w), np.uint64, len(w))))
-                spans.append(_merged(hits))
-                items.append(sorted({x for _, _, its in hits for x in its}))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()),
-                 pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))),
-                 pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"])
-        return step
-    return in_arrow(src, task, SCAN_SCHEMA.replace("doc_id long", f"doc_id {key}"))
+              .agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("rows"), _union_spans(F.collect_set("spans")).alias("spans"),
+                   F.array_sort(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("windows")))
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), (F.col("rows") / passes).cast("long")))
+    return merged.select(F.col("doc_id.doc_id").alias("doc_id"), "n_words", "spans", "windows", copies.alias("copy")).drop("copy")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "documents", width: int = WIDTH,
@@ -232,18 +245,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     ``action="documents"`` drops every document with a hit,
     ``action="spans"`` cuts the hit words and what stands between them out
     of the text (documents stay).  Works row by row, so a dropped row is
-    exactly a hit row; no shuffle, one pass per block."""
+    exactly a hit row; no shuffle, one pass per block (with several, each is
+    written before the next)."""
     if action not in ("documents", "spans"):
         raise ValueError("action is 'documents' or 'spans'")
+    known = Windows(benchmark, width)
+    if known.count <= block_windows:
+        return _clean_block(docs, docs.sparkSession.sparkContext.broadcast(next(known.blocks(block_windows))), action)
     out = docs
-    for block in blocks(benchmark, width, block_windows):
-        out = _clean_block(out, block, action)
+    for block in known.blocks(block_windows):
+        shared = docs.sparkSession.sparkContext.broadcast(block)
+        out = stored(_clean_block(out, shared, action), "cleaned")
+        shared.destroy()
     return out
 
 
-def _clean_block(docs: DataFrame, block: WindowSet, action: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
+def _clean_block(docs: DataFrame, shared, action: str) -> DataFrame:
     def task():
         found = shared.value
 
