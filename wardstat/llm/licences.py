@@ -1,11 +1,19 @@
 """License scans: an inverted index of template words and banded alignment.
 
 Templates are license texts and notices, a small table whose size is checked.
-Of a template of ``m`` words that a find has to match in ``n`` words, every find
-matches at least one of any ``m - n + 1`` places.  So that many places, those
-whose words are the rarest in the templates, go into an inverted index word ->
-(template, place), which is broadcast.  Every word of a document is looked up in
-it; a hit whose surroundings hold enough of the template's words (each as often
+A find matches ``n`` of a template's ``m`` words and has up to ``BAND`` words put
+in between, so its matched words lie in at most ``m - n + BAND + 1`` unbroken
+runs, and the longest has ``ceil(n / (m - n + BAND + 1))`` words or more.  Where
+that is two at least, the template is winnowed for it: rolling hashes of ``k``
+words, the least of every ``w`` in a row (the rightmost of equal ones), with
+``k + w - 1`` the length of that run, so every find holds one of the chosen.
+Shorter templates have no such run (of ten words, two may be missing and any
+two others parted); there, every find matches at least one of any ``m - n + 1``
+places, and so many, those of the rarest words, are indexed by themselves.
+
+The inverted index, fingerprint -> (template, place), is broadcast.  Every word
+and every run of ``k`` words of a document is looked up in it; a hit whose
+surroundings hold enough of the template's words (each as often
 as the template has it) is a candidate, and the candidate is aligned to the
 template by a banded sequence alignment (matches count 1, and a gap or
 another word 0, along a band of diagonals to both sides).  Reported are the share of the
@@ -13,7 +21,7 @@ template's words matched in order (coverage) and the span of the text between
 the first and the last matched word.  Of overlapping finds the one that matches more words stays.
 
 Finds of one template do not overlap: what lies outside the accepted ones is
-aligned again until no indexed word begins another, so notices that follow
+aligned again until no fingerprint begins another, so notices that follow
 each other closely are all found.  A span whose words make two finds by
 themselves is those two.
 
@@ -26,7 +34,7 @@ comment marks and punctuation do not matter.
 
 Defined results: null or empty text, and text without words, has no find; a
 template without words is never found; equal templates are both reported;
-texts are scanned whole; repeated rows have equal results; an empty table
+texts are scanned whole; repeated rows have equal results, rows of a null doc_id one each; an empty table
 gives no rows; other columns are never read.
 """
 
@@ -76,11 +84,87 @@ TEMPLATES = [
             "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-3-Clause", """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING,
+BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT
+SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS
+INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+liable for any damages arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and
+redistribute it freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use
+this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+
+3. This notice may not be removed or altered from any source distribution."""),
 ]
 
 
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Words of a fingerprint, at most.
+RUN_WORDS = 5
+
+
+def run_hashes(ids: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of every ``k`` words in a row: a polynomial of their ids that
+    rolls on by one multiplication, one word in and one out; mixed at the end,
+    so that the least of them is no particular word."""
+    n = len(ids) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):  # all places at once, so k steps and not n
+        h = h * _BASE + ids[j:j + n]
+    h = (h ^ (h >> np.uint64(29))) * _MIX
+    return h ^ (h >> np.uint64(32))
+
+
+def winnowed(hashes: np.ndarray, w: int) -> np.ndarray:
+    """Places of the least hash of every ``w`` in a row, the rightmost of
+    equal ones; of all of them if there are fewer."""
+    w = min(w, len(hashes))
+    if not w:
+        return np.zeros(0, np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(hashes, w)
+    return np.unique(np.arange(len(windows)) + (w - 1) - np.argmin(windows[:, ::-1], axis=1))
+
+
 class TemplateIndex:
-    """Words, indexed places and lengths of the templates, as it is broadcast."""
+    """Words, fingerprints and lengths of the templates, as it is broadcast."""
 
     def __init__(self, templates: list[tuple[str, str]], coverage: float = COVERAGE):
         self.names, self.ids, self.word_id = [], [], {}
@@ -102,12 +186,31 @@ class TemplateIndex:
             if len(ids) + 2 * self.band(t) > _LAST:
                 raise ValueError("a template is too long for its alignment; scan with parts of it")
         self.bags = [np.unique(ids, return_counts=True) for ids in self.ids]
+        #: For each length of run: its hashes, and the places of each.
+        self.runs: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, ids in enumerate(self.ids):
+            k, w = self.run(t)
+            if k:
+                h = run_hashes(ids, k)
+                for p in winnowed(h, w).tolist():
+                    self.runs.setdefault(k, {}).setdefault(int(h[p]), []).append((t, p))
+                continue
             at = ids.astype(np.int64)
             rarest = np.lexsort((np.arange(len(at)), -length[at], often[at]))
             for p in rarest[:len(at) - self.needed(t, coverage) + 1]:
                 self.is_key[at[p]] = True
                 self.by_word.setdefault(int(at[p]), []).append((t, int(p)))
+        self.run_keys = {k: np.array(sorted(found), np.uint64) for k, found in self.runs.items()}
+
+    def run(self, t: int) -> tuple[int, int]:
+        """Words of a fingerprint and fingerprints of a window for a template,
+        or (0, 0) if a find need not hold two of its words in a row."""
+        n = self.needed(t, self.coverage)
+        whole = math.ceil(n / (len(self.ids[t]) - n + BAND + 1))
+        if whole < 2:
+            return 0, 0
+        k = min(RUN_WORDS, max(2, whole - 1))
+        return k, whole - k + 1
 
     def needed(self, t: int, coverage: float) -> int:
         """Words that a find of template t matches at least."""
@@ -126,8 +229,14 @@ class TemplateIndex:
 
     def candidates(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
         """By template: (place in the text, place where the template would
-        begin) of every indexed word."""
+        begin) of every indexed word and run of words."""
         found: dict[int, list[tuple[int, int]]] = {}
+        for k, keys in self.run_keys.items():
+            h = run_hashes(ids, k)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            for i in np.flatnonzero(keys[at] == h).tolist():
+                for t, p in self.runs[k][int(h[i])]:
+                    found.setdefault(t, []).append((i, i - p))
         for i in np.flatnonzero(self.is_key[ids]).tolist():
             for t, p in self.by_word[int(ids[i])]:
                 found.setdefault(t, []).append((i, i - p))
