@@ -16,9 +16,11 @@ repeated or speculative task never mixes with another.  Files are read back
 through a memory map where the folder is mounted, else through the file
 system's own reader.
 
-Words are encoded once and remembered (bounded): every pattern of the
-tokenizer stays inside a run without ASCII white space, so a text's ids are
-its runs' ids one after the other.
+Where the tokenizer's own steps show that no token reaches across ASCII white
+space (white space is normalised to a space, and its pattern, ``WORD_PATTERN``,
+matches none), words are encoded once and remembered (bounded), and a text's
+ids are its words' ids one after the other.  With any other tokenizer, texts are
+encoded whole.
 
 Defined results: null text is empty and has the end id only; rows of equal
 doc_id follow each other by text hash; rows with a null doc_id come first; texts are
@@ -56,8 +58,15 @@ _BYTE_CHARS = dict(zip([*_VISIBLE, *(b for b in range(256) if b not in _VISIBLE)
                        [*map(chr, _VISIBLE), *(chr(0x100 + i) for i in range(256 - len(_VISIBLE)))], strict=True))
 
 
+#: Fixed value: a tokenizer's pattern whose matches hold no white space.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_WORD_STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORD_CUTS = [{"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True},
+              {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+
+
 class WordEncoder:
-    """A tokenizer file whose patterns never match across white space."""
+    """A tokenizer file; by words where its steps allow it, else by texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,28 +78,31 @@ class WordEncoder:
         # Where the steps before the model do no more than these, a word of
         # normalised small letters goes to the model as its bytes.
         config = json.loads(self.tokenizer.to_str())
-        steps = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
-        cuts = [x["type"] for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        self.bare = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"]
+        steps = (config["normalizer"] or {}).get("normalizers", [])
+        cuts = [{k: v for k, v in x.items() if k != "trim_offsets"} for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.bare = (steps == _WORD_STEPS and cuts == _WORD_CUTS and not config["model"].get("dropout")
+                     and not any(any(map(str.isspace, t["content"])) for t in config["added_tokens"]))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, packed.  Words are what stands between ASCII
         white space; A-Z are lower-cased here, as the tokenizer would, unless
         that could make a special token."""
-        runs = [(t if not self.bare or b"<|" in t else t.lower()).split() for t in texts]
+        if not self.bare:
+            whole = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [array(self.code, e.ids).tobytes() for e in whole]
+        runs = [(t if b"<|" in t else t.lower()).split() for t in texts]
         value = self.known.ready(set().union(*runs), self._word)
         return [b"".join(map(value, words)) for words in runs]
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if self.bare:
-            # ASCII marks after letters are one run, a token of their own.
-            head = text.rstrip(string.punctuation)
-            if head.isalpha() and (head.isascii() or unicodedata.is_normalized("NFC", head)) and head == head.lower():
-                tail = text[len(head):]
-                if not head.isascii():
-                    head = head.encode().decode("latin-1").translate(_BYTE_CHARS)
-                return self._model(head) + (self._model(tail) if tail else b"")
+        # ASCII marks after letters are one run, a token of their own.
+        head = text.rstrip(string.punctuation)
+        if head.isalpha() and (head.isascii() or unicodedata.is_normalized("NFC", head)) and head == head.lower():
+            tail = text[len(head):]
+            if not head.isascii():
+                head = head.encode().decode("latin-1").translate(_BYTE_CHARS)
+            return self._model(head) + (self._model(tail) if tail else b"")
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _model(self, text: str) -> bytes:
