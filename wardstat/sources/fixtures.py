@@ -58,31 +58,43 @@ def customer_region(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("c_custkey", "r_name"))
 
 
-def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The admissions fact (schema ``schemas.ADMISSIONS``)."""
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The star join with numbers and flags as they are, as its shuffles
+    carry them; ``_named`` makes the texts."""
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus",
-        "l_shipdate", "l_extendedprice")
+        "l_orderkey", "l_partkey", "l_suppkey", (F.col("l_linestatus") == "F").alias("is_f"),
+        (F.col("l_returnflag") == "R").alias("is_r"), F.col("l_shipdate").cast("date").alias("admission_date"), "l_extendedprice")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_type")
     cust = customer_region(spark, sf_dir)
     order_region = orders.join(cust, orders.o_custkey == cust.c_custkey).select("o_orderkey", "o_custkey", "r_name")
     joined = (li.join(order_region, li.l_orderkey == order_region.o_orderkey)
               .join(part, li.l_partkey == part.p_partkey))
+    return joined.select("o_custkey", "p_size", "is_f", F.col("r_name").alias("region"), "l_suppkey", "p_type", "admission_date",
+                         F.year("admission_date").cast("int").alias("year"), "is_r", "l_extendedprice")
+
+
+def _named(joined: DataFrame) -> DataFrame:
+    """The columns of ``schemas.ADMISSIONS`` of the star join's rows."""
     return joined.select(
         F.col("o_custkey").cast("string").alias("patient_id"),
         age_band(F.col("p_size")).alias("age_band"),
-        F.when(F.col("l_linestatus") == "F", F.lit("F")).otherwise(F.lit("M")).alias("gender"),
-        F.col("r_name").alias("region"),
+        F.when(F.col("is_f"), F.lit("F")).otherwise(F.lit("M")).alias("gender"),
+        F.col("region"),
         F.col("l_suppkey").cast("string").alias("hospital_id"),
         F.col("p_type").alias("disease"),
-        F.col("l_shipdate").cast("date").alias("admission_date"),
-        F.year("l_shipdate").cast("int").alias("year"),
-        F.when(F.col("l_returnflag") == "R", F.lit("Yes")).otherwise(F.lit("No")).alias("readmitted"),
+        F.col("admission_date"),
+        F.col("year"),
+        F.when(F.col("is_r"), F.lit("Yes")).otherwise(F.lit("No")).alias("readmitted"),
         F.col("l_extendedprice").alias("treatment_cost"),
     )
 
 
+def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The admissions fact (schema ``schemas.ADMISSIONS``)."""
+    return _named(_joined(spark, sf_dir))
+
+
 def hospitals_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hospital dimension (schema ``schemas.HOSPITALS_DIM``) from supplier."""
     s = read_table(spark, sf_dir, "supplier")
@@ -121,11 +133,12 @@ def ingest_admissions(spark: SparkSession, sf_dir: str, path: str) -> str:
     """Denormalise once: run the star join and write the admissions fact as
     parquet partitioned by year and region (the reference's lake layout,
     columnar).  Later queries scan only the columns and folders they need,
-    and the written table cuts the join out of their lineage."""
-    from .lake import rebalance_for_write
-    df = admissions(spark, sf_dir)
-    (rebalance_for_write(df, FACT_PARTITIONS)
-     .write.mode("overwrite").partitionBy(*FACT_PARTITIONS).parquet(path))
+    and the written table cuts the join out of their lineage.  The join's
+    tasks, which AQE has sized, write a file for each of their folders: one
+    more shuffle of the whole fact would make fewer, larger files."""
+    from .lake import open_folders
+    with open_folders(spark):
+        admissions(spark, sf_dir).write.mode("overwrite").partitionBy(*FACT_PARTITIONS).parquet(path)
     return path
 
 
