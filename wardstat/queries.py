@@ -295,7 +295,7 @@ def _csv_lake(spark, sf_dir):
     """The lake in its text form (headerless CSV under nested
     ``part_year=/part_region=`` folders), written once per application."""
     return _once(spark, f"csv-lake:{sf_dir}", lambda: LK.write_lake(
-        _adm(spark, sf_dir), scratch_path(spark, "csv-lake"), fmt="csv"))
+        _adm(spark, sf_dir), scratch_path(spark, "csv-lake"), fmt="csv", by_folder=True))
 
 
 def _headed_lake(spark, sf_dir):
@@ -388,13 +388,13 @@ def q_order_by_key(spark, sf_dir):
 def _lake(spark, sf_dir):
     """The lake written once per application (input of the table queries)."""
     return _once(spark, f"lake:{sf_dir}", lambda: LK.write_lake(
-        _adm(spark, sf_dir), scratch_path(spark, "lake")))
+        _adm(spark, sf_dir), scratch_path(spark, "lake"), by_folder=True))
 
 
 @register("sink_partitioned")
 def q_sink_partitioned(spark, sf_dir):
     """A fresh lake write; rows per partition folder as read back."""
-    lake = LK.read_lake(spark, LK.write_lake(_adm(spark, sf_dir), scratch_path(spark, "lake")))
+    lake = LK.read_lake(spark, LK.write_lake(_adm(spark, sf_dir), scratch_path(spark, "lake"), by_folder=True))
     return lake.groupBy("part_year", "part_region").agg(F.count(F.lit(1)).alias("rows"))
 
 
