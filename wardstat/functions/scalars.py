@@ -37,6 +37,13 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(value) -> Column:
+    """``value`` computed once per row (as a column of a ``select``): filters
+    on a plain column are moved below it, where every mention of the column
+    becomes the whole expression again; they stay above an exploded one."""
+    return F.explode(F.array(_c(value)))
+
+
 # --- text -----------------------------------------------------------------
 
 def split_fields(line, sep: str = ",") -> Column:

@@ -365,8 +365,8 @@ def q_filter_malformed(spark, sf_dir):
 def q_filter_bad_date(spark, sf_dir):
     """Rows whose date text parses strictly, with their day type."""
     parsed = FS.parse_lines(_dirty_lines(spark, sf_dir), min_fields=9)
-    return A.with_day_type(parsed).select("patient_id", "disease",
-                                          S.parse_date("admission_date").alias("admission_date"), "day_type")
+    dated = parsed.select("patient_id", "disease", S.once(S.parse_date("admission_date")).alias("admission_date"))
+    return A.with_day_type(dated).select("patient_id", "disease", "admission_date", "day_type")
 
 
 @register("readmission_rates_lines")

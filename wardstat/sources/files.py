@@ -96,7 +96,7 @@ def parse_lines(lines: DataFrame, min_fields: int = 9, schema: T.StructType = AD
     ``read_admissions`` for real CSV.
     """
     arr = S.split_fields("value", sep)
-    parsed = lines.select(arr.alias("_f"))
+    parsed = lines.select(S.once(arr).alias("_f"))
     kept = parsed.where(F.size("_f") >= min_fields)
     if headers:
         kept = kept.where(F.btrim(S.field("_f", 0), F.lit("\ufeff\" ")) != F.lit(HEADER_FIRST_FIELD))
