@@ -224,6 +224,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_byte
     counted = np.zeros(BUCKETS, bool)
     counted[counts["bucket"]] = True
     w[counted & ~there] = w[there].mean() if there.any() else 0.0
+    del rows, counts
+    give_back()  # the driver lives on: what the fit has freed is not to come on top of later stages
     return ToxicityModel(w * ratio, intercept)
 
 
