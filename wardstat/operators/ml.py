@@ -10,11 +10,9 @@ Two forests, as in the reference:
   seed 42.  This is the model used for scoring:
   an unseen value gets code 0.
 
-Training and evaluation are distributed Spark ML jobs; nothing is
-collected to the driver but the fitted model and the metric.  Node ids
-are cached between tree levels (``cacheNodeIds``), so executors do not
-receive the growing forest on every pass; the cache is checkpointed in
-the shared checkpoint folder.
+Training and
+evaluation are distributed Spark ML jobs; nothing is collected to the
+driver but the fitted model and the metric.
 """
 
 from __future__ import annotations
@@ -45,9 +43,11 @@ READY = "Ready for Production"
 
 
 # Partitions of a training set, whatever the cluster: bagging draws per
-# partition, so the layout is part of the model.
+# partition, so the layout is part of the model.  A set of more than
+# FIT_PARTITIONS * PARTITION_ROWS rows has more of them.
 FIT_PARTITIONS = 32
-# Rows a forest is fitted on, at most about (chosen by a hash of the row).
+PARTITION_ROWS = 62_500
+# Rows the ordinal forest is fitted on, at most about (chosen by a hash of the row).
 FIT_ROWS = 2_000_000
 
 
@@ -58,15 +58,21 @@ def row_hash(*cols: str) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % 1_000_000
 
 
-def fit_layout(df: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """The rows to fit on, laid out by their content alone: at most about
-    ``fit_rows`` of them (a share of the row hashes), dealt to
-    ``FIT_PARTITIONS`` partitions by hash and sorted.  So the same rows give
-    the same forest on any cluster and from any files."""
+def fit_layout(df: DataFrame, fit_rows: int | None = None) -> DataFrame:
+    """The rows to fit on -- all of them -- laid out by their content alone:
+    dealt by hash to ``FIT_PARTITIONS`` partitions, or as many as hold about
+    ``PARTITION_ROWS`` each, and sorted.  So the same rows give the same forest
+    on any cluster and from any files.
+
+    Only a caller that gives ``fit_rows`` gets
+    less: a share of the row hashes, about so many rows.
+    """
     total = df.count()
-    if total > fit_rows:
+    if fit_rows is not None and total > fit_rows:
         df = df.where(row_hash(*df.columns) < int(1_000_000 * fit_rows / total))
-    return df.repartition(FIT_PARTITIONS, *df.columns).sortWithinPartitions(*df.columns)
+        total = fit_rows
+    parts = max(FIT_PARTITIONS, -(-total // PARTITION_ROWS))
+    return df.repartition(parts, *df.columns).sortWithinPartitions(*df.columns)
 
 
 def with_label(adm: DataFrame) -> DataFrame:
@@ -85,8 +91,7 @@ def onehot_pipeline(num_trees: int = 20, seed: int | None = 42) -> Pipeline:
     enc = [OneHotEncoder(inputCols=[f"{c}_indexed" for c in CATEGORICAL],
                          outputCols=[f"{c}_vec" for c in CATEGORICAL])]
     asm = VectorAssembler(inputCols=[f"{c}_vec" for c in CATEGORICAL] + NUMERIC, outputCol="features")
-    rf = RandomForestClassifier(labelCol=LABEL, featuresCol="features", numTrees=num_trees, seed=seed,
-                                cacheNodeIds=True)
+    rf = RandomForestClassifier(labelCol=LABEL, featuresCol="features", numTrees=num_trees, seed=seed)
     return Pipeline(stages=indexers() + enc + [asm, rf])
 
 
@@ -143,10 +148,10 @@ def split(adm: DataFrame, train_fraction: float = 0.8, seed: int = 42,
 
 
 def train_onehot(adm: DataFrame, num_trees: int = 20, seed: int = 42, train_fraction: float = 0.8,
-                 split_method: str = "hash", fit_rows: int = FIT_ROWS) -> tuple[PipelineModel, DataFrame, float, float]:
-    """Fit the one-hot forest on the training split; returns the model, the
-    test split, its area under ROC and the seconds that training and
-    evaluation took."""
+                 split_method: str = "hash", fit_rows: int | None = None) -> tuple[PipelineModel, DataFrame, float, float]:
+    """Fit the one-hot forest on the whole training split (unless a caller
+    gives ``fit_rows``); returns the model, the test split, its area under ROC
+    and the seconds that training and evaluation took."""
     train, test = split(adm, train_fraction, seed, split_method)
     train = fit_layout(train.select(*CATEGORICAL, *NUMERIC, LABEL), fit_rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -159,15 +164,15 @@ def train_onehot(adm: DataFrame, num_trees: int = 20, seed: int = 42, train_frac
 
 
 def auc(model: PipelineModel, test: DataFrame) -> float:
-    """Area under ROC on ``test`` by Spark's evaluator (its curve is down-sampled
-    to about 1,000 thresholds; ``auc_table`` is exact)."""
+    """Area under ROC on ``test`` by Spark's evaluator, over the curve of every
+    score (``auc_table`` gives it as a DataFrame)."""
     pred = model.transform(test)
-    return BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC").evaluate(pred)
+    return BinaryClassificationEvaluator(labelCol=LABEL, metricName="areaUnderROC", numBins=0).evaluate(pred)
 
 
 def evaluator_auc(df: DataFrame, score: str, label: str = LABEL) -> float:
     """The same evaluator over any score column."""
-    return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, metricName="areaUnderROC").evaluate(df)
+    return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label, metricName="areaUnderROC", numBins=0).evaluate(df)
 
 
 def auc_table(model: PipelineModel, test: DataFrame) -> DataFrame:
