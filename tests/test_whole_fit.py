@@ -1,8 +1,11 @@
 """The forests are fitted on all rows, also beyond two million of them."""
 
+import functools
+
 import pytest
 from pyspark.sql import functions as F
 
+import wardstat.queries as Q
 from wardstat.operators import ml as ML
 from wardstat.operators.ranking import roc_auc
 
@@ -37,3 +40,13 @@ def test_evaluator_takes_every_score(spark):
     x = F.xxhash64("id") % 1_000_000
     df = spark.range(5_000).select((x / 1e6).alias("score"), (F.xxhash64(F.col("id") + 7) % 2 == 0).cast("double").alias(ML.LABEL))
     assert abs(ML.evaluator_auc(df, "score") - roc_auc(df, "score", ML.LABEL).first()["auc"]) < 1e-9
+
+
+def test_ordinal_query_compares_with_all_rows(spark, adm, monkeypatch):
+    held, facts, train = [], ML.forest_facts, ML.train_ordinal
+    monkeypatch.setattr(Q, "_adm", lambda s, d: adm)
+    monkeypatch.setattr(ML, "train_ordinal", functools.partial(train, num_trees=2, max_depth=2))
+    monkeypatch.setattr(ML, "forest_facts", lambda nodes, fit_rows: held.append(fit_rows) or facts(nodes, fit_rows))
+    got = Q.q_ml_train_rf_ordinal(spark, "").collect()
+    assert held == [ROWS]
+    assert sum(r["rows"] for r in got) == ROWS and all(r["roots_hold_fit"] and r["rows"] == r["walked_rows"] for r in got)

@@ -10,9 +10,12 @@ Two forests, as in the reference:
   seed 42.  This is the model used for scoring:
   an unseen value gets code 0.
 
-Training and
+Both are fitted on all rows of their training part.  Training and
 evaluation are distributed Spark ML jobs; nothing is collected to the
-driver but the fitted model and the metric.
+driver but the fitted model and the metric.  Node ids are not cached
+between tree levels: they would take a number per row and tree, and the
+forest that executors receive on every pass instead has at most 63 nodes a
+tree.
 """
 
 from __future__ import annotations
@@ -47,8 +50,6 @@ READY = "Ready for Production"
 # FIT_PARTITIONS * PARTITION_ROWS rows has more of them.
 FIT_PARTITIONS = 32
 PARTITION_ROWS = 62_500
-# Rows the ordinal forest is fitted on, at most about (chosen by a hash of the row).
-FIT_ROWS = 2_000_000
 
 
 def row_hash(*cols: str) -> F.Column:
@@ -108,9 +109,9 @@ def _ordinal_codes(model) -> SQLTransformer:
 
 
 def train_ordinal(adm: DataFrame, num_trees: int = 50, max_depth: int = 5,
-                  seed: int = 42, fit_rows: int = FIT_ROWS) -> PipelineModel:
-    """Fit the ordinal-code forest; the codes come from all rows, the trees
-    from at most about ``fit_rows`` of them (``fit_layout``)."""
+                  seed: int = 42, fit_rows: int | None = None) -> PipelineModel:
+    """Fit the ordinal-code forest on all rows (``fit_layout``; a caller's
+    ``fit_rows`` bounds the trees' rows, the codes come from all in any case)."""
     rows = with_label(adm).select(*CATEGORICAL, *NUMERIC, LABEL)
     data = fit_layout(rows, fit_rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -119,7 +120,7 @@ def train_ordinal(adm: DataFrame, num_trees: int = 50, max_depth: int = 5,
         asm = VectorAssembler(inputCols=[f"{c}_code" for c in ORDINAL_ORDER] + NUMERIC,
                               outputCol="features", handleInvalid="keep")
         rf = RandomForestClassifier(labelCol=LABEL, featuresCol="features", numTrees=num_trees,
-                                    maxDepth=max_depth, seed=seed, cacheNodeIds=True)
+                                    maxDepth=max_depth, seed=seed)
         head = PipelineModel(stages=list(idx_models) + [codes, asm])
         forest = rf.fit(head.transform(data))
         return PipelineModel(stages=list(idx_models) + [codes, asm, forest])

@@ -690,7 +690,7 @@ def q_ml_train_rf_ordinal(spark, sf_dir):
     adm = ML.with_label(_adm(spark, sf_dir))
     model = ML.train_ordinal(adm)
     seen = adm.agg(F.count(F.lit(1)).alias("n"), F.avg(ML.LABEL).alias("share")).first()
-    return _forest_rows(model, adm, min(seen["n"], ML.FIT_ROWS), seen["share"])
+    return _forest_rows(model, adm, seen["n"], seen["share"])
 
 
 # A gender that no model has seen: the dashboard's spelling.
