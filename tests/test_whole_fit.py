@@ -50,3 +50,28 @@ def test_ordinal_query_compares_with_all_rows(spark, adm, monkeypatch):
     got = Q.q_ml_train_rf_ordinal(spark, "").collect()
     assert held == [ROWS]
     assert sum(r["rows"] for r in got) == ROWS and all(r["roots_hold_fit"] and r["rows"] == r["walked_rows"] for r in got)
+
+
+def test_recorded_model_is_fitted_on_the_recorded_rows(spark, adm, monkeypatch):
+    fitted, real = [], ML.onehot_pipeline
+
+    class Noting:
+        def __init__(self, num_trees, seed):
+            self.pipeline = real(1, seed)
+
+        def fit(self, df):
+            fitted.append(df.count())
+            return self.pipeline.fit(df)
+    monkeypatch.setattr(Q, "_adm", lambda s, d: adm)
+    monkeypatch.setattr(ML, "onehot_pipeline", Noting)
+    row = Q.q_sink_model_meta(spark, "").first()
+    assert fitted == [row["train_rows"]] and row["train_rows"] + row["test_rows"] == ROWS
+
+
+def test_layout_keeps_all_rows_and_spreads_a_common_one(spark):
+    n = F.col("id")
+    rows = spark.range(2_100_000).select(F.when(n % 2 == 0, "x").alias("a"), F.when(n % 2 == 1, n).cast("double").alias("b"))
+    laid = ML.fit_layout(rows)
+    parts = laid.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count("a").alias("common")).collect()
+    assert sum(r["n"] for r in parts) == 2_100_000 and sum(r["common"] for r in parts) == 1_050_000
+    assert len(parts) == 34 and max(r["n"] for r in parts) < 2 * ML.PARTITION_ROWS

@@ -50,6 +50,8 @@ READY = "Ready for Production"
 # FIT_PARTITIONS * PARTITION_ROWS rows has more of them.
 FIT_PARTITIONS = 32
 PARTITION_ROWS = 62_500
+# Equal rows that stay together in one partition, at most.
+EQUAL_ROWS = 1_000
 
 
 def row_hash(*cols: str) -> F.Column:
@@ -65,15 +67,22 @@ def fit_layout(df: DataFrame, fit_rows: int | None = None) -> DataFrame:
     ``PARTITION_ROWS`` each, and sorted.  So the same rows give the same forest
     on any cluster and from any files.
 
-    Only a caller that gives ``fit_rows`` gets
+    Equal rows are counted and dealt in pieces of ``EQUAL_ROWS``, so a very
+    common row is spread as well.  Only a caller that gives ``fit_rows`` gets
     less: a share of the row hashes, about so many rows.
     """
     total = df.count()
     if fit_rows is not None and total > fit_rows:
         df = df.where(row_hash(*df.columns) < int(1_000_000 * fit_rows / total))
         total = fit_rows
-    parts = max(FIT_PARTITIONS, -(-total // PARTITION_ROWS))
-    return df.repartition(parts, *df.columns).sortWithinPartitions(*df.columns)
+    cols = df.columns
+    pieces = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_rows")) \
+        .withColumn("_piece", F.explode(F.expr(f"sequence(0L, (_rows - 1) DIV {EQUAL_ROWS})")))
+    # A null leaves the hash as it is: the first piece goes where the row alone does.
+    salt = F.when(F.col("_piece") > 0, F.col("_piece"))
+    dealt = pieces.repartition(max(FIT_PARTITIONS, -(-total // PARTITION_ROWS)), *cols, salt).sortWithinPartitions(*cols, "_piece")
+    each = F.expr(f"sequence(1L, least({EQUAL_ROWS}, _rows - _piece * {EQUAL_ROWS}))")
+    return dealt.withColumn("_row", F.explode(each)).select(*cols)
 
 
 def with_label(adm: DataFrame) -> DataFrame:
